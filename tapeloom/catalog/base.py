@@ -106,3 +106,51 @@ def sql(parts: str, *rest: str, recursive: bool = False) -> str:
     done.extend(rest[:-1])
     head = "WITH RECURSIVE " if recursive else "WITH "
     return (head + ", ".join(done) + " " if done else "") + rest[-1]
+
+
+def win(n: int, end: int = 0, keys: str = "symbol", seq: str = "bar_no") -> str:
+    last = "CURRENT ROW" if end == 0 else f"{-end} PRECEDING"
+    return f"(PARTITION BY {keys} ORDER BY {seq} ROWS BETWEEN {n - 1 - end} PRECEDING AND {last})"
+
+
+def full(agg: str, n: int, end: int = 0) -> str:
+    """Aggregate over a full frame of ``n`` bars, NULL before that."""
+    return f"CASE WHEN bar_no >= {n - 1 - end} THEN {agg} OVER {win(n, end)} END"
+
+
+def lagged(expr: str, k: int = 1) -> str:
+    return f"lag({expr}, {k}) OVER (PARTITION BY symbol ORDER BY bar_no)"
+
+
+def ewm_cte(name: str, source: str, values: dict[str, str], alpha: str, q: str = "bar_no") -> str:
+    """Exponential means by their closed form: a weighted sum over all earlier bars."""
+    sums = ", ".join(
+        f"sum(CASE WHEN b._q = 0 THEN 1.0::DOUBLE ELSE {alpha} END * pow(1.0::DOUBLE - {alpha}, a._q - b._q) * b._v{i}) AS {n}"
+        for i, n in enumerate(values)
+    )
+    cols = ", ".join(f"{v} AS _v{i}" for i, v in enumerate(values.values()))
+    return (
+        f"_{name} AS MATERIALIZED (SELECT symbol, bar_no, {q} AS _q, {cols} FROM {source}), "
+        f"{name} AS MATERIALIZED (SELECT a.symbol, a.bar_no, {sums} FROM _{name} a JOIN _{name} b "
+        "ON a.symbol = b.symbol AND b._q <= a._q AND b._q >= 0 GROUP BY a.symbol, a.bar_no)"
+    )
+
+
+def ema_cte(name: str, source: str, value: str, span: int) -> str:
+    return ewm_cte(name, source, {name: value}, f"(2.0::DOUBLE / {span + 1})")
+
+
+def rsi_cte(name: str, source: str, n: int, tag: str = "") -> str:
+    """Adds ``{name}(symbol, bar_no, ts, close, rsi)`` on top of a numbered source."""
+    return (
+        f"{name}_d AS MATERIALIZED (SELECT *, close - {lagged('close')} AS chg FROM {source}), "
+        + ewm_cte(
+            f"{name}_e",
+            f"{name}_d",
+            {"g": "greatest(chg, 0)", "l": "greatest(-chg, 0)"},
+            f"(1.0::DOUBLE / {n})",
+            "bar_no - 1",
+        )
+        + f", {name} AS MATERIALIZED (SELECT d.*, CASE WHEN e.l = 0 AND e.g > 0 THEN 100 WHEN e.l > 0 THEN "
+        f"100 - 100 / (1 + e.g / e.l) END AS rsi FROM {name}_d d LEFT JOIN {name}_e e USING (symbol, bar_no))"
+    )

@@ -12,25 +12,22 @@ from tapeloom.functions.columns import US_PER_SECOND, add_tf
 SIX_HOURS = 6 * 3600
 
 
-def asof(
+def asof_many(
     probe: DataFrame,
-    values: DataFrame,
+    sides: Sequence[tuple[DataFrame, str, dict[str, str]]],
     keys: Sequence[str] = ("symbol",),
     probe_ts: str = "ts",
-    value_ts: str = "ts",
-    cols: dict[str, str] | None = None,
     direction: str = "backward",
     allow_equal: bool = True,
     width: int = SIX_HOURS,
 ) -> DataFrame:
-    """Attach to each probe row the nearest value row before (or after) it.
+    """Attach to each probe row the nearest row before (or after) it from every value table.
 
-    ``cols`` maps value column -> output name. Both sides are merged, sorted inside (key, time
-    bucket), and each bucket starts from the last value of the buckets before it; that carry table
-    has one row per key and bucket. Value timestamps are unique per key.
+    ``sides`` holds (values, value_ts, {value column: output name}). All tables are merged and sorted
+    once inside (key, time bucket), and each bucket starts from the last value of the buckets before
+    it; that carry table has one row per key and bucket. Value timestamps are unique per key and table.
     """
     keys = list(keys)
-    cols = cols or {c: c for c in values.columns if c not in (*keys, value_ts)}
     sign = 1 if direction == "backward" else -1
     value_side, probe_side = (0, 1) if allow_equal else (1, 0)
 
@@ -44,16 +41,18 @@ def asof(
             payload.alias(name),
         )
 
-    left = place(probe, probe_ts, probe_side, "_p", F.struct(*probe.columns))
-    right = place(
-        values, value_ts, value_side, "_v", F.struct(*[F.col(c).alias(n) for c, n in cols.items()])
-    )
-    merged = left.unionByName(right, allowMissingColumns=True)
+    merged = place(probe, probe_ts, probe_side, "_p", F.struct(*probe.columns))
+    names = [f"_v{i}" for i in range(len(sides))]
+    for v, (values, value_ts, cols) in zip(names, sides):
+        payload = F.struct(*[F.col(c).alias(n) for c, n in cols.items()])
+        merged = merged.unionByName(
+            place(values, value_ts, value_side, v, payload), allowMissingColumns=True
+        )
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         merged.groupBy(*keys, "_b")
-        .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_t"))).alias("_v"))
-        .select(*keys, "_b", F.last("_v", ignorenulls=True).over(before).alias("_carry"))
+        .agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("_t"))).alias(v) for v in names])
+        .select(*keys, "_b", *[F.last(v, ignorenulls=True).over(before).alias(f"_c{v}") for v in names])
     )
     inside = (
         Window.partitionBy(*keys, "_b")
@@ -61,12 +60,31 @@ def asof(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     found = (
-        merged.withColumn("_last", F.last("_v", ignorenulls=True).over(inside))
+        merged.withColumns({f"_l{v}": F.last(v, ignorenulls=True).over(inside) for v in names})
         .where(F.col("_p").isNotNull())
         .join(carry, [*keys, "_b"], "left")
     )
-    hit = F.coalesce(F.col("_last"), F.col("_carry"))
-    return found.select("_p.*", *[hit[n].alias(n) for n in cols.values()])
+    out = []
+    for v, (_, _, cols) in zip(names, sides):
+        hit = F.coalesce(F.col(f"_l{v}"), F.col(f"_c{v}"))
+        out += [hit[n].alias(n) for n in cols.values()]
+    return found.select("_p.*", *out)
+
+
+def asof(
+    probe: DataFrame,
+    values: DataFrame,
+    keys: Sequence[str] = ("symbol",),
+    probe_ts: str = "ts",
+    value_ts: str = "ts",
+    cols: dict[str, str] | None = None,
+    direction: str = "backward",
+    allow_equal: bool = True,
+    width: int = SIX_HOURS,
+) -> DataFrame:
+    """``asof_many`` with one value table; ``cols`` maps value column -> output name."""
+    cols = cols or {c: c for c in values.columns if c not in (*keys, value_ts)}
+    return asof_many(probe, [(values, value_ts, cols)], keys, probe_ts, direction, allow_equal, width)
 
 
 def visible_at_close(df: DataFrame, tf: str, ts: str = "ts", name: str = "seen_at") -> DataFrame:
@@ -83,6 +101,14 @@ def align_setup(
     )
 
 
+def align_setups(
+    exec_bars: DataFrame, setups: Sequence[tuple[DataFrame, str, dict[str, str]]], width: int = SIX_HOURS
+) -> DataFrame:
+    """Several timeframes at once: ``setups`` holds (frame, tf, columns)."""
+    sides = [(visible_at_close(df, tf), "seen_at", cols) for df, tf, cols in setups]
+    return asof_many(exec_bars, sides, width=width)
+
+
 def activate(
     events: DataFrame, exec_bars: DataFrame, tf: str, cols: dict[str, str], width: int = SIX_HOURS
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tapeloom.functions.columns import US_PER_SECOND
+from tapeloom.functions.columns import US_PER_SECOND, known
 
 CHUNK = 2048
 DAY = 86400
@@ -85,10 +85,6 @@ def rolling(
     return out.where(F.col("_chunk") == F.col("_home")).drop("_chunk", "_home")
 
 
-def last_rows(n: int) -> tuple[int, int]:
-    return -(n - 1), 0
-
-
 def full_avg(value: str | Column, n: int, seq: str = "bar_no") -> Callable[[WindowSpec], Column]:
     """Mean of the last ``n`` rows, NULL until ``n`` rows exist."""
     return lambda w: F.when(F.col(seq) >= n - 1, F.avg(value).over(w.rowsBetween(-(n - 1), 0)))
@@ -162,33 +158,39 @@ def prefix_scan(
 
 def ewm(
     df: DataFrame,
-    value: Column,
+    values: dict[str, Column],
     alpha: float,
-    name: str,
     keys: Sequence[str] = ("symbol",),
-    seq: str = "bar_no",
+    seq: Column | str = "bar_no",
 ) -> DataFrame:
     """Recursive exponential mean y0=x0, y=alpha*x+(1-alpha)*y[-1], without a sequential pass.
 
     Rows are cut into blocks of L rows with (1-alpha)^L ~ 1e-6. Inside a block the recursion is a
     weighted running sum; blocks hand on their closing value, whose weight after four blocks is
-    below double precision. ``seq`` counts from 0 with no gaps.
+    below double precision. ``seq`` counts from 0 with no gaps; rows with a negative or NULL ``seq``
+    come before the series starts and stay NULL.
     """
     keys = list(keys)
     decay = 1.0 - alpha
+    started = F.col("_q") >= 0
+    tagged = df.withColumn("_q", F.col(seq) if isinstance(seq, str) else seq)
     if decay <= 0.0:
-        return df.withColumn(name, value)
+        return tagged.withColumns({n: F.when(started, v) for n, v in values.items()}).drop("_q")
     length = max(1, math.floor(math.log(1e-6) / math.log(decay)))
-    pos = F.pmod(F.col(seq), F.lit(length))
-    weight = F.when(F.col(seq) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
     rate = F.lit(math.log(decay))
-    tagged = df.withColumn("_blk", F.floor(F.col(seq) / F.lit(length))).withColumn("_j", pos)
-    run = Window.partitionBy(*keys, "_blk").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
-    inside = tagged.withColumn(
-        "_in", F.exp(F.col("_j") * rate) * F.sum(weight * value * F.exp(-F.col("_j") * rate)).over(run)
+    weight = F.when(~known(started), F.lit(0.0)).when(F.col("_q") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    names = list(values)
+    tagged = (
+        tagged.withColumn("_blk", F.coalesce(F.floor(F.col("_q") / F.lit(length)), F.lit(-1)))
+        .withColumn("_j", F.coalesce(F.pmod(F.col("_q"), F.lit(length)), F.lit(0)))
+        .withColumns({f"_x{i}": weight * F.coalesce(values[n], F.lit(0.0)) for i, n in enumerate(names)})
     )
+    run = Window.partitionBy(*keys, "_blk").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
+    up, down = F.exp(-F.col("_j") * rate), F.exp(F.col("_j") * rate)
+    inside = tagged.withColumns({f"_in{i}": down * F.sum(F.col(f"_x{i}") * up).over(run) for i in range(len(names))})
+    to_end = F.exp((F.lit(length - 1) - F.col("_j")) * rate)
     closing = tagged.groupBy(*keys, "_blk").agg(
-        F.sum(weight * value * F.exp((F.lit(length - 1) - F.col("_j")) * rate)).alias("_s")
+        *[F.sum(F.col(f"_x{i}") * to_end).alias(f"_s{i}") for i in range(len(names))]
     )
     steps = F.array(
         *[
@@ -198,19 +200,26 @@ def ewm(
     )
     carry = (
         closing.withColumn("_step", F.explode(steps))
-        .select(*keys, (F.col("_blk") + F.col("_step.k")).alias("_blk"), (F.col("_s") * F.col("_step.f")).alias("_s"))
+        .select(
+            *keys,
+            (F.col("_blk") + F.col("_step.k")).alias("_blk"),
+            *[(F.col(f"_s{i}") * F.col("_step.f")).alias(f"_s{i}") for i in range(len(names))],
+        )
         .groupBy(*keys, "_blk")
-        .agg(F.sum("_s").alias("_carry"))
+        .agg(*[F.sum(f"_s{i}").alias(f"_c{i}") for i in range(len(names))])
     )
-    return (
-        inside.join(carry, [*keys, "_blk"], "left")
-        .withColumn(
-            name,
-            F.col("_in") + F.exp((F.col("_j") + 1) * rate) * F.coalesce(F.col("_carry"), F.lit(0.0)),
-        )
-        .drop("_blk", "_j", "_in", "_carry")
+    out = inside.join(carry, [*keys, "_blk"], "left").withColumns(
+        {
+            n: F.when(
+                started,
+                F.col(f"_in{i}") + F.exp((F.col("_j") + 1) * rate) * F.coalesce(F.col(f"_c{i}"), F.lit(0.0)),
+            )
+            for i, n in enumerate(names)
+        }
     )
+    helpers = [f"_{p}{i}" for p in ("x", "in", "c") for i in range(len(names))]
+    return out.drop("_q", "_blk", "_j", *helpers)
 
 
 def ema(df: DataFrame, value: str, span: int, name: str, **kw) -> DataFrame:
-    return ewm(df, F.col(value), 2.0 / (span + 1), name, **kw)
+    return ewm(df, {name: F.col(value)}, 2.0 / (span + 1), **kw)
