@@ -11,7 +11,9 @@ from tapeloom.functions.columns import floor_ts, ntz, r
 from tapeloom.operators import gates as G
 from tapeloom.operators import indicators as I
 from tapeloom.operators.asof import activate, align_setup, asof
-from tapeloom.operators.series import DAY, ema, prefix_scan, time_bucket
+from tapeloom.operators.series import (
+    DAY, Step, chain, ema, ema_alpha, ewm_step, full_avg, prefix_scan, time_bucket,
+)
 from tapeloom.sources.tables import bars, numbered, ticks, trades
 
 
@@ -301,7 +303,12 @@ def rsi_matrix(spark, sf):
 def candles_overlay(spark, sf):
     """Overlays over the whole history, then the last 300 candles per symbol."""
     n = numbered(spark, sf, "1h")
-    over = I.rsi(ema(I.sma(n, [50, 200]), "close", 21, "ema_21"), 14)
+    over = chain(
+        n,
+        Step(200, {"sma_50": full_avg("close", 50), "sma_200": full_avg("close", 200)}),
+        ewm_step({"ema_21": (F.col("close"), ema_alpha(21))}),
+        *I.rsi_steps(14),
+    )
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     keep = over.withColumn("_close", F.col("close")).withColumn("close", typical)
     keep = I.session_vwap(keep).drop("close").withColumnRenamed("_close", "close")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.columns import NEW_YORK, div, known, local, local_day, local_minute, tf_seconds
 from tapeloom.operators import indicators as I
 from tapeloom.operators.asof import align_setup, align_setups, asof
-from tapeloom.operators.series import ema, full_avg, lag, rolling
+from tapeloom.operators.series import Step, chain, ema_alpha, ewm_step, full_avg
 
 GATES: dict[str, Callable[..., DataFrame]] = {}
 
@@ -85,16 +85,16 @@ def compression(bars: DataFrame, frames: dict, q: float = 0.8, days: int = 20, t
     return _ok(out, F.col("_tight")).drop("_day", "_tight")
 
 
-def _moving(frame: DataFrame, kind: str, n: int, name: str) -> DataFrame:
+def moving_step(kind: str, n: int, name: str) -> Step:
     if kind == "ema":
-        return ema(frame, "close", n, name)
-    return rolling(frame, n, {name: full_avg("close", n)})
+        return ewm_step({name: (F.col("close"), ema_alpha(n))})
+    return Step(n, {name: full_avg("close", n)})
 
 
 @gate("trend")
 def trend(bars: DataFrame, frames: dict, tf: str = "1d", ma: int = 20, kind: str = "sma") -> DataFrame:
     """Last completed bar of ``tf`` above its average; not-above includes an average still unknown."""
-    frame = _moving(frames[tf], kind, ma, "_ma").withColumn("_above", known(F.col("close") > F.col("_ma")))
+    frame = chain(frames[tf], moving_step(kind, ma, "_ma")).withColumn("_above", known(F.col("close") > F.col("_ma")))
     out = align_setup(bars, frame, tf, {"_above": "_above"}, width=tf_seconds(tf) * 24)
     return _ok(out, F.col("_above"), ~F.col("_above")).drop("_above")
 
@@ -102,9 +102,11 @@ def trend(bars: DataFrame, frames: dict, tf: str = "1d", ma: int = 20, kind: str
 @gate("trend_all")
 def trend_all(bars: DataFrame, frames: dict, tf: str = "1d", smas=(20, 50, 200), emas=(9, 21)) -> DataFrame:
     """Above (or below) every average of the list on the last completed bar."""
-    frame = rolling(frames[tf], max(smas), {f"_s{n}": full_avg("close", n) for n in smas})
-    for n in emas:
-        frame = ema(frame, "close", n, f"_e{n}")
+    frame = chain(
+        frames[tf],
+        Step(max(smas), {f"_s{n}": full_avg("close", n) for n in smas}),
+        ewm_step({f"_e{n}": (F.col("close"), ema_alpha(n)) for n in emas}),
+    )
     levels = [f"_s{n}" for n in smas] + [f"_e{n}" for n in emas]
     above, below = F.lit(True), F.lit(True)
     for c in levels:
@@ -165,16 +167,16 @@ def level_matrix(bars: DataFrame, frames: dict, levels=LEVELS, day_tf: str = "1d
     by_tf.setdefault(day_tf, [])
     sides, names = [], []
     for tf, specs in by_tf.items():
-        frame, cols = frames[tf], {}
+        frame, cols, steps = frames[tf], {}, []
         for kind, n in specs:
             name = f"{kind}{n}_{tf}"
-            frame = _moving(frame, kind, n, name)
-            frame = rolling(frame, 1, {f"_slope_{name}": lambda w, c=name: F.signum(F.col(c) - F.lag(c).over(w))})
+            slope = {f"_slope_{name}": lambda w, c=name: F.signum(F.col(c) - F.lag(c).over(w))}
+            steps += [moving_step(kind, n, name), Step(1, slope)]
             cols |= {name: f"_{name}", f"_slope_{name}": f"slope_{name}"}
             names.append(name)
         if tf == day_tf:
             cols |= {"high": "_pdh", "low": "_pdl"}
-        sides.append((frame, tf, cols))
+        sides.append((chain(frame, *steps) if steps else frame, tf, cols))
     out = align_setups(bars, sides, width=tf_seconds(day_tf) * 7)
     dist = {f"dist_{n}": div((F.col("close") - F.col(f"_{n}")) * 100, F.col(f"_{n}")) for n in names}
     dist |= {f"dist_{n}": div((F.col("close") - F.col(f"_{n}")) * 100, F.col(f"_{n}")) for n in ("pdh", "pdl")}

@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.columns import NEW_YORK, div, known, local_day
-from tapeloom.operators.series import ema, ewm, full_agg, full_avg, lag, rolling
+from tapeloom.operators.series import (
+    Step,
+    chain,
+    ema_alpha,
+    ewm_step,
+    full_agg,
+    full_avg,
+    lag,
+    rolling,
+)
 
 
 def sma(bars: DataFrame, windows: list[int], value: str = "close") -> DataFrame:
     return rolling(bars, max(windows), {f"sma_{n}": full_avg(value, n) for n in windows})
 
 
-def sample_std(c: Column) -> Column:
-    return F.stddev_samp(c)
-
-
 def bollinger(bars: DataFrame, n: int = 20, dev: float = 2.0, sample: bool = False) -> DataFrame:
     """Band of ``dev`` standard deviations; population sigma unless ``sample``."""
     return rolling(bars, n, band_stage(n, sample)).withColumns(band_edges(dev))
@@ -70,37 +75,50 @@ def didi_stages(fast: int, mid: int, slow: int):
     )
 
 
-def rsi(bars: DataFrame, n: int = 14, name: str = "rsi") -> DataFrame:
+def rsi_steps(n: int = 14, name: str = "rsi") -> list[Step]:
     """Wilder RSI; the smoothing starts with the second bar."""
     change = F.col("close") - F.col("_prev")
-    smooth = ewm(
-        rolling(bars, 1, {"_prev": lag("close")}),
-        {"_gain": F.greatest(change, F.lit(0.0)), "_loss": F.greatest(-change, F.lit(0.0))},
-        1.0 / n,
-        seq=F.col("bar_no") - 1,
-    )
-    total = F.col("_gain") + F.col("_loss")
-    return smooth.withColumn(name, div(F.col("_gain") * 100, total)).drop("_prev", "_gain", "_loss")
+    smooth = {
+        "_gain": (F.greatest(change, F.lit(0.0)), 1.0 / n),
+        "_loss": (F.greatest(-change, F.lit(0.0)), 1.0 / n),
+    }
+    return [
+        Step(1, {"_prev": lag("close")}),
+        ewm_step(smooth, first=1),
+        Step(0, {name: lambda w: div(F.col("_gain") * 100, F.col("_gain") + F.col("_loss"))}),
+    ]
+
+
+def rsi(bars: DataFrame, n: int = 14, name: str = "rsi") -> DataFrame:
+    return chain(bars, *rsi_steps(n, name)).drop("_prev", "_gain", "_loss")
+
+
+def macd_steps(fast: int = 12, slow: int = 26, signal: int = 9) -> list[Step]:
+    close = F.col("close")
+    return [
+        ewm_step({"_fast": (close, ema_alpha(fast)), "_slow": (close, ema_alpha(slow))}),
+        Step(0, {"macd_line": lambda w: F.col("_fast") - F.col("_slow")}),
+        ewm_step({"macd_signal": (F.col("macd_line"), ema_alpha(signal))}),
+    ]
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    both = ema(ema(bars, "close", fast, "_fast"), "close", slow, "_slow")
-    line = both.withColumn("macd_line", F.col("_fast") - F.col("_slow"))
-    return ema(line, "macd_line", signal, "macd_signal").drop("_fast", "_slow")
+    return chain(bars, *macd_steps(fast, slow, signal)).drop("_fast", "_slow")
 
 
 def adx(bars: DataFrame, n: int = 8) -> DataFrame:
     """Wilder DMI/ADX. DX is unknown only before the first directional move of a symbol."""
-    moved = rolling(
-        bars, 1, {"_ph": lag("high"), "_pl": lag("low"), "_pc": lag("close")}
-    )
     up, dn = F.col("high") - F.col("_ph"), F.col("_pl") - F.col("low")
     plus = F.when(known((up > dn) & (up > 0)), up).otherwise(0.0)
     minus = F.when(known((dn > up) & (dn > 0)), dn).otherwise(0.0)
     true_range = F.greatest(
         F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc"))
     )
-    smooth = ewm(moved, {"_p": plus, "_m": minus, "_atr": true_range}, 1.0 / n)
+    smooth = chain(
+        bars,
+        Step(1, {"_ph": lag("high"), "_pl": lag("low"), "_pc": lag("close")}),
+        ewm_step({"_p": (plus, 1.0 / n), "_m": (minus, 1.0 / n), "_atr": (true_range, 1.0 / n)}),
+    )
     di = smooth.withColumn("plus_di", div(F.col("_p") * 100, F.col("_atr"))).withColumn(
         "minus_di", div(F.col("_m") * 100, F.col("_atr"))
     )
@@ -109,7 +127,7 @@ def adx(bars: DataFrame, n: int = 8) -> DataFrame:
         div(F.abs(F.col("plus_di") - F.col("minus_di")) * 100, F.col("plus_di") + F.col("minus_di")),
     )
     first = dx.groupBy("symbol").agg(F.min(F.when(F.col("_dx").isNotNull(), F.col("bar_no"))).alias("_first"))
-    out = ewm(dx.join(first, "symbol"), {"adx": F.col("_dx")}, 1.0 / n, seq=F.col("bar_no") - F.col("_first"))
+    out = chain(dx.join(first, "symbol"), ewm_step({"adx": (F.col("_dx"), 1.0 / n)}, first=F.col("_first")))
     return out.drop("_ph", "_pl", "_pc", "_p", "_m", "_atr", "_dx", "_first")
 
 

@@ -49,9 +49,9 @@ def breakout_entries(
     lives = rolling(
         ranked, 0, {"_next": lambda w: F.lead("act").over(w)}, ahead=1, keys=["symbol", "dir"], seq="_k"
     )
-    end = F.least(F.col("exp"), F.coalesce(F.col("_next") - 1, F.col("exp")))
+    lives = lives.withColumn("_end", F.least(F.col("exp"), F.coalesce(F.col("_next") - 1, F.col("exp"))))
     path = bars.select("symbol", "bar_no", F.col("ts").alias("bar_ts"), "open", "high", "low")
-    hits = span_join(lives.drop("_k", "_next").withColumn("_end", end), path, ["symbol"], F.col("act"), F.col("_end"), "bar_no", SPAN)
+    hits = span_join(lives.drop("_k", "_next"), path, ["symbol"], F.col("act"), F.col("_end"), "bar_no", SPAN)
     broke = F.when(F.col("dir") == 1, F.col("high") > F.col("trigger")).otherwise(F.col("low") < F.col("trigger"))
     first = (
         hits.where(broke)
@@ -277,82 +277,71 @@ def non_overlapping(
     exit_: str = "exit_ts",
     tie: Sequence[str] = (),
     bucket_seconds: int = 7 * 86400,
+    chunk: int = 4096,
 ) -> DataFrame:
     """Take a trade only when the previous taken one has ended, per key, in order of entry.
 
-    The chain "first trade at or after my exit" is followed per time bucket in parallel: each bucket
-    maps the trades where a chain can enter it to the trade in a later bucket where it leaves. Chains
-    merge fast, so few entry points survive per bucket; walking those gives the true entry points,
-    and a second pass over the buckets marks the taken trades. Trades may share an entry time; ``tie``
-    must order them fully, and an exit frees the slot for an entry at the same instant.
+    The chain "first trade at or after my exit" is followed in chunks of ``chunk`` trades in parallel:
+    each chunk maps the trades where a chain can enter it to the trade in a later chunk where it
+    leaves. Chains merge fast, so few entry points survive per chunk; walking those gives the true
+    entry points, and a second pass over the chunks marks the taken trades. Trades may share an entry
+    time; ``tie`` must order them fully, and an exit frees the slot for an entry at the same instant.
     """
     keys = list(keys)
     order = [entry, *tie]
     bucket = F.floor(F.unix_micros(entry) / F.lit(bucket_seconds * 1_000_000))
-    numbered = number_rows(trades, keys, order, bucket, "_no").withColumn("_b", bucket)
+    numbered = number_rows(trades, keys, order, bucket, "_no")
     firsts = numbered.groupBy(*keys, entry).agg(F.min("_no").alias("_next"))
-    linked = asof(
-        numbered, firsts, keys, exit_, entry, {"_next": "_next"}, direction="forward", width=bucket_seconds
-    )
+    slim = numbered.select(*keys, "_no", exit_)
+    linked = asof(slim, firsts, keys, exit_, entry, {"_next": "_next"}, direction="forward", width=bucket_seconds)
     # a trade that ends the instant it starts still hands over to a later one
-    linked = linked.withColumn("_next", F.greatest("_next", F.col("_no") + 1))
-    count = numbered.groupBy(*keys).agg(F.max("_no").alias("_max"))
-    linked = linked.join(count, keys).withColumn(
-        "_next", F.when(F.col("_next") <= F.col("_max"), F.col("_next"))
-    )
-    starts = linked.groupBy(*keys, "_b").agg(F.min("_no").alias("_lo"), F.max("_no").alias("_hi"))
-    placed = linked.join(starts, [*keys, "_b"])
+    linked = linked.withColumn(
+        "_next", F.when(F.col("_next").isNotNull(), F.greatest(F.col("_next"), F.col("_no") + 1))
+    ).select(*keys, "_no", "_next", F.floor(F.col("_no") / F.lit(chunk)).alias("_b"))
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trades.select(*keys).schema)
 
     def leave(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("_no")
         no, nxt = batch["_no"].to_numpy(), batch["_next"].to_numpy(dtype=float)
-        hi = no[-1]
         out = nxt.copy()
         for i in range(len(no) - 1, -1, -1):
-            if nxt[i] <= hi:
+            if nxt[i] <= no[-1]:
                 out[i] = out[int(nxt[i] - no[0])]
-        res = batch[keys].copy()
-        res["_no"], res["_out"] = no, out
-        return res
+        return batch[keys].assign(_no=no, _out=out)
 
-    exits = placed.groupBy(*keys, "_b").applyInPandas(leave, f"{key_schema}, _no bigint, _out double")
-    # only trades some earlier bucket can lead to, plus the very first, matter between buckets
+    exits = linked.groupBy(*keys, "_b").applyInPandas(leave, f"{key_schema}, _no bigint, _out double")
+    # only trades some earlier chunk can lead to, plus the very first, matter between chunks
     targets = (
-        exits.where(F.col("_out").isNotNull())
+        exits.where(F.col("_out").isNotNull() & ~F.isnan("_out"))
         .select(*keys, F.col("_out").cast("long").alias("_no"))
-        .union(exits.groupBy(*keys).agg(F.min("_no")))
         .distinct()
+        .withColumn("_hit", F.lit(True))
     )
-    hops = exits.join(targets, [*keys, "_no"])
+    hops = exits.join(targets, [*keys, "_no"], "left").where(F.col("_hit") | (F.col("_no") == 0)).drop("_hit")
 
     def follow(batch: pd.DataFrame) -> pd.DataFrame:
         step = dict(zip(batch["_no"], batch["_out"]))
-        seen, cur = [], min(step)
+        seen, cur = [], 0
         while cur is not None:
             seen.append(cur)
             nxt = step.get(cur)
             cur = None if nxt is None or np.isnan(nxt) else int(nxt)
-        res = batch.iloc[[0] * len(seen)][keys].reset_index(drop=True)
-        res["_enter"] = seen
-        return res
+        return batch.iloc[[0] * len(seen)][keys].reset_index(drop=True).assign(_no=seen)
 
-    entered = hops.groupBy(*keys).applyInPandas(follow, f"{key_schema}, _enter bigint")
-    marked = placed.join(
-        entered.withColumnRenamed("_enter", "_no").withColumn("_in", F.lit(True)), [*keys, "_no"], "left"
-    )
+    entered = hops.groupBy(*keys).applyInPandas(follow, f"{key_schema}, _no bigint")
+    marked = linked.join(entered.withColumn("_in", F.lit(True)), [*keys, "_no"], "left")
 
     def take(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("_no")
         no, nxt = batch["_no"].to_numpy(), batch["_next"].to_numpy(dtype=float)
-        on = batch["_in"].fillna(False).to_numpy(dtype=bool).copy()
+        on = batch["_in"].notna().to_numpy().copy()
         for i in range(len(no)):
             if on[i] and nxt[i] <= no[-1]:
                 on[int(nxt[i] - no[0])] = True
         return batch.loc[on, [*keys, "_no"]]
 
     taken = marked.groupBy(*keys, "_b").applyInPandas(take, f"{key_schema}, _no bigint")
-    return numbered.join(taken, [*keys, "_no"], "left_semi").drop("_no", "_b")
+    return numbered.join(taken, [*keys, "_no"], "left_semi").drop("_no")
 
 
 # ------------------------------------------------------------------ costs and P&L

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from tapeloom.functions.columns import US_PER_SECOND, known
 
 CHUNK = 2048
 DAY = 86400
+# exp(-42) is below double precision; exp(650) stays far from overflow
+HALO_EXPONENT = 42.0
+MAX_EXPONENT = 650.0
 Stage = dict[str, Callable[[WindowSpec], Column]]
 
 
@@ -79,10 +83,11 @@ def rolling(
         out = out.withColumn("_chunk", F.explode(F.array_compact(F.array(*copies))))
     else:
         out = out.withColumn("_chunk", F.col("_home"))
+    out = out.withColumn("_base", F.col("_chunk") * F.lit(chunk))
     spec = Window.partitionBy(*keys, "_chunk").orderBy(seq)
     for stage in stages:
         out = out.withColumns({name: make(spec) for name, make in stage.items()})
-    return out.where(F.col("_chunk") == F.col("_home")).drop("_chunk", "_home")
+    return out.where(F.col("_chunk") == F.col("_home")).drop("_chunk", "_home", "_base")
 
 
 def full_avg(value: str | Column, n: int, seq: str = "bar_no") -> Callable[[WindowSpec], Column]:
@@ -156,70 +161,57 @@ def prefix_scan(
     return out.withColumns(merged).drop(*helpers)
 
 
-def ewm(
-    df: DataFrame,
-    values: dict[str, Column],
-    alpha: float,
-    keys: Sequence[str] = ("symbol",),
-    seq: Column | str = "bar_no",
-) -> DataFrame:
-    """Recursive exponential mean y0=x0, y=alpha*x+(1-alpha)*y[-1], without a sequential pass.
+@dataclass(frozen=True)
+class Step:
+    """Columns that look ``back`` rows behind; ``rate`` is the steepest exponential decay per row."""
+
+    back: int
+    stage: Stage
+    rate: float = 0.0
+
+
+def chain(df: DataFrame, *steps: Step, keys: Sequence[str] = ("symbol",), seq: str = "bar_no") -> DataFrame:
+    """Run dependent steps in one chunked pass when their lookbacks fit, else in several."""
+    total = sum(s.back for s in steps)
+    rate = max(s.rate for s in steps)
+    chunk = max(CHUNK, 4 * total)
+    if rate:
+        chunk = min(chunk, int(MAX_EXPONENT / rate) - total)
+    if chunk < total and len(steps) > 1:
+        return chain(chain(df, *steps[:-1], keys=keys, seq=seq), steps[-1], keys=keys, seq=seq)
+    return rolling(df, total, *[s.stage for s in steps], keys=keys, seq=seq, chunk=chunk)
+
+
+def ewm_step(
+    values: dict[str, tuple[Column, float]], first: Column | int = 0, seq: str = "bar_no"
+) -> Step:
+    """Recursive exponential means y0=x0, y=alpha*x+(1-alpha)*y[-1]; values are (column, alpha).
 
-    Rows are cut into blocks of L rows with (1-alpha)^L ~ 1e-6. Inside a block the recursion is a
-    weighted running sum; blocks hand on their closing value, whose weight after four blocks is
-    below double precision. ``seq`` counts from 0 with no gaps; rows with a negative or NULL ``seq``
-    come before the series starts and stay NULL.
+    Inside a chunk the recursion is a weighted running sum. Rows further back than the halo weigh less
+    than 1e-18, so a chunk with its halo gives the same doubles as the whole series. ``first`` is the
+    position where the series starts; earlier rows stay NULL.
     """
-    keys = list(keys)
-    decay = 1.0 - alpha
-    started = F.col("_q") >= 0
-    tagged = df.withColumn("_q", F.col(seq) if isinstance(seq, str) else seq)
-    if decay <= 0.0:
-        return tagged.withColumns({n: F.when(started, v) for n, v in values.items()}).drop("_q")
-    length = max(1, math.floor(math.log(1e-6) / math.log(decay)))
-    rate = F.lit(math.log(decay))
-    weight = F.when(~known(started), F.lit(0.0)).when(F.col("_q") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-    names = list(values)
-    tagged = (
-        tagged.withColumn("_blk", F.coalesce(F.floor(F.col("_q") / F.lit(length)), F.lit(-1)))
-        .withColumn("_j", F.coalesce(F.pmod(F.col("_q"), F.lit(length)), F.lit(0)))
-        .withColumns({f"_x{i}": weight * F.coalesce(values[n], F.lit(0.0)) for i, n in enumerate(names)})
-    )
-    run = Window.partitionBy(*keys, "_blk").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
-    up, down = F.exp(-F.col("_j") * rate), F.exp(F.col("_j") * rate)
-    inside = tagged.withColumns({f"_in{i}": down * F.sum(F.col(f"_x{i}") * up).over(run) for i in range(len(names))})
-    to_end = F.exp((F.lit(length - 1) - F.col("_j")) * rate)
-    closing = tagged.groupBy(*keys, "_blk").agg(
-        *[F.sum(F.col(f"_x{i}") * to_end).alias(f"_s{i}") for i in range(len(names))]
-    )
-    steps = F.array(
-        *[
-            F.struct(F.lit(k).alias("k"), F.lit(math.exp((k - 1) * length * math.log(decay))).alias("f"))
-            for k in (1, 2, 3, 4)
-        ]
-    )
-    carry = (
-        closing.withColumn("_step", F.explode(steps))
-        .select(
-            *keys,
-            (F.col("_blk") + F.col("_step.k")).alias("_blk"),
-            *[(F.col(f"_s{i}") * F.col("_step.f")).alias(f"_s{i}") for i in range(len(names))],
+    pos, start = F.col(seq), F.lit(first) if isinstance(first, int) else first
+    offset = (pos - F.col("_base")).cast("double")
+    stage, back, steepest = {}, 1, 0.0
+    for name, (value, alpha) in values.items():
+        started = known(pos >= start)
+        if alpha >= 1.0:
+            stage[name] = lambda w, v=value, on=started: F.when(on, v)
+            continue
+        rate = -math.log(1.0 - alpha)
+        weight = F.when(known(pos == start), 1.0).when(started, alpha).otherwise(0.0)
+        term = weight * F.coalesce(value, F.lit(0.0)) * F.exp(offset * rate)
+        stage[name] = lambda w, t=term, r=rate, on=started: F.when(
+            on, F.exp(-offset * r) * F.sum(t).over(w.rowsBetween(Window.unboundedPreceding, 0))
         )
-        .groupBy(*keys, "_blk")
-        .agg(*[F.sum(f"_s{i}").alias(f"_c{i}") for i in range(len(names))])
-    )
-    out = inside.join(carry, [*keys, "_blk"], "left").withColumns(
-        {
-            n: F.when(
-                started,
-                F.col(f"_in{i}") + F.exp((F.col("_j") + 1) * rate) * F.coalesce(F.col(f"_c{i}"), F.lit(0.0)),
-            )
-            for i, n in enumerate(names)
-        }
-    )
-    helpers = [f"_{p}{i}" for p in ("x", "in", "c") for i in range(len(names))]
-    return out.drop("_q", "_blk", "_j", *helpers)
+        back, steepest = max(back, math.ceil(HALO_EXPONENT / rate)), max(steepest, rate)
+    return Step(back, stage, steepest)
+
+
+def ema_alpha(span: int) -> float:
+    return 2.0 / (span + 1)
 
 
 def ema(df: DataFrame, value: str, span: int, name: str, **kw) -> DataFrame:
-    return ewm(df, {name: F.col(value)}, 2.0 / (span + 1), **kw)
+    return chain(df, ewm_step({name: (F.col(value), ema_alpha(span))}), **kw)

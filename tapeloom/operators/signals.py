@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from tapeloom.functions.columns import NEW_YORK, div, known, local_day
 from tapeloom.operators import indicators as I
 from tapeloom.operators.asof import activate, span_join
-from tapeloom.operators.series import ema, full_avg, lag, rolling
+from tapeloom.operators.series import Step, chain, ema_alpha, ewm_step, full_avg, lag, rolling
 
 SETUP: dict[str, Callable[..., DataFrame]] = {}
 EXEC: dict[str, Callable[..., DataFrame]] = {}
+NOISE = 1e-12
 EVENT = ["symbol", "ts", "bar_no", "dir", "trigger", "stop"]
 ENTRY = ["symbol", "entry_ts", "entry_no", "dir", "price", "stop_pct"]
 
@@ -65,25 +66,21 @@ def two_sided(
     )
 
 
-def crosses(df: DataFrame, diff: Column) -> DataFrame:
-    """Events where ``diff`` changes sign."""
-    out = rolling(df.withColumn("_d", diff), 1, {"_dp": lag("_d")})
+def crosses(bars: DataFrame, diff: Column, *steps: Step) -> DataFrame:
+    """Events where ``diff`` of the stepped columns changes sign; rounding noise counts as zero."""
+    quiet = F.when(F.abs(diff) > F.abs(F.col("close")) * NOISE, diff).when(diff.isNotNull(), 0.0)
+    out = chain(bars, *steps, Step(0, {"_d": lambda w: quiet}), Step(1, {"_dp": lag("_d")}))
     return two_sided(out, cross_up(F.col("_d"), F.col("_dp")), cross_down(F.col("_d"), F.col("_dp")))
 
 
 @signal("ma_cross")
 def ma_cross(bars: DataFrame, fast: int = 9, slow: int = 21, ma_type: str = "sma") -> DataFrame:
     if ma_type == "ema":
-        both = ema(ema(bars, "close", fast, "_fast"), "close", slow, "_slow")
-        return crosses(both, F.col("_fast") - F.col("_slow"))
-    out = rolling(
-        bars,
-        slow + 1,
-        {"_fast": full_avg("close", fast), "_slow": full_avg("close", slow)},
-        {"_d": lambda w: F.col("_fast") - F.col("_slow")},
-        {"_dp": lag("_d")},
-    )
-    return two_sided(out, cross_up(F.col("_d"), F.col("_dp")), cross_down(F.col("_d"), F.col("_dp")))
+        close = F.col("close")
+        lines = ewm_step({"_fast": (close, ema_alpha(fast)), "_slow": (close, ema_alpha(slow))})
+    else:
+        lines = Step(slow, {"_fast": full_avg("close", fast), "_slow": full_avg("close", slow)})
+    return crosses(bars, F.col("_fast") - F.col("_slow"), lines)
 
 
 def _edge(above: Column, below: Column):
@@ -115,7 +112,7 @@ def boll(bars: DataFrame, window: int = 20, dev: float = 2.0, mode: str = "trend
 
 @signal("macd")
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    return crosses(I.macd(bars, fast, slow, signal), F.col("macd_line") - F.col("macd_signal"))
+    return crosses(bars, F.col("macd_line") - F.col("macd_signal"), *I.macd_steps(fast, slow, signal))
 
 
 @signal("mom")
@@ -127,7 +124,7 @@ def momentum(bars: DataFrame, window: int = 10, thr: float = 0.01) -> DataFrame:
 
 @signal("rsi_cross")
 def rsi_cross(bars: DataFrame, window: int = 14, lo: float = 30, hi: float = 70) -> DataFrame:
-    out = rolling(I.rsi(bars, window), 1, {"_p": lag("rsi")})
+    out = chain(bars, *I.rsi_steps(window), Step(1, {"_p": lag("rsi")}))
     x, p = F.col("rsi"), F.col("_p")
     return two_sided(out, (x > lo) & (p <= lo), (x < hi) & (p >= hi))
 
@@ -173,7 +170,7 @@ def agulhada(bars: DataFrame, tol_bars: int = 1, fast: int = 3, mid: int = 8, sl
 def adx_confirm(bars: DataFrame, n: int = 8, threshold: float = 32.0) -> DataFrame:
     """ADX above the threshold and rising, with the directional lines agreeing."""
     out = rolling(I.adx(bars, n), 1, {"_p": lag("adx")})
-    base = (F.col("adx") > threshold) & (F.col("adx") > F.col("_p"))
+    base = (F.col("adx") > threshold) & (F.col("adx") - F.col("_p") > NOISE * 100)
     return out.withColumn("long_ok", known(base & (F.col("plus_di") > F.col("minus_di")))).withColumn(
         "short_ok", known(base & (F.col("minus_di") > F.col("plus_di")))
     )
@@ -229,14 +226,7 @@ def fffd(bars: DataFrame, dev: float = 2.0, strict: bool = False, window: int =
 
 def midband_exits(bars: DataFrame, window: int = 20) -> DataFrame:
     """Closes crossing the middle of the band: dir 1 ends longs, -1 ends shorts."""
-    out = rolling(
-        bars,
-        window + 1,
-        {"mid": full_avg("close", window)},
-        {"_d": lambda w: F.col("close") - F.col("mid")},
-        {"_dp": lag("_d")},
-    )
-    return two_sided(out, cross_up(F.col("_d"), F.col("_dp")), cross_down(F.col("_d"), F.col("_dp")))
+    return crosses(bars, F.col("close") - F.col("mid"), Step(window, {"mid": full_avg("close", window)}))
 
 
 def delayed(events: DataFrame, bars: DataFrame, delay: int = 1) -> DataFrame:

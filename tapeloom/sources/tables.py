@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.columns import add_tf
 from tapeloom.operators.bars import number_bars, tick_bars
-from tapeloom.session import prepare
+from tapeloom.session import prepare, scratch_path, shared_dir
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,8 +29,18 @@ def bars(spark: SparkSession, sf: str, tf: str, symbol: str = "event_type") -> D
     return tick_bars(ticks(spark, sf, symbol), tf)
 
 
+_LAKE: dict[tuple[str, ...], str] = {}
+
+
 def numbered(spark: SparkSession, sf: str, tf: str, symbol: str = "event_type") -> DataFrame:
-    return number_bars(bars(spark, sf, tf, symbol))
+    """The numbered bar table of a timeframe: written to the shared folder once per application, then
+    read by everything downstream, as a bar lake would be."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark), sf, tf, symbol)
+    if key not in _LAKE:
+        path = scratch_path(spark, f"bars-{tf}")
+        number_bars(bars(spark, sf, tf, symbol)).write.parquet(path)
+        _LAKE[key] = path
+    return spark.read.parquet(_LAKE[key])
 
 
 def trades(spark: SparkSession, sf: str) -> DataFrame:
