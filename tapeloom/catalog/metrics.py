@@ -284,7 +284,7 @@ LEDGER_TIE = ", ".join(["entry_ts", *TIE])
 def compound_ledger(spark, sf):
     """Stake before each trade when every result is reinvested, in log form."""
     t = prefix_scan(
-        trades(spark, sf), ["symbol"], ["entry_ts", *TIE], time_bucket("entry_ts", 365 * DAY),
+        trades(spark, sf), ["symbol"], ["entry_ts", *TIE], time_bucket("entry_ts", 30 * DAY),
         {"log_stake": ("sum", F.log1p("ret"))}, inclusive=False,
     )
     return t.select(
