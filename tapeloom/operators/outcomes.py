@@ -26,8 +26,9 @@ def breakout_entries(
     validity: int = 2,
     same_session: bool = False,
     tz: str = NEW_YORK,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Fire an armed level on the first bar that breaks it.
+    """Fire an armed level on the first bar that breaks it; ``by`` names configuration columns.
 
     A signal lives from its activation bar to its expiry, cut short by the next signal of the same
     side; so lives of one side never overlap and the first break inside each life is the answer.
@@ -41,13 +42,13 @@ def breakout_entries(
         armed = _within_session(armed, bars, tz)
     # signals activating on one bar: the latest one stays armed
     armed = (
-        armed.groupBy("symbol", "dir", "act")
+        armed.groupBy("symbol", *by, "dir", "act")
         .agg(F.max_by(F.struct("ts", "trigger", "stop", "exp"), "ts").alias("s"))
-        .select("symbol", "dir", "act", "s.*")
+        .select("symbol", *by, "dir", "act", "s.*")
     )
-    ranked = number_rows(armed, ["symbol", "dir"], ["act"], F.floor(F.col("act") / F.lit(CHUNK)), "_k")
+    ranked = number_rows(armed, ["symbol", *by, "dir"], ["act"], F.floor(F.col("act") / F.lit(CHUNK)), "_k")
     lives = rolling(
-        ranked, 0, {"_next": lambda w: F.lead("act").over(w)}, ahead=1, keys=["symbol", "dir"], seq="_k"
+        ranked, 0, {"_next": lambda w: F.lead("act").over(w)}, ahead=1, keys=["symbol", *by, "dir"], seq="_k"
     )
     lives = lives.withColumn("_end", F.least(F.col("exp"), F.coalesce(F.col("_next") - 1, F.col("exp"))))
     path = bars.select("symbol", "bar_no", F.col("ts").alias("bar_ts"), "open", "high", "low")
@@ -55,7 +56,7 @@ def breakout_entries(
     broke = F.when(F.col("dir") == 1, F.col("high") > F.col("trigger")).otherwise(F.col("low") < F.col("trigger"))
     first = (
         hits.where(broke)
-        .groupBy("symbol", "dir", "ts", "trigger", "stop")
+        .groupBy("symbol", *by, "dir", "ts", "trigger", "stop")
         .agg(F.min_by(F.struct("bar_no", "bar_ts", "open"), "bar_no").alias("b"))
     )
     price = F.when(F.col("dir") == 1, F.greatest("b.open", "trigger")).otherwise(F.least("b.open", "trigger"))
@@ -64,6 +65,7 @@ def breakout_entries(
         .withColumn("stop_pct", div((F.col("price") - F.col("stop")) * F.col("dir"), F.col("price")))
         .select(
             "symbol",
+            *by,
             F.col("ts").alias("signal_ts"),
             F.col("b.bar_ts").alias("entry_ts"),
             F.col("b.bar_no").alias("entry_no"),
