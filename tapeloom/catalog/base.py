@@ -40,7 +40,7 @@ def utc_from_ny(wall: str) -> str:
 
 
 def rd(expr: str, digits: int = 6) -> str:
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(round(({expr}) + 1e-11, {digits}) + 0.0)"
 
 
 def secs(tf: str) -> str:

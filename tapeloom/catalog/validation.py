@@ -106,9 +106,34 @@ def plateau(spark, sf):
     return ma_shown(GR.plateau(s, ["symbol", "sl", "tp"], MA_WINDOWS))
 
 
-@query("mtf_sweep")
+K4 = "symbol, dev, strict"
+MTF = (
+    f"w AS (SELECT *, {full('avg(close)', 20)} AS mid, {full('stddev_pop(close)', 20)} AS sd FROM n1h), "
+    "ab AS (SELECT w.*, dev, coalesce(close > mid + dev * sd, false) AS a, coalesce(close < mid - dev * sd, false) AS b FROM w, (VALUES (1.5::DOUBLE), (2.0::DOUBLE)) q(dev)), "
+    "e AS MATERIALIZED (SELECT *, " + ", ".join(
+        f"coalesce(lag({c}, {k}) OVER (PARTITION BY symbol, dev ORDER BY bar_no), false) AS {c}{k}" for c in "ab" for k in (1, 2)
+    ) + ", lag(low) OVER (PARTITION BY symbol, dev ORDER BY bar_no) AS pl, lag(high) OVER (PARTITION BY symbol, dev ORDER BY bar_no) AS ph FROM ab), "
+    "z AS (SELECT symbol, ts, dev, strict, 1 AS dir, high AS trigger, least(pl, low) AS stop FROM e, (VALUES (true), (false)) q(strict) WHERE b1 AND NOT b AND NOT (strict AND b2) UNION ALL "
+    "SELECT symbol, ts, dev, strict, -1, low, greatest(ph, high) FROM e, (VALUES (true), (false)) q(strict) WHERE a1 AND NOT a AND NOT (strict AND a2)), "
+    "a1 AS (SELECT z.*, b.bar_no AS act FROM (SELECT *, ts + INTERVAL 1 HOUR AS seen FROM z) z ASOF JOIN n15m b ON z.symbol = b.symbol AND z.seen <= b.ts), "
+    "a2 AS (SELECT a1.*, b.bar_no AS last_live FROM (SELECT *, ts + INTERVAL 3 HOUR AS exp_ts FROM a1) a1 ASOF LEFT JOIN n15m b ON a1.symbol = b.symbol AND a1.exp_ts > b.ts), "
+    f"one AS MATERIALIZED (SELECT {K4}, dir, act, max(ts) AS ts, arg_max(trigger, ts) AS trigger, arg_max(stop, ts) AS stop, arg_max(last_live, ts) AS last_live FROM a2 GROUP BY ALL), "
+    "sides AS (SELECT n15m.*, dir, dev, strict FROM n15m, (VALUES (1), (-1)) q(dir), (VALUES (1.5::DOUBLE), (2.0::DOUBLE)) d(dev), (VALUES (true), (false)) t(strict)), "
+    "look AS (SELECT s.*, o.ts AS signal_ts, o.trigger, o.stop, o.last_live FROM sides s ASOF JOIN one o ON s.symbol = o.symbol AND s.dir = o.dir AND s.dev = o.dev AND s.strict = o.strict AND s.bar_no >= o.act), "
+    "fire AS (SELECT * FROM look WHERE bar_no <= last_live AND CASE WHEN dir = 1 THEN high > trigger ELSE low < trigger END), "
+    f"ent AS MATERIALIZED (SELECT {K4}, dir, signal_ts, min(bar_no) AS entry_no, arg_min(CASE WHEN dir = 1 THEN greatest(open, trigger) ELSE least(open, trigger) END, bar_no) AS price, any_value(stop) AS sl FROM fire GROUP BY {K4}, dir, signal_ts), "
+    "e2 AS (SELECT ent.*, target, price + dir * abs(price - sl) * k AS tp FROM ent, (VALUES ('r1', 1), ('r2', 2)) q(target, k)), "
+    "wk AS (SELECT e2.*, b.bar_no, b.open, b.close, CASE WHEN dir = 1 THEN b.low <= sl ELSE b.high >= sl END AS st, CASE WHEN dir = 1 THEN b.high >= tp ELSE b.low <= tp END AS hi "
+    "FROM e2 JOIN n15m b ON b.symbol = e2.symbol AND b.bar_no BETWEEN entry_no + 1 AND entry_no + 48), "
+    f"ex AS (SELECT {K4}, target, dir, signal_ts, any_value(price) AS price, arg_min(CASE WHEN st THEN CASE WHEN dir = 1 THEN least(open, sl) ELSE greatest(open, sl) END "
+    f"WHEN hi THEN CASE WHEN dir = 1 THEN greatest(open, tp) ELSE least(open, tp) END ELSE close END, bar_no) AS px FROM wk WHERE st OR hi OR bar_no = entry_no + 48 GROUP BY {K4}, target, dir, signal_ts), "
+    f"f AS (SELECT {K4}, target, dir * (px / price - 1) AS ret FROM ex)"
+)
+
+
+@query("mtf_sweep", sql("n1h n15m", MTF, f"SELECT {K4}, target, {GROUP_COLS} FROM f GROUP BY {K4}, target"))
 def mtf_sweep(spark, sf):
-    """Band-fade grid on 1h setups and 15min execution; the tests hold it against a bar-by-bar loop."""
+    """Band-fade grid on 1h setups and 15min execution."""
     t = GR.fade_sweep(
         numbered(spark, sf, "1h"), numbered(spark, sf, "15min"), "1h", [1.5, 2.0], {"r1": 1.0, "r2": 2.0}, 48
     )
@@ -500,12 +525,13 @@ BOOT = (
     "cn AS (SELECT cfg, any_value(n) AS n FROM dn GROUP BY 1 HAVING any_value(n) >= 10), "
     f"st AS (SELECT cfg, n, sim, slot, (1103515245 * (sim * 1000003 + slot * 7919 + 12345) + 12345) % 2147483648 % n AS s FROM cn, (SELECT unnest(range(0, {SIMS})) AS sim), "
     "(SELECT unnest(range(0, 2000)) AS slot) WHERE slot < n // 5 + 40), "
-    "ln AS (SELECT *, least(5, n - s) AS len, coalesce(sum(least(5, n - s)) OVER (PARTITION BY cfg, sim ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM st), "
-    "sq AS (SELECT ln.cfg, sim, o + k AS pos, pnl FROM ln, (SELECT unnest(range(0, 5)) AS k) JOIN dn ON dn.cfg = ln.cfg AND dn.d = s + k WHERE k < len AND o + k < ln.n), "
+    "ln AS MATERIALIZED (SELECT *, least(5, n - s) AS len, coalesce(sum(least(5, n - s)) OVER (PARTITION BY cfg, sim ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM st), "
+    "lk AS MATERIALIZED (SELECT cfg, sim, o + k AS pos, s + k AS d FROM ln CROSS JOIN (SELECT unnest(range(0, 5)) AS k) WHERE k < len AND o + k < n), "
+    "sq AS MATERIALIZED (SELECT cfg, sim, pos, pnl FROM lk JOIN dn USING (cfg, d)), "
     "cm AS (SELECT *, sum(pnl) OVER (PARTITION BY cfg, sim ORDER BY pos) AS c FROM sq), "
     "pk AS (SELECT *, greatest(0, max(c) OVER (PARTITION BY cfg, sim ORDER BY pos)) AS p FROM cm), "
     "pt AS MATERIALIZED (SELECT cfg, sim, sum(pnl) AS total, least(0, min(c - p)) AS dd FROM pk GROUP BY 1, 2)"
-).replace("FROM ln, (SELECT unnest(range(0, 5)) AS k) JOIN dn", "FROM ln CROSS JOIN (SELECT unnest(range(0, 5)) AS k) JOIN dn")
+)
 QS = [("total", "p05_total", 0.05), ("total", "p50_total", 0.5), ("total", "p95_total", 0.95), ("dd", "p05_dd", 0.05), ("dd", "p50_dd", 0.5)]
 
 

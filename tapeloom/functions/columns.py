@@ -47,8 +47,9 @@ def div(a: Column, b: Column) -> Column:
 
 
 def r(col: Column, digits: int = 6) -> Column:
-    """Round at the report edge; adding zero removes negative zero."""
-    return F.round(col, digits) + F.lit(0.0)
+    """Round at the report edge. The nudge sends exact halves up whatever their last bit; adding zero
+    removes negative zero."""
+    return F.round(col + F.lit(1e-11), digits) + F.lit(0.0)
 
 
 def local(ts: Column, tz: str = NEW_YORK) -> Column:

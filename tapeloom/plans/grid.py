@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tapeloom.functions.columns import known
 from tapeloom.operators import metrics as M
 from tapeloom.operators import outcomes as O
-from tapeloom.operators import signals as S
 from tapeloom.operators.asof import activate
+from tapeloom.operators.indicators import band_stage
 from tapeloom.operators.series import full_avg, rolling
 
 # Setup timeframe -> execution timeframes.
@@ -162,13 +162,49 @@ def plateau(stats: DataFrame, group: Sequence[str], windows: Sequence[int], min_
     return ok.drop("_fi", "_si").orderBy(F.desc("profit_factor"), *group, "fast", "slow").limit(top)
 
 
+def fade_events(setup: DataFrame, devs: Sequence[float], window: int = 20) -> DataFrame:
+    """Band re-entry signals of every (dev, strict) in one pass: the band is computed once."""
+    outside, before = {}, {}
+    for i, dev in enumerate(devs):
+        hi, lo = F.col("mid") + dev * F.col("_sd"), F.col("mid") - dev * F.col("_sd")
+        outside |= {
+            f"_a{i}": lambda w, x=hi: known(F.col("close") > x),
+            f"_b{i}": lambda w, x=lo: known(F.col("close") < x),
+        }
+        for side, k in itertools.product("ab", (1, 2)):
+            before[f"_{side}{i}_{k}"] = lambda w, c=f"_{side}{i}", k=k: F.coalesce(F.lag(c, k).over(w), F.lit(False))
+    out = rolling(
+        setup,
+        window + 2,
+        band_stage(window),
+        outside,
+        before | {"_pl": lambda w: F.lag("low").over(w), "_ph": lambda w: F.lag("high").over(w)},
+    )
+    rows = []
+    for (i, dev), strict, (side, sign) in itertools.product(enumerate(devs), (True, False), (("b", 1), ("a", -1))):
+        cond = F.col(f"_{side}{i}_1") & ~F.col(f"_{side}{i}")
+        if strict:
+            cond = cond & ~F.col(f"_{side}{i}_2")
+        trigger, stop = ("high", F.least("_pl", "low")) if sign == 1 else ("low", F.greatest("_ph", "high"))
+        rows.append(
+            F.when(
+                cond,
+                F.struct(
+                    F.lit(dev).alias("dev"),
+                    F.lit(strict).alias("strict"),
+                    F.lit(sign).alias("dir"),
+                    F.col(trigger).alias("trigger"),
+                    stop.alias("stop"),
+                ),
+            )
+        )
+    fired = out.withColumn("_e", F.explode(F.array_compact(F.array(*rows))))
+    return fired.select("symbol", "ts", "bar_no", "_e.*")
+
+
 def fade_sweep(setup: DataFrame, bars: DataFrame, setup_tf: str, devs: Sequence[float], targets: dict[str, float], max_bars: int) -> DataFrame:
     """Trades of the band-fade grid: signals once per (dev, strict), outcomes per target multiple."""
-    found = None
-    for dev in devs:
-        for strict in (True, False):
-            part = S.fffd(setup, dev, strict).withColumns({"dev": F.lit(dev), "strict": F.lit(strict)})
-            found = part if found is None else found.unionByName(part)
+    found = fade_events(setup, devs)
     entries = O.breakout_entries(found, bars, setup_tf, by=["dev", "strict"])
     each = cross_with(
         entries, F.array(*[F.struct(F.lit(t).alias("target"), F.lit(k).alias("k")) for t, k in targets.items()])
