@@ -48,11 +48,26 @@ def asof_many(
         merged = merged.unionByName(
             place(values, value_ts, value_side, v, payload), allowMissingColumns=True
         )
+    # one aggregate per column keeps the partial aggregation hash-based
+    newest = []
+    for v, (_, _, cols) in zip(names, sides):
+        at = F.when(F.col(v).isNotNull(), F.col("_t"))
+        newest.append(F.max(at).alias(f"_t{v}"))
+        newest += [F.max_by(F.col(v)[n], at).alias(f"{v}_{i}") for i, n in enumerate(cols.values())]
+    rows = [
+        F.when(
+            F.col(f"_t{v}").isNotNull(),
+            F.struct(*[F.col(f"{v}_{i}").alias(n) for i, n in enumerate(cols.values())]),
+        )
+        for v, (_, _, cols) in zip(names, sides)
+    ]
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         merged.groupBy(*keys, "_b")
-        .agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("_t"))).alias(v) for v in names])
-        .select(*keys, "_b", *[F.last(v, ignorenulls=True).over(before).alias(f"_c{v}") for v in names])
+        .agg(*newest)
+        .select(
+            *keys, "_b", *[F.last(x, ignorenulls=True).over(before).alias(f"_c{v}") for v, x in zip(names, rows)]
+        )
     )
     inside = (
         Window.partitionBy(*keys, "_b")
@@ -132,27 +147,25 @@ def span_join(
     hi: Column,
     seq: str,
     width: int,
+    how: str = "inner",
 ) -> DataFrame:
     """Join every left row to the right rows with lo <= seq <= hi.
 
     Spans become one row per ``width``-row bucket they touch, so the join is an equality join on
-    (key, bucket) followed by a filter, never a nested loop.
+    (key, bucket) with a range condition, never a nested loop. ``how="left"`` keeps spans without a
+    match, once per touched bucket.
     """
     keys = list(keys)
+    first, last = F.floor(F.col("_lo") / F.lit(width)), F.floor(F.col("_hi") / F.lit(width))
     spread = (
         left.withColumn("_lo", lo)
         .withColumn("_hi", hi)
         .where(F.col("_hi") >= F.col("_lo"))
-        .withColumn(
-            "_bk",
-            F.explode(
-                F.sequence(F.floor(F.col("_lo") / F.lit(width)), F.floor(F.col("_hi") / F.lit(width)))
-            ),
-        )
-    )
-    bucketed = right.withColumn("_bk", F.floor(F.col(seq) / F.lit(width)))
-    return (
-        spread.join(bucketed, [*keys, "_bk"])
-        .where(F.col(seq).between(F.col("_lo"), F.col("_hi")))
-        .drop("_bk", "_lo", "_hi")
+        .withColumn("_bk", F.explode(F.sequence(first, last)))
+        .alias("l")
     )
+    bucketed = right.withColumn("_bk", F.floor(F.col(seq) / F.lit(width))).alias("r")
+    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in (*keys, "_bk")]
+    on.append(F.col(f"r.{seq}").between(F.col("l._lo"), F.col("l._hi")))
+    kept = [F.col(f"l.{c}") for c in left.columns] + [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    return spread.join(bucketed, on, how).select(*kept)

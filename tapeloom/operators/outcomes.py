@@ -10,11 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.columns import NEW_YORK, add_tf, div, known, local_day
-from tapeloom.operators.asof import activate, asof, span_join
-from tapeloom.operators.series import CHUNK, number_rows, rolling
+from tapeloom.functions.columns import NEW_YORK, add_tf, div, known, local_day, tf_seconds
+from tapeloom.operators.asof import asof, span_join
+from tapeloom.operators.series import number_rows, rolling
+from tapeloom.session import stage
 
 SPAN = 64
+MIN_BAR_SECONDS = 60
+REASONS = ["stop", "target", "band", "opposite", "eod", "time", "trail"]
 SLIPPAGE_BACKTEST = 1e-4
 SLIPPAGE_PAPER = 5e-4
 
@@ -33,33 +36,30 @@ def breakout_entries(
     A signal lives from its activation bar to its expiry, cut short by the next signal of the same
     side; so lives of one side never overlap and the first break inside each life is the answer.
     """
-    armed = activate(events.drop("bar_no"), bars, setup_tf, {"bar_no": "act", "ts": "act_ts"})
-    armed = armed.withColumn("_exp_ts", add_tf(F.col("ts"), setup_tf, validity + 1))
-    armed = asof(
-        armed, bars, probe_ts="_exp_ts", cols={"bar_no": "exp"}, allow_equal=False
-    ).drop("_exp_ts")
-    if same_session:
-        armed = _within_session(armed, bars, tz)
+    armed = _arm(events.select("symbol", *by, "ts", "dir", "trigger", "stop"), bars, setup_tf, validity, same_session, by, tz)
     # signals activating on one bar: the latest one stays armed
-    armed = (
-        armed.groupBy("symbol", *by, "dir", "act")
-        .agg(F.max_by(F.struct("ts", "trigger", "stop", "exp"), "ts").alias("s"))
-        .select("symbol", *by, "dir", "act", "s.*")
+    armed = armed.groupBy("symbol", *by, "dir", "act").agg(
+        *[F.max_by(c, "ts").alias(c) for c in ("trigger", "stop", "exp")], F.max("ts").alias("ts")
     )
-    ranked = number_rows(armed, ["symbol", *by, "dir"], ["act"], F.floor(F.col("act") / F.lit(CHUNK)), "_k")
+    # a successor beyond the longest possible life cannot cut it short
+    longest = (validity + 1) * tf_seconds(setup_tf) // MIN_BAR_SECONDS
     lives = rolling(
-        ranked, 0, {"_next": lambda w: F.lead("act").over(w)}, ahead=1, keys=["symbol", *by, "dir"], seq="_k"
+        armed, 0, {"_next": lambda w: F.lead("act").over(w)}, ahead=longest, keys=["symbol", *by, "dir"], seq="act"
     )
     lives = lives.withColumn("_end", F.least(F.col("exp"), F.coalesce(F.col("_next") - 1, F.col("exp"))))
     path = bars.select("symbol", "bar_no", F.col("ts").alias("bar_ts"), "open", "high", "low")
-    hits = span_join(lives.drop("_k", "_next"), path, ["symbol"], F.col("act"), F.col("_end"), "bar_no", SPAN)
+    hits = span_join(lives.drop("_next"), path, ["symbol"], F.col("act"), F.col("_end"), "bar_no", SPAN)
     broke = F.when(F.col("dir") == 1, F.col("high") > F.col("trigger")).otherwise(F.col("low") < F.col("trigger"))
     first = (
         hits.where(broke)
         .groupBy("symbol", *by, "dir", "ts", "trigger", "stop")
-        .agg(F.min_by(F.struct("bar_no", "bar_ts", "open"), "bar_no").alias("b"))
+        .agg(
+            F.min("bar_no").alias("entry_no"),
+            F.min_by("bar_ts", "bar_no").alias("entry_ts"),
+            F.min_by("open", "bar_no").alias("_open"),
+        )
     )
-    price = F.when(F.col("dir") == 1, F.greatest("b.open", "trigger")).otherwise(F.least("b.open", "trigger"))
+    price = F.when(F.col("dir") == 1, F.greatest("_open", "trigger")).otherwise(F.least("_open", "trigger"))
     return (
         first.withColumn("price", price)
         .withColumn("stop_pct", div((F.col("price") - F.col("stop")) * F.col("dir"), F.col("price")))
@@ -67,8 +67,8 @@ def breakout_entries(
             "symbol",
             *by,
             F.col("ts").alias("signal_ts"),
-            F.col("b.bar_ts").alias("entry_ts"),
-            F.col("b.bar_no").alias("entry_no"),
+            "entry_ts",
+            "entry_no",
             "dir",
             "price",
             "stop",
@@ -77,18 +77,54 @@ def breakout_entries(
     )
 
 
-def _within_session(armed: DataFrame, bars: DataFrame, tz: str) -> DataFrame:
-    """Signal candle and activation share a session; the life ends with that session."""
+def _arm(
+    events: DataFrame, bars: DataFrame, setup_tf: str, validity: int, same_session: bool, by: Sequence[str], tz: str
+) -> DataFrame:
+    """First (``act``) and last (``exp``) execution bar of each signal's life.
+
+    Activation, expiry and the signal candle itself are probes of one forward as-of pass. With
+    ``same_session`` the candle and the activation share a session and the life ends with it.
+    """
+    probes = [
+        F.struct(F.lit("act").alias("what"), add_tf(F.col("ts"), setup_tf).alias("at")),
+        F.struct(F.lit("exp").alias("what"), add_tf(F.col("ts"), setup_tf, validity + 1).alias("at")),
+    ]
+    if same_session:
+        probes.append(F.struct(F.lit("sig").alias("what"), F.col("ts").alias("at")))
     tagged = bars.withColumn("_day", local_day(F.col("ts"), tz))
-    last = tagged.groupBy("symbol", "_day").agg(F.max("bar_no").alias("_last"))
-    with_sig = asof(armed, tagged, cols={"_day": "_sig_day"}, direction="forward")
-    return (
-        with_sig.withColumn("_day", local_day(F.col("act_ts"), tz))
-        .where(F.col("_day") == F.col("_sig_day"))
-        .join(last, ["symbol", "_day"])
-        .withColumn("exp", F.least("exp", "_last"))
-        .drop("_day", "_sig_day", "_last")
+    found = asof(
+        events.withColumn("_p", F.explode(F.array(*probes))).select("*", "_p.what", "_p.at").drop("_p"),
+        tagged,
+        probe_ts="at",
+        cols={"bar_no": "_no", "_day": "_day"},
+        direction="forward",
+    )
+
+    def of(what: str, col: str) -> Column:
+        return F.max(F.when(F.col("what") == what, F.col(col)))
+
+    ids = ["symbol", *by, "ts", "dir", "trigger", "stop"]
+    last = bars.groupBy("symbol").agg(F.max("bar_no").alias("_last"))
+    armed = (
+        found.groupBy(*ids)
+        .agg(
+            of("act", "_no").alias("act"),
+            of("exp", "_no").alias("_after"),
+            of("act", "_day").alias("_day"),
+            of("sig", "_day").alias("_sig_day"),
+        )
+        .where(F.col("act").isNotNull())
+        .join(last, "symbol")
+        .withColumn("exp", F.coalesce(F.col("_after") - 1, F.col("_last")))
     )
+    if same_session:
+        ends = tagged.groupBy("symbol", "_day").agg(F.max("bar_no").alias("_end"))
+        armed = (
+            armed.where(F.col("_day") == F.col("_sig_day"))
+            .join(ends, ["symbol", "_day"])
+            .withColumn("exp", F.least("exp", "_end"))
+        )
+    return armed.select(*ids, "act", "exp")
 
 
 def fill_price(entries: DataFrame, bars: DataFrame) -> DataFrame:
@@ -124,7 +160,6 @@ def barrier_outcomes(
     entries: DataFrame,
     bars: DataFrame,
     max_bars: int,
-    ids: Sequence[str] = ("symbol", "entry_no", "dir"),
     first_bar: int = 1,
     flags: DataFrame | None = None,
 ) -> DataFrame:
@@ -132,7 +167,7 @@ def barrier_outcomes(
 
     A stop wins over a target on one bar, and a gap through a level fills at the open. ``flags`` may
     add per-bar columns: ``opposite`` (side of a fresh opposite signal), ``eod`` (flat at the close),
-    ``band_long``/``band_short`` (moving target levels). ``ids`` must identify an entry.
+    ``band_long``/``band_short`` (moving target levels). Entry rows are distinct.
     """
     path = bars.select("symbol", "bar_no", F.col("ts").alias("bar_ts"), "open", "high", "low", "close")
     extra = []
@@ -147,46 +182,50 @@ def barrier_outcomes(
         F.col("entry_no") + max_bars,
         "bar_no",
         max(SPAN, max_bars),
+        "left",
     )
     is_long = F.col("dir") == 1
     sl, tp = F.col("sl_level"), F.col("tp_level")
     stop = known(F.when(is_long, F.col("low") <= sl).otherwise(F.col("high") >= sl))
     target = known(F.when(is_long, F.col("high") >= tp).otherwise(F.col("low") <= tp))
-    reason = F.when(stop, "stop").when(target, "target")
+    code = F.when(stop, 0).when(target, 1)
     price = F.when(stop, F.when(is_long, F.least("open", sl)).otherwise(F.greatest("open", sl))).when(
         target, F.when(is_long, F.greatest("open", tp)).otherwise(F.least("open", tp))
     )
     if "band_long" in extra:
         band = F.when(is_long, F.col("band_long")).otherwise(F.col("band_short"))
         touched = known(F.when(is_long, F.col("high") >= band).otherwise(F.col("low") <= band))
-        reason = reason.when(touched, "band")
+        code = code.when(touched, 2)
         price = price.when(touched, band_fill(band))
     if "opposite" in extra:
         turned = known(F.col("opposite") == -F.col("dir"))
-        reason = reason.when(turned, "opposite")
+        code = code.when(turned, 3)
         price = price.when(turned, F.col("open"))
     if "eod" in extra:
-        reason = reason.when(known(F.col("eod")), "eod")
+        code = code.when(known(F.col("eod")), 4)
         price = price.when(known(F.col("eod")), F.col("close"))
     timed = F.col("bar_no") == F.col("entry_no") + max_bars
-    reason = reason.when(timed, "time")
-    price = price.when(timed, F.col("close"))
-    exits = (
-        walk.withColumn("_reason", reason)
-        .withColumn("_price", price)
-        .where(F.col("_reason").isNotNull())
-        .groupBy(*ids)
-        .agg(F.min_by(F.struct("bar_no", "bar_ts", "_price", "_reason"), "bar_no").alias("x"))
-        .select(
-            *ids,
-            F.col("x.bar_no").alias("exit_no"),
-            F.col("x.bar_ts").alias("exit_ts"),
-            F.col("x._price").alias("exit_price"),
-            F.col("x._reason").alias("exit_reason"),
+    walk = walk.withColumn("_code", code.when(timed, 5)).withColumn("_price", price.when(timed, F.col("close")))
+    return _first_exit(walk, entries.columns)
+
+
+def _first_exit(walk: DataFrame, entry_cols: Sequence[str]) -> DataFrame:
+    """Earliest touch per entry; entries without one stay open. ``_code`` indexes ``REASONS``.
+
+    The entry's own columns are the grouping key, so nothing is joined back.
+    """
+    at = F.when(F.col("_code").isNotNull(), F.col("bar_no"))
+    return (
+        walk.groupBy(*entry_cols)
+        .agg(
+            F.min(at).alias("exit_no"),
+            F.min_by("bar_ts", at).alias("exit_ts"),
+            F.min_by("_price", at).alias("exit_price"),
+            F.min_by("_code", at).alias("_code"),
         )
-    )
-    return entries.join(exits, list(ids), "left").withColumn(
-        "ret", F.col("dir") * (div(F.col("exit_price"), F.col("price")) - 1)
+        .withColumn("exit_reason", F.coalesce(*[F.when(F.col("_code") == i, x) for i, x in enumerate(REASONS)]))
+        .withColumn("ret", F.col("dir") * (div(F.col("exit_price"), F.col("price")) - 1))
+        .drop("_code")
     )
 
 
@@ -206,7 +245,14 @@ def trailing_outcomes(
     path = bars.select("symbol", "bar_no", F.col("ts").alias("bar_ts"), "open", "high", "low", "close")
     d = F.lit(distance) if isinstance(distance, (int, float)) else distance
     walk = span_join(
-        entries.withColumn("_d", d), path, ["symbol"], F.col("entry_no") + 1, F.col("entry_no") + max_bars, "bar_no", max(SPAN, max_bars)
+        entries.withColumn("_d", d),
+        path,
+        ["symbol"],
+        F.col("entry_no") + 1,
+        F.col("entry_no") + max_bars,
+        "bar_no",
+        max(SPAN, max_bars),
+        "left",
     )
     before = Window.partitionBy(*ids).orderBy("bar_no").rowsBetween(Window.unboundedPreceding, -1)
     is_long = F.col("dir") == 1
@@ -217,31 +263,10 @@ def trailing_outcomes(
     hit = F.when(is_long, F.col("low") <= F.col("_level")).otherwise(F.col("high") >= F.col("_level"))
     fill = F.when(is_long, F.least("open", "_level")).otherwise(F.greatest("open", "_level"))
     timed = F.col("bar_no") == F.col("entry_no") + max_bars
-    exits = (
-        out.where(hit | timed)
-        .groupBy(*ids)
-        .agg(
-            F.min_by(
-                F.struct(
-                    "bar_no",
-                    "bar_ts",
-                    F.when(hit, fill).otherwise(F.col("close")).alias("p"),
-                    F.when(hit, "trail").otherwise("time").alias("r"),
-                ),
-                "bar_no",
-            ).alias("x")
-        )
-        .select(
-            *ids,
-            F.col("x.bar_no").alias("exit_no"),
-            F.col("x.bar_ts").alias("exit_ts"),
-            F.col("x.p").alias("exit_price"),
-            F.col("x.r").alias("exit_reason"),
-        )
-    )
-    return entries.join(exits, list(ids), "left").withColumn(
-        "ret", F.col("dir") * (div(F.col("exit_price"), F.col("price")) - 1)
+    out = out.withColumn("_code", F.when(known(hit), 6).when(timed, 5)).withColumn(
+        "_price", F.when(known(hit), fill).otherwise(F.col("close"))
     )
+    return _first_exit(out, entries.columns)
 
 
 def time_exits(entries: DataFrame, bars: DataFrame, n: int) -> DataFrame:
@@ -292,7 +317,7 @@ def non_overlapping(
     keys = list(keys)
     order = [entry, *tie]
     bucket = F.floor(F.unix_micros(entry) / F.lit(bucket_seconds * 1_000_000))
-    numbered = number_rows(trades, keys, order, bucket, "_no")
+    numbered = stage(number_rows(trades, keys, order, bucket, "_no"), "numbered")
     firsts = numbered.groupBy(*keys, entry).agg(F.min("_no").alias("_next"))
     slim = numbered.select(*keys, "_no", exit_)
     linked = asof(slim, firsts, keys, exit_, entry, {"_next": "_next"}, direction="forward", width=bucket_seconds)
@@ -300,6 +325,7 @@ def non_overlapping(
     linked = linked.withColumn(
         "_next", F.when(F.col("_next").isNotNull(), F.greatest(F.col("_next"), F.col("_no") + 1))
     ).select(*keys, "_no", "_next", F.floor(F.col("_no") / F.lit(chunk)).alias("_b"))
+    linked = stage(linked, "linked")
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trades.select(*keys).schema)
 
     def leave(batch: pd.DataFrame) -> pd.DataFrame:
@@ -311,7 +337,9 @@ def non_overlapping(
                 out[i] = out[int(nxt[i] - no[0])]
         return batch[keys].assign(_no=no, _out=out)
 
-    exits = linked.groupBy(*keys, "_b").applyInPandas(leave, f"{key_schema}, _no bigint, _out double")
+    exits = stage(
+        linked.groupBy(*keys, "_b").applyInPandas(leave, f"{key_schema}, _no bigint, _out double"), "leaving"
+    )
     # only trades some earlier chunk can lead to, plus the very first, matter between chunks
     targets = (
         exits.where(F.col("_out").isNotNull() & ~F.isnan("_out"))

@@ -35,7 +35,7 @@ def open_positions(trades: DataFrame, keys: Sequence[str], size: Column) -> Data
         change,
         keys,
         ["ts"],
-        time_bucket("ts", 90 * DAY),
+        time_bucket("ts", DAY),
         {"open_count": ("sum", F.col("n")), "capital": ("sum", F.col("cap"))},
     )
     return run.where(F.col("entered") > 0).select(*keys, "ts", "open_count", "capital", "entered")

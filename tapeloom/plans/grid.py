@@ -114,8 +114,7 @@ def ma_sweep(bars: DataFrame, tf: str, windows: Sequence[int], exits: Sequence[t
     events = hit.select("symbol", "fast", "slow", "dir", "entry_no").distinct()
     priced = O.fill_price(events.withColumn("price", F.lit(None).cast("double")), bars)
     each = cross_with(priced, F.array(*[F.struct(F.lit(a).alias("sl"), F.lit(b).alias("tp")) for a, b in exits]))
-    ids = ["symbol", "fast", "slow", "sl", "tp", "entry_no", "dir"]
-    done = O.barrier_outcomes(O.with_barriers(each, F.col("sl"), F.col("tp")), bars, max_bars, ids=ids)
+    done = O.barrier_outcomes(O.with_barriers(each, F.col("sl"), F.col("tp")), bars, max_bars)
     ret = F.col("ret")
     return (
         done.where(ret.isNotNull())
@@ -212,5 +211,4 @@ def fade_sweep(setup: DataFrame, bars: DataFrame, setup_tf: str, devs: Sequence[
     each = each.withColumn("sl_level", F.col("stop")).withColumn(
         "tp_level", F.col("price") + F.col("dir") * F.abs(F.col("price") - F.col("stop")) * F.col("k")
     )
-    ids = ["symbol", "dev", "strict", "target", "signal_ts", "dir"]
-    return O.barrier_outcomes(each, bars, max_bars, ids=ids)
+    return O.barrier_outcomes(each, bars, max_bars)
