@@ -217,9 +217,8 @@ KEY = ["symbol"]
 
 def wf_parts(spark, sf):
     t = trades(spark, sf)
-    placed = V.fold_trades(t, KEY)
-    stats = stage(V.fold_stats(placed, KEY, "cfg"), "fold-stats")
-    return t, placed, V.select_winners(stats, KEY, "cfg", 4)
+    stats = stage(V.fold_stats(t, KEY, "cfg"), "fold-stats")
+    return t, V.select_winners(stats, KEY, "cfg", 4)
 
 
 @query("make_folds", sql("trades", FOLDS.format(k="symbol"), "SELECT symbol, CAST(fold AS BIGINT) AS fold, train_start, train_end, test_end FROM fo"))
@@ -238,14 +237,14 @@ def fold_trades(spark, sf):
 
 @query("wf_select", sql("trades", *WF, f"SELECT symbol, CAST(fold AS BIGINT) AS fold, winner, train_n, {rd('train_pf')} AS train_pf, test_n, {rd('test_pf')} AS test_pf FROM wn"))
 def wf_select(spark, sf):
-    _, _, w = wf_parts(spark, sf)
+    _, w = wf_parts(spark, sf)
     return w.select("symbol", "fold", "winner", "train_n", r(F.col("train_pf")).alias("train_pf"), "test_n", r(F.col("test_pf")).alias("test_pf"))
 
 
 @query("wf_summary", sql("trades", *WF,
        "SELECT symbol, count(*) AS folds_total, count(winner) AS folds_with_winner, count(DISTINCT winner) AS distinct_winners FROM fo LEFT JOIN wn USING (symbol, fold) GROUP BY 1"))
 def wf_summary(spark, sf):
-    t, _, w = wf_parts(spark, sf)
+    t, w = wf_parts(spark, sf)
     won = w.groupBy("symbol", "winner").agg(F.count(F.lit(1)).alias("n")).groupBy("symbol").agg(
         F.sum("n").alias("folds_with_winner"), F.count(F.lit(1)).alias("distinct_winners")
     )
@@ -260,8 +259,8 @@ def wf_summary(spark, sf):
        f"SELECT 'ALL' AS symbol, {OOS_COLS} FROM oo UNION ALL SELECT CAST(symbol AS VARCHAR), {OOS_COLS} FROM oo GROUP BY symbol"))
 def wf_portfolio(spark, sf):
     """Out-of-sample record per symbol and pooled over all of them."""
-    _, placed, w = wf_parts(spark, sf)
-    oos = V.stitched(placed, w, KEY, "cfg").withColumn("symbol", F.col("symbol").cast("string"))
+    t, w = wf_parts(spark, sf)
+    oos = V.stitched(t, w, KEY, "cfg").withColumn("symbol", F.col("symbol").cast("string"))
     g = oos.groupingSets([[], ["symbol"]], "symbol").agg(*oos_columns(F.col("ret")))
     return g.withColumn("symbol", F.coalesce("symbol", F.lit("ALL")))
 
@@ -271,10 +270,10 @@ def wf_portfolio(spark, sf):
        f"SELECT 'adaptive' AS variant, {OOS_COLS} FROM oo UNION ALL SELECT cfg, {OOS_COLS} FROM fx GROUP BY cfg"))
 def wf_variants(spark, sf):
     """Each variant held fixed against picking one per fold."""
-    _, placed, w = wf_parts(spark, sf)
+    t, w = wf_parts(spark, sf)
     ret = F.col("ret")
-    adaptive = V.stitched(placed, w, KEY, "cfg").groupBy(F.lit("adaptive").alias("variant")).agg(*oos_columns(ret))
-    fixed = placed.where("role = 'test'").groupBy(F.col("cfg").alias("variant")).agg(*oos_columns(ret))
+    adaptive = V.stitched(t, w, KEY, "cfg").groupBy(F.lit("adaptive").alias("variant")).agg(*oos_columns(ret))
+    fixed = V.tested_trades(t, KEY).groupBy(F.col("cfg").alias("variant")).agg(*oos_columns(ret))
     return adaptive.unionByName(fixed)
 
 
@@ -282,8 +281,8 @@ def wf_variants(spark, sf):
        f"(SELECT symbol, fee > 0.04 AS high_fee, {pf_sql()} AS pf FROM oo GROUP BY 1, 2) WHERE NOT high_fee GROUP BY 1"))
 def oos_verdict(spark, sf):
     """Best out-of-sample factor of the first fee scenario decides whether a symbol stays on."""
-    _, placed, w = wf_parts(spark, sf)
-    oos = V.stitched(placed, w, KEY, "cfg").withColumn("high_fee", F.col("fee") > 0.04)
+    t, w = wf_parts(spark, sf)
+    oos = V.stitched(t, w, KEY, "cfg").withColumn("high_fee", F.col("fee") > 0.04)
     pf = oos.groupBy("symbol", "high_fee").agg(M.profit_factor(F.col("ret")).alias("pf")).where(~F.col("high_fee"))
     return pf.groupBy("symbol").agg(r(F.max("pf")).alias("best_oos_pf"), (F.max(F.round("pf", 9)) > 1).alias("enabled"))
 
@@ -292,8 +291,8 @@ def oos_verdict(spark, sf):
        f"SELECT symbol, count(*) AS n, {rd('100 * (exp(sum(ln(1 + ret))) - 1)')} AS period_pct FROM oo WHERE entry_ts >= (SELECT max(date_trunc('day', entry_ts)) FROM oo) - INTERVAL 365 DAY GROUP BY 1"))
 def oos_period(spark, sf):
     """Result of the last year of the out-of-sample curve, measured from the newest day of all symbols."""
-    _, placed, w = wf_parts(spark, sf)
-    oos = stage(V.stitched(placed, w, KEY, "cfg").select("symbol", "entry_ts", "ret"), "oos")
+    t, w = wf_parts(spark, sf)
+    oos = stage(V.stitched(t, w, KEY, "cfg").select("symbol", "entry_ts", "ret"), "oos")
     last = oos.agg(F.max(floor_ts(F.col("entry_ts"), DAY))).scalar()
     recent = oos.where(F.col("entry_ts") >= add_tf(last, "1d", -365))
     return recent.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r(M.compounded_pct(F.col("ret"))).alias("period_pct"))
@@ -302,7 +301,7 @@ def oos_period(spark, sf):
 @query("latest_winner", sql("trades", *WF, "SELECT s_suppkey AS symbol, CASE WHEN s_suppkey % 10 = 0 THEN 'explicit' ELSE arg_max(winner, fold) END AS cfg "
        "FROM supplier LEFT JOIN wn ON wn.symbol = s_suppkey GROUP BY 1"))
 def latest_winner(spark, sf):
-    _, _, w = wf_parts(spark, sf)
+    _, w = wf_parts(spark, sf)
     last = w.groupBy("symbol").agg(F.max_by("winner", "fold").alias("winner"))
     roster = table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("symbol"), F.when(F.col("s_suppkey") % 10 == 0, "explicit").alias("explicit")

@@ -3,7 +3,7 @@ selection, costs and excursions."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -326,20 +326,17 @@ def non_overlapping(
         "_next", F.when(F.col("_next").isNotNull(), F.greatest(F.col("_next"), F.col("_no") + 1))
     ).select(*keys, "_no", "_next", F.floor(F.col("_no") / F.lit(chunk)).alias("_b"))
     linked = stage(linked, "linked")
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trades.select(*keys).schema)
-
-    def leave(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("_no")
-        no, nxt = batch["_no"].to_numpy(), batch["_next"].to_numpy(dtype=float)
-        out = nxt.copy()
-        for i in range(len(no) - 1, -1, -1):
-            if nxt[i] <= no[-1]:
-                out[i] = out[int(nxt[i] - no[0])]
-        return batch[keys].assign(_no=no, _out=out)
-
-    exits = stage(
-        linked.groupBy(*keys, "_b").applyInPandas(leave, f"{key_schema}, _no bigint, _out double"), "leaving"
-    )
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trades.select(*keys).schema) + ", _no bigint"
+
+    def leave(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in whole_groups(batches, [*keys, "_b"]):
+            nxt, target, inside = _links(b, [*keys, "_b"])
+            out = nxt.copy()
+            for i in np.flatnonzero(inside)[::-1]:
+                out[i] = out[target[i]]
+            yield b[[*keys, "_no"]].assign(_out=out)
+
+    exits = stage(_grouped(linked, [*keys, "_b"], "_no").mapInPandas(leave, f"{schema}, _out double"), "leaving")
     # only trades some earlier chunk can lead to, plus the very first, matter between chunks
     targets = (
         exits.where(F.col("_out").isNotNull() & ~F.isnan("_out"))
@@ -349,31 +346,69 @@ def non_overlapping(
     )
     hops = exits.join(targets, [*keys, "_no"], "left").where(F.col("_hit") | (F.col("_no") == 0)).drop("_hit")
 
-    def follow(batch: pd.DataFrame) -> pd.DataFrame:
-        step = dict(zip(batch["_no"], batch["_out"]))
-        seen, cur = [], 0
-        while cur is not None:
-            seen.append(cur)
-            nxt = step.get(cur)
-            cur = None if nxt is None or np.isnan(nxt) else int(nxt)
-        return batch.iloc[[0] * len(seen)][keys].reset_index(drop=True).assign(_no=seen)
-
-    entered = hops.groupBy(*keys).applyInPandas(follow, f"{key_schema}, _no bigint")
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in whole_groups(batches, keys):
+            on, wanted = np.zeros(len(b), bool), 0.0
+            first = _starts(b, keys) == np.arange(len(b))
+            for i, (no, out) in enumerate(zip(b["_no"].to_numpy(), b["_out"].to_numpy(dtype=float))):
+                wanted = 0.0 if first[i] else wanted
+                if no == wanted:
+                    on[i], wanted = True, out
+            yield b.loc[on, [*keys, "_no"]]
+
+    entered = _grouped(hops, keys, "_no").mapInPandas(follow, schema)
     marked = linked.join(entered.withColumn("_in", F.lit(True)), [*keys, "_no"], "left")
 
-    def take(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("_no")
-        no, nxt = batch["_no"].to_numpy(), batch["_next"].to_numpy(dtype=float)
-        on = batch["_in"].notna().to_numpy().copy()
-        for i in range(len(no)):
-            if on[i] and nxt[i] <= no[-1]:
-                on[int(nxt[i] - no[0])] = True
-        return batch.loc[on, [*keys, "_no"]]
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in whole_groups(batches, [*keys, "_b"]):
+            _, target, inside = _links(b, [*keys, "_b"])
+            on = b["_in"].notna().to_numpy().copy()
+            for i in np.flatnonzero(inside):
+                if on[i]:
+                    on[target[i]] = True
+            yield b.loc[on, [*keys, "_no"]]
 
-    taken = marked.groupBy(*keys, "_b").applyInPandas(take, f"{key_schema}, _no bigint")
+    taken = _grouped(marked, [*keys, "_b"], "_no").mapInPandas(take, schema)
     return numbered.join(taken, [*keys, "_no"], "left_semi").drop("_no")
 
 
+def _grouped(df: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+    """Rows of a group next to each other in one partition, in order."""
+    return df.repartition(*group).sortWithinPartitions(*group, order)
+
+
+def _starts(b: pd.DataFrame, group: Sequence[str]) -> np.ndarray:
+    """Position of the first row of each row's group; groups are contiguous."""
+    fresh = np.ones(len(b), bool)
+    fresh[1:] = (b[list(group)].to_numpy()[1:] != b[list(group)].to_numpy()[:-1]).any(axis=1)
+    return np.maximum.accumulate(np.where(fresh, np.arange(len(b)), 0))
+
+
+def _links(b: pd.DataFrame, group: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Successor number, its row position, and whether it lies in the same chunk."""
+    no, nxt, start = b["_no"].to_numpy(), b["_next"].to_numpy(dtype=float), _starts(b, group)
+    last = np.r_[np.flatnonzero(np.diff(start)), len(b) - 1]
+    end = no[last[np.searchsorted(last, np.arange(len(b)))]]
+    inside = nxt <= end
+    target = np.where(inside, start + np.nan_to_num(nxt) - no[start], 0).astype(int)
+    return nxt, target, inside
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], group: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Re-cut sorted batches so that no group is split between two of them."""
+    held = None
+    for b in batches:
+        b = b if held is None else pd.concat([held, b], ignore_index=True)
+        if b.empty:
+            continue
+        cut = int(_starts(b, group)[-1])
+        held = b.iloc[cut:]
+        if cut:
+            yield b.iloc[:cut].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held.reset_index(drop=True)
+
+
 # ------------------------------------------------------------------ costs and P&L
 
 

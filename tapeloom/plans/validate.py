@@ -4,21 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.functions.columns import floor_ts
+from tapeloom.functions.columns import div
 from tapeloom.operators import metrics as M
-from tapeloom.operators.metrics import INF
 
 DAY_US = 86_400_000_000
+# training and test lengths are whole steps
 TRAIN_DAYS, TEST_DAYS, STEP_DAYS = 120, 30, 30
 
 
-def _day(n) -> Column:
-    return F.lit(n) * F.lit(DAY_US)
-
-
 def spans(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
     """First entry and number of whole folds that fit, per key."""
     us = F.unix_micros("entry_ts")
@@ -44,41 +40,63 @@ def make_folds(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _slot() -> Column:
+    """Number of whole steps since the first entry of the key; every fold edge is a slot edge."""
+    return F.floor((F.unix_micros("entry_ts") - F.col("start_us")) / F.lit(STEP_DAYS * DAY_US))
+
+
+def _roles(df: DataFrame) -> DataFrame:
+    """Rows with ``slot`` once per fold window they fall into: four training folds and one test fold."""
+    k = F.explode(F.array(*[F.lit(i) for i in range((TRAIN_DAYS + TEST_DAYS) // STEP_DAYS)]))
+    role = F.when(F.col("_k") < TRAIN_DAYS // STEP_DAYS, "train").otherwise("test")
+    return (
+        df.withColumn("_k", k)
+        .withColumn("fold", F.col("slot") - F.col("_k"))
+        .where((F.col("fold") >= 0) & (F.col("fold") < F.col("n_folds")))
+        .withColumn("role", role)
+        .drop("_k", "slot", "start_us", "n_folds")
+    )
+
+
 def fold_trades(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each trade once per fold window it falls into.
+    """Each trade once per fold window it falls into, by arithmetic on its entry time; no range join."""
+    return _roles(trades.join(spans(trades, keys), list(keys)).withColumn("slot", _slot()))
 
-    Folds are regular, so the window numbers follow from the entry time: at most four training folds
-    and one test fold per trade, and no range join.
-    """
-    placed = trades.join(spans(trades, keys), list(keys))
-    off = F.unix_micros("entry_ts") - F.col("start_us")
-    step = F.lit(STEP_DAYS * DAY_US)
 
-    def window(lo_days: int, hi_days: int, role: str) -> Column:
-        # folds f with lo <= off - f*step < hi
-        first = F.greatest(F.floor((off - _day(hi_days)) / step) + 1, F.lit(0))
-        last = F.least(F.floor((off - _day(lo_days)) / step), F.col("n_folds") - 1)
-        ids = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(ids, lambda f: F.struct(f.alias("fold"), F.lit(role).alias("role")))
+def tested_trades(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each trade with the one fold whose test window holds it."""
+    placed = trades.join(spans(trades, keys), list(keys)).withColumn("fold", _slot() - TRAIN_DAYS // STEP_DAYS)
+    return placed.where((F.col("fold") >= 0) & (F.col("fold") < F.col("n_folds"))).drop("start_us", "n_folds")
 
-    both = F.concat(window(0, TRAIN_DAYS, "train"), window(TRAIN_DAYS, TRAIN_DAYS + TEST_DAYS, "test"))
-    return placed.withColumn("_w", F.explode(both)).drop("start_us", "n_folds").select("*", "_w.*").drop("_w")
 
+def fold_stats(trades: DataFrame, keys: Sequence[str], cfg: str) -> DataFrame:
+    """Train and test statistics per fold and configuration.
 
-def fold_stats(placed: DataFrame, keys: Sequence[str], cfg: str) -> DataFrame:
-    """Train and test sums per fold and configuration, combined before the shuffle."""
+    Trades are summed per slot first; folds then combine slot sums, so the shuffle never carries a trade
+    once per fold.
+    """
     ret = F.col("ret")
+    slots = (
+        trades.join(spans(trades, keys), list(keys))
+        .groupBy(*keys, cfg, _slot().alias("slot"), "n_folds")
+        .agg(F.count(ret).alias("n"), F.sum(ret).alias("s"), M.wins(ret).alias("w"), M.losses(ret).alias("l"))
+    )
 
-    def part(role: str) -> list[Column]:
-        on = F.col("role") == role
-        x = F.when(on, ret)
-        return [
-            F.count(x).alias(f"{role}_n"),
-            M.profit_factor(x, "inf_or_zero").alias(f"{role}_pf"),
-            F.avg(x).alias(f"{role}_mean"),
-        ]
+    def part(role: str, c: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("role") == role, F.col(c))), F.lit(0))
 
-    return placed.groupBy(*keys, "fold", cfg).agg(*part("train"), *part("test"))
+    sums = _roles(slots.withColumn("start_us", F.lit(0))).groupBy(*keys, "fold", cfg).agg(
+        *[part(role, c).alias(f"_{role}_{c}") for role in ("train", "test") for c in ("n", "s", "w", "l")]
+    )
+    out = []
+    for role in ("train", "test"):
+        n, total = F.col(f"_{role}_n"), F.col(f"_{role}_s")
+        out += [
+            n.alias(f"{role}_n"),
+            M.pf_of(F.col(f"_{role}_w"), F.col(f"_{role}_l"), "inf_or_zero").alias(f"{role}_pf"),
+            div(total, n).alias(f"{role}_mean"),
+        ]
+    return sums.select(*keys, "fold", cfg, *out)
 
 
 def select_winners(stats: DataFrame, keys: Sequence[str], cfg: str, min_train: int) -> DataFrame:
@@ -97,7 +115,7 @@ def select_winners(stats: DataFrame, keys: Sequence[str], cfg: str, min_train: i
     ).select(*keys, "fold", F.col(f"w.{cfg}").alias("winner"), "w.train_n", "w.train_pf", "w.test_n", "w.test_pf")
 
 
-def stitched(placed: DataFrame, winners: DataFrame, keys: Sequence[str], cfg: str) -> DataFrame:
+def stitched(trades: DataFrame, winners: DataFrame, keys: Sequence[str], cfg: str) -> DataFrame:
     """The winners' trades in their test windows: the out-of-sample record."""
     picks = winners.select(*keys, "fold", F.col("winner").alias(cfg))
-    return placed.where("role = 'test'").join(picks, [*keys, "fold", cfg], "left_semi")
+    return tested_trades(trades, keys).join(picks, [*keys, "fold", cfg], "left_semi")
