@@ -253,7 +253,7 @@ def ohlc_violations(spark, sf):
 
 RAW = (
     "raw AS (SELECT symbol, ts, close * (1 + (trades % 4) / 1000.0::DOUBLE) AS close FROM b15m), "
-    "adj AS (SELECT d.symbol, max(abs(d.close / raw.close - 1) * 100) AS max_adj_ratio_pct "
+    "adj AS (SELECT d.symbol, max(abs(d.close / nullif(raw.close, 0) - 1) * 100) AS max_adj_ratio_pct "
     "FROM d JOIN raw USING (symbol, ts) GROUP BY 1)"
 )
 

@@ -251,7 +251,7 @@ LEVEL_SQL = (
     f"q2 AS MATERIALIZED (SELECT *, sign(e21 - {lagged('e21')}) AS sle FROM q), "
     "lm AS MATERIALIZED (SELECT b.*, 100 * (b.close - s10) / s10 AS dist_sma10_1d, 100 * (b.close - s5) / s5 AS dist_sma5_1d, "
     "100 * (b.close - e21) / e21 AS dist_ema21_4h, CAST(sl10 AS DOUBLE) AS slope_sma10_1d, CAST(sl5 AS DOUBLE) AS slope_sma5_1d, "
-    "CAST(sle AS DOUBLE) AS slope_ema21_4h, 100 * (b.close - d2.high) / d2.high AS dist_pdh, 100 * (b.close - d2.low) / d2.low AS dist_pdl "
+    "CAST(sle AS DOUBLE) AS slope_ema21_4h, 100 * (b.close - d2.high) / nullif(d2.high, 0) AS dist_pdh, 100 * (b.close - d2.low) / nullif(d2.low, 0) AS dist_pdl "
     "FROM n1h b ASOF LEFT JOIN d2 ON b.symbol = d2.symbol AND b.ts >= d2.seen ASOF LEFT JOIN q2 ON b.symbol = q2.symbol AND b.ts >= q2.seen)"
 )
 LEVEL_COLS = [
