@@ -396,3 +396,16 @@ def tape_features_query(spark, sf):
         out, "delta", r(F.col("big_share")).alias("big_share"), r(F.col("relative_volume")).alias("relative_volume"),
         cols=["symbol"],
     )
+
+
+@query(
+    "thin_curve",
+    sql(
+        "b1m",
+        "n AS (SELECT symbol, count(*) AS n FROM b1m GROUP BY 1), "
+        f"s AS (SELECT symbol, CASE WHEN n > 1970 THEN time_bucket({secs('1h')}, ts) WHEN n > 1500 THEN time_bucket({secs('15min')}, ts) ELSE ts END AS slot, ts, close FROM b1m JOIN n USING (symbol))",
+        "SELECT symbol, slot AS ts, arg_max(close, ts) AS close FROM s GROUP BY 1, 2",
+    ),
+)
+def thin_curve(spark, sf):
+    return show(B.thinned(bars(spark, sf, "1min"), "close", 1500, 1970), cols=["symbol", "close"])

@@ -283,3 +283,15 @@ def pinned_top(spark, sf):
         (F.col("symbol") % 50 == 0).alias("is_fav"),
     )
     return R.pinned_top(setups)
+
+
+@query(
+    "registry_import",
+    sql("runs", "a AS (SELECT run_id, symbol, 'registry' AS src FROM runs WHERE strategy <> 'P')",
+        "SELECT * FROM a UNION ALL SELECT run_id, symbol, 'legacy' FROM runs WHERE run_id NOT IN (SELECT run_id FROM a)"),
+)
+def registry_import(spark, sf):
+    """Legacy rows join the registry only where it lacks them."""
+    t = runs(spark, sf).select("run_id", "symbol", "strategy")
+    current = t.where("strategy <> 'P'").select("run_id", "symbol", F.lit("registry").alias("src"))
+    return R.append_missing(current, t.select("run_id", "symbol", F.lit("legacy").alias("src")), ["run_id"])

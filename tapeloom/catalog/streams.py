@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.catalog.base import query, rd, secs, sql
+from tapeloom.catalog.base import full, query, rd, secs, sql
 from tapeloom.catalog.metrics import LONG, OPEN, lasting
 from tapeloom.catalog.outcomes import ENT, next_bar_entries
 from tapeloom.catalog.signals import band_flags, fffd_sql
 from tapeloom.functions.columns import add_tf, ntz, r
+from tapeloom.operators import indicators as I
 from tapeloom.operators import portfolio as P
 from tapeloom.operators import signals as S
 from tapeloom.session import scratch_path
@@ -28,10 +29,10 @@ def run(stream, label):
     return J.run_available(stream, scratch_path(stream.sparkSession, label))
 
 
-def minute_stream(df_signals, df_ticks):
+def minute_stream(df_ticks, *events):
     """Step one writes closed minutes as a table, step two follows that table."""
     path = scratch_path(df_ticks.sparkSession, "minutes")
-    rows = J.minutes(J.feed(replay(df_signals, "events"), replay(df_ticks, "tape")))
+    rows = J.minutes(J.feed(*[replay(e, "events") for e in events], replay(df_ticks, "tape")))
     return J.follow(J.run_available(rows, path), path)
 
 
@@ -94,7 +95,7 @@ def stream_armed(spark, sf):
     signals = S.fffd(numbered(spark, sf, "1h"), 1.5).select(
         "symbol", add_tf(F.col("ts"), "1h").alias("ts"), "dir", "trigger", add_tf(F.col("ts"), "1h", 4).alias("expiry")
     )
-    out = run(J.armed_signals(minute_stream(signals, ticks(spark, sf))), "armed")
+    out = run(J.armed_signals(minute_stream(ticks(spark, sf), signals)), "armed")
     return out.select(
         "symbol", ntz(F.col("signal_ts")).alias("signal_ts"), ntz(F.col("fire_ts")).alias("fire_ts"),
         F.col("dir").cast("long").alias("dir"), "trigger", "price",
@@ -106,16 +107,18 @@ POSITIONS = (
     f"mn AS (SELECT symbol, time_bucket({secs('1min')}, ts) AS ts, arg_max(price, seq) AS px, "
     "date_part('hour', ((time_bucket(INTERVAL '60 seconds', ts) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')) * 60 + "
     "date_part('minute', ((time_bucket(INTERVAL '60 seconds', ts) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')) >= 955 AS flat FROM ticks GROUP BY ALL), "
-    "hp AS (SELECT op.*, mn.ts, CASE WHEN dir * (px - sl) <= 0 THEN 'stop' WHEN dir * (px - tp) >= 0 THEN 'target' WHEN flat THEN 'eod' END AS reason, px FROM op JOIN mn ON mn.symbol = op.symbol AND mn.ts >= seen "
+    f"bd AS MATERIALIZED (SELECT symbol, ts + INTERVAL 4 HOUR AS seen_band, {full('avg(close)', 20)} AS lvl FROM n4h), "
+    "mb AS MATERIALIZED (SELECT mn.*, lvl FROM mn ASOF LEFT JOIN bd ON mn.symbol = bd.symbol AND mn.ts >= bd.seen_band), "
+    "hp AS (SELECT op.*, mn.ts, lvl, CASE WHEN dir * (px - sl) <= 0 THEN 'stop' WHEN dir * (px - tp) >= 0 THEN 'target' WHEN dir * (px - lvl) >= 0 THEN 'band' WHEN flat THEN 'eod' END AS reason, px FROM op JOIN mb AS mn ON mn.symbol = op.symbol AND mn.ts >= seen "
     f"WHERE mn.ts + INTERVAL 1 MINUTE <= {CLOSED})"
 )
 
 
 @query(
     "stream_positions",
-    sql("ticks n1h", ENT, POSITIONS,
+    sql("ticks n1h n4h", ENT, POSITIONS,
         "SELECT symbol, position_id, min(ts) AS exit_ts, arg_min(reason, ts) AS reason, "
-        f"{rd('arg_min(CASE reason WHEN ' + chr(39) + 'stop' + chr(39) + ' THEN sl WHEN ' + chr(39) + 'target' + chr(39) + ' THEN tp ELSE px END, ts)')} AS exit_price FROM hp WHERE reason IS NOT NULL GROUP BY 1, 2"),
+        f"{rd('arg_min(CASE reason WHEN ' + chr(39) + 'stop' + chr(39) + ' THEN sl WHEN ' + chr(39) + 'target' + chr(39) + ' THEN tp WHEN ' + chr(39) + 'band' + chr(39) + ' THEN lvl ELSE px END, ts)')} AS exit_price FROM hp WHERE reason IS NOT NULL GROUP BY 1, 2"),
 )
 def stream_positions(spark, sf):
     e = next_bar_entries(numbered(spark, sf, "1h"))
@@ -127,7 +130,11 @@ def stream_positions(spark, sf):
         (F.col("price") * (1 - F.col("dir") * 0.6)).alias("sl"),
         (F.col("price") * (1 + F.col("dir") * 0.9)).alias("tp"),
     )
-    out = run(J.monitored_positions(minute_stream(opens, ticks(spark, sf))), "positions")
+    four = I.sma(numbered(spark, sf, "4h"), [20]).where("sma_20 is not null")
+    bands = four.select(
+        "symbol", add_tf(F.col("ts"), "4h").alias("ts"), F.col("sma_20").alias("band_long"), F.col("sma_20").alias("band_short")
+    )
+    out = run(J.monitored_positions(minute_stream(ticks(spark, sf), opens, bands)), "positions")
     return out.select(
         "symbol", "position_id", ntz(F.col("exit_ts")).alias("exit_ts"), "reason", r(F.col("exit_price")).alias("exit_price")
     )

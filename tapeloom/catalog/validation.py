@@ -561,3 +561,49 @@ def readiness_verdict(spark, sf):
     paths = RB.block_paths(M.daily_sums(t, ["cfg"], F.col("pnl")), "cfg", SIMS)
     v = RB.readiness_report(t, "cfg", L.cutoff(t, 360), paths, 0.05)
     return v.select("cfg", *[r(F.col(c)).alias(c) for c in READY_COLS], "verdict")
+
+
+MUT_EXITS = ["r1", "r2", "time24", "trail"]
+MUT = (
+    "ld AS (SELECT run_id, symbol % 9 AS k, symbol % 4 AS t, strategy = 'F' AS gated FROM (SELECT *, row_number() OVER (PARTITION BY sweep_tag ORDER BY metric DESC, run_id) AS rn FROM runs) WHERE rn <= 40), "
+    "l2 AS (SELECT *, " + LCG.format(x="run_id") + " AS h1 FROM ld), l3 AS (SELECT *, " + LCG.format(x="h1") + " AS h2 FROM l2), "
+    "op AS (SELECT *, (h1 // 65536) % 100 AS op, h2 // 65536 AS v FROM l3), "
+    "nw AS (SELECT run_id, CASE WHEN op >= 30 AND op < 55 THEN v % 9 ELSE k END AS k, CASE WHEN op >= 55 AND op < 75 THEN v % 4 ELSE t END AS t, "
+    "CASE WHEN op < 30 THEN v % 4 ELSE 0 END AS x, CASE WHEN op >= 75 THEN NOT (gated AND v % 10 < 4) ELSE gated END AS gated FROM op)"
+)
+
+
+@query(
+    "explore_mutations",
+    sql("runs", MUT,
+        "SELECT run_id, ['" + "', '".join(KINDS) + "'][k + 1] || '|' || ['4h', '2h', '1h', '30min'][t + 1] || '|' || ['" + "', '".join(MUT_EXITS)
+        + "'][x + 1] || '|' || CASE WHEN gated THEN 'gated' ELSE 'open' END AS sig FROM nw"),
+)
+def explore_mutations(spark, sf):
+    """One change to each of the 40 leaders of every sweep: exit, entry family, timeframe or gate."""
+    leaders = best_per(runs(spark, sf), ["sweep_tag"], [F.desc("metric"), F.col("run_id")], 40)
+
+    def lcg(x):
+        return F.pmod(F.lit(1103515245).cast("long") * (x + 12345) + 12345, F.lit(2147483648))
+
+    def draw(h):
+        return F.floor(h / F.lit(65536))
+
+    h1 = lcg(F.col("run_id"))
+    op, v = F.pmod(draw(h1), F.lit(100)), draw(lcg(h1))
+
+    def option(names, i):
+        return F.element_at(F.array(*[F.lit(n) for n in names]), (i + 1).cast("int"))
+
+    gated = F.col("strategy") == "F"
+    kind = F.when((op >= 30) & (op < 55), F.pmod(v, F.lit(9))).otherwise(F.col("symbol") % 9)
+    tf = F.when((op >= 55) & (op < 75), F.pmod(v, F.lit(4))).otherwise(F.col("symbol") % 4)
+    leave = F.when(op < 30, F.pmod(v, F.lit(4))).otherwise(F.lit(0))
+    gate = F.when(op >= 75, ~(gated & (F.pmod(v, F.lit(10)) < 4))).otherwise(gated)
+    return leaders.select(
+        "run_id",
+        F.concat_ws(
+            "|", option(KINDS, kind), option(["4h", "2h", "1h", "30min"], tf), option(MUT_EXITS, leave),
+            F.when(gate, "gated").otherwise("open"),
+        ).alias("sig"),
+    )

@@ -56,11 +56,17 @@ FEED_NONE = {
     "position_id": "long",
     "sl": "double",
     "tp": "double",
+    "band_long": "double",
+    "band_short": "double",
 }
 
 
 def feed(*tables: DataFrame) -> DataFrame:
-    """Signals, position openings and ticks as one timeline with a shared watermark column ``ts``."""
+    """Signals, openings, band levels and ticks as one timeline with a shared watermark column ``ts``.
+
+    A band level enters at the close of the setup bar it belongs to, so a price only meets bands of
+    completed bars.
+    """
     out = None
     for t in tables:
         cols = [F.col(c) if c in t.columns else F.lit(None).cast(kind).alias(c) for c, kind in FEED_NONE.items()]
@@ -76,7 +82,7 @@ def minutes(timeline: DataFrame, delay: str = WATERMARK) -> DataFrame:
     row per minute and symbol however busy the tape is, and append mode hands minutes over in order.
     """
     is_tick, is_signal = F.col("price").isNotNull(), F.col("trigger").isNotNull()
-    is_open = F.col("position_id").isNotNull()
+    is_open, is_band = F.col("position_id").isNotNull(), F.col("band_long").isNotNull()
     return (
         timeline.withWatermark("ts", delay)
         .groupBy("symbol", F.window("ts", "1 minute").alias("w"))
@@ -87,6 +93,7 @@ def minutes(timeline: DataFrame, delay: str = WATERMARK) -> DataFrame:
                 F.when(is_signal, F.col("ts")),
             ).alias("sig"),
             F.collect_list(F.when(is_open, F.struct("position_id", "dir", "sl", "tp"))).alias("opened"),
+            F.max_by(F.struct("band_long", "band_short"), F.when(is_band, F.col("ts"))).alias("band"),
         )
         .select(
             "symbol",
@@ -98,6 +105,8 @@ def minutes(timeline: DataFrame, delay: str = WATERMARK) -> DataFrame:
             F.col("sig.trigger").alias("sig_trigger"),
             F.col("sig.expiry").alias("sig_expiry"),
             "opened",
+            F.col("band.band_long").alias("band_long"),
+            F.col("band.band_short").alias("band_short"),
         )
     )
 
@@ -132,7 +141,7 @@ def armed_signals(minute_rows: DataFrame, all_hours: bool = True) -> DataFrame:
     inside = (F.weekday("ts") < 5) & (minute >= ENTRY_OPEN) & (minute < ENTRY_CUTOFF)
     return (
         minute_rows.withColumn("allowed", F.lit(True) if all_hours else inside)
-        .drop("opened", "ts")
+        .drop("opened", "band_long", "band_short", "ts")
         .groupBy("symbol")
         .applyInPandasWithState(arm_and_fire, FIRE_SCHEMA, ARM_STATE, "append", GroupStateTimeout.NoTimeout)
         .select(
@@ -147,31 +156,40 @@ def armed_signals(minute_rows: DataFrame, all_hours: bool = True) -> DataFrame:
 
 
 CLOSE_SCHEMA = "symbol string, position_id long, exit_us long, exit_price double, reason string"
-BOOK_STATE = "ids array<long>, dirs array<int>, sls array<double>, tps array<double>"
+BOOK_STATE = "ids array<long>, dirs array<int>, sls array<double>, tps array<double>, band array<double>"
 
 
 def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Close open positions at stop, then target, then session end; fills at the level."""
+    """Close open positions at stop, then target, then band, then session end; fills at the level."""
     rows = pd.concat(list(batches), ignore_index=True).sort_values("us")
-    book = list(zip(*state.get)) if state.exists else []
+    book, band = [], []
+    if state.exists:
+        *cols, band = state.get
+        book, band = list(zip(*cols)), list(band)
     closed = []
-    for us, price, opened, flat in rows[["us", "price", "opened", "flat"]].itertuples(index=False):
+    wanted = ["us", "price", "opened", "flat", "band_long", "band_short"]
+    for us, price, opened, flat, up, down in rows[wanted].itertuples(index=False):
         book += [(o["position_id"], o["dir"], o["sl"], o["tp"]) for o in opened]
+        if pd.notna(up):
+            band = [float(up), float(down)]
         if pd.isna(price):
             continue
         keep = []
         for pos in book:
             pid, side, sl, tp = pos
-            if side * (price - sl) <= 0:
+            level = band[0 if side > 0 else 1] if band else None
+            if sl is not None and side * (price - sl) <= 0:
                 closed.append((key[0], pid, int(us), sl, "stop"))
-            elif side * (price - tp) >= 0:
+            elif tp is not None and side * (price - tp) >= 0:
                 closed.append((key[0], pid, int(us), tp, "target"))
+            elif level is not None and side * (price - level) >= 0:
+                closed.append((key[0], pid, int(us), level, "band"))
             elif flat:
                 closed.append((key[0], pid, int(us), float(price), "eod"))
             else:
                 keep.append(pos)
         book = keep
-    state.update(tuple([p[i] for p in book] for i in range(4)))
+    state.update((*([p[i] for p in book] for i in range(4)), band))
     yield pd.DataFrame(closed, columns=["symbol", "position_id", "exit_us", "exit_price", "reason"])
 
 
@@ -180,7 +198,7 @@ def monitored_positions(minute_rows: DataFrame, flat_minute: int | None = 955) -
     flat = F.lit(False) if flat_minute is None else local_minute(F.col("ts")) >= flat_minute
     return (
         minute_rows.withColumn("flat", flat)
-        .select("symbol", "us", "price", "opened", "flat")
+        .select("symbol", "us", "price", "opened", "flat", "band_long", "band_short")
         .groupBy("symbol")
         .applyInPandasWithState(watch, CLOSE_SCHEMA, BOOK_STATE, "append", GroupStateTimeout.NoTimeout)
         .select("symbol", "position_id", F.timestamp_micros("exit_us").alias("exit_ts"), "exit_price", "reason")

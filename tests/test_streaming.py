@@ -38,10 +38,10 @@ def test_late_rows_and_repeats(spark):
     assert "2024-01-02 14:55:00" not in have
 
 
-def feed_minutes(spark, events, ticks):
+def feed_minutes(spark, *tables):
     path = scratch_path(spark, "minutes")
     src = []
-    for df in (events, ticks):
+    for df in tables:
         p = scratch_path(spark, "feed")
         df.write.parquet(p)
         src.append(spark.readStream.schema(df.schema).parquet(p))
@@ -75,6 +75,16 @@ def test_positions_close_in_order_of_stop_target_session_end(spark):
     assert rows(closed, "position_id", "exit_price", "reason") == [(1, 110.0, "target"), (2, 80.0, "target"), (3, 95.0, "eod")]
 
 
+def test_band_level_counts_from_its_bar_close(spark):
+    t0 = pd.Timestamp("2024-01-02 15:00")
+    opens = mk(spark, [("A", t0, 1, 1, 50.0, 500.0)], "symbol string, ts timestamp, position_id long, dir int, sl double, tp double")
+    bands = mk(spark, [("A", t0 + pd.Timedelta(minutes=5), 101.0, 99.0)], "symbol string, ts timestamp, band_long double, band_short double")
+    ticks = mk(spark, [tick(2, 1, 105), tick(6, 2, 100), tick(8, 3, 104), tick(200, 4, 104)], TICK)
+    closed = J.run_available(J.monitored_positions(feed_minutes(spark, opens, bands, ticks), None), scratch_path(spark, "closes"))
+    got = closed.first()
+    assert (str(got.exit_ts), got.exit_price, got.reason) == ("2024-01-02 15:08:00", 101.0, "band")
+
+
 def test_risk_guard(spark):
     t0 = pd.Timestamp("2024-01-02 15:00")
     h = pd.Timedelta(hours=1)
