@@ -274,7 +274,7 @@ def adj_ratio(spark, sf):
         "b15m",
         DIRTY,
         RAW,
-        "dup AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE trades % 3 = 0), "
+        "dup AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE trades >= 3), "
         "p AS (SELECT symbol, count(*) AS rows, count(DISTINCT ts) AS u, "
         f"count(DISTINCT date_trunc('day', ts)) AS days, count(*) FILTER (WHERE {BAD}) AS bad FROM dup GROUP BY 1)",
         f"SELECT symbol, rows, {rd('u * 100.0 / (days * 96)', 2)} AS coverage_pct, bad AS ohlc_violations, "
@@ -283,7 +283,7 @@ def adj_ratio(spark, sf):
 )
 def quality_report(spark, sf):
     b = dirty(spark, sf)
-    twice = b.unionByName(b.where(F.col("trades") % 3 == 0))
+    twice = b.unionByName(b.where(F.col("trades") >= 3))
     out = Q.quality_report(twice, raw_twin(b), 96)
     return out.withColumns(
         {
@@ -327,13 +327,13 @@ def zero_volume_move(spark, sf):
     sql(
         "n1d",
         "w AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY bar_no) - 1 AS move FROM n1d), "
-        "ev AS (SELECT symbol, ts FROM b1d WHERE trades % 2 = 0)",
+        "ev AS (SELECT symbol, ts FROM b1d WHERE trades >= 67)",
         f"SELECT symbol, ts, {rd('move')} AS move FROM w WHERE abs(move) > 0.4 "
         "AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.symbol = w.symbol AND ev.ts = w.ts)",
     ),
 )
 def split_suspect(spark, sf):
-    known_splits = bars(spark, sf, "1d").where(F.col("trades") % 2 == 0).select("symbol", "ts")
+    known_splits = bars(spark, sf, "1d").where(F.col("trades") >= 67).select("symbol", "ts")
     out = Q.split_suspects(numbered(spark, sf, "1d"), known_splits)
     return show(out, r(F.col("move")).alias("move"), cols=["symbol"])
 

@@ -109,14 +109,14 @@ def merge_replace(spark, sf):
 
 @query(
     "roster_upsert",
-    sql("runs", "o AS (SELECT symbol, max(sweep_tag) AS cfg, max(fee) AS size_usd FROM runs WHERE run_id % 2 = 0 GROUP BY 1), "
-        "n AS (SELECT symbol, min(CASE WHEN strategy <> 'P' THEN sweep_tag END) AS cfg, CAST(NULL AS DOUBLE) AS size_usd FROM runs WHERE run_id % 5 = 1 GROUP BY 1)",
+    sql("runs", "o AS (SELECT symbol, max(sweep_tag) AS cfg, max(fee) AS size_usd FROM runs WHERE created_at < TIMESTAMP '1996-06-01' GROUP BY 1), "
+        "n AS (SELECT symbol, min(CASE WHEN strategy <> 'P' THEN sweep_tag END) AS cfg, CAST(NULL AS DOUBLE) AS size_usd FROM runs WHERE created_at >= TIMESTAMP '2000-06-01' GROUP BY 1)",
         "SELECT coalesce(n.symbol, o.symbol) AS symbol, coalesce(n.cfg, o.cfg) AS cfg, coalesce(n.size_usd, o.size_usd) AS size_usd FROM o FULL JOIN n ON n.symbol = o.symbol"),
 )
 def roster_upsert(spark, sf):
     t = runs(spark, sf)
-    old = t.where("run_id % 2 = 0").groupBy("symbol").agg(F.max("sweep_tag").alias("cfg"), F.max("fee").alias("size_usd"))
-    new = t.where("run_id % 5 = 1").groupBy("symbol").agg(
+    old = t.where("created_at < timestamp '1996-06-01'").groupBy("symbol").agg(F.max("sweep_tag").alias("cfg"), F.max("fee").alias("size_usd"))
+    new = t.where("created_at >= timestamp '2000-06-01'").groupBy("symbol").agg(
         F.min(F.when(F.col("strategy") != "P", F.col("sweep_tag"))).alias("cfg"), F.lit(None).cast("double").alias("size_usd")
     )
     return R.upsert(old, new, "symbol", ["cfg", "size_usd"])
@@ -211,12 +211,12 @@ def journal_feed(spark, sf):
 @query(
     "runs_filter",
     sql("runs", "SELECT run_id, symbol, CASE WHEN n_trades > 20 THEN profit_factor END AS pf FROM runs WHERE strategy = 'F' AND sweep_tag = '5-LOW' "
-        "AND n_trades >= 10 ORDER BY pf DESC NULLS LAST, run_id LIMIT 100"),
+        "AND n_trades >= 10 ORDER BY pf DESC NULLS LAST, run_id"),
 )
 def runs_filter(spark, sf):
     t = runs(spark, sf).where("strategy = 'F' and sweep_tag = '5-LOW' and n_trades >= 10")
     t = t.select("run_id", "symbol", F.when(F.col("n_trades") > 20, F.col("profit_factor")).alias("pf"))
-    return t.orderBy(F.desc_nulls_last("pf"), "run_id").limit(100)
+    return t.orderBy(F.desc_nulls_last("pf"), "run_id")
 
 
 @query("top_runs", sql("runs", "SELECT run_id, metric FROM runs ORDER BY metric DESC, run_id LIMIT 20"))

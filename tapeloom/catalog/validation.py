@@ -423,8 +423,8 @@ def post_discovery(spark, sf):
 
 
 OLD = (
-    "od AS (SELECT sig, min(entry_ts) AS first_seen, CAST(2 AS BIGINT) AS rounds_tested, CAST(0.5 AS DOUBLE) AS hold_pf FROM lg WHERE part_id % 3 = 0 GROUP BY 1), "
-    "nw AS (SELECT sig, " + pf_sql("usd", "inf_or_null") + " AS hold_pf FROM lg WHERE part_id % 4 = 0 GROUP BY 1)"
+    "od AS (SELECT sig, min(entry_ts) AS first_seen, CAST(2 AS BIGINT) AS rounds_tested, CAST(0.5 AS DOUBLE) AS hold_pf FROM lg WHERE entry_ts < TIMESTAMP '1995-03-01' GROUP BY 1), "
+    "nw AS (SELECT sig, " + pf_sql("usd", "inf_or_null") + " AS hold_pf FROM lg WHERE entry_ts >= TIMESTAMP '2001-09-01' GROUP BY 1)"
 )
 
 
@@ -433,10 +433,10 @@ OLD = (
        f"{rd('CASE WHEN nw.sig IS NOT NULL THEN nw.hold_pf ELSE od.hold_pf END')} AS hold_pf FROM od FULL JOIN nw ON od.sig = nw.sig"))
 def league_merge(spark, sf):
     t = league_trades(spark, sf, fine=True)
-    old = t.where("part_id % 3 = 0").groupBy("sig").agg(
+    old = t.where("entry_ts < timestamp '1995-03-01'").groupBy("sig").agg(
         F.min("entry_ts").alias("first_seen"), F.lit(2).cast("long").alias("rounds_tested"), F.lit(0.5).alias("hold_pf")
     )
-    new = t.where("part_id % 4 = 0").groupBy("sig").agg(M.profit_factor(F.col("usd"), "inf_or_null").alias("hold_pf"))
+    new = t.where("entry_ts >= timestamp '2001-09-01'").groupBy("sig").agg(M.profit_factor(F.col("usd"), "inf_or_null").alias("hold_pf"))
     m = L.merge_store(old, new, F.lit("2024-01-01").cast("timestamp"))
     return m.select("sig", ntz(F.col("first_seen")).alias("first_seen"), "rounds_tested", r(F.col("hold_pf")).alias("hold_pf"))
 
@@ -465,12 +465,12 @@ def prune_anti(spark, sf):
 
 
 @query("new_leader", sql("trades", LEAGUE.format(s="line_no"), lstats(30),
-       "kn AS (SELECT DISTINCT sig FROM lg WHERE line_no <= 3), el AS (SELECT sig, round(hold_pf, 9) AS pf FROM ls WHERE asset_class = 'all' AND eligible AND hold_pf < 1e308), "
+       "kn AS (SELECT DISTINCT sig FROM lg WHERE cfg NOT IN ('RF', 'RO')), el AS (SELECT sig, round(hold_pf, 9) AS pf FROM ls WHERE asset_class = 'all' AND eligible AND hold_pf < 1e308), "
        "bb AS (SELECT max(pf) AS m FROM el WHERE sig IN (SELECT sig FROM kn))",
        f"SELECT sig, {rd('pf')} AS hold_pf, pf > greatest(m, 1.1) AS is_leader FROM el, bb WHERE sig NOT IN (SELECT sig FROM kn) ORDER BY pf DESC, sig DESC LIMIT 1"))
 def new_leader(spark, sf):
     s = stage(league_rows(spark, sf).where("asset_class = 'all'").select("sig", "hold_pf", "eligible"), "league")
-    seen = league_trades(spark, sf).where("line_no <= 3").select("sig").distinct()
+    seen = league_trades(spark, sf).where("cfg not in ('RF', 'RO')").select("sig").distinct()
     return L.new_leader(s, seen).withColumn("hold_pf", r(F.col("hold_pf")))
 
 
@@ -493,7 +493,7 @@ LCG = "(1103515245 * ({x} + 12345) + 12345) % 2147483648"
         "sd AS (SELECT c_custkey AS id, " + LCG.format(x="c_custkey") + " AS h1 FROM customer), s2 AS (SELECT *, " + LCG.format(x="h1") + " AS h2 FROM sd), s3 AS (SELECT *, " + LCG.format(x="h2") + " AS h3 FROM s2), "
         "cd AS (SELECT id, ['" + "', '".join(KINDS) + "'][(h1 // 65536) % 9 + 1] AS kind, ['4h', '2h', '1h', '30min'][(h2 // 65536) % 4 + 1] AS setup_tf, (h3 // 65536) % 100 AS gate_roll FROM s3), "
         "c2 AS (SELECT id, kind || '|' || setup_tf || '|' || CASE WHEN gate_roll < CASE WHEN kind IN ('ma_cross', 'donchian', 'macd', 'mom', 'orb') THEN 80 ELSE 25 END THEN 'gated' ELSE 'open' END AS sig FROM cd), "
-        "tr AS (SELECT DISTINCT ['" + "', '".join(KINDS) + "'][symbol % 9 + 1] || '|1h|open' AS sig FROM runs WHERE run_id % 2 = 0)",
+        "tr AS (SELECT DISTINCT ['" + "', '".join(KINDS) + "'][symbol % 9 + 1] || '|1h|open' AS sig FROM runs WHERE strategy = 'F')",
         "SELECT sig, count(*) AS draws FROM c2 WHERE sig NOT IN (SELECT sig FROM tr) GROUP BY 1"),
 )
 def explore_sample(spark, sf):
@@ -511,7 +511,7 @@ def explore_sample(spark, sf):
     roll = F.pmod(F.floor(F.col("h3") / F.lit(65536)), F.lit(100))
     gate = F.when(roll < F.when(kind.isin(directional), 80).otherwise(25), "gated").otherwise("open")
     cand = drawn.select(F.concat_ws("|", kind, pick(["4h", "2h", "1h", "30min"], F.col("h2")), gate).alias("sig"))
-    tried = runs(spark, sf).where("run_id % 2 = 0").select(
+    tried = runs(spark, sf).where("strategy = 'F'").select(
         F.concat_ws("|", F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("symbol") % 9 + 1).cast("int")), F.lit("1h"), F.lit("open")).alias("sig")
     ).distinct()
     return cand.join(tried, "sig", "left_anti").groupBy("sig").agg(F.count(F.lit(1)).alias("draws"))
