@@ -124,9 +124,10 @@ MTF = (
     f"ent AS MATERIALIZED (SELECT {K4}, dir, signal_ts, min(bar_no) AS entry_no, arg_min(CASE WHEN dir = 1 THEN greatest(open, trigger) ELSE least(open, trigger) END, bar_no) AS price, any_value(stop) AS sl FROM fire GROUP BY {K4}, dir, signal_ts), "
     "e2 AS (SELECT ent.*, target, price + dir * abs(price - sl) * k AS tp FROM ent, (VALUES ('r1', 1), ('r2', 2)) q(target, k)), "
     "wk AS (SELECT e2.*, b.bar_no, b.open, b.close, CASE WHEN dir = 1 THEN b.low <= sl ELSE b.high >= sl END AS st, CASE WHEN dir = 1 THEN b.high >= tp ELSE b.low <= tp END AS hi "
-    "FROM e2 JOIN n15m b ON b.symbol = e2.symbol AND b.bar_no BETWEEN entry_no + 1 AND entry_no + 48), "
+    "FROM e2 JOIN n15m b ON b.symbol = e2.symbol AND b.bar_no BETWEEN entry_no AND entry_no + 48), "
+    "wo AS (SELECT * REPLACE (CASE WHEN bar_no > entry_no THEN open END AS open) FROM wk), "
     f"ex AS (SELECT {K4}, target, dir, signal_ts, any_value(price) AS price, arg_min(CASE WHEN st THEN CASE WHEN dir = 1 THEN least(open, sl) ELSE greatest(open, sl) END "
-    f"WHEN hi THEN CASE WHEN dir = 1 THEN greatest(open, tp) ELSE least(open, tp) END ELSE close END, bar_no) AS px FROM wk WHERE st OR hi OR bar_no = entry_no + 48 GROUP BY {K4}, target, dir, signal_ts), "
+    f"WHEN hi THEN CASE WHEN dir = 1 THEN greatest(open, tp) ELSE least(open, tp) END ELSE close END, bar_no) AS px FROM wo WHERE st OR hi OR bar_no = entry_no + 48 GROUP BY {K4}, target, dir, signal_ts), "
     f"f AS (SELECT {K4}, target, dir * (px / price - 1) AS ret FROM ex)"
 )
 

@@ -165,7 +165,9 @@ def barrier_outcomes(
 ) -> DataFrame:
     """Earliest of stop, target, band touch, opposite signal, session end and time exit.
 
-    A stop wins over a target on one bar, and a gap through a level fills at the open. ``flags`` may
+    A stop wins over a target on one bar, and a gap through a level fills at the open. Entries at a
+    bar's close are watched from the next bar; ``first_bar=0`` also watches the entry bar, for entries
+    filled inside it. ``flags`` may
     add per-bar columns: ``opposite`` (side of a fresh opposite signal), ``eod`` (flat at the close),
     ``band_long``/``band_short`` (moving target levels). Entry rows are distinct.
     """
@@ -188,9 +190,11 @@ def barrier_outcomes(
     sl, tp = F.col("sl_level"), F.col("tp_level")
     stop = known(F.when(is_long, F.col("low") <= sl).otherwise(F.col("high") >= sl))
     target = known(F.when(is_long, F.col("high") >= tp).otherwise(F.col("low") <= tp))
+    # on the entry bar the open came before the entry, so levels fill at the level
+    opened = F.when(F.col("bar_no") > F.col("entry_no"), F.col("open"))
     code = F.when(stop, 0).when(target, 1)
-    price = F.when(stop, F.when(is_long, F.least("open", sl)).otherwise(F.greatest("open", sl))).when(
-        target, F.when(is_long, F.greatest("open", tp)).otherwise(F.least("open", tp))
+    price = F.when(stop, F.when(is_long, F.least(opened, sl)).otherwise(F.greatest(opened, sl))).when(
+        target, F.when(is_long, F.greatest(opened, tp)).otherwise(F.least(opened, tp))
     )
     if "band_long" in extra:
         band = F.when(is_long, F.col("band_long")).otherwise(F.col("band_short"))

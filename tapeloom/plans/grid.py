@@ -211,4 +211,4 @@ def fade_sweep(setup: DataFrame, bars: DataFrame, setup_tf: str, devs: Sequence[
     each = each.withColumn("sl_level", F.col("stop")).withColumn(
         "tp_level", F.col("price") + F.col("dir") * F.abs(F.col("price") - F.col("stop")) * F.col("k")
     )
-    return O.barrier_outcomes(each, bars, max_bars)
+    return O.barrier_outcomes(each, bars, max_bars, first_bar=0)

@@ -89,6 +89,14 @@ def test_first_touch(spark, side, ohlc, want):
     assert (out.exit_no, out.exit_price and round(out.exit_price, 9), out.exit_reason) == want
 
 
+def test_entry_bar_can_stop_a_fill_inside_it(spark):
+    bars = path(spark, [(80, 115, 85, 100), (100, 101, 99, 100)])
+    plain = O.with_barriers(entry(spark), 0.1, 0.5)
+    assert O.barrier_outcomes(plain, bars, 1).first().exit_reason == "time"
+    out = O.barrier_outcomes(plain, bars, 1, first_bar=0).first()
+    assert (out.exit_no, out.exit_price, out.exit_reason) == (0, 90.0, "stop")
+
+
 def test_flat_at_session_end_and_opposite_signal(spark):
     bars = path(spark, [(100, 100, 100, 100), (101, 102, 99, 101), (103, 104, 99, 102)])
     plain = O.with_barriers(entry(spark))
