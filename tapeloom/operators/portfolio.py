@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.columns import NEW_YORK, div, local
 from tapeloom.operators.metrics import daily_sums
-from tapeloom.operators.series import DAY, prefix_scan, time_bucket
+from tapeloom.operators.series import DAY, number_rows, prefix_scan, time_bucket
+from tapeloom.session import stage
 
 
 def open_positions(trades: DataFrame, keys: Sequence[str], size: Column) -> DataFrame:
@@ -77,62 +78,72 @@ def weekly_ledger(trades: DataFrame, pnl: Column, size: Column, start: float, tz
 def dense_daily(trades: DataFrame, setup: str, pnl: Column) -> DataFrame:
     """Daily P&L of every setup on every day any setup traded; zero where it did not.
 
-    The list of setups is the small set under review; each day row expands to it in place.
+    Each setup row expands to the list of days in place; the time span bounds that list.
     """
     daily = daily_sums(trades, [setup], pnl)
-    setups = daily.select(setup).distinct().agg(F.array_sort(F.collect_list(setup))).scalar()
-    grid = daily.select("day").distinct().withColumn(setup, F.explode(setups))
+    days = daily.select("day").distinct().agg(F.array_sort(F.collect_list("day"))).scalar()
+    grid = daily.select(setup).distinct().withColumn("day", F.explode(days))
     return grid.join(daily, ["day", setup], "left").withColumn("pnl", F.coalesce("pnl", F.lit(0.0)))
 
 
-def correlations(trades: DataFrame, setup: str, pnl: Column) -> DataFrame:
+def correlations(trades: DataFrame, setup: str, pnl: Column, block: int = 256) -> DataFrame:
     """Pearson correlation of daily P&L for each pair of setups, absent days counting as zero.
 
-    Tasks add up products of whole day vectors and emit one matrix per partition, so no day's pairs
-    are ever written out as rows.
+    Setups are cut into blocks. Blocks of one day meet pairwise, and tasks add up block products over
+    the days, so a day's setup pairs are never written out as rows and no task holds all setups.
     """
     daily = daily_sums(trades, [setup], pnl)
-    names = daily.select(setup).distinct().agg(F.array_sort(F.collect_list(setup)).alias("names"))
-    n_days = daily.select("day").distinct().agg(F.count(F.lit(1)).alias("n_days"))
-    listed = names.scalar()
-    vectors = daily.withColumn("_i", F.array_position(listed, F.col(setup)) - 1).groupBy("day").agg(
-        F.collect_list(F.struct("_i", "pnl")).alias("v"), F.first(F.size(listed)).alias("width")
+    named = daily.select(setup).distinct().withColumn("_h", F.xxhash64(setup)).withColumn("_all", F.lit(0))
+    index = stage(
+        number_rows(named, ["_all"], ["_h", setup], F.shiftright("_h", 48), "_pos").select(
+            setup, F.col("_pos").alias("_i")
+        ),
+        "setups",
     )
-
-    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = sums = None
+    placed = daily.join(index, setup).withColumn("_b", F.floor(F.col("_i") / F.lit(block)))
+    vectors = placed.groupBy("day", "_b").agg(
+        F.collect_list(F.struct(F.pmod("_i", F.lit(block)).cast("int").alias("at"), "pnl")).alias("v")
+    )
+    left = vectors.select("day", F.col("_b").alias("p"), F.col("v").alias("x"))
+    right = vectors.select("day", F.col("_b").alias("q"), F.col("v").alias("y"))
+    meet = left.join(right, "day").where("p <= q").repartition("p", "q")
+
+    def dense(column: pd.Series) -> np.ndarray:
+        m = np.zeros((len(column), block))
+        for row, items in enumerate(column):
+            for it in items:
+                m[row, it["at"]] = it["pnl"]
+        return m
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            if batch.empty:
-                continue
-            width = int(batch["width"].iloc[0])
-            m = np.zeros((len(batch), width))
-            for row, items in enumerate(batch["v"]):
-                for it in items:
-                    m[row, it["_i"]] = it["pnl"]
-            total = m.T @ m if total is None else total + m.T @ m
-            sums = m.sum(axis=0) if sums is None else sums + m.sum(axis=0)
-        if total is not None:
-            i, j = np.triu_indices(len(sums))
-            yield pd.DataFrame({"i": i, "j": j, "sxy": total[i, j], "sx": np.where(i == j, sums[i], 0.0)})
-
-    parts = vectors.mapInPandas(gram, "i long, j long, sxy double, sx double")
-    cells = parts.groupBy("i", "j").agg(F.sum("sxy").alias("sxy"), F.sum("sx").alias("sx"))
-    diag = cells.where("i = j").select("i", "sx", F.col("sxy").alias("sxx"))
-    a = diag.select(F.col("i"), F.col("sx").alias("sa"), F.col("sxx").alias("saa"))
-    b = diag.select(F.col("i").alias("j"), F.col("sx").alias("sb"), F.col("sxx").alias("sbb"))
-    n = n_days.scalar()
+            for pair, g in batch.groupby(["p", "q"]):
+                part = dense(g["x"]).T @ dense(g["y"])
+                total[pair] = total[pair] + part if pair in total else part
+        for (p, q), m in total.items():
+            i, j = np.indices(m.shape)
+            i, j, v = i.ravel() + p * block, j.ravel() + q * block, m.ravel()
+            keep = (i <= j) & ((v != 0) | (i < j))
+            yield pd.DataFrame({"i": i[keep], "j": j[keep], "sxy": v[keep]})
+
+    cells = meet.mapInPandas(products, "i long, j long, sxy double").groupBy("i", "j").agg(F.sum("sxy").alias("sxy"))
+    sums = placed.groupBy("_i", setup).agg(F.sum("pnl").alias("_s"), F.sum(F.col("pnl") * F.col("pnl")).alias("_ss"))
+    a = sums.select(F.col("_i").alias("i"), F.col(setup).alias("setup_a"), F.col("_s").alias("sa"), F.col("_ss").alias("saa"))
+    b = sums.select(F.col("_i").alias("j"), F.col(setup).alias("setup_b"), F.col("_s").alias("sb"), F.col("_ss").alias("sbb"))
+    n = daily.select("day").distinct().agg(F.count(F.lit(1))).scalar()
     cov = F.col("sxy") - F.col("sa") * F.col("sb") / n
     va = F.col("saa") - F.col("sa") * F.col("sa") / n
     vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
     corr = div(cov, F.sqrt(F.when((va > 0) & (vb > 0), va * vb)))
+    flip = F.col("setup_a") > F.col("setup_b")
     return (
         cells.where("i < j")
-        .select("i", "j", "sxy")
         .join(a, "i")
         .join(b, "j")
         .select(
-            listed[F.col("i").cast("int")].alias("setup_a"),
-            listed[F.col("j").cast("int")].alias("setup_b"),
+            F.when(flip, F.col("setup_b")).otherwise(F.col("setup_a")).alias("setup_a"),
+            F.when(flip, F.col("setup_a")).otherwise(F.col("setup_b")).alias("setup_b"),
             corr.alias("corr"),
         )
     )

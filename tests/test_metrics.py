@@ -85,14 +85,15 @@ def test_open_positions_free_the_slot_first(spark):
     assert [(r.open_count, r.capital) for r in got] == [(1, 10.0), (1, 10.0), (2, 20.0)]
 
 
-def test_correlation_matrix(spark):
+@pytest.mark.parametrize("block", [2, 256])
+def test_correlation_matrix(spark, block):
     rng = np.random.default_rng(3)
     recs = [
         (s, pd.Timestamp("2024-01-01") + pd.Timedelta(days=int(d)), float(rng.normal()))
         for s in ("a", "b", "c") for d in rng.choice(50, 30, replace=False)
     ] + [("z", pd.Timestamp("2024-01-01"), 0.0)]
     df = mk(spark, recs, "s string, entry_ts timestamp, pnl double")
-    got = {(r.setup_a, r.setup_b): r.corr for r in P.correlations(df, "s", F.col("pnl")).collect()}
+    got = {(r.setup_a, r.setup_b): r.corr for r in P.correlations(df, "s", F.col("pnl"), block).collect()}
     wide = pd.DataFrame(recs, columns=["s", "d", "p"]).pivot_table(index="d", columns="s", values="p", fill_value=0.0)
     for (a, b), c in got.items():
         if "z" in (a, b):
