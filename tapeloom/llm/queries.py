@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import exact_dedup
+from tapeloom.llm import exact_dedup, ngram_join
 from tapeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,27 @@ def add(key: str, sql: str | None = None):
 )
 def op6(spark, sf_dir):
     return exact_dedup.owners(table(spark, sf_dir, "documents"))
+
+
+@add(
+    "op2_ngram_join",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+        FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS sh
+        FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+    ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS cnt FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2
+    ), l AS MATERIALIZED (
+        SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * cnt >= 85 * (a.n + b.n - cnt)
+    ), r AS (SELECT x AS node, y AS other FROM l UNION SELECT r.node, l.y FROM r JOIN l ON r.other = l.x)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id
+    FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node, min(other) AS low FROM r GROUP BY node) m ON m.node = d.doc_id
+    """,
+)
+def op2(spark, sf_dir):
+    return ngram_join.label(table(spark, sf_dir, "documents"), k=4, percent=85)
