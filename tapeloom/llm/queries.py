@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import exact_dedup, ngram_join
+from tapeloom.llm import exact_dedup, ngram_join, packing
 from tapeloom.llm.common import table
 
+#: where the public vocabulary files are
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -58,3 +62,8 @@ def op6(spark, sf_dir):
 )
 def op2(spark, sf_dir):
     return ngram_join.label(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@add("op8_best_fit_packing")
+def op8(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
