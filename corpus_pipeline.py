@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import exact_dedup
+from tapeloom.llm import exact_dedup, mixing, ngram_join, packing, quality
 from tapeloom.llm.common import stage, table
+from tapeloom.llm.queries import MIXTURE, MIXTURE_BUDGET, TOKENIZER
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +19,22 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more) stays."""
+    return ngram_join.deduplicate(docs, k=5, percent=80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by probabilities raked to the target weights."""
+    return mixing.sample(docs, MIXTURE, MIXTURE_BUDGET)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents, packed into sequences."""
+    return packing.pack(docs, TOKENIZER)
+
+
+STAGES = [("quality", quality_filter), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
 #: trained scores and a trained tokenizer's ids have no SQL twin
 ORACLE_SQL = None
 

@@ -7,12 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import exact_dedup, ngram_join, packing
+from tapeloom.llm import exact_dedup, mixing, ngram_join, packing, quality
 from tapeloom.llm.common import table
 
 #: where the public vocabulary files are
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+#: shares of the mixture; the sources weigh alike, whatever they hold, and the rest of the topics share one weight
+MIXTURE = {
+    "source": {f"src{i}": 1.0 for i in range(20)} | {"other": 1.0},
+    "lang": {"en": 0.5, "de": 0.15, "fr": 0.15, "es": 0.15, "other": 0.05},
+    "topic": {f"topic{i}": 1.0 for i in range(mixing.TOPICS)} | {"other": 0.5},
+}
+#: share of the tokens that the mixture takes
+MIXTURE_BUDGET = 0.5
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -67,3 +76,13 @@ def op2(spark, sf_dir):
 @add("op8_best_fit_packing")
 def op8(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@add("op1_mixing")
+def op1(spark, sf_dir):
+    return mixing.weighed(table(spark, sf_dir, "documents"), MIXTURE, MIXTURE_BUDGET)
+
+
+@add("op5_quality")
+def op5(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
