@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import exact_dedup, mixing, ngram_join, packing, quality
+from tapeloom.llm import exact_dedup, mixing, ngram_join, packing, quality, secrets
 from tapeloom.llm.common import table
 
 #: where the public vocabulary files are
@@ -86,3 +86,8 @@ def op1(spark, sf_dir):
 @add("op5_quality")
 def op5(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@add("op3_secret_scan", secrets.sql())
+def op3(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
