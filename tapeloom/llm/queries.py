@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import exact_dedup, mixing, ngram_join, packing, quality, secrets
+from tapeloom.llm import exact_dedup, html_text, mixing, ngram_join, packing, quality, secrets
 from tapeloom.llm.common import table
 
 #: where the public vocabulary files are
@@ -91,3 +91,8 @@ def op5(spark, sf_dir):
 @add("op3_secret_scan", secrets.sql())
 def op3(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@add("op9_html_text")
+def op9(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
