@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import exact_dedup, html_text, mixing, ngram_join, packing, quality, secrets
+from tapeloom.llm import exact_dedup, html_text, mixing, ngram_join, packing, quality, secrets, topk
 from tapeloom.llm.common import table
 
 #: where the public vocabulary files are
@@ -96,3 +96,21 @@ def op3(spark, sf_dir):
 @add("op9_html_text")
 def op9(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@add(
+    "op7_exact_topk",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+    ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+    SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+    """,
+)
+def op7(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
