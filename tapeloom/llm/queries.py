@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import exact_dedup, html_text, mixing, ngram_join, packing, quality, secrets, topk
+from tapeloom.llm import exact_dedup, html_text, mixing, ngram_join, packing, quality, secrets, substring_dedup, topk
 from tapeloom.llm.common import table
 
 #: where the public vocabulary files are
@@ -114,3 +114,8 @@ def op9(spark, sf_dir):
 )
 def op7(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@add("op10_substring_dedup")
+def op10(spark, sf_dir):
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
