@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeloom.llm import exact_dedup, html_text, mixing, ngram_join, packing, quality, secrets, substring_dedup, topk
+from tapeloom.llm import exact_dedup, html_text, licenses, mixing, ngram_join, packing, quality, secrets, substring_dedup, topk
 from tapeloom.llm.common import table
 
 #: where the public vocabulary files are
@@ -119,3 +120,11 @@ def op7(spark, sf_dir):
 @add("op10_substring_dedup")
 def op10(spark, sf_dir):
     return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+@add("op4_license_scan")
+def op4(spark, sf_dir):
+    # the table has no paths: a document lies under its source and language, 64 ids to a folder
+    folder = F.floor(F.col("doc_id") / 64).cast("string")
+    path = F.concat_ws("/", "source", "lang", folder, F.col("doc_id").cast("string"))
+    return licenses.scan(table(spark, sf_dir, "documents"), path)
