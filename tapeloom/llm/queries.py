@@ -55,7 +55,7 @@ def op6(spark, sf_dir):
     r"""
     WITH RECURSIVE w AS (
         SELECT doc_id, list_filter(regexp_split_to_array(
-            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
         FROM documents
     ), s AS (
         SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS sh
