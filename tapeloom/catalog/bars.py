@@ -327,13 +327,14 @@ def zero_volume_move(spark, sf):
     sql(
         "n1d",
         "w AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY bar_no) - 1 AS move FROM n1d), "
-        "ev AS (SELECT symbol, ts FROM b1d WHERE trades >= 67)",
+        "ev AS (SELECT symbol, ts FROM b1d WHERE day(ts) % 5 = 0)",
         f"SELECT symbol, ts, {rd('move')} AS move FROM w WHERE abs(move) > 0.4 "
         "AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.symbol = w.symbol AND ev.ts = w.ts)",
     ),
 )
 def split_suspect(spark, sf):
-    known_splits = bars(spark, sf, "1d").where(F.col("trades") >= 67).select("symbol", "ts")
+    # the tables hold no splits; every fifth day of a month stands for one
+    known_splits = bars(spark, sf, "1d").where(F.dayofmonth("ts") % 5 == 0).select("symbol", "ts")
     out = Q.split_suspects(numbered(spark, sf, "1d"), known_splits)
     return show(out, r(F.col("move")).alias("move"), cols=["symbol"])
 
@@ -365,14 +366,18 @@ def buy_hold(spark, sf):
     return b.groupBy("symbol").agg(r(ratio - 1).alias("buy_hold"))
 
 
+#: how many symbols a sweep takes
+TOP_SYMBOLS = 50
+
+
 @query(
     "top_dollar_volume",
-    sql("b15m", f"SELECT symbol, {rd('sum(close * volume)', 2)} AS dollar_volume FROM b15m GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3"),
+    sql("b15m", f"SELECT symbol, {rd('sum(close * volume)', 2)} AS dollar_volume FROM b15m GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {TOP_SYMBOLS}"),
 )
 def top_dollar_volume(spark, sf):
     b = bars(spark, sf, "15min")
     per = b.groupBy("symbol").agg(F.sum(F.col("close") * F.col("volume")).alias("dv"))
-    return per.orderBy(F.desc("dv"), "symbol").limit(3).select("symbol", r(F.col("dv"), 2).alias("dollar_volume"))
+    return per.orderBy(F.desc("dv"), "symbol").limit(TOP_SYMBOLS).select("symbol", r(F.col("dv"), 2).alias("dollar_volume"))
 
 
 @query(
@@ -402,10 +407,9 @@ def tape_features_query(spark, sf):
     "thin_curve",
     sql(
         "b1m",
-        "n AS (SELECT symbol, count(*) AS n FROM b1m GROUP BY 1), "
-        f"s AS (SELECT symbol, CASE WHEN n > 1970 THEN time_bucket({secs('1h')}, ts) WHEN n > 1500 THEN time_bucket({secs('15min')}, ts) ELSE ts END AS slot, ts, close FROM b1m JOIN n USING (symbol))",
+        f"s AS (SELECT symbol, time_bucket({secs('15min')}, ts) AS slot, ts, close FROM b1m)",
         "SELECT symbol, slot AS ts, arg_max(close, ts) AS close FROM s GROUP BY 1, 2",
     ),
 )
 def thin_curve(spark, sf):
-    return show(B.thinned(bars(spark, sf, "1min"), "close", 1500, 1970), cols=["symbol", "close"])
+    return show(B.thinned(bars(spark, sf, "1min"), "close"), cols=["symbol", "close"])

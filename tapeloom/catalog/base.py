@@ -43,6 +43,11 @@ def rd(expr: str, digits: int = 6) -> str:
     return f"(round(({expr}) + 1e-11, {digits}) + 0.0)"
 
 
+COMPOUND = "CASE WHEN min(ret) <= -1 THEN -100 ELSE 100 * (exp(sum(ln(CASE WHEN ret > -1 THEN 1 + ret END))) - 1) END"
+#: a day's (or trade's) growth in log form and its total losses
+GROWTH = "sum(ln(CASE WHEN ret > -1 THEN 1 + ret END)) AS lr, count(*) FILTER (WHERE ret <= -1) AS lost"
+
+
 def secs(tf: str) -> str:
     return f"INTERVAL '{TIMEFRAMES[tf]} seconds'"
 

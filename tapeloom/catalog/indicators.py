@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.catalog.base import (
+    GROWTH,
     ema_cte, ewm_cte, full, lagged, ny, query, rd, rsi_cte, sql, win,
 )
 from tapeloom.functions.columns import floor_ts, ntz, r
 from tapeloom.operators import gates as G
+from tapeloom.operators import metrics as M
 from tapeloom.operators import indicators as I
 from tapeloom.operators.asof import activate, align_setup, asof
 from tapeloom.operators.series import (
@@ -75,20 +77,23 @@ def asof_strict(spark, sf):
     sql(
         "n1h trades",
         f"f AS MATERIALIZED (SELECT symbol, ts, {full('avg(close)', 20)} AS sma_20 FROM n1h), "
-        "e AS (SELECT order_id, line_no, part_id, qty, ret, 'click' AS symbol, "
-        "TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (order_id % 720) AS ts FROM trades)",
-        f"SELECT order_id, line_no, part_id, qty, ret, ts, {rd('sma_20')} AS sma_20 FROM e JOIN f USING (symbol, ts)",
+        "nm AS (SELECT list(DISTINCT event_type ORDER BY event_type) AS names FROM events), "
+        "e AS (SELECT order_id, line_no, part_id, qty, ret, names[1 + symbol % len(names)] AS symbol, "
+        "TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (order_id % 720) AS ts FROM trades, nm)",
+        f"SELECT order_id, line_no, part_id, qty, ret, ts, {rd('sma_20')} AS sma_20 FROM e LEFT JOIN f USING (symbol, ts)",
     ),
 )
 def trade_features(spark, sf):
-    """Features of the bar a trade was entered on, by exact time."""
+    """Features of the bar a trade was entered on, by exact time; all trades stay. Trades are dealt over the tick symbols."""
     start = F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    entries = trades(spark, sf).select(
-        "order_id", "line_no", "part_id", "qty", "ret", F.lit("click").alias("symbol"),
+    names = ticks(spark, sf).agg(F.array_sort(F.collect_set("symbol")).alias("names"))  # one row per symbol at most
+    entries = trades(spark, sf).withColumn("names", F.lit(names.first()[0])).select(
+        "order_id", "line_no", "part_id", "qty", "ret",
+        F.element_at("names", (F.pmod("symbol", F.size("names")) + 1).cast("int")).alias("symbol"),
         F.timestamp_seconds(start + F.pmod("order_id", F.lit(720)) * 3600).alias("ts"),
     )
     feats = I.sma(numbered(spark, sf, "1h"), [20]).select("symbol", "ts", "sma_20")
-    hit = entries.join(feats, ["symbol", "ts"])
+    hit = entries.join(feats, ["symbol", "ts"], "left")
     return hit.select("order_id", "line_no", "part_id", "qty", "ret", ntz(F.col("ts")).alias("ts"), r(F.col("sma_20")).alias("sma_20"))
 
 
@@ -221,17 +226,19 @@ def session_vwap(spark, sf):
     "equity_curve",
     sql(
         "trades",
-        "d AS (SELECT cfg, date_trunc('day', entry_ts) AS day, sum(ln(1 + ret)) AS lr FROM trades GROUP BY 1, 2)",
-        f"SELECT cfg, day, {rd('sum(lr) OVER (PARTITION BY cfg ORDER BY day)')} AS log_equity FROM d",
+        f"d AS (SELECT cfg, date_trunc('day', entry_ts) AS day, {GROWTH} FROM trades GROUP BY 1, 2)",
+        f"SELECT cfg, day, {rd('CASE WHEN sum(lost) OVER (PARTITION BY cfg ORDER BY day) = 0 THEN sum(lr) OVER (PARTITION BY cfg ORDER BY day) END')} AS log_equity FROM d",
     ),
 )
 def equity_curve(spark, sf):
-    """Compounded equity per day in log form: log1p adds where returns multiply."""
+    """Compounded equity per day in log form, where returns add; NULL from a total loss on."""
     day = trades(spark, sf).groupBy("cfg", floor_ts(F.col("entry_ts"), DAY).alias("day")).agg(
-        F.sum(F.log1p("ret")).alias("lr")
+        F.sum(M.log_growth(F.col("ret"))).alias("lr"), F.sum(M.ruined(F.col("ret"))).alias("lost")
     )
-    curve = prefix_scan(day, ["cfg"], ["day"], time_bucket("day", 90 * DAY), {"log_equity": ("sum", F.col("lr"))})
-    return curve.select("cfg", ntz(F.col("day")).alias("day"), r(F.col("log_equity")).alias("log_equity"))
+    curve = prefix_scan(
+        day, ["cfg"], ["day"], time_bucket("day", 90 * DAY), {"log_equity": ("sum", F.col("lr")), "gone": ("sum", F.col("lost"))}
+    )
+    return curve.select("cfg", ntz(F.col("day")).alias("day"), r(F.when(F.col("gone") == 0, F.col("log_equity"))).alias("log_equity"))
 
 
 # ---------------------------------------------------------------- matrices
@@ -285,6 +292,10 @@ def rsi_matrix(spark, sf):
     return out(m, "rsi_1d", "rsi_4h", "rsi_2h")
 
 
+#: candles per symbol that a chart shows
+SHOWN = 300
+
+
 @query(
     "candles_overlay",
     sql(
@@ -297,7 +308,7 @@ def rsi_matrix(spark, sf):
         "m AS (SELECT symbol, max(bar_no) AS last_no FROM n1h GROUP BY 1)",
         f"SELECT w.symbol, w.ts, {rd('sma_50')} AS sma_50, {rd('sma_200')} AS sma_200, {rd('e21')} AS ema_21, {rd('rsi')} AS rsi, "
         f"{rd('vwap')} AS vwap FROM w JOIN e21 USING (symbol, bar_no) JOIN rr USING (symbol, bar_no) JOIN m USING (symbol) "
-        "WHERE bar_no > last_no - 300",
+        f"WHERE bar_no > last_no - {SHOWN}",
     ),
 )
 def candles_overlay(spark, sf):
@@ -313,5 +324,5 @@ def candles_overlay(spark, sf):
     keep = over.withColumn("_close", F.col("close")).withColumn("close", typical)
     keep = I.session_vwap(keep).drop("close").withColumnRenamed("_close", "close")
     last = n.groupBy("symbol").agg(F.max("bar_no").alias("_last"))
-    shown = keep.join(last, "symbol").where(F.col("bar_no") > F.col("_last") - 300)
+    shown = keep.join(last, "symbol").where(F.col("bar_no") > F.col("_last") - SHOWN)
     return out(shown, "sma_50", "sma_200", "ema_21", "rsi", "vwap")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.catalog.base import ny, query, rd, rsi_cte, sql
+from tapeloom.catalog.base import COMPOUND, ny, query, rd, rsi_cte, sql
 from tapeloom.catalog.indicators import LEVEL_SQL, LEVELS, frames_of
 from tapeloom.catalog.outcomes import ENT, PCT, TIE, next_bar_entries, pct_trades
 from tapeloom.functions.columns import add_tf, div, floor_ts, local, local_day, ntz, r
@@ -60,7 +60,7 @@ DD = (
         "sh AS (SELECT symbol, avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(365) AS sharpe FROM dp GROUP BY 1)",
         f"SELECT symbol, count(*) AS n_trades, {rd('100.0 * count(*) FILTER (WHERE ret > 0) / count(*)', 1)} AS win_rate_pct, "
         f"{rd(pf_sql(), 3)} AS profit_factor, {rd('100 * avg(ret)', 3)} AS avg_trade_pct, {rd('100 * median(ret)', 3)} AS median_trade_pct, "
-        f"{rd('100 * (exp(sum(ln(1 + ret))) - 1)', 2)} AS total_return_pct, {rd('100 * any_value(max_drawdown)', 2)} AS max_dd_pct, "
+        f"{rd(COMPOUND, 2)} AS total_return_pct, {rd('100 * any_value(max_drawdown)', 2)} AS max_dd_pct, "
         f"{rd('any_value(sharpe)', 2)} AS sharpe FROM trades JOIN dd USING (symbol) JOIN sh USING (symbol) GROUP BY 1",
     ),
 )
@@ -99,7 +99,7 @@ def trade_sharpe(spark, sf):
     "oos_aggregate",
     sql("trades", "SELECT symbol, count(*) AS oos_trades, "
         f"{rd(pf_sql(), 3)} AS oos_pf, {rd('100.0 * count(*) FILTER (WHERE ret > 0) / count(*)', 1)} AS oos_win_rate_pct, "
-        f"{rd('100 * avg(ret)', 3)} AS oos_avg_trade_pct, {rd('100 * (exp(sum(ln(1 + ret))) - 1)', 2)} AS oos_return_pct "
+        f"{rd('100 * avg(ret)', 3)} AS oos_avg_trade_pct, {rd(COMPOUND, 2)} AS oos_return_pct "
         "FROM trades WHERE entry_ts >= TIMESTAMP '2000-01-01' GROUP BY 1"),
 )
 def oos_aggregate(spark, sf):
@@ -274,22 +274,23 @@ def recent_trades(spark, sf):
 
 
 LEDGER_TIE = ", ".join(["entry_ts", *TIE])
+LEDGER_WIN = f"(PARTITION BY symbol ORDER BY {LEDGER_TIE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
 @query(
     "compound_ledger",
     sql("trades", "SELECT symbol, entry_ts, order_id, line_no, part_id, ret, "
-        f"{rd(f'coalesce(sum(ln(1 + ret)) OVER (PARTITION BY symbol ORDER BY {LEDGER_TIE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)')} AS log_stake FROM trades"),
+        f"{rd(f'CASE WHEN coalesce(min(ret) OVER {LEDGER_WIN}, 0) > -1 THEN coalesce(sum(ln(CASE WHEN ret > -1 THEN 1 + ret END)) OVER {LEDGER_WIN}, 0) END')} AS log_stake FROM trades"),
 )
 def compound_ledger(spark, sf):
-    """Stake before each trade when every result is reinvested, in log form."""
+    """Stake before each trade when every result is reinvested, in log form; NULL once all is lost."""
     t = prefix_scan(
         trades(spark, sf), ["symbol"], ["entry_ts", *TIE], time_bucket("entry_ts", 30 * DAY),
-        {"log_stake": ("sum", F.log1p("ret"))}, inclusive=False,
+        {"log_stake": ("sum", M.log_growth(F.col("ret"))), "lost": ("sum", M.ruined(F.col("ret")))}, inclusive=False,
     )
     return t.select(
         "symbol", ntz(F.col("entry_ts")).alias("entry_ts"), "order_id", "line_no", "part_id", "ret",
-        r(F.coalesce("log_stake", F.lit(0.0))).alias("log_stake"),
+        r(F.when(F.coalesce("lost", F.lit(0)) == 0, F.coalesce("log_stake", F.lit(0.0)))).alias("log_stake"),
     )
 
 
@@ -391,31 +392,32 @@ BANDS = "CASE WHEN v <= -30 THEN 0 WHEN v <= -10 THEN 1 WHEN v <= 0 THEN 2 WHEN
         "lt AS MATERIALIZED (SELECT tr.*, dist_ema21_4h, dist_pdh, slope_sma5_1d FROM tr JOIN lm ON lm.symbol = tr.symbol AND lm.bar_no = tr.entry_no WHERE exit_ts IS NOT NULL), "
         "u AS (SELECT 'dist_ema21_4h' AS feature, dist_ema21_4h AS v, ret, dir FROM lt UNION ALL SELECT 'dist_pdh', dist_pdh, ret, dir FROM lt), "
         "u2 AS (SELECT *, count(*) OVER (PARTITION BY feature, dir) AS side_n FROM u), "
-        f"bands AS (SELECT feature, CAST(dir AS BIGINT) AS dir, CAST({BANDS} AS BIGINT) AS band, {GROUP_COLS} FROM u2 WHERE side_n >= 20 AND v IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 5), "
-        f"hyp AS (SELECT 'long above rising average' AS feature, CAST(1 AS BIGINT) AS dir, CAST(NULL AS BIGINT) AS band, {GROUP_COLS} FROM lt WHERE dir = 1 AND dist_ema21_4h > 0 AND slope_sma5_1d > 0 HAVING count(*) >= 8)",
+        f"bands AS (SELECT feature, CAST(dir AS BIGINT) AS dir, CAST({BANDS} AS BIGINT) AS band, {GROUP_COLS}, any_value(side_n) >= 20 AND count(*) >= 5 AS enough FROM u2 WHERE v IS NOT NULL GROUP BY 1, 2, 3), "
+        f"hyp AS (SELECT 'long above rising average' AS feature, CAST(1 AS BIGINT) AS dir, CAST(NULL AS BIGINT) AS band, {GROUP_COLS}, count(*) >= 8 AS enough FROM lt WHERE dir = 1 AND dist_ema21_4h > 0 AND slope_sma5_1d > 0 HAVING count(*) > 0)",
         "SELECT * FROM bands UNION ALL SELECT * FROM hyp"),
 )
 def level_bands(spark, sf):
-    """Results by distance to a level, per side; small groups are left out as the report does."""
+    """Results by distance to a level, per side; ``enough`` marks the groups that the report shows."""
     t, n = pct_trades(spark, sf)
     lm = G.level_matrix(n, frames_of(spark, sf, ["1d", "4h"]), LEVELS).select(
         "symbol", F.col("bar_no").alias("entry_no"), "dist_ema21_4h", "dist_pdh", "slope_sma5_1d"
     )
     lt = stage(t.where(F.col("exit_ts").isNotNull()).join(lm, ["symbol", "entry_no"]), "level-trades")
     u = lt.select("ret", "dir", F.expr("stack(2, 'dist_ema21_4h', dist_ema21_4h, 'dist_pdh', dist_pdh) as (feature, v)"))
-    sides = u.groupBy("feature", "dir").agg(F.count(F.lit(1)).alias("side_n")).where("side_n >= 20")
+    sides = u.groupBy("feature", "dir").agg(F.count(F.lit(1)).alias("side_n"))
     inf = float("inf")
     banded = u.join(sides, ["feature", "dir"]).withColumn("band", M.right_closed_bin(F.col("v"), [-inf, -30, -10, 0, 10, 30, inf]))
     bands = (
         banded.where(F.col("band").isNotNull())
         .groupBy("feature", F.col("dir").cast("long").alias("dir"), "band")
-        .agg(*group_columns())
-        .where("n >= 5")
+        .agg(*group_columns(), F.max("side_n").alias("side_n"))
+        .withColumn("enough", F.expr("side_n >= 20 and n >= 5"))
+        .drop("side_n")
     )
     hyp = (
         lt.where((F.col("dir") == 1) & (F.col("dist_ema21_4h") > 0) & (F.col("slope_sma5_1d") > 0))
         .groupBy(F.lit("long above rising average").alias("feature"), F.col("dir").cast("long").alias("dir"), F.lit(None).cast("long").alias("band"))
         .agg(*group_columns())
-        .where("n >= 8")
+        .withColumn("enough", F.expr("n >= 8"))
     )
     return bands.unionByName(hyp)

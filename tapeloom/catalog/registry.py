@@ -26,7 +26,7 @@ def family_runs(spark, sf):
 
 
 CFG = (
-    "SELECT run_id, strategy || '|{{\"dev\":' || (run_id % 3) || ',\"entry\":{{\"fast\":' || (run_id % 7) || ',\"kind\":\"ma_cross\",\"thr\":0.5}},"
+    "SELECT run_id, strategy || '|{{\"dev\":' || (run_id % 3) || CASE WHEN run_id % 2 = 0 THEN '.5' ELSE '' END || ',\"entry\":{{\"fast\":' || (run_id % 7) || ',\"kind\":\"ma_cross\",\"thr\":0.5}},\"exit\":{{\"kind\":\"r\",\"r\":' || (run_id % 4) || '}}' || CASE WHEN run_id % 5 = 0 THEN ',\"filter\":{{\"kind\":\"rsi\",\"tf\":\"4h\",\"thr\":55}}' ELSE '' END || ',"
     "\"setup_tf\":\"4h\",\"strategy\":\"' || strategy || '\"}}' AS sig FROM runs"
 ).replace("{{", "{").replace("}}", "}")
 
@@ -35,9 +35,11 @@ CFG = (
 def config_sig(spark, sf):
     """Free-form parameter documents, keys in arbitrary order, floats where integers are meant."""
     doc = F.format_string(
-        '{"fee": %s, "strategy": "%s", "symbol": "%s", "entry": {"thr": 0.5, "kind": "ma_cross", "fast": %s.0}, "dev": %s.0, "setup_tf": "4h"}',
+        '{"fee": %s, "strategy": "%s", "symbol": "%s", "entry": {"thr": 0.5, "kind": "ma_cross", "fast": %s.0}, "dev": %s%s, "setup_tf": "4h", "exit": {"r": %s.0, "kind": "r"}%s}',
         F.col("fee").cast("string"), "strategy", F.col("symbol").cast("string"),
         F.pmod("run_id", F.lit(7)).cast("string"), F.pmod("run_id", F.lit(3)).cast("string"),
+        F.when(F.pmod("run_id", F.lit(2)) == 0, ".5").otherwise(".0"), F.pmod("run_id", F.lit(4)).cast("string"),
+        F.when(F.pmod("run_id", F.lit(5)) == 0, ', "filter": {"tf": "4h", "thr": 55, "kind": "rsi"}').otherwise(""),
     )
     return runs(spark, sf).select("run_id", R.config_signature(doc).alias("sig"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.catalog.base import full, lagged, query, rd, rsi_cte, sql
+from tapeloom.catalog.base import COMPOUND, GROWTH, full, lagged, query, rd, rsi_cte, sql
 from tapeloom.catalog.metrics import DAYPNL, group_columns, GROUP_COLS, oos_columns, pf_sql
 from tapeloom.catalog.outcomes import ENT, PCT, TIE, next_bar_entries, pct_trades
 from tapeloom.functions.columns import add_tf, div, floor_ts, ntz, r
@@ -193,7 +193,7 @@ def trail_sweep(spark, sf):
 FOLDS = (
     "sp AS (SELECT {k}, min(entry_ts) AS t0, max(entry_ts) AS t1 FROM trades GROUP BY 1), "
     "fo AS MATERIALIZED (SELECT {k}, f AS fold, t0 + INTERVAL 30 DAY * f AS train_start, t0 + INTERVAL 30 DAY * f + INTERVAL 120 DAY AS train_end, "
-    "t0 + INTERVAL 30 DAY * f + INTERVAL 150 DAY AS test_end FROM sp, (SELECT CAST(unnest(range(0, 400)) AS INTEGER) AS f) "
+    "t0 + INTERVAL 30 DAY * f + INTERVAL 150 DAY AS test_end FROM sp, (SELECT CAST(unnest(range(0, (SELECT CAST(max(date_diff('day', t0, t1)) // 30 + 1 AS BIGINT) FROM sp))) AS INTEGER) AS f) "
     "WHERE t0 + INTERVAL 30 DAY * f + INTERVAL 150 DAY <= t1 + INTERVAL 1 DAY)"
 )
 FOLD_STATS = (
@@ -210,7 +210,7 @@ OOS = (
 )
 OOS_COLS = (
     f"count(*) AS oos_trades, {rd(pf_sql(), 3)} AS oos_pf, {rd('100.0 * count(*) FILTER (WHERE ret > 0) / count(*)', 1)} AS oos_win_rate_pct, "
-    f"{rd('100 * avg(ret)', 3)} AS oos_avg_trade_pct, {rd('100 * (exp(sum(ln(1 + ret))) - 1)', 2)} AS oos_return_pct"
+    f"{rd('100 * avg(ret)', 3)} AS oos_avg_trade_pct, {rd(COMPOUND, 2)} AS oos_return_pct"
 )
 WF = [FOLDS.format(k="symbol"), FOLD_STATS]
 KEY = ["symbol"]
@@ -289,7 +289,7 @@ def oos_verdict(spark, sf):
 
 
 @query("oos_period", sql("trades", *WF, OOS,
-       f"SELECT symbol, count(*) AS n, {rd('100 * (exp(sum(ln(1 + ret))) - 1)')} AS period_pct FROM oo WHERE entry_ts >= (SELECT max(date_trunc('day', entry_ts)) FROM oo) - INTERVAL 365 DAY GROUP BY 1"))
+       f"SELECT symbol, count(*) AS n, {rd(COMPOUND)} AS period_pct FROM oo WHERE entry_ts >= (SELECT max(date_trunc('day', entry_ts)) FROM oo) - INTERVAL 365 DAY GROUP BY 1"))
 def oos_period(spark, sf):
     """Result of the last year of the out-of-sample curve, measured from the newest day of all symbols."""
     t, w = wf_parts(spark, sf)
@@ -315,8 +315,8 @@ def latest_winner(spark, sf):
     sql("trades",
         f"st AS (SELECT symbol, cfg, count(*) AS n, {pf_sql(no_loss='inf_or_zero')} AS pf FROM trades GROUP BY 1, 2), "
         "bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n >= 100 DESC, round(pf, 9) DESC, cfg) AS rn FROM st WHERE n >= 10) WHERE rn = 1), "
-        "dl AS (SELECT symbol, cfg, date_trunc('day', entry_ts) AS day, sum(ln(1 + ret)) AS lr FROM trades JOIN bs USING (symbol, cfg) GROUP BY 1, 2, 3)",
-        f"SELECT symbol, cfg, day, {rd('sum(lr) OVER (PARTITION BY symbol ORDER BY day)')} AS log_equity FROM dl"),
+        f"dl AS (SELECT symbol, cfg, date_trunc('day', entry_ts) AS day, {GROWTH} FROM trades JOIN bs USING (symbol, cfg) GROUP BY 1, 2, 3)",
+        f"SELECT symbol, cfg, day, {rd('CASE WHEN sum(lost) OVER (PARTITION BY symbol ORDER BY day) = 0 THEN sum(lr) OVER (PARTITION BY symbol ORDER BY day) END')} AS log_equity FROM dl"),
 )
 def best_curve(spark, sf):
     """Equity of each symbol's best setup; setups with enough trades go first."""
@@ -328,12 +328,15 @@ def best_curve(spark, sf):
     day = (
         t.join(best.select("symbol", "cfg"), ["symbol", "cfg"], "left_semi")
         .groupBy("symbol", "cfg", floor_ts(F.col("entry_ts"), DAY).alias("day"))
-        .agg(F.sum(F.log1p("ret")).alias("lr"))
+        .agg(F.sum(M.log_growth(F.col("ret"))).alias("lr"), F.sum(M.ruined(F.col("ret"))).alias("lost"))
     )
     from tapeloom.operators.series import prefix_scan, time_bucket
 
-    run = prefix_scan(day, ["symbol"], ["day"], time_bucket("day", 90 * DAY), {"log_equity": ("sum", F.col("lr"))})
-    return run.select("symbol", "cfg", ntz(F.col("day")).alias("day"), r(F.col("log_equity")).alias("log_equity"))
+    run = prefix_scan(
+        day, ["symbol"], ["day"], time_bucket("day", 90 * DAY), {"log_equity": ("sum", F.col("lr")), "gone": ("sum", F.col("lost"))}
+    )
+    equity = F.when(F.col("gone") == 0, F.col("log_equity"))
+    return run.select("symbol", "cfg", ntz(F.col("day")).alias("day"), r(equity).alias("log_equity"))
 
 
 # ---------------------------------------------------------------- league
@@ -447,7 +450,7 @@ RANK = (
 )
 
 
-@query("league_rank", sql("trades", LEAGUE.format(s=FINE), lstats(5).replace(">= 5 AND any_value(hold_assets) >= 5", ">= 5 AND any_value(hold_assets) >= 5"), RANK,
+@query("league_rank", sql("trades", LEAGUE.format(s=FINE), lstats(5), RANK,
        f"SELECT ls.sig, ls.asset_class, {rd('hold_pf')} AS hold_pf, eligible, rank FROM ls LEFT JOIN rk USING (sig, asset_class)"))
 def league_rank(spark, sf):
     s = stage(league_rows(spark, sf, fine=True, min_hold=5).select("sig", "asset_class", "hold_pf", "eligible"), "league")
@@ -524,7 +527,7 @@ BOOT = (
     + ", dn AS MATERIALIZED (SELECT cfg, pnl, row_number() OVER (PARTITION BY cfg ORDER BY day) - 1 AS d, count(*) OVER (PARTITION BY cfg) AS n FROM dp), "
     "cn AS (SELECT cfg, any_value(n) AS n FROM dn GROUP BY 1 HAVING any_value(n) >= 10), "
     f"st AS (SELECT cfg, n, sim, slot, (1103515245 * (sim * 1000003 + slot * 7919 + 12345) + 12345) % 2147483648 % n AS s FROM cn, (SELECT unnest(range(0, {SIMS})) AS sim), "
-    "(SELECT unnest(range(0, 2000)) AS slot) WHERE slot < n // 5 + 40), "
+    "(SELECT unnest(range(0, (SELECT max(n) // 5 + 40 FROM cn))) AS slot) WHERE slot < n // 5 + 40), "
     "ln AS MATERIALIZED (SELECT *, least(5, n - s) AS len, coalesce(sum(least(5, n - s)) OVER (PARTITION BY cfg, sim ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM st), "
     "lk AS MATERIALIZED (SELECT cfg, sim, o + k AS pos, s + k AS d FROM ln CROSS JOIN (SELECT unnest(range(0, 5)) AS k) WHERE k < len AND o + k < n), "
     "sq AS MATERIALIZED (SELECT cfg, sim, pos, pnl FROM lk JOIN dn USING (cfg, d)), "

@@ -141,11 +141,7 @@ def daily_last(series: DataFrame, value: str, keys: list[str], rule_seconds: int
     )
 
 
-def thinned(series: DataFrame, value: str, limit: int = 20_000, coarse: int = 100_000) -> DataFrame:
-    """Long curves keep the last value per 15 minutes, very long ones per hour; short ones stay whole."""
-    size = series.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
-    step = F.when(F.col("_n") > coarse, tf_seconds("1h")).when(F.col("_n") > limit, tf_seconds("15min")).otherwise(1)
-    us = F.unix_micros("ts")
-    slot = F.when(F.col("_n") > limit, us - F.pmod(us, step.cast("long") * 1_000_000)).otherwise(us)
-    placed = series.join(size, "symbol").withColumn("_slot", slot)
-    return placed.groupBy("symbol", F.timestamp_micros("_slot").alias("ts")).agg(F.max_by(value, "ts").alias(value))
+def thinned(series: DataFrame, value: str, every: str = "15min") -> DataFrame:
+    """The last value of each interval, for every symbol alike."""
+    slot = floor_ts(F.col("ts"), tf_seconds(every))
+    return series.groupBy("symbol", slot.alias("_slot")).agg(F.max_by(value, "ts").alias(value)).withColumnRenamed("_slot", "ts")

@@ -48,8 +48,19 @@ def sharpe(x: Column) -> Column:
     return div(F.avg(x), F.when(sd > 0, sd))
 
 
+def log_growth(ret: Column) -> Column:
+    """What compounding adds in log form; NULL for a total loss, which :func:`ruined` marks."""
+    return F.log1p(F.when(ret > -1, ret))
+
+
+def ruined(ret: Column) -> Column:
+    """1 for a total loss, after which nothing is left to compound."""
+    return F.when(ret <= -1, 1).otherwise(0)
+
+
 def compounded_pct(ret: Column) -> Column:
-    return (F.exp(F.sum(F.log1p(F.when(ret > -1, ret)))) - 1) * 100
+    """Product of all returns; one total loss makes it -100%."""
+    return F.when(F.max(ruined(ret)) == 1, -100.0).otherwise((F.exp(F.sum(log_growth(ret))) - 1) * 100)
 
 
 def daily_sums(trades: DataFrame, keys: Sequence[str], value: Column, ts: str = "entry_ts") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,13 +17,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach; a private one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or the session's checkpoint folder.
+
+    Only a session in one process (``local``) may do without; it gets a private folder. Anywhere else a
+    missing setting is an error, since each executor would write to its own disk.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     base = tempfile.mkdtemp(prefix="tapeloom-")
     spark.sparkContext.setCheckpointDir(base)
     return base

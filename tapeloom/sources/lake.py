@@ -133,9 +133,9 @@ def read_daily_series(spark: SparkSession, path: str, missing: str = ".") -> Dat
     )
 
 
-def replace_series(series: DataFrame, path: str, min_rows: int = 100) -> bool:
-    """Overwrite a stored series unless the new one is suspiciously short."""
-    if series.limit(min_rows).count() < min_rows:
-        return False
+def replace_series(series: DataFrame, path: str, min_rows: int = 100) -> None:
+    """Overwrite a stored series; a suspiciously short one is an error, so old data never stay unnoticed."""
+    rows = series.limit(min_rows).count()
+    if rows < min_rows:
+        raise ValueError(f"the new series has {rows} rows, fewer than {min_rows}; nothing was replaced")
     series.write.mode("overwrite").parquet(path)
-    return True

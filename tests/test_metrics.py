@@ -4,12 +4,14 @@ import pytest
 from helpers import mk, rows
 from pyspark.sql import functions as F
 
+from tapeloom import session
 from tapeloom.operators import metrics as M
 from tapeloom.operators import portfolio as P
 from tapeloom.operators import registry as R
 from tapeloom.plans import grid as GR
 from tapeloom.plans import robustness as RB
 from tapeloom.plans import validate as V
+from tapeloom.sources import lake
 
 
 def test_profit_factor_policies(spark):
@@ -103,9 +105,48 @@ def test_correlation_matrix(spark, block):
     assert len(got) == 6
 
 
-def test_signature():
-    a = R.canonical('{"strategy": "fffd", "fee": 0.1, "symbol": "X", "dev": 2.0, "entry": {"b": [1.0, 0.5], "a": 3.0}}')
-    assert a == 'fffd|{"dev":2,"entry":{"a":3,"b":[1,0.5]},"strategy":"fffd"}'
+def test_signature(spark):
+    docs = [
+        '{"strategy": "fffd", "fee": 0.1, "symbol": "X", "dev": 2.0, "strict": true, "entry": {"thr": 0.50, "fast": 3.0, "kind": "a\\"b"}}',
+        '{"exit": {"r": 1.5}, "strategy": "ma", "filter": {"tf": "4h", "thr": -70.0, "kind": "rsi"}}',
+        "{}",
+    ]
+    got = [r[0] for r in mk(spark, [(d,) for d in docs], "d string").select(R.config_signature(F.col("d"))).collect()]
+    assert got == [
+        'fffd|{"dev":2,"entry":{"fast":3,"kind":"a\\"b","thr":0.5},"strategy":"fffd","strict":true}',
+        'ma|{"exit":{"r":1.5},"filter":{"kind":"rsi","tf":"4h","thr":-70},"strategy":"ma"}',
+        "None|{}",
+    ]
+
+
+def test_total_loss_stays(spark):
+    df = mk(spark, [("A", 0.1), ("A", -1.0), ("A", 0.2), ("B", 0.1), ("B", 0.2), ("C", -1.5)], "s string, ret double")
+    got = {r[0]: r[1] for r in df.groupBy("s").agg(M.compounded_pct(F.col("ret"))).collect()}
+    assert got["A"] == -100 and got["C"] == -100 and got["B"] == pytest.approx(32)
+
+
+def test_shared_folder_off_one_process(spark):
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
+
+
+def test_short_series_is_an_error(spark, tmp_path):
+    with pytest.raises(ValueError):
+        lake.replace_series(spark.range(5), str(tmp_path / "x"))
+    lake.replace_series(spark.range(5), str(tmp_path / "x"), min_rows=5)
+    assert spark.read.parquet(str(tmp_path / "x")).count() == 5
 
 
 def test_plateau_edges(spark):
