@@ -104,6 +104,49 @@ def session_gate(spark, sf):
     )
 
 
+COIN = "CASE WHEN symbol = 'click' THEN 'clickUSDT' ELSE symbol END AS symbol"
+CLASS = "symbol LIKE '%USDT'"
+LOCAL = f"CASE WHEN {CLASS} THEN ts ELSE CAST({ny('ts')} AS TIMESTAMP) END"
+
+
+def mixed(df):
+    """One tick symbol renamed to a coin, so the table holds both classes."""
+    return df.withColumn("symbol", F.when(F.col("symbol") == "click", "clickUSDT").otherwise(F.col("symbol")))
+
+
+@query(
+    "session_mixed",
+    sql(
+        "n15m",
+        f"m AS (SELECT * REPLACE ({COIN}) FROM n15m), l AS (SELECT *, {LOCAL} AS lt, {CLASS} AS coin FROM m), "
+        "k AS (SELECT *, date_part('hour', lt) * 60 + date_part('minute', lt) AS mi FROM l)",
+        "SELECT symbol, ts, CASE WHEN coin THEN mi < 240 ELSE mi - 570 < 60 END AS open60, CASE WHEN coin THEN mi >= 1200 ELSE mi - 570 >= 300 END AS close90, "
+        "CASE WHEN coin THEN mi < 360 OR mi >= 1080 ELSE mi - 570 < 90 OR mi - 570 >= 300 END AS not_midday, NOT coin AND mi >= 945 AS late, "
+        "NOT coin AND ts = max(ts) OVER (PARTITION BY symbol, CAST(lt AS DATE)) AS eod FROM k",
+    ),
+)
+def session_mixed(spark, sf):
+    """Session parts and end-of-session masks by the class of each row."""
+    b = session_masks(mixed(bars(spark, sf, "15min")))
+    for window in ("open60", "close90", "not_midday"):
+        b = G.session(b, {}, window).drop("short_ok").withColumnRenamed("long_ok", window)
+    return b.select("symbol", ntz(F.col("ts")).alias("ts"), "open60", "close90", "not_midday", "late", "eod")
+
+
+@query(
+    "gap_mixed",
+    sql(
+        "n1h",
+        f"m AS (SELECT * REPLACE ({COIN}) FROM n1h), l AS (SELECT *, CAST({LOCAL} AS DATE) AS day FROM m), "
+        "d AS (SELECT symbol, day, arg_min(open, ts) AS o, arg_max(close, ts) AS c FROM l GROUP BY 1, 2), "
+        "g AS (SELECT symbol, day, o / lag(c) OVER (PARTITION BY symbol ORDER BY day) - 1 AS gap FROM d)",
+        "SELECT symbol, ts, coalesce(abs(gap) >= 0.005 AND gap > 0, false) AS long_ok, coalesce(abs(gap) >= 0.005 AND gap < 0, false) AS short_ok FROM l JOIN g USING (symbol, day)",
+    ),
+)
+def gap_mixed(spark, sf):
+    return shown(G.gap(mixed(numbered(spark, sf, "1h")), {}, 0.5, "aligned"))
+
+
 VIX = (
     "v AS (SELECT date_trunc('day', ts) AS day, avg(price) AS lvl FROM ticks WHERE symbol = 'error' AND isodow(ts) <> 3 GROUP BY 1), "
     f"x AS (SELECT symbol, ts, date_trunc('day', {ny('ts')}) AS day FROM n1h), "

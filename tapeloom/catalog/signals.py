@@ -161,6 +161,23 @@ def orb(spark, sf):
     return e.select("symbol", ntz(F.col("entry_ts")).alias("ts"), F.col("dir").cast("long").alias("dir"), "price")
 
 
+@query(
+    "orb_mixed",
+    sql(
+        "n5m",
+        "m AS (SELECT * REPLACE (CASE WHEN symbol = 'click' THEN 'clickUSDT' ELSE symbol END AS symbol) FROM n5m)",
+        ORB.replace(f"CAST({ny('ts')} AS DATE) AS day FROM n5m", f"CAST(CASE WHEN symbol LIKE '%USDT' THEN ts ELSE {ny('ts')} END AS DATE) AS day FROM m"),
+        "SELECT symbol, ts, CAST(dir AS BIGINT) AS dir, price FROM h JOIN f USING (symbol, day, bar_no)",
+    ),
+)
+def orb_mixed(spark, sf):
+    """Opening ranges of stocks and coins in one table, each on its own day."""
+    n = numbered(spark, sf, "5min")
+    n = n.withColumn("symbol", F.when(F.col("symbol") == "click", "clickUSDT").otherwise(F.col("symbol")))
+    e = S.orb(None, n, "5min", 60)
+    return e.select("symbol", ntz(F.col("entry_ts")).alias("ts"), F.col("dir").cast("long").alias("dir"), "price")
+
+
 AGU = (
     DIDI
     + ", x1 AS (SELECT *, f / m - 1 AS c, s / m - 1 AS l FROM w), "

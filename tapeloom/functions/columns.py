@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NEW_YORK = "America/New_York"
+#: stands for the zone of each row's own market (see :func:`market_zone`)
+MARKET = "market"
 US_PER_SECOND = 1_000_000
 
 # The timeframe vocabulary, in seconds.
@@ -52,15 +54,25 @@ def r(col: Column, digits: int = 6) -> Column:
     return F.round(col + F.lit(1e-11), digits) + F.lit(0.0)
 
 
-def local(ts: Column, tz: str = NEW_YORK) -> Column:
-    return F.from_utc_timestamp(ts, tz)
+def market_zone(symbol: Column | None = None) -> Column:
+    """Coins keep UTC days, stocks those of New York."""
+    symbol = F.col("symbol") if symbol is None else symbol
+    return F.when(asset_class(symbol.cast("string")) == "crypto", F.lit("UTC")).otherwise(F.lit(NEW_YORK))
 
 
-def local_day(ts: Column, tz: str = NEW_YORK) -> Column:
+def zone(tz: str | Column) -> str | Column:
+    return market_zone() if isinstance(tz, str) and tz == MARKET else tz
+
+
+def local(ts: Column, tz: str | Column = NEW_YORK) -> Column:
+    return F.from_utc_timestamp(ts, zone(tz))
+
+
+def local_day(ts: Column, tz: str | Column = NEW_YORK) -> Column:
     return F.to_date(local(ts, tz))
 
 
-def local_minute(ts: Column, tz: str = NEW_YORK) -> Column:
+def local_minute(ts: Column, tz: str | Column = NEW_YORK) -> Column:
     lt = local(ts, tz)
     return F.hour(lt) * 60 + F.minute(lt)
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.columns import (
-    NEW_YORK,
+    MARKET,
     add_tf,
+    asset_class,
     div,
     floor_ts,
     known,
@@ -15,6 +16,7 @@ from tapeloom.functions.columns import (
     local_day,
     local_minute,
     tf_seconds,
+    zone,
 )
 from tapeloom.operators.series import DAY, number_rows, time_bucket
 
@@ -54,7 +56,7 @@ def resample(bars: DataFrame, tf: str) -> DataFrame:
     return _ohlcv(renamed.groupBy("symbol", "ts"))
 
 
-def session_label(ts: Column, tf: str, tz: str = NEW_YORK, anchor_minute: int = OPEN_MINUTE) -> Column:
+def session_label(ts: Column, tf: str, tz: str = MARKET, anchor_minute: int = OPEN_MINUTE) -> Column:
     """Bar label on the local wall clock, anchored at the session open on every day."""
     wall = local(ts, tz)
     seconds = tf_seconds(tf)
@@ -70,10 +72,10 @@ def session_label(ts: Column, tf: str, tz: str = NEW_YORK, anchor_minute: int =
             )
             + shift
         )
-    return F.to_utc_timestamp(labelled, tz)
+    return F.to_utc_timestamp(labelled, zone(tz))
 
 
-def resample_session(bars: DataFrame, tf: str, tz: str = NEW_YORK) -> DataFrame:
+def resample_session(bars: DataFrame, tf: str, tz: str = MARKET) -> DataFrame:
     renamed = bars.withColumn("_ts", F.col("ts")).withColumn("ts", session_label(F.col("ts"), tf, tz))
     return _ohlcv(renamed.groupBy("symbol", "ts"))
 
@@ -95,14 +97,14 @@ def number_bars(bars: DataFrame, name: str = "bar_no") -> DataFrame:
     return number_rows(bars, ["symbol"], ["ts"], time_bucket("ts", 7 * DAY), name)
 
 
-def rth(bars: DataFrame, tz: str = NEW_YORK) -> DataFrame:
+def rth(bars: DataFrame, tz: str = MARKET) -> DataFrame:
     minute = local_minute(F.col("ts"), tz)
     return bars.where(
         (minute >= OPEN_MINUTE) & (minute < CLOSE_MINUTE) & (F.weekday(local(F.col("ts"), tz)) < 5)
     )
 
 
-def tag_session(bars: DataFrame, calendar: DataFrame, tz: str = NEW_YORK) -> DataFrame:
+def tag_session(bars: DataFrame, calendar: DataFrame, tz: str = MARKET) -> DataFrame:
     """Session name from a calendar of (day, open_utc, close_utc)."""
     joined = bars.withColumn("day", local_day(F.col("ts"), tz)).join(calendar, "day", "left")
     session = (
@@ -114,13 +116,14 @@ def tag_session(bars: DataFrame, calendar: DataFrame, tz: str = NEW_YORK) -> Dat
     return joined.withColumn("session", session).drop("day", "open_utc", "close_utc")
 
 
-def session_masks(bars: DataFrame, late_minute: int = LATE_MINUTE, tz: str = NEW_YORK) -> DataFrame:
-    """``late`` blocks new entries; ``eod`` marks the last bar of the local day."""
+def session_masks(bars: DataFrame, late_minute: int = LATE_MINUTE, tz: str = MARKET) -> DataFrame:
+    """``late`` blocks new entries; ``eod`` marks the last bar of the local day. Coins have neither."""
     day = Window.partitionBy("symbol", "_day")
+    stock = asset_class(F.col("symbol").cast("string")) == "stock"
     return (
         bars.withColumn("_day", local_day(F.col("ts"), tz))
-        .withColumn("late", local_minute(F.col("ts"), tz) >= late_minute)
-        .withColumn("eod", F.col("ts") == F.max("ts").over(day))
+        .withColumn("late", (local_minute(F.col("ts"), tz) >= late_minute) & stock)
+        .withColumn("eod", (F.col("ts") == F.max("ts").over(day)) & stock)
         .drop("_day")
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.columns import NEW_YORK, div, known, local, local_day, local_minute, tf_seconds
+from tapeloom.functions.columns import MARKET, asset_class, div, known, local, local_day, local_minute, tf_seconds
 from tapeloom.operators import indicators as I
 from tapeloom.operators.asof import align_setup, align_setups, asof
 from tapeloom.operators.series import Step, chain, ema_alpha, ewm_step, full_avg
@@ -59,7 +59,7 @@ def _days(bars: DataFrame, tz: str, *aggs: Column) -> tuple[DataFrame, DataFrame
 
 
 @gate("gap")
-def gap(bars: DataFrame, frames: dict, min_gap_pct: float = 0.5, mode: str = "any", tz: str = NEW_YORK) -> DataFrame:
+def gap(bars: DataFrame, frames: dict, min_gap_pct: float = 0.5, mode: str = "any", tz: str = MARKET) -> DataFrame:
     """Days that open away from the previous close; ``aligned`` splits the sides by the gap's sign."""
     tagged, days, w = _days(
         bars, tz, F.min_by("open", "ts").alias("_open"), F.max_by("close", "ts").alias("_close")
@@ -73,7 +73,7 @@ def gap(bars: DataFrame, frames: dict, min_gap_pct: float = 0.5, mode: str = "an
 
 
 @gate("compression")
-def compression(bars: DataFrame, frames: dict, q: float = 0.8, days: int = 20, tz: str = NEW_YORK) -> DataFrame:
+def compression(bars: DataFrame, frames: dict, q: float = 0.8, days: int = 20, tz: str = MARKET) -> DataFrame:
     """The day after a day whose range was small against its ``days``-day mean."""
     tagged, per_day, w = _days(bars, tz, (F.max("high") - F.min("low")).alias("_rng"))
     span = w.rowsBetween(-(days - 1), 0)
@@ -118,21 +118,27 @@ def trend_all(bars: DataFrame, frames: dict, tf: str = "1d", smas=(20, 50, 200),
 
 
 @gate("session")
-def session(bars: DataFrame, frames: dict, window: str = "open60", crypto: bool = False, tz: str = NEW_YORK) -> DataFrame:
-    """Part of the session: its opening, its close, or everything but the middle."""
-    if crypto:
-        minute, length, edge, mid = local_minute(F.col("ts"), "UTC"), 1440, (240, 240), 360
-    else:
-        minute, length, edge, mid = local_minute(F.col("ts"), tz) - 570, 390, (60, 90), 90
+def session(bars: DataFrame, frames: dict, window: str = "open60", crypto: bool | None = None, tz: str = MARKET) -> DataFrame:
+    """Part of the session: its opening, its close, or everything but the middle.
+
+    Coins have sessions of a UTC day, stocks those of the exchange; ``crypto`` overrides the class of the rows.
+    """
+    coin = asset_class(F.col("symbol").cast("string")) == "crypto" if crypto is None else F.lit(crypto)
+
+    def of(around_the_clock: int, exchange: int) -> Column:
+        return F.when(coin, around_the_clock).otherwise(exchange)
+
+    minute = F.when(coin, local_minute(F.col("ts"), "UTC")).otherwise(local_minute(F.col("ts"), tz) - 570)
+    length, opening, closing, mid = of(1440, 390), of(240, 60), of(240, 90), of(360, 90)
     if window == "open60":
-        return _ok(bars, minute < edge[0])
+        return _ok(bars, minute < opening)
     if window == "close90":
-        return _ok(bars, minute >= length - edge[1])
+        return _ok(bars, minute >= length - closing)
     return _ok(bars, (minute < mid) | (minute >= length - mid))
 
 
 @gate("vix")
-def vix(bars: DataFrame, frames: dict, op: str = "lt", x: float = 20.0, tz: str = NEW_YORK) -> DataFrame:
+def vix(bars: DataFrame, frames: dict, op: str = "lt", x: float = 20.0, tz: str = MARKET) -> DataFrame:
     """Daily index level strictly before the bar's local day; ``frames['vix']`` is (date, close)."""
     day = bars.withColumn("_all", F.lit(0)).withColumn("_day", local_day(F.col("ts"), tz))
     dates = day.select("_all", F.col("_day").cast("timestamp").alias("_dts"), "_day").distinct()
@@ -154,7 +160,7 @@ def is_event_day(day: Column) -> Column:
 
 
 @gate("event")
-def event(bars: DataFrame, frames: dict, mode: str = "avoid", tz: str = NEW_YORK) -> DataFrame:
+def event(bars: DataFrame, frames: dict, mode: str = "avoid", tz: str = MARKET) -> DataFrame:
     hit = is_event_day(local_day(F.col("ts"), tz))
     return _ok(bars, ~hit if mode == "avoid" else hit)
 

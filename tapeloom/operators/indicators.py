@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.columns import NEW_YORK, div, known, local_day
+from tapeloom.functions.columns import MARKET, div, known, local_day
 from tapeloom.operators.series import (
     Step,
     chain,
@@ -131,7 +131,7 @@ def adx(bars: DataFrame, n: int = 8) -> DataFrame:
     return out.drop("_ph", "_pl", "_pc", "_p", "_m", "_atr", "_dx", "_first")
 
 
-def session_vwap(bars: DataFrame, band_k: float = 1.5, tz: str = NEW_YORK) -> DataFrame:
+def session_vwap(bars: DataFrame, band_k: float = 1.5, tz: str = MARKET) -> DataFrame:
     """Running VWAP and deviation band since the session's first bar; a session bounds each group."""
     day = Window.partitionBy("symbol", "_day").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     out = (

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.columns import NEW_YORK, add_tf, div, known, local_day, tf_seconds
+from tapeloom.functions.columns import MARKET, add_tf, div, known, local_day, tf_seconds
 from tapeloom.operators.asof import asof, span_join
 from tapeloom.operators.series import number_rows, rolling
 from tapeloom.session import stage
@@ -28,7 +28,7 @@ def breakout_entries(
     setup_tf: str,
     validity: int = 2,
     same_session: bool = False,
-    tz: str = NEW_YORK,
+    tz: str = MARKET,
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Fire an armed level on the first bar that breaks it; ``by`` names configuration columns.

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.columns import NEW_YORK, div, known, local_day
+from tapeloom.functions.columns import MARKET, div, known, local_day
 from tapeloom.operators import indicators as I
 from tapeloom.operators.asof import activate, span_join
 from tapeloom.operators.series import Step, chain, ema_alpha, ewm_step, full_avg, lag, rolling
@@ -191,7 +191,7 @@ def didi(bars: DataFrame, tol_bars: int = 1, adx_filter: bool = False, adx_thres
 
 @signal("fffd")
 def fffd(bars: DataFrame, dev: float = 2.0, strict: bool = False, window: int = 20, same_session: bool = False,
-         tz: str = NEW_YORK) -> DataFrame:
+         tz: str = MARKET) -> DataFrame:
     """Closed outside the band, then closed inside: fade. ``strict`` wants exactly one outside close."""
     edge = _edge(F.col("close") > F.col("upper"), F.col("close") < F.col("lower"))
     day = local_day(F.col("ts"), tz)
@@ -252,7 +252,7 @@ def entry_rows(df: DataFrame, price: Column, stop_pct: Column) -> DataFrame:
 
 
 @signal("orb", EXEC)
-def orb(setup: DataFrame, bars: DataFrame, setup_tf: str, range_min: int = 30, tz: str = NEW_YORK) -> DataFrame:
+def orb(setup: DataFrame, bars: DataFrame, setup_tf: str, range_min: int = 30, tz: str = MARKET) -> DataFrame:
     """First break of the opening range, one per session; a bar breaking both sides counts as long."""
     day = bars.withColumn("_day", local_day(F.col("ts"), tz))
     start = day.groupBy("symbol", "_day").agg(F.min("ts").alias("_start"))
@@ -272,7 +272,7 @@ def orb(setup: DataFrame, bars: DataFrame, setup_tf: str, range_min: int = 30, t
 
 @signal("vwap", EXEC)
 def vwap(setup: DataFrame, bars: DataFrame, setup_tf: str, mode: str = "revert", band_k: float = 1.5,
-         warmup_bars: int = 15, tz: str = NEW_YORK) -> DataFrame:
+         warmup_bars: int = 15, tz: str = MARKET) -> DataFrame:
     """Session VWAP: re-enter the band, or cross the VWAP; both bars in one session."""
     v = I.session_vwap(bars, band_k, tz).withColumn("_day", local_day(F.col("ts"), tz))
     w = Window.partitionBy("symbol", "_day").orderBy("ts")
@@ -293,7 +293,7 @@ def _armed(events: DataFrame, bars: DataFrame, setup_tf: str) -> DataFrame:
 
 @signal("fffd_ff", EXEC)
 def fffd_ff(setup: DataFrame, bars: DataFrame, setup_tf: str, dev: float = 2.0, wait_bars: int = 3,
-            vol_mult: float = 0.0, tol: float = 0.0, window: int = 20, tz: str = NEW_YORK) -> DataFrame:
+            vol_mult: float = 0.0, tol: float = 0.0, window: int = 20, tz: str = MARKET) -> DataFrame:
     """Outside close, then ``wait_bars`` execution bars that respect its extreme: enter at the last close."""
     out = rolling(setup, window, I.band_stage(window), I.band_edge_stage(dev), {"_vol": full_avg("volume", window)})
     heavy = known(F.col("volume") >= vol_mult * F.col("_vol")) if vol_mult > 0 else F.lit(True)
@@ -338,7 +338,7 @@ def fffd_ff(setup: DataFrame, bars: DataFrame, setup_tf: str, dev: float = 2.0,
 
 @signal("wick_bb", EXEC)
 def wick_bb(setup: DataFrame, bars: DataFrame, setup_tf: str, dev: float = 2.0, wick_k: float = 1.5,
-            confirm_bars: int = 6, window: int = 20, trend: int = 200, tz: str = NEW_YORK) -> DataFrame:
+            confirm_bars: int = 6, window: int = 20, trend: int = 200, tz: str = MARKET) -> DataFrame:
     """Two rejection candles at the band, then the first execution close beyond its long average."""
     body = F.greatest(F.abs(F.col("close") - F.col("open")), F.col("close") * 1e-4)
     lo_wick = F.least("open", "close") - F.col("low")
