@@ -314,8 +314,9 @@ def non_overlapping(
 
     The chain "first trade at or after my exit" is followed in chunks of ``chunk`` trades in parallel:
     each chunk maps the trades where a chain can enter it to the trade in a later chunk where it
-    leaves. Chains merge fast, so few entry points survive per chunk; walking those gives the true
-    entry points, and a second pass over the chunks marks the taken trades. Trades may share an entry
+    leaves. From the first trade on, doubling those jumps by joins on (key, number) finds the true entry
+    points in about log2(chunks) rounds, however many trades overlap, and a second pass over the chunks
+    marks the taken trades. No task holds more of a key than a chunk. Trades may share an entry
     time; ``tie`` must order them fully, and an exit frees the slot for an entry at the same instant.
     """
     keys = list(keys)
@@ -350,17 +351,7 @@ def non_overlapping(
     )
     hops = exits.join(targets, [*keys, "_no"], "left").where(F.col("_hit") | (F.col("_no") == 0)).drop("_hit")
 
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in whole_groups(batches, keys):
-            on, wanted = np.zeros(len(b), bool), 0.0
-            first = _starts(b, keys) == np.arange(len(b))
-            for i, (no, out) in enumerate(zip(b["_no"].to_numpy(), b["_out"].to_numpy(dtype=float))):
-                wanted = 0.0 if first[i] else wanted
-                if no == wanted:
-                    on[i], wanted = True, out
-            yield b.loc[on, [*keys, "_no"]]
-
-    entered = _grouped(hops, keys, "_no").mapInPandas(follow, schema)
+    entered = _along(stage(hops, "hops"), keys, linked.agg(F.max("_b")).first()[0] or 0)
     marked = linked.join(entered.withColumn("_in", F.lit(True)), [*keys, "_no"], "left")
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -376,6 +367,22 @@ def non_overlapping(
     return numbered.join(taken, [*keys, "_no"], "left_semi").drop("_no")
 
 
+def _along(hops: DataFrame, keys: Sequence[str], last_chunk: int) -> DataFrame:
+    """(keys, _no) of the nodes that the chain from number 0 visits; every hop leads to a later chunk.
+
+    After k rounds the first 2^k nodes are known and a jump spans 2^k hops, so the nodes that a round adds are new.
+    """
+    jump = hops.where(F.col("_out").isNotNull() & ~F.isnan("_out")).select(*keys, "_no", F.col("_out").cast("long").alias("_out"))
+    visited = hops.where(F.col("_no") == 0).select(*keys, "_no")
+    for left in range(int(last_chunk).bit_length() - 1, -1, -1):
+        more = visited.join(jump, [*keys, "_no"]).select(*keys, F.col("_out").alias("_no"))
+        visited = stage(visited.unionByName(more), "visited")
+        if left:
+            then = jump.select(*keys, F.col("_no").alias("_out"), F.col("_out").alias("_to"))
+            jump = stage(jump.join(then, [*keys, "_out"]).select(*keys, "_no", F.col("_to").alias("_out")), "jumps")
+    return visited
+
+
 def _grouped(df: DataFrame, group: Sequence[str], order: str) -> DataFrame:
     """Rows of a group next to each other in one partition, in order."""
     return df.repartition(*group).sortWithinPartitions(*group, order)

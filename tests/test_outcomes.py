@@ -144,3 +144,18 @@ def test_costs(spark):
     assert round(one.pnl, 6) == 98.1
     assert round(one.fee, 9) == 0.2
     assert round(one.short, 9) == 0.63
+
+
+@pytest.mark.parametrize("hours", [1, 30])
+def test_one_position_on_a_hot_key(spark, hours):
+    """Trades a minute apart that stay open far longer than a chunk has trades: the jumps double over the chunks."""
+    t0, minute = pd.Timestamp("2024-01-01"), pd.Timedelta(minutes=1)
+    recs = [("hot", t0 + i * minute, t0 + (i + 60 * hours + i % 7) * minute, i) for i in range(6000)]
+    df = mk(spark, recs, "symbol string, entry_ts timestamp, exit_ts timestamp, id long")
+    free, want = t0, []
+    for _, entry, end, i in recs:
+        if entry >= free:
+            free = end
+            want.append(i)
+    got = O.non_overlapping(df, ["symbol"], tie=["id"], chunk=64)
+    assert sorted(r.id for r in got.select("id").collect()) == want
