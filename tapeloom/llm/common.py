@@ -62,26 +62,94 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash. Forgets everything beyond a fixed number of entries; results don't depend on it."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        self[word] = value
-        return value
-
-
-def shingle_hashes(tokens: list[str], k: int, cache: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``k``-word shingles; fewer words make one shingle, none makes none."""
-    if not tokens:
-        return np.empty(0, np.uint64)
-    hashed = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
-    width = min(k, len(hashed))
-    total = np.full(len(hashed) - width + 1, np.uint64(width), np.uint64)
-    for j in range(width):
-        total = mix(total * np.uint64(GOLDEN) + hashed[j : len(hashed) - width + 1 + j])
-    return np.unique(total)
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(GOLDEN))
+_LETTERS[65:91] = _LETTERS[97:123]  # A-Z count as a-z
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0xD1342543DE82EF95
+_BACK = pow(_BASE, -1, 1 << 64)
+#: bytes hashed at a time; texts are cut at white space, and the hash of a word doesn't depend on its place
+PIECE_BYTES = 1 << 20
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, _BACK)):
+            steps = np.full(n, np.uint64(base))
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers[0], _powers[1]
+
+
+def _hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of every word: a polynomial in the letters' random values, from prefix sums."""
+    letters = np.frombuffer(text, np.uint8)
+    space = _SPACE[letters]
+    edge = np.flatnonzero(np.diff(np.r_[True, space, True]))
+    starts, stops = edge[::2], edge[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64), starts
+    up, down = _grown(len(letters))
+    sums = np.cumsum(_LETTERS[letters] * up[: len(letters)])
+    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+    value = (sums[stops - 1] - before) * down[starts]
+    return mix(value + mix((stops - starts).astype(np.uint64) * np.uint64(GOLDEN))), starts
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and the text each belongs to."""
+    hashes, owners, at = [], [], 0
+    while at < len(texts):
+        part, size, first = [], 0, at
+        while at < len(texts) and (not part or size + len(texts[at] or b"") < PIECE_BYTES):
+            part.append(texts[at] or b"")
+            size += len(part[-1]) + 1
+            at += 1
+        if size <= PIECE_BYTES + 1:
+            h, starts = _hashed(b" ".join(part))
+            lows = np.cumsum([0] + [len(p) + 1 for p in part])
+            hashes.append(h)
+            owners.append(np.searchsorted(lows, starts, "right") - 1 + first)
+            continue
+        text, low = part[0], 0  # one long text
+        while low < len(text):
+            high = low + PIECE_BYTES
+            while high < len(text) and not _SPACE[text[high]]:
+                high += 1
+            h, _ = _hashed(text[low:high])
+            hashes.append(h)
+            owners.append(np.full(len(h), first))
+            low = high
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(owners).astype(np.int64)
+
+
+def shingles(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit hashes of every text's ``k``-word shingles, sorted within the text, and the texts' offsets.
+
+    Words are runs of bytes other than ASCII white space, A-Z lower-cased; a text of fewer words has its whole
+    sequence as one shingle, a text without words none.
+    """
+    w, owner = word_hashes(texts)
+    count = np.bincount(owner, minlength=len(texts)) if len(texts) else np.empty(0, np.int64)
+    first = np.r_[0, np.cumsum(count)]
+    spread = np.maximum(count - k + 1, np.minimum(count, 1))
+    offsets = np.r_[0, np.cumsum(spread)]
+    doc = np.repeat(np.arange(len(texts)), spread)
+    at = np.arange(len(doc)) - offsets[doc] + first[doc]
+    width = np.minimum(count, k)[doc]
+    total = width.astype(np.uint64)
+    for j in range(k):
+        if j == 0 or (width > j).all():
+            total = mix(total * np.uint64(GOLDEN) + w[at + j]) if len(at) else total
+        else:
+            more = width > j
+            total[more] = mix(total[more] * np.uint64(GOLDEN) + w[at[more] + j])
+    for d in np.flatnonzero(spread > 1).tolist():
+        total[offsets[d] : offsets[d + 1]].sort()
+    new = np.ones(len(total), bool)
+    new[1:] = (total[1:] != total[:-1]) | (doc[1:] != doc[:-1])
+    kept = np.bincount(doc[new], minlength=len(texts)) if len(texts) else np.empty(0, np.int64)
+    return total[new], np.r_[0, np.cumsum(kept)]

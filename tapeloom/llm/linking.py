@@ -4,13 +4,16 @@ A bucket (an equal slot value) makes its members candidates for each other. Inst
 is paired with one representative of its bucket: inside an input task with the first member that the task saw
 (``local_stars``), across tasks with the smallest of those (``star_pairs``). A bucket whose tree of pairs lies
 in one component after verification needs nothing more. Only of the others all members are gathered again
-(``near`` in ``link``), and only pairs from different components are looked at.
+(``link``), and only pairs from different components are looked at.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +25,6 @@ STAR = "slot long, id long, rep long, slots array<long>"
 STAR_ARROW = pa.schema([("slot", pa.int64()), ("id", pa.int64()), ("rep", pa.int64()), ("slots", pa.list_(pa.int64()))])
 #: slots one task remembers; beyond it the memory starts anew and a bucket gets one more local representative
 REMEMBERED = 300_000
-MASK = (1 << 63) - 1
 
 
 class LocalStars:
@@ -30,25 +32,72 @@ class LocalStars:
 
     def __init__(self):
         self.first: dict[int, int] = {}
-        self.rows: list[tuple] = []
+        self.slots: list[int] = []
+        self.nodes: list[int] = []
+        self.times: list[int] = []
+        self.pairs: list[tuple] = []
+
+    def sure(self, node: int, rep: int) -> None:
+        """A link that needs no verification."""
+        self.pairs.append((hash((rep, node)), node, rep, []))
 
     def add(self, node: int, slots: list[int]) -> None:
         if len(self.first) > REMEMBERED:
             self.first = {}
-        known: dict[int, list[int]] = {}
-        for slot in slots:
-            rep = self.first.setdefault(slot, node)
-            if rep == node:
-                self.rows.append((slot, node, None, None))
-            else:
-                known.setdefault(rep, []).append(slot)
-        for rep, own in known.items():
-            self.rows.append((hash((rep, node)), node, rep, own))
+        reps = list(map(self.first.get, slots))
+        missing = reps.count(None)
+        if missing < len(slots):
+            known: dict[int, list[int]] = {}
+            for slot, rep in zip(slots, reps, strict=True):
+                if rep is not None and rep != node:
+                    known.setdefault(rep, []).append(slot)
+            for rep, own in known.items():
+                self.pairs.append((hash((rep, node)), node, rep, own))
+            slots = [slot for slot, rep in zip(slots, reps, strict=True) if rep is None]
+        if slots:
+            self.first.update(zip(slots, repeat(node)))
+            self.slots += slots
+            self.nodes.append(node)
+            self.times.append(len(slots))
+
+    def __len__(self) -> int:
+        return len(self.slots) + len(self.pairs)
 
     def batch(self) -> pa.RecordBatch:
-        rows, self.rows = self.rows, []
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, STAR_ARROW, strict=True)], schema=STAR_ARROW)
+        alone, pairs = len(self.slots), list(zip(*self.pairs, strict=True)) or [[], [], [], []]
+        nodes = np.repeat(np.array(self.nodes, np.int64), self.times)
+        cols = [
+            pa.array(np.r_[np.array(self.slots, np.int64), np.array(pairs[0], np.int64)]),
+            pa.array(np.r_[nodes, np.array(pairs[1], np.int64)]),
+            pa.concat_arrays([pa.nulls(alone, pa.int64()), pa.array(pairs[2], pa.int64())]),
+            pa.concat_arrays([pa.nulls(alone, STAR_ARROW.field(3).type), pa.array(pairs[3], STAR_ARROW.field(3).type)]),
+        ]
+        self.slots, self.nodes, self.times, self.pairs = [], [], [], []
+        return pa.RecordBatch.from_arrays(cols, schema=STAR_ARROW)
+
+
+class SlotFilter:
+    """A bitmap of fixed size over slots: False for most slots that are not in it, True for all that are."""
+
+    BITS = 1 << 25
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def of(cls, slots: DataFrame) -> "SlotFilter":
+        """Gathers at most ``BITS / 64`` words, however many slots there are."""
+        at = F.pmod("slot", F.lit(cls.BITS))
+        word, bit = F.floor(at / 64).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(pmod(slot, {cls.BITS}), 64) as int))")
+        rows = slots.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+        words = np.zeros(cls.BITS // 64, np.int64)
+        for batch in rows.toArrow().to_batches():
+            words[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+        return cls(words.view(np.uint64))
+
+    def has(self, slots: np.ndarray) -> np.ndarray:
+        at = slots % self.BITS
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
 def star_pairs(stars: DataFrame) -> DataFrame:
@@ -68,21 +117,25 @@ def star_pairs(stars: DataFrame) -> DataFrame:
 
 def link(
     stars: DataFrame,
-    members: Callable[[], DataFrame],
-    near: Callable[[DataFrame], DataFrame],
+    members: Callable[[SlotFilter], DataFrame],
+    facts: DataFrame,
+    may: str,
     verify: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """``node``, ``component`` for all nodes with a verified link; exact with respect to the candidates.
 
     stars    rows of ``LocalStars`` over all nodes; a pair without slots is a link already certain
-    members  all (slot, id, ...) rows again, without local stars
-    near     members with their component ``comp`` -> (id, rep) pairs of one slot and two components that may be links
+    members  (slot, id) rows again, without local stars; slots that the filter hasn't may be left out
+    facts    id and columns of a node that ``may`` refers to as l.column and r.column
+    may      SQL condition that every link meets
     verify   (id, rep) pairs -> those that are links
     """
     pairs = stage(star_pairs(stars), "pairs")
-    links = verify(pairs.where("size(slots) > 0").select("id", "rep")).unionByName(
-        pairs.where("size(slots) = 0").select("id", "rep")
-    )
+    left, right = (facts.select(*(F.col(c).alias(f"{side}_{c}") for c in facts.columns)) for side in "lr")
+    may = re.sub(r"\b([lr])\.", r"\1_", may)
+    alike = pairs.where("size(slots) > 0").select("id", "rep").join(left, F.col("id") == F.col("l_id")).join(right, F.col("rep") == F.col("r_id"))
+    alike = stage(alike.where(may).select("id", "rep").distinct(), "pairs")
+    links = verify(alike).unionByName(pairs.where("size(slots) = 0").select("id", "rep"))
     found = components(links.select(F.col("id").alias("a"), F.col("rep").alias("b")))
 
     def of(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -94,7 +147,12 @@ def link(
     torn = stage(torn.distinct(), "torn")
     if torn.isEmpty():
         return found
-    late = stage(verify(stage(near(of(members().join(torn, "slot"), "id", "comp")).distinct(), "pairs")), "links")
+    held = of(members(SlotFilter.of(torn)).join(torn, "slot", "left_semi"), "id", "comp").join(left, F.col("id") == F.col("l_id"))
+    held = stage(held.drop("id"), "members")
+    other = held.select(*(F.col(c).alias("r_" + c.removeprefix("l_")) for c in held.columns))
+    near = held.join(other, F.expr(f"slot = r_slot and comp < r_comp and {may}"))
+    more = stage(near.select(F.col("l_id").alias("id"), F.col("r_id").alias("rep")).distinct(), "pairs")
+    late = stage(verify(more), "links")
     if late.isEmpty():
         return found
     before = found.select(F.col("node").alias("a"), F.col("component").alias("b"))

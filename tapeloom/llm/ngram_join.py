@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import GOLDEN, WordHashes, fresh, mix, prepare, shingle_hashes, stage, words
-from tapeloom.llm.linking import STAR, LocalStars, link
+from tapeloom.llm.common import GOLDEN, fresh, mix, prepare, shingles, stage
+from tapeloom.llm.linking import STAR, LocalStars, SlotFilter, link
 
 SEGMENT_BITS = 16
-SKETCH_WORDS = 8
+SKETCH_WORDS = 16
 
 
 class Bands:
@@ -55,116 +55,125 @@ class Bands:
         return most + 1 + slack, min(own, most) + 1 + slack, slack
 
 
-def segments(hashes: np.ndarray, bands: Bands) -> list[int]:
-    """The bucket keys of a set: its sketch's leading segments, in its own band and in the next one.
+def segments(hashes: np.ndarray, offsets: np.ndarray, bands: Bands) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(bucket keys, set) of each set's leading sketch segments, in its own band and in the next one.
 
     A linked pair agrees in at least ``slack + 1`` of the segments that both need, so empty segments
     can be left out by every set that has no more than ``slack`` of them.
     """
-    size, out = len(hashes), []
-    home = bands.of(size)
-    for band in (home, home + 1):
-        parts, need, slack = bands.plan(size, band)
-        h = mix(hashes ^ np.uint64((band + 1) * GOLDEN & 0xFFFFFFFFFFFFFFFF))
-        part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        bits = np.sort((part << np.uint64(SEGMENT_BITS)) | (h & np.uint64((1 << SEGMENT_BITS) - 1)))
-        bits, times = np.unique(bits, return_counts=True)
-        bits = bits[times % 2 == 1]
-        part = bits >> np.uint64(SEGMENT_BITS)
-        bits, part = bits[part < need], part[part < need]
-        content = np.zeros(need, np.uint64)
-        if len(bits):
-            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            content[part[starts]] = np.add.reduceat(mix(bits * np.uint64(GOLDEN) + np.uint64(1)), starts)
-        at = np.arange(need, dtype=np.uint64)
-        keys = mix(content + mix(at * np.uint64(GOLDEN) + np.uint64(band * 7919 + 13)))
-        if need - len(np.unique(part)) <= slack:
-            keys = keys[np.unique(part)]
-        out += keys.view(np.int64).tolist()
+    sizes, out = np.diff(offsets), []
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    home = [bands.of(n) if n else 0 for n in sizes.tolist()]
+    for step in (0, 1):
+        plans = np.array([bands.plan(n, b + step) if n else (1, 0, 0) for n, b in zip(sizes.tolist(), home, strict=True)], np.int64).reshape(-1, 3)
+        parts, need, slack = plans.T
+        band = np.array(home, np.uint64) + np.uint64(step)
+        h = mix(hashes ^ ((band + np.uint64(1)) * np.uint64(GOLDEN))[owner])
+        part = ((h >> np.uint64(32)) * parts.astype(np.uint64)[owner]) >> np.uint64(32)
+        inside = part < need.astype(np.uint64)[owner]
+        bit = h & np.uint64((1 << SEGMENT_BITS) - 1)
+        bits = (owner.astype(np.uint64) << np.uint64(44)) | (part << np.uint64(SEGMENT_BITS)) | bit
+        bits = np.sort(bits[inside])
+        # a bit that was flipped an even number of times is off
+        edge = np.flatnonzero(np.r_[True, bits[1:] != bits[:-1], True]) if len(bits) else np.zeros(1, int)
+        bits = bits[edge[:-1][np.diff(edge) % 2 == 1]] if len(bits) else bits
+        place = bits >> np.uint64(SEGMENT_BITS)
+        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(bits) else np.zeros(0, int)
+        low = np.uint64((1 << 44) - 1)
+        content = np.add.reduceat(mix((bits & low) * np.uint64(GOLDEN) + np.uint64(1)), starts) if len(bits) else np.zeros(0, np.uint64)
+        place = place[starts]
+        doc, seg = (place >> np.uint64(44 - SEGMENT_BITS)).astype(np.int64), place & np.uint64((1 << (44 - SEGMENT_BITS)) - 1)
+        empty = need - np.bincount(doc, minlength=len(sizes))
+        for d in np.flatnonzero(empty > slack).tolist():
+            gone = np.setdiff1d(np.arange(need[d], dtype=np.uint64), seg[doc == d])
+            content, doc, seg = np.r_[content, np.zeros(len(gone), np.uint64)], np.r_[doc, np.full(len(gone), d)], np.r_[seg, gone]
+        keys = mix(content + mix(seg * np.uint64(GOLDEN) + band[doc] * np.uint64(7919) + np.uint64(13)))
+        out.append((keys.view(np.int64), doc))
     return out
 
 
-def sketch(hashes: np.ndarray) -> list[int]:
-    """A short parity sketch: its Hamming distance never exceeds the symmetric difference of two sets."""
-    odd = np.bincount((mix(hashes) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) % 2
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Short parity sketches, one row of words per set: Hamming distances never exceed symmetric differences."""
+    bits, n = 64 * SKETCH_WORDS, len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    at = owner * bits + (mix(hashes) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * bits) % 2).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, SKETCH_WORDS)
+
+
+def _sets(batch: pa.RecordBatch, k: int) -> tuple[list, np.ndarray, np.ndarray]:
+    return batch.column(0).to_pylist(), *shingles(batch.column(1).cast(pa.binary()).to_pylist(), k)
 
 
 def _stars(k: int, percent: int):
     def run(batches):
-        cache, bands, stars, seen = WordHashes(), Bands(percent), LocalStars(), {}
+        bands, stars, seen = Bands(percent), LocalStars(), {}
         for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if node is None:
+            nodes, hashes, offsets = _sets(batch, k)
+            marks = mix(hashes)
+            sums = [(np.add.reduceat(v, offsets[:-1][np.diff(offsets) > 0]) if len(v) else v).tolist() for v in (hashes, marks)]
+            same = iter(zip(*sums, strict=True))
+            split = []
+            for keys, doc in segments(hashes, offsets, bands):
+                order = np.argsort(doc, kind="stable")
+                split.append((keys[order].tolist(), np.searchsorted(doc[order], np.arange(len(nodes) + 1)).tolist()))
+            for i, (node, n) in enumerate(zip(nodes, np.diff(offsets).tolist(), strict=True)):
+                if not n:
                     continue
-                hashes = shingle_hashes(words(text), k, cache)
-                if not len(hashes):
+                key = (n, *next(same))
+                if node is None:
                     continue
-                with np.errstate(over="ignore"):
-                    same = (len(hashes), int(hashes.sum()), int(mix(hashes).sum()))
                 if len(seen) > 200_000:
                     seen = {}
-                first = seen.setdefault(same, node)
+                first = seen.setdefault(key, node)
                 if first != node:
-                    stars.rows.append((hash((first, node)), node, first, []))
+                    stars.sure(node, first)
                 else:
-                    stars.add(node, segments(hashes, bands))
-                if len(stars.rows) > 20_000:
+                    stars.add(node, [s for keys, cut in split for s in keys[cut[i] : cut[i + 1]]])
+                if len(stars) > 50_000:
                     yield stars.batch()
-            yield stars.batch()
+        yield stars.batch()
 
     return run
 
 
-def _members(k: int, percent: int):
-    kinds = [("slot", pa.int64()), ("id", pa.int64()), ("n", pa.int64())] + [(f"s{i}", pa.int64()) for i in range(SKETCH_WORDS)]
-
+def _members(k: int, percent: int, wanted: SlotFilter):
     def run(batches):
-        cache, bands = WordHashes(), Bands(percent)
+        bands = Bands(percent)
         for batch in batches:
-            rows = []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes = shingle_hashes(words(text), k, cache) if node is not None else ()
-                if len(hashes):
-                    tail = (node, len(hashes), *sketch(hashes))
-                    rows += [(slot, *tail) for slot in segments(hashes, bands)]
-                if len(rows) > 20_000:
-                    yield _batch(rows, kinds)
-                    rows = []
-            yield _batch(rows, kinds)
+            nodes, hashes, offsets = _sets(batch, k)
+            nodes = np.array(nodes, np.int64)
+            for keys, doc in segments(hashes, offsets, bands):
+                has = wanted.has(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[has]), pa.array(nodes[doc[has]])], names=["slot", "id"])
 
     return run
 
 
-def _batch(rows: list[tuple], kinds: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[] for _ in kinds]
-    schema = pa.schema(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+def _facts(k: int):
+    names = ["id", "n", *(f"s{i}" for i in range(SKETCH_WORDS))]
 
-
-def _sizes(k: int):
     def run(batches):
-        cache = WordHashes()
         for batch in batches:
-            n = [len(shingle_hashes(words(t), k, cache)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_shingles"])
+            _, hashes, offsets = _sets(batch, k)
+            sketch = sketches(hashes, offsets)
+            cols = [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), *cols], names=names)
 
     return run
 
 
 def _verify(k: int, percent: int):
     def run(batches):
-        cache, last, right = WordHashes(), None, None
         for batch in batches:
-            ids, reps, texts, others = (batch.column(i).to_pylist() for i in range(4))
+            left, a = shingles(batch.column(2).cast(pa.binary()).to_pylist(), k)
+            right, b = shingles(batch.column(3).cast(pa.binary()).to_pylist(), k)
             keep = []
-            for text, other in zip(texts, others, strict=True):
-                if other != last:
-                    last, right = other, shingle_hashes(words(other), k, cache)
-                left = shingle_hashes(words(text), k, cache)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(bool(both) and 100 * both >= percent * (len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "rep"]).filter(pa.array(keep))
+            for i in range(batch.num_rows):
+                x, y = left[a[i] : a[i + 1]], right[b[i] : b[i + 1]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "rep"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -179,6 +188,24 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return joined.select("id", "rep", "lt", "rt").mapInArrow(_verify(k, percent), "id long, rep long").distinct()
 
 
+def facts(docs: DataFrame, k: int) -> DataFrame:
+    """id, n (set size) and a short sketch of every document; ``docs``: columns id, text."""
+    shape = "id long, n long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
+    return stage(docs.mapInArrow(_facts(k), shape), "facts")
+
+
+def _groups(slim: DataFrame, known: DataFrame, k: int, percent: int) -> DataFrame:
+    apart = " + ".join(f"bit_count(l.s{i} ^ r.s{i})" for i in range(SKETCH_WORDS))
+    may = f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and {100 + percent} * ({apart}) <= {100 - percent} * (l.n + r.n)"
+    return link(
+        slim.mapInArrow(_stars(k, percent), STAR),
+        lambda wanted: slim.where("id is not null").mapInArrow(_members(k, percent, wanted), "slot long, id long"),
+        known,
+        may,
+        lambda pairs: verified(slim, pairs, k, percent),
+    )
+
+
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``node``, ``component`` of every document that links with another one (smallest id of its group).
 
@@ -188,34 +215,17 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     """
     prepare(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    columns = "slot long, id long, n long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
-
-    def near(held: DataFrame) -> DataFrame:
-        left = held.select(*(F.col(c).alias("l_" + c) for c in held.columns))
-        right = held.select(*(F.col(c).alias("r_" + c) for c in held.columns))
-        apart = " + ".join(f"bit_count(l_s{i} ^ r_s{i})" for i in range(SKETCH_WORDS))
-        may = (
-            "l_slot = r_slot and l_comp < r_comp "
-            f"and 100 * least(l_n, r_n) >= {percent} * greatest(l_n, r_n) "
-            f"and {100 + percent} * ({apart}) <= {100 - percent} * (l_n + r_n)"
-        )
-        return left.join(right, F.expr(may)).select(F.col("l_id").alias("id"), F.col("r_id").alias("rep"))
-
-    return link(
-        slim.mapInArrow(_stars(k, percent), STAR),
-        lambda: slim.where("id is not null").mapInArrow(_members(k, percent), columns),
-        near,
-        lambda pairs: verified(slim, pairs, k, percent),
-    )
+    return _groups(slim, facts(slim, k), k, percent)
 
 
 def label(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (see :func:`groups`); a null id keeps a null class."""
-    found = groups(docs, k, percent, id_col, text_col)
+    prepare(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sizes = slim.mapInArrow(_sizes(k), "doc_id long, n_shingles long")
-    joined = sizes.join(found, F.col("doc_id") == F.col("node"), "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    known = facts(slim, k)
+    found = _groups(slim, known, k, percent)
+    joined = known.join(found, F.col("id") == F.col("node"), "left")
+    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

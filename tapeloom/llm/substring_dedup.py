@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import GOLDEN, WordHashes, fresh, mix, prepare, shingle_hashes, stage, words
-from tapeloom.llm.linking import STAR, LocalStars, link
+from tapeloom.llm.common import GOLDEN, fresh, mix, prepare, shingles, stage
+from tapeloom.llm.linking import STAR, LocalStars, SlotFilter, link
 
 PARAGRAPH = re.compile(r"[^\r\n]+")
 SHINGLE, SIMILARITY, RECALL, MOST_HASHES, LEAST_WORDS = 5, 0.8, 0.999, 128, 25
-OCCURRENCE = "doc_id long, rid long, paragraph int, start long, stop long, n_words long, h1 long, h2 long, body string"
+OCCURRENCE = "doc_id long, rid long, paragraph int, start long, stop long, n_words long, h1 long, h2 long, body binary"
 
 
 def bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -50,7 +50,7 @@ def band_slots(hashes: np.ndarray, count: int, width: int) -> list[int]:
 
 def _split(least: int):
     names = [p.split()[0] for p in OCCURRENCE.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.int64()] * 5 + [pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.int64()] * 5 + [pa.binary()]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def run(batches):
@@ -59,11 +59,11 @@ def _split(least: int):
             rows = []
             for doc_id, rid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for number, m in enumerate(PARAGRAPH.finditer(text or "")):
-                    own = words(m[0])
+                    own = m[0].encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters, ASCII white space
                     if len(own) < least:
                         continue
-                    body = " ".join(own)
-                    digest = hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    body = b" ".join(own)
+                    digest = hashlib.blake2b(body, digest_size=16).digest()
                     key = (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))
                     if len(seen) > 200_000:
                         seen = set()
@@ -77,29 +77,35 @@ def _split(least: int):
 
 def _stars(k: int, count: int, width: int):
     def run(batches):
-        cache, stars = WordHashes(), LocalStars()
+        stars = LocalStars()
         for batch in batches:
-            for node, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                stars.add(node, band_slots(shingle_hashes(body.split(" "), k, cache), count, width))
-                if len(stars.rows) > 20_000:
-                    yield stars.batch()
-            yield stars.batch()
+            hashes, offsets = shingles(batch.column(1).to_pylist(), k)
+            for i, node in enumerate(batch.column(0).to_pylist()):
+                stars.add(node, band_slots(hashes[offsets[i] : offsets[i + 1]], count, width))
+            if len(stars) > 20_000:
+                yield stars.batch()
+        yield stars.batch()
 
     return run
 
 
-def _members(k: int, count: int, width: int):
+def _members(k: int, count: int, width: int, wanted: SlotFilter):
     def run(batches):
-        cache = WordHashes()
         for batch in batches:
-            slots, ids, sizes = [], [], []
-            for node, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes = shingle_hashes(body.split(" "), k, cache)
-                own = band_slots(hashes, count, width)
-                slots += own
-                ids += [node] * len(own)
-                sizes += [len(hashes)] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (slots, ids, sizes)], names=["slot", "id", "n"])
+            hashes, offsets = shingles(batch.column(1).to_pylist(), k)
+            slots = [s for i in range(batch.num_rows) for s in band_slots(hashes[offsets[i] : offsets[i + 1]], count, width)]
+            slots, ids = np.array(slots, np.int64), np.repeat(batch.column(0).to_numpy(), count)
+            has = wanted.has(slots)
+            yield pa.RecordBatch.from_arrays([pa.array(slots[has]), pa.array(ids[has])], names=["slot", "id"])
+
+    return run
+
+
+def _facts(k: int):
+    def run(batches):
+        for batch in batches:
+            _, offsets = shingles(batch.column(1).to_pylist(), k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64))], names=["id", "n"])
 
     return run
 
@@ -121,18 +127,18 @@ def edit_similarity(a: list[str], b: list[str]) -> float:
 def _verify(k: int, similarity: float, measure: str):
     percent = round(similarity * 1000)
 
-    def alike(a: str, b: str, cache: WordHashes) -> bool:
-        left, right = a.split(" "), b.split(" ")
-        if measure == "edit":
-            return edit_similarity(left, right) >= similarity
-        x, y = shingle_hashes(left, k, cache), shingle_hashes(right, k, cache)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return 1000 * both >= percent * (len(x) + len(y) - both)
-
     def run(batches):
-        cache = WordHashes()
         for batch in batches:
-            keep = [alike(a, b, cache) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            if measure == "edit":
+                keep = [edit_similarity(x.split(b" "), y.split(b" ")) >= similarity for x, y in zip(left, right, strict=True)]
+            else:
+                (x, a), (y, b) = shingles(left, k), shingles(right, k)
+                keep = []
+                for i in range(batch.num_rows):
+                    p, q = x[a[i] : a[i + 1]], y[b[i] : b[i + 1]]
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    keep.append(1000 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "rep"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -174,24 +180,18 @@ def _grouped(found: DataFrame, k: int, similarity: float, recall: float, measure
     units = stage(units.select("node", "h1", "h2", "times", "first", "body"), "units")
     texts = units.select("node", "body")
 
-    def near(held: DataFrame) -> DataFrame:
-        left = held.select(*(F.col(c).alias("l_" + c) for c in held.columns))
-        right = held.select(*(F.col(c).alias("r_" + c) for c in held.columns))
-        may = "l_slot = r_slot and l_comp < r_comp"
-        if measure == "jaccard":
-            may += f" and least(l_n, r_n) >= {similarity} * greatest(l_n, r_n)"
-        return left.join(right, F.expr(may)).select(F.col("l_id").alias("id"), F.col("r_id").alias("rep"))
-
     def verify(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("l"), F.col("body").alias("lt"))
         right = texts.select(F.col("node").alias("r"), F.col("body").alias("rt"))
         joined = pairs.join(left, F.col("id") == F.col("l")).join(right, F.col("rep") == F.col("r"))
         return joined.select("id", "rep", "lt", "rt").mapInArrow(_verify(k, similarity, measure), "id long, rep long")
 
+    sizes = stage(texts.mapInArrow(_facts(k), "id long, n long"), "facts")
     comp = link(
         texts.mapInArrow(_stars(k, count, width), STAR),
-        lambda: texts.mapInArrow(_members(k, count, width), "slot long, id long, n long"),
-        near,
+        lambda wanted: texts.mapInArrow(_members(k, count, width, wanted), "slot long, id long"),
+        sizes,
+        f"least(l.n, r.n) >= {similarity} * greatest(l.n, r.n)" if measure == "jaccard" else "true",
         verify,
     ).select(F.col("node").alias("n"), "component")
     own = units.drop("body").join(comp, F.col("node") == F.col("n"), "left").withColumn("component", F.coalesce("component", "node"))

@@ -3,9 +3,10 @@ import random
 import numpy as np
 import pytest
 
-from tapeloom.llm import ngram_join
-from tapeloom.llm.common import WordHashes, shingle_hashes, words
+from tapeloom.llm import common, ngram_join
+from tapeloom.llm.common import words
 from tapeloom.llm.components import components
+from tapeloom.llm.linking import SlotFilter
 
 SCHEMA = "doc_id long, text string, node string, n_shingles int"
 
@@ -75,20 +76,53 @@ def test_nulls_and_empty(spark):
 
 
 def test_pigeonhole_never_misses():
-    bands, cache, rng = ngram_join.Bands(85), WordHashes(), np.random.default_rng(5)
+    bands, rng, sets_ = ngram_join.Bands(85), np.random.default_rng(5), []
     for _ in range(400):
         n = int(rng.integers(1, 300))
         a = rng.integers(0, 2**63, n).astype(np.uint64)
         most = bands.differing(2 * n)
         drop = int(rng.integers(0, most + 1))
-        b = np.unique(np.r_[a[drop:], rng.integers(0, 2**63, int(rng.integers(0, most - drop + 1))).astype(np.uint64)])
-        a = np.unique(a)
+        sets_ += [np.unique(a), np.unique(np.r_[a[drop:], rng.integers(0, 2**63, int(rng.integers(0, most - drop + 1))).astype(np.uint64)])]
+    offsets = np.cumsum([0] + [len(s) for s in sets_])
+    slots = [set() for _ in sets_]
+    for keys, doc in ngram_join.segments(np.concatenate(sets_), offsets, bands):
+        for key, d in zip(keys.tolist(), doc.tolist(), strict=True):
+            slots[d].add(key)
+    short = ngram_join.sketches(np.concatenate(sets_), offsets).view(np.uint64)
+    linked = 0
+    for i in range(0, len(sets_), 2):
+        a, b = sets_[i], sets_[i + 1]
         both = len(np.intersect1d(a, b))
         if both and 100 * both >= 85 * (len(a) + len(b) - both):
-            assert set(ngram_join.segments(a, bands)) & set(ngram_join.segments(b, bands))
-            x, y = (np.array(ngram_join.sketch(s)).view(np.uint64) for s in (a, b))
-            assert sum(int(v).bit_count() for v in x ^ y) <= len(a) + len(b) - 2 * both
-    assert len(shingle_hashes(["a", "b"], 4, cache)) == 1
+            linked += 1
+            assert slots[i] & slots[i + 1]
+            assert sum(int(v).bit_count() for v in short[i] ^ short[i + 1]) <= len(a) + len(b) - 2 * both
+    assert linked > 100
+
+
+def test_shingles_equal_word_sequences(monkeypatch):
+    rng = random.Random(8)
+    texts = ["", None, " \n", "A b\tc", "a B c", "a b", "É é", "x" * 500, "a b c d e a b c d e"]
+    texts += [" ".join(rng.choices(["aa", "b", "Cc", "\x1cd", "é", "\n"], k=rng.randrange(0, 200))) for _ in range(60)]
+    for size in (64, 1 << 20):
+        monkeypatch.setattr(common, "PIECE_BYTES", size)
+        hashes, offsets = common.shingles([t if t is None else t.encode() for t in texts], 3)
+        names = {}
+        for i, text in enumerate(texts):
+            w = words(text)
+            want = {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} if w else set()
+            got = hashes[offsets[i] : offsets[i + 1]].tolist()
+            assert len(got) == len(want) and got == sorted(set(got))
+            for s in want:
+                names.setdefault(s, set(got))
+                names[s] &= set(got)
+        assert all(names.values()) and len(set().union(*names.values())) >= len(names)
+
+
+def test_slot_filter(spark):
+    slots = [5, -7, 2**62, -(2**63), 123456789]
+    kept = SlotFilter.of(spark.createDataFrame([(s,) for s in slots], "slot long"))
+    assert kept.has(np.array(slots)).all() and not kept.has(np.arange(1000, 2000)).any()
 
 
 def test_components_of_a_long_path(spark):

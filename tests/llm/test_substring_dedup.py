@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 
 from tapeloom.llm import substring_dedup as sd
+from tapeloom.llm.common import words as split_words
 
 DOCS = "doc_id long, text string, start string, rid int"
 
@@ -13,7 +14,7 @@ def brute(rows, least, k, similarity):
     occ = []
     for i, (doc_id, text, *_) in enumerate(rows):
         for n, m in enumerate(sd.PARAGRAPH.finditer(text or "")):
-            w = sd.words(m[0])
+            w = split_words(m[0])
             if len(w) >= least:
                 occ.append((doc_id is None, doc_id or 0, i, n, m.start(), m.end(), frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1))))
     root = list(range(len(occ)))
