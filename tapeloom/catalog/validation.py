@@ -521,7 +521,7 @@ def explore_sample(spark, sf):
     return cand.join(tried, "sig", "left_anti").groupBy("sig").agg(F.count(F.lit(1)).alias("draws"))
 
 
-SIMS = 100
+SIMS = 2000
 BOOT = (
     DAYPNL
     + ", dn AS MATERIALIZED (SELECT cfg, pnl, row_number() OVER (PARTITION BY cfg ORDER BY day) - 1 AS d, count(*) OVER (PARTITION BY cfg) AS n FROM dp), "
