@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.catalog.base import ny, query, rd, secs, sql, utc_from_ny
-from tapeloom.functions.columns import add_tf, asset_class, div, local, local_day, ntz, r
+from tapeloom.functions.columns import NEW_YORK, add_tf, asset_class, div, local, local_day, ntz, r
 from tapeloom.operators import bars as B
 from tapeloom.operators import quality as Q
 from tapeloom.operators.series import DAY
@@ -140,7 +140,7 @@ def derived_calendar(b):
     """Weekdays seen in the data; Fridays close at 13:00 like a half-day."""
     day = F.col("day").cast("timestamp")
     minutes = F.when(F.weekday("day") == 4, 780).otherwise(960)
-    at = lambda m: F.to_utc_timestamp(F.timestamp_micros(F.unix_micros(day) + m.cast("long") * F.lit(60_000_000)), B.NEW_YORK)
+    at = lambda m: F.to_utc_timestamp(F.timestamp_micros(F.unix_micros(day) + m.cast("long") * F.lit(60_000_000)), NEW_YORK)
     return (
         b.select(local_day(F.col("ts")).alias("day"))
         .distinct()

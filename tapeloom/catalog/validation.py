@@ -539,7 +539,7 @@ QS = [("total", "p05_total", 0.05), ("total", "p50_total", 0.5), ("total", "p95_
 
 
 @query("block_bootstrap", sql("trades", BOOT, "SELECT cfg, " + ", ".join(
-    rd(f"list_sort(list({c}))[{int(p * (SIMS - 1)) + 1}]", 4) + f" AS {n}" for c, n, p in QS) + ", avg(CASE WHEN total < 0 THEN 1 ELSE 0 END) AS p_loss FROM pt GROUP BY 1"))
+    rd(f"list_sort(list({c}))[{int(p * (SIMS - 1)) + 1}]", 4) + f" AS {n}" for c, n, p in QS) + ", avg(CASE WHEN round(total, 6) < 0 THEN 1 ELSE 0 END) AS p_loss FROM pt GROUP BY 1"))
 def block_bootstrap(spark, sf):
     daily = M.daily_sums(trades(spark, sf), ["cfg"], F.col("ret") * 1000)
     s = RB.bootstrap_summary(RB.block_paths(daily, "cfg", SIMS), "cfg")
@@ -550,7 +550,7 @@ READY = (
     "pn AS MATERIALIZED (SELECT *, ret * qty AS pnl FROM trades), cu AS (SELECT max(entry_ts) - INTERVAL 360 DAY AS cut FROM trades), "
     f"bs AS (SELECT cfg, {pf_sql('CASE WHEN entry_ts < cut THEN pnl END')} AS train_pf, {pf_sql('CASE WHEN entry_ts >= cut THEN pnl END')} AS hold_pf, {pf_sql('CASE WHEN entry_ts >= cut THEN pnl - 0.05 END')} AS stress_pf FROM pn, cu GROUP BY 1), "
     "mo AS (SELECT cfg, avg(CASE WHEN p > 0 THEN 1 ELSE 0 END) AS positive_months FROM (SELECT cfg, date_trunc('month', entry_ts) AS m, sum(pnl) AS p FROM pn GROUP BY 1, 2) GROUP BY 1), "
-    "ls AS (SELECT cfg, avg(CASE WHEN total < 0 THEN 1 ELSE 0 END) AS p_loss FROM pt GROUP BY 1), "
+    "ls AS (SELECT cfg, avg(CASE WHEN round(total, 6) < 0 THEN 1 ELSE 0 END) AS p_loss FROM pt GROUP BY 1), "
     "tp AS (SELECT cfg, sum(CASE WHEN rn <= 10 THEN pnl END) / sum(pnl) AS top_share FROM (SELECT *, row_number() OVER (PARTITION BY cfg ORDER BY pnl DESC) AS rn FROM pn WHERE pnl > 0) GROUP BY 1), "
     "al AS (SELECT *, [train_pf >= 1, hold_pf >= 1.1, stress_pf >= 1, positive_months >= 0.6, p_loss <= 0.25, top_share <= 0.35] AS ck FROM bs JOIN mo USING (cfg) LEFT JOIN ls USING (cfg) LEFT JOIN tp USING (cfg)), "
     "a2 AS (SELECT *, len(list_filter(ck, lambda x: NOT coalesce(x, false))) AS miss FROM al)"

@@ -70,7 +70,7 @@ def bootstrap_summary(paths: DataFrame, key: str) -> DataFrame:
         q("_rt", "total", 0.95).alias("p95_total"),
         q("_rd", "dd", 0.05).alias("p05_dd"),
         q("_rd", "dd", 0.5).alias("p50_dd"),
-        F.avg(F.when(F.col("total") < 0, 1.0).otherwise(0.0)).alias("p_loss"),
+        F.avg(F.when(F.round("total", 6) < 0, 1.0).otherwise(0.0)).alias("p_loss"),
     )
 
 
@@ -85,7 +85,7 @@ def readiness_report(trades: DataFrame, key: str, cut, paths: DataFrame, stress_
     )
     months = trades.groupBy(key, F.date_trunc("month", "entry_ts").alias("m")).agg(F.sum("pnl").alias("p"))
     share = months.groupBy(key).agg(F.avg(F.when(F.col("p") > 0, 1.0).otherwise(0.0)).alias("positive_months"))
-    loss = paths.groupBy(key).agg(F.avg(F.when(F.col("total") < 0, 1.0).otherwise(0.0)).alias("p_loss"))
+    loss = paths.groupBy(key).agg(F.avg(F.when(F.round("total", 6) < 0, 1.0).otherwise(0.0)).alias("p_loss"))
     out = base.join(share, key).join(loss, key, "left").join(top_share(trades, [key], "pnl"), key, "left")
     return out.withColumn(
         "verdict",
