@@ -198,7 +198,8 @@ def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "
     flags = candidates(index, rules)
     gated = [c for c in flags.columns if c != "doc_id"]
     flags = flags.select(F.col("doc_id").alias("node"), *(F.col(c).alias("may_" + c) for c in gated))
-    joined = slim.join(flags, F.col("doc_id").eqNullSafe(F.col("node")), "left")
+    # one plan at every size: how many candidates there are isn't known before
+    joined = slim.join(flags.hint("merge"), F.col("doc_id").eqNullSafe(F.col("node")), "left")
     none = F.array().cast("array<struct<start:long,kind:int,stop:long>>")
     each = []
     for order, rule in enumerate(rules):
