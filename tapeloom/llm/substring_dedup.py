@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import GOLDEN, fresh, mix, prepare, shingles, stage
 from tapeloom.llm.linking import STAR, LocalStars, SlotFilter, link
+from tapeloom.llm.ngram_join import SKETCH_WORDS, sketches
 
 PARAGRAPH = re.compile(r"[^\r\n]+")
 SHINGLE, SIMILARITY, RECALL, MOST_HASHES, LEAST_WORDS = 5, 0.8, 0.999, 128, 25
@@ -102,14 +103,27 @@ def _members(k: int, count: int, width: int, wanted: SlotFilter):
 
 
 def _facts(k: int):
+    names = ["id", "n", *(f"s{i}" for i in range(SKETCH_WORDS))]
+
     def run(batches):
         for batch in batches:
-            _, offsets = shingles(batch.column(1).to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64))], names=["id", "n"])
+            hashes, offsets = shingles(batch.column(1).to_pylist(), k)
+            short = sketches(hashes, offsets)
+            cols = [pa.array(np.ascontiguousarray(short[:, i])) for i in range(SKETCH_WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), *cols], names=names)
 
     return run
 
 
+def _may(similarity: float, measure: str) -> str:
+    """What every link meets: sizes close enough, and parity sketches no further apart than the sets may be."""
+    if measure != "jaccard":
+        return "true"
+    part = round(similarity * 1000)
+    apart = " + ".join(f"bit_count(l.s{i} ^ r.s{i})" for i in range(SKETCH_WORDS))
+    return f"1000 * least(l.n, r.n) >= {part} * greatest(l.n, r.n) and {1000 + part} * ({apart}) <= {1000 - part} * (l.n + r.n)"
+
+
 def edit_similarity(a: list[str], b: list[str]) -> float:
     """1 - word edit distance / length of the longer sequence."""
     if not a and not b:
@@ -186,12 +200,13 @@ def _grouped(found: DataFrame, k: int, similarity: float, recall: float, measure
         joined = pairs.join(left, F.col("id") == F.col("l")).join(right, F.col("rep") == F.col("r"))
         return joined.select("id", "rep", "lt", "rt").mapInArrow(_verify(k, similarity, measure), "id long, rep long")
 
-    sizes = stage(texts.mapInArrow(_facts(k), "id long, n long"), "facts")
+    shape = "id long, n long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
+    known = stage(texts.mapInArrow(_facts(k), shape), "facts")
     comp = link(
         texts.mapInArrow(_stars(k, count, width), STAR),
         lambda wanted: texts.mapInArrow(_members(k, count, width, wanted), "slot long, id long"),
-        sizes,
-        f"least(l.n, r.n) >= {similarity} * greatest(l.n, r.n)" if measure == "jaccard" else "true",
+        known,
+        _may(similarity, measure),
         verify,
     ).select(F.col("node").alias("n"), "component")
     own = units.drop("body").join(comp, F.col("node") == F.col("n"), "left").withColumn("component", F.coalesce("component", "node"))
