@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeloom.llm import exact_dedup, mixing, ngram_join, packing, quality
-from tapeloom.llm.common import stage, table
+from tapeloom.llm.common import release, stage, staged, table
 from tapeloom.llm.queries import MIXTURE, MIXTURE_BUDGET, TOKENIZER
 
 
@@ -34,7 +36,30 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, TOKENIZER)
 
 
-STAGES = [("quality", quality_filter), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
+_left: list[str] = []
+
+
+def _stage(step):
+    """A stage begins when its predecessor's rows are written, so what that one had staged can go."""
+
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left)
+        before = set(staged())
+        out = step(spark, docs, sf_dir)
+        _left[:] = [path for path in staged() if path not in before]
+        return out
+
+    return run
+
+
+STAGES = [
+    ("quality", _stage(quality_filter)),
+    ("exact_dedup", _stage(exact)),
+    ("near_dedup", _stage(near)),
+    ("mixing", _stage(mix)),
+    ("packing", _stage(pack)),
+]
 #: trained scores and a trained tokenizer's ids have no SQL twin
 ORACLE_SQL = None
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 
@@ -22,14 +23,39 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: folders that :func:`stage` has written and :func:`release` has not removed
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder (``spark.checkpoint.dir``) and go on from the files."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    _staged.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged() -> list[str]:
+    return list(_staged)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove staged folders whose readers are done."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        if path in _staged:
+            _staged.remove(path)
+            folder = hadoop(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, after which Spark drops the shuffle files of finished jobs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(columns, *names: str) -> list[str]:
     """Internal column names that clash with none of ``columns`` (names compare without case)."""
     taken = {c.lower() for c in columns}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import stage
+from tapeloom.llm.common import stage, tidy
 from tapeloom.llm.components import components
 
 STAR = "slot long, id long, rep long, slots array<long>"
@@ -130,19 +130,27 @@ def link(
     may      SQL condition that every link meets
     verify   (id, rep) pairs -> those that are links
     """
+    spark = stars.sparkSession
     pairs = stage(star_pairs(stars), "pairs")
+    tidy(spark)
     left, right = (facts.select(*(F.col(c).alias(f"{side}_{c}") for c in facts.columns)) for side in "lr")
     may = re.sub(r"\b([lr])\.", r"\1_", may)
-    alike = pairs.where("size(slots) > 0").select("id", "rep").join(left, F.col("id") == F.col("l_id")).join(right, F.col("rep") == F.col("r_id"))
-    alike = stage(alike.where(may).select("id", "rep").distinct(), "pairs")
-    links = verify(alike).unionByName(pairs.where("size(slots) = 0").select("id", "rep"))
+    tried = pairs.where("size(slots) > 0").select("id", "rep", F.size("slots").alias("shared"))
+    alike = tried.join(left, F.col("id") == F.col("l_id")).join(right, F.col("rep") == F.col("r_id"))
+    alike = stage(alike.where(may).groupBy("id", "rep").agg(F.max("shared").alias("shared")), "pairs")
+    # the pair with most slots in common first; most others then lie in one component already
+    best = alike.groupBy("id").agg(F.max_by("rep", "shared").alias("rep"))
+    links = verify(best).unionByName(pairs.where("size(slots) = 0").select("id", "rep"))
     found = components(links.select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    tidy(spark)
 
     def of(df: DataFrame, key: str, name: str) -> DataFrame:
         comp = found.select(F.col("node").alias("n_" + name), F.col("component").alias("c_" + name))
         joined = df.join(comp, F.col(key) == F.col("n_" + name), "left")
         return joined.withColumn(name, F.coalesce("c_" + name, key)).drop("n_" + name, "c_" + name)
 
+    rest = of(of(alike, "id", "ci"), "rep", "cr").where("ci <> cr").select("id", "rep")
+    found = _joined(found, stage(verify(rest.join(best, ["id", "rep"], "left_anti")), "links"))
     torn = of(of(pairs, "id", "ci"), "rep", "cr").where("ci <> cr").select(F.explode("slots").alias("slot"))
     torn = stage(torn.distinct(), "torn")
     if torn.isEmpty():
@@ -152,7 +160,11 @@ def link(
     other = held.select(*(F.col(c).alias("r_" + c.removeprefix("l_")) for c in held.columns))
     near = held.join(other, F.expr(f"slot = r_slot and comp < r_comp and {may}"))
     more = stage(near.select(F.col("l_id").alias("id"), F.col("r_id").alias("rep")).distinct(), "pairs")
-    late = stage(verify(more), "links")
+    return _joined(found, stage(verify(more), "links"))
+
+
+def _joined(found: DataFrame, late: DataFrame) -> DataFrame:
+    """Components with further links (id, rep) added."""
     if late.isEmpty():
         return found
     before = found.select(F.col("node").alias("a"), F.col("component").alias("b"))

@@ -180,10 +180,10 @@ def _verify(k: int, percent: int):
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of (id, rep) pairs those whose Jaccard similarity reaches the threshold. ``docs``: columns id, text."""
-    wanted = pairs.select("id").union(pairs.select("rep")).distinct()
-    texts = stage(docs.join(wanted, "id", "left_semi"), "texts")
-    left = texts.select(F.col("id").alias("l"), F.col("text").alias("lt"))
-    right = texts.select(F.col("id").alias("r"), F.col("text").alias("rt"))
+    pairs = stage(pairs, "pairs")
+    left = docs.select(F.col("id").alias("l"), F.col("text").alias("lt"))
+    reps = docs.join(pairs.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    right = stage(reps.select(F.col("id").alias("r"), F.col("text").alias("rt")), "texts")
     joined = pairs.join(left, F.col("id") == F.col("l")).join(right, F.col("rep") == F.col("r"))
     return joined.select("id", "rep", "lt", "rt").mapInArrow(_verify(k, percent), "id long, rep long").distinct()
 
