@@ -16,6 +16,8 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tapeloom.llm.common import WORD, prepare, stage
+from tapeloom.llm.common import prepare, stage
 
 CAPACITY = 4096
 GROUPS = 48
@@ -33,9 +35,18 @@ GROUPS = 48
 LARGE = (1 / 2, 1 / 3, 1 / 4, 1 / 8)
 #: a word and what follows it are tokenized apart, and so are the cases of a plain word
 TAIL = re.compile(r"(.*[^\W\d_])([.,!?;:#$%&*()\"/-]+)", re.S)
+#: marks the tokens that end a word in the vocabulary
+WORD_END = "</w>"
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 
 
+def chunks(text: bytes | None) -> list[bytes]:
+    """What ASCII white space parts; a text of ASCII letters is lower-cased first, as the tokenizer does."""
+    if not text:
+        return []
+    return (text.lower() if text.isascii() and b"<|" not in text else text).split()
+
+
 class WordIds(dict):
     """White-space delimited chunk -> its ids as little-endian bytes, by the tokenizer. Holds a fixed number of chunks.
 
@@ -44,37 +55,95 @@ class WordIds(dict):
     of its chunks in order.
     """
 
-    LIMIT = 300_000
+    #: chunks of one generation; when it is full it becomes the old one, of which used chunks are taken over
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: str) -> bytes:
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Tokenize the unknown plain words of a batch in one go: each ends with the first word-end token."""
+        new: set[bytes] = set()
+        for own in texts:
+            new.update(filterfalse(self.__contains__, own))
+        if self.old:
+            held = new.intersection(self.old)
+            self.update((c, self.old[c]) for c in held)
+            new -= held
+        parts, plain = [], set()
+        for chunk in new:
+            word, tail = self._parts(chunk)
+            parts.append((chunk, word, tail))
+            if word is not None:
+                plain.add(word)
+        todo = list(plain.difference(self))
+        for i in range(0, len(todo), 1000):
+            part = todo[i : i + 1000]
+            ids = self._encode(b" ".join(part).decode())
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(part):  # else a letter to one is none to the other, and words go one by one
+                body = ids.tobytes()
+                self.update((w, body[a:b]) for w, a, b in zip(part, [0, *stops], stops, strict=False))
+        for chunk, word, tail in parts:
+            if word is not None:
+                self[chunk] = self[word] + self[tail] if tail else self[word]
+
+    def forget(self) -> None:
+        """Between batches: start a new generation when this one is full."""
         if len(self) >= self.LIMIT:
+            self.old = dict(self)
             self.clear()
-        if chunk.isascii() and chunk.isalpha() and not chunk.islower():
-            value = self[chunk.lower()]
-        elif cut := TAIL.fullmatch(chunk):
-            value = self[cut[1]] + self[cut[2]]
-        else:
-            value = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @staticmethod
+    def _parts(chunk: bytes) -> tuple[bytes | None, bytes]:
+        """(plain word, ASCII punctuation after it); no word where the chunk must stay whole."""
+        text = chunk.decode()
+        word = text
+        if not text.isalpha():
+            cut = TAIL.fullmatch(text)
+            if not cut or not cut[1].isalpha():
+                return None, b""
+            word = cut[1]
+        tail = text[len(word) :].encode()
+        return (word.lower() if word.isascii() else word).encode(), tail
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        value = self.old.get(chunk)
+        if value is None:
+            word, tail = self._parts(chunk)
+            value = self._encode(chunk.decode()).tobytes() if word in (None, chunk) else self[word] + (self[tail] if tail else b"")
         if len(chunk) <= 200:
             self[chunk] = value
         return value
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One table per Python worker, which serves many tasks."""
+    return WordIds(path)
+
+
 def _pieces(path: str, capacity: int, last_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32())] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "task", "nth")])
     end = int(last_id).to_bytes(4, "little")
 
     def run(batches):
-        ids, task, count = WordIds(path), TaskContext.get().partitionId(), Counter()
+        ids, task, count = word_ids(path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                body = b"".join(map(ids.__getitem__, WORD.findall(text or ""))) + end
+            texts = [chunks(text) for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            ids.forget()
+            ids.learn(texts)
+            for doc_id, own in zip(batch.column(0).to_pylist(), texts, strict=True):
+                body = b"".join(map(ids.__getitem__, own)) + end
                 for piece, at in enumerate(range(0, len(body) // 4, capacity)):
                     part = body[4 * at : 4 * (at + capacity)]
                     n = len(part) // 4

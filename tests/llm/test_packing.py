@@ -19,6 +19,7 @@ ODD = [
     "1234 5\x1c6 a_b _a_ a1. 1a, ²x",
     "́a.́ ###$$$ | |x|",
     "THE the The,The.",
+    "J\u030c j\u030c H\u0331x T\u0308 I\u0307 K\u0327",
     "\n\t ",
 ]
 
@@ -28,9 +29,15 @@ def test_ids_equal_the_tokenizer_on_whole_texts():
     rng = random.Random(3)
     letters = ["a", "Ab", "é", "é", "ß", "Σ", "1", "٣", "'s", "'", ".", ",", "$", "_", "-", "日本", "‍", "😀", "|", "<"]
     texts = ODD + [" ".join("".join(rng.choices(letters, k=rng.randrange(1, 6))) for _ in range(12)) for _ in range(400)]
-    for text in texts:
-        got = np.frombuffer(b"".join(map(words.__getitem__, packing.WORD.findall(text))), "<u4").tolist()
+    split = [packing.chunks(text.encode()) for text in texts]
+    words.learn([*split[::2], [b"x" * 300]])
+    for text, own in zip(texts, split, strict=True):
+        got = np.frombuffer(b"".join(map(words.__getitem__, own)), "<u4").tolist()
         assert got == plain.encode(text, add_special_tokens=False).ids, text
+    words.LIMIT = 5
+    words.forget()
+    words.learn(split)
+    assert b"".join(map(words.__getitem__, split[-1])) == np.array(plain.encode(texts[-1], add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def check_plan(counts, capacity, runs, sequences):
