@@ -179,3 +179,12 @@ def shingles(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]
     new[1:] = (total[1:] != total[:-1]) | (doc[1:] != doc[:-1])
     kept = np.bincount(doc[new], minlength=len(texts)) if len(texts) else np.empty(0, np.int64)
     return total[new], np.r_[0, np.cumsum(kept)]
+
+
+def rolled(words: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hash of each run of ``k`` words, by prefix sums; ``words`` are hashes of one text's words in order."""
+    if len(words) < k:
+        return np.empty(0, np.uint64)
+    up, down = _grown(len(words) + 1)
+    sums = np.r_[np.uint64(0), np.cumsum(words * up[: len(words)])]
+    return mix((sums[k:] - sums[:-k]) * down[: len(words) - k + 1])

@@ -119,7 +119,7 @@ def op7(spark, sf_dir):
 
 @add("op10_substring_dedup")
 def op10(spark, sf_dir):
-    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
 
 
 @add("op4_license_scan")

@@ -5,6 +5,11 @@ of all documents share is one unit. Each unit gets a MinHash signature over its
 into bands whose number and width are tuned for the wanted recall at the threshold. Units that agree in a band
 are linked after verification by exact Jaccard similarity (or by word edit distance), without writing out a
 band's pairs (see ``linking``). All occurrences in a component but the first are repeats.
+
+``passages`` adds what doesn't depend on line breaks. Neighbouring lines too short to be units are joined to a
+block, a unit like a line. And every run of ``RUN`` words that occurs twice is found, wherever it begins: the
+least hash of the ``GRAM``-word pieces inside a run depends on nothing but its words, so two equal runs share it.
+A first pass counts those least pieces, a second one writes out only runs whose least piece occurs twice.
 """
 
 from __future__ import annotations
@@ -15,16 +20,23 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import GOLDEN, fresh, mix, prepare, shingles, stage
+from tapeloom.llm.common import GOLDEN, WORD, fresh, mix, prepare, rolled, shingles, stage, word_hashes
 from tapeloom.llm.linking import STAR, LocalStars, SlotFilter, link
 from tapeloom.llm.ngram_join import SKETCH_WORDS, sketches
 
 PARAGRAPH = re.compile(r"[^\r\n]+")
+#: two line breaks in a row
+BLANK = re.compile(r"\r\n\r|\n\r?\n|\r\r")
 SHINGLE, SIMILARITY, RECALL, MOST_HASHES, LEAST_WORDS = 5, 0.8, 0.999, 128, 25
 OCCURRENCE = "doc_id long, rid long, paragraph int, start long, stop long, n_words long, h1 long, h2 long, body binary"
+#: words of an exact run, and of the pieces that find it
+RUN, GRAM = 50, 26
+#: kinds of passages, in the order in which they come at one place
+LINE, BLOCK, EXACT = 0, 1, 2
+PLACE = OCCURRENCE + ", unit int, at long"
 
 
 def bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -49,31 +61,102 @@ def band_slots(hashes: np.ndarray, count: int, width: int) -> list[int]:
     return out.view(np.int64).tolist()
 
 
-def _split(least: int):
-    names = [p.split()[0] for p in OCCURRENCE.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.int64()] * 5 + [pa.binary()]
-    schema = pa.schema(list(zip(names, kinds, strict=True)))
-
-    def run(batches):
+def _joined_lines(text: str, least: int):
+    """(unit, number of the first line, start, stop) of the lines, and of neighbouring short lines as one block."""
+    short: list = []  # number, start, stop, words of a block that may go on
+    for number, m in enumerate(PARAGRAPH.finditer(text)):
+        n = len(m[0].encode("utf-8", "surrogatepass").split())
+        if short and (n >= least or not n or BLANK.search(text, short[2], m.start())):
+            if short[3] >= least:
+                yield BLOCK, *short[:3]
+            short = []
+        if n >= least:
+            yield LINE, number, m.start(), m.end()
+        elif n:
+            short = [*short[:2], m.end(), short[3] + n] if short else [number, m.start(), m.end(), n]
+    if short and short[3] >= least:
+        yield BLOCK, *short[:3]
+
+
+def least_pieces(words: np.ndarray, run: int = RUN, gram: int = GRAM) -> np.ndarray:
+    """Place of the least piece of each run of ``run`` words; no runs, no places."""
+    if len(words) < run:
+        return np.empty(0, np.int64)
+    wide = np.lib.stride_tricks.sliding_window_view(rolled(words, gram), run - gram + 1)
+    return wide.argmin(axis=1) + np.arange(len(wide))
+
+
+def _pieces(run: int, gram: int):
+    def count(batches):
+        for batch in batches:
+            hashes, owners = word_hashes([None if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()])
+            edges, found = np.searchsorted(owners, np.arange(batch.num_rows + 1)), [np.empty(0, np.uint64)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                places = np.unique(least_pieces(hashes[lo:hi], run, gram))
+                if len(places):
+                    found.append(rolled(hashes[lo:hi], gram)[places])
+            values, times = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], names=["slot", "times"])
+
+    return count
+
+
+def _runs(doc_id, rid, text: str, wanted: SlotFilter, run: int, gram: int) -> list[tuple]:
+    """Rows of ``PLACE`` for the runs whose least piece is wanted."""
+    hashes = word_hashes([text.encode("utf-8", "surrogatepass")])[0]
+    places = least_pieces(hashes, run, gram)
+    if not len(places):
+        return []
+    own = np.flatnonzero(wanted.has(rolled(hashes, gram).view(np.int64)[places]))
+    if not len(own):
+        return []
+    h1 = rolled(hashes, run)[own].view(np.int64).tolist()
+    h2 = rolled(mix(hashes ^ np.uint64(GOLDEN)), run)[own].view(np.int64).tolist()
+    edges = [m.span() for m in WORD.finditer(text)]
+    lines = np.array([m.end() for m in PARAGRAPH.finditer(text)])
+    starts = [edges[i][0] for i in own]
+    numbers = np.searchsorted(lines, starts, "right").tolist()
+    return [
+        (doc_id, rid, number, start, edges[i + run - 1][1], run, a, b, None, EXACT, i)
+        for i, start, number, a, b in zip(own.tolist(), starts, numbers, h1, h2, strict=True)
+    ]
+
+
+def _split(least: int, wanted: SlotFilter | None = None, run: int = RUN, gram: int = GRAM):
+    """Lines as rows of ``OCCURRENCE``; with a filter of least pieces, lines, blocks and runs as rows of ``PLACE``."""
+    names = [p.split()[0] for p in PLACE.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.int64()] * 5 + [pa.binary(), pa.int32(), pa.int64()]
+    schema = pa.schema(list(zip(names, kinds, strict=True))[: None if wanted else OCCURRENCE.count(",") + 1])
+
+    def split(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             rows = []
             for doc_id, rid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for number, m in enumerate(PARAGRAPH.finditer(text or "")):
-                    own = m[0].encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters, ASCII white space
-                    if len(own) < least:
+                for unit, number, start, stop in _joined_lines(text or "", least):
+                    if unit == BLOCK and not wanted:
                         continue
+                    own = text[start:stop].encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters, ASCII white space
                     body = b" ".join(own)
                     digest = hashlib.blake2b(body, digest_size=16).digest()
                     key = (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))
                     if len(seen) > 200_000:
                         seen = set()
-                    rows.append((doc_id, rid, number, m.start(), m.end(), len(own), *key, None if key in seen else body))
+                    rows.append((doc_id, rid, number, start, stop, len(own), *key, None if key in seen else body, unit, 0)[: len(schema)])
                     seen.add(key)
-            cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                if wanted:
+                    rows += _runs(doc_id, rid, text or "", wanted, run, gram)
+                if len(rows) > 20_000:
+                    yield _rows(rows, schema)
+                    rows = []
+            yield _rows(rows, schema)
 
-    return run
+    return split
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
 def _stars(k: int, count: int, width: int):
@@ -186,7 +269,7 @@ def repeats(
 
 def _grouped(found: DataFrame, k: int, similarity: float, recall: float, measure: str) -> DataFrame:
     count, width = bands(similarity, recall)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "paragraph")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "paragraph", "start")
     counted = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(order).alias("first"))
     # a body per task that has one; the smallest is any of equal texts
     bodies = found.where("body is not null").groupBy("h1", "h2").agg(F.min("body").alias("body"))
@@ -220,6 +303,66 @@ def _grouped(found: DataFrame, k: int, similarity: float, recall: float, measure
     )
 
 
+def passages(
+    docs: DataFrame,
+    k: int = SHINGLE,
+    similarity: float = SIMILARITY,
+    recall: float = RECALL,
+    least_words: int = LEAST_WORDS,
+    run: int = RUN,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row per occurrence of a repeated passage, wherever lines break; columns of :func:`repeats`, and ``unit``.
+
+    unit is ``line`` or ``block`` (neighbouring lines of fewer than ``least_words`` words each, with no blank line
+    between, that have as many together) for near copies, and ``run`` for equal words: neighbouring runs of ``run``
+    words that occur more than once, all removed with their first occurrences in one document, or all first
+    occurrences, form one row. Every such run lies in a row: of unit ``run``, or in a line or block that has the
+    same ``removed``. paragraph is the line in which a row starts; group_size of a ``run`` counts its most
+    frequent words, group_doc and group_paragraph tell where its first words occur first. Words of a first
+    occurrence that a later one overlaps in the same text are not removed. Nulls and repeated rows as in
+    :func:`repeats`.
+    """
+    prepare(docs.sparkSession)
+    if run < 2:
+        raise ValueError("a run has two words at least")
+    gram = run // 2 + 1
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("string").alias("text"))
+    pieces = slim.select("text").mapInArrow(_pieces(run, gram), "slot long, times long")
+    wanted = SlotFilter.of(pieces.groupBy("slot").agg(F.sum("times").alias("times")).where("times > 1"))
+    found = stage(slim.mapInArrow(_split(least_words, wanted, run, gram), PLACE), "passages")
+    cols = ["doc_id", "rid", "paragraph", "start", "stop", "n_words", "group_doc", "group_paragraph", "group_size", "removed"]
+    names = F.when(F.col("unit") == LINE, "line").otherwise("block")
+    near = stage(_grouped(found.where(F.col("unit") != EXACT), k, similarity, recall, "jaccard").select(*cols, names.alias("unit")), "near")
+    exact = _spans(found.where(F.col("unit") == EXACT), run).select(*cols, F.lit("run").alias("unit"))
+    around = near.select(F.col("rid").alias("o_rid"), F.col("start").alias("o_start"), F.col("stop").alias("o_stop"), F.col("removed").alias("o_removed"))
+    inside = F.expr("rid = o_rid and removed = o_removed and start >= o_start and stop <= o_stop")
+    return near.unionByName(exact.join(around, inside, "left_anti")).drop("rid")
+
+
+def _spans(runs: DataFrame, run: int) -> DataFrame:
+    """Neighbouring repeated runs of one text as one row."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "at", "stop", "paragraph")
+    groups = runs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(order).alias("head")).where("times > 1")
+    of = runs.select("h1", "h2", "doc_id", "rid", "paragraph", "start", "stop", "at").join(groups, ["h1", "h2"])
+    of = of.withColumn("removed", (F.col("rid") != F.col("head.rid")) | (F.col("at") != F.col("head.at")))
+    along = Window.partitionBy("rid").orderBy("at")
+    same = (F.lag("at").over(along) == F.col("at") - 1) & (F.lag("removed").over(along) == F.col("removed")) & (F.lag("head.rid").over(along) == F.col("head.rid"))
+    of = of.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("span", F.sum("new").over(along))
+    # where a text repeats itself, the words of the first occurrence stay
+    own = F.when(F.col("removed") & (F.col("rid") == F.col("head.rid")), F.struct(F.col("head.at").alias("at"), F.col("head.stop").alias("stop")))
+    first = lambda c: F.min_by(c, "at")
+    spans = of.groupBy("rid", "span").agg(
+        first("doc_id").alias("doc_id"), first("paragraph").alias("paragraph"), F.min("start").alias("start"), F.max("stop").alias("stop"),
+        F.min("at").alias("low"), (F.max("at") + run).alias("high"), F.max(own).alias("own"), F.max("times").alias("group_size"),
+        first(F.col("head.doc_id")).alias("group_doc"), first(F.col("head.paragraph")).alias("group_paragraph"), F.first("removed").alias("removed"),
+    )
+    low = F.greatest("low", F.coalesce(F.col("own.at") + run, "low"))
+    start = F.greatest("start", F.coalesce(F.col("own.stop"), "start"))
+    return spans.withColumn("start", start).withColumn("n_words", F.col("high") - low).where("n_words > 0")
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs``, all rows and columns, with the repeated passages cut from their texts (see :func:`repeats`).
 

@@ -103,3 +103,64 @@ def test_bands():
     count, width = sd.bands(0.8, 0.999, 128)
     assert 1 - (1 - 0.8**width) ** count >= 0.999 and count * width <= 128
     assert sd._cut("a\nb\r\nc", [1]) == "a\nc" and sd._cut("a", [0]) == "" and sd._cut("a\n\nb", [0]) == "\nb"
+
+
+def repeated_runs(rows, run):
+    """(doc, word) of every word in a run of ``run`` words that occurs twice."""
+    at = defaultdict(list)
+    for i, (_, text, *_) in enumerate(rows):
+        w = split_words(text)
+        for j in range(len(w) - run + 1):
+            at[tuple(w[j : j + run])].append((i, j))
+    return {(i, j + d) for own in at.values() if len(own) > 1 for i, j in own for d in range(run)}
+
+
+def test_passages_hold_every_repeated_run(spark):
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(3000)]
+    say = lambda n: rng.choices(vocab, k=n)
+    shared = [say(n) for n in (50, 53, 60, 147, 400)]
+    rows = []
+    for i in range(60):
+        own = say(rng.randrange(1, 200))
+        for p in rng.sample(shared, rng.randrange(0, 3)):
+            own += p + say(rng.randrange(1, 200))
+        breaks = rng.choice([0, 7, 12, 31])
+        text = " ".join(w + ("\n" if breaks and j % breaks == breaks - 1 else "") for j, w in enumerate(own))
+        rows.append((i, text, "", 0))
+    rows += [(100, "x " * 51, "", 0), (101, " ".join(vocab[:50] * 3), "", 0), (102, " ".join(vocab[:49]), "", 0), (103, None, "", 0), (None, rows[0][1], "", 0)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    out = sd.passages(docs).collect()
+    number = {r[0]: i for i, r in enumerate(rows)}
+    told, gone = set(), set()
+    for r in out:
+        text = rows[number[r.doc_id]][1]
+        before = len(split_words(text[: r.start]))
+        assert len(split_words(text[r.start : r.stop])) == r.n_words
+        span = {(number[r.doc_id], before + j) for j in range(r.n_words)}
+        told |= span
+        gone |= span if r.removed else set()
+    want = repeated_runs(rows, sd.RUN)
+    first = {(number[100], j) for j in range(50)} | {(number[101], j) for j in range(50)}
+    assert want <= told and not first & gone
+    runs = {w for r in out if r.unit == "run" for w in [(number[r.doc_id], len(split_words(rows[number[r.doc_id]][1][: r.start])) + j) for j in range(r.n_words)]}
+    assert runs <= want
+    # one copy of each run stays
+    left = [(r[0], " ".join(w if (i, j) not in gone else f"gone{i}_{j}" for j, w in enumerate(split_words(r[1]))), "", 0) for i, r in enumerate(rows)]
+    assert not repeated_runs(left, sd.RUN)
+    for p in shared:
+        seen = [r for r in rows if " ".join(p) in " ".join(split_words(r[1]))]
+        kept = [r for r in left if " ".join(p) in r[1]]
+        assert len(kept) >= bool(seen)
+    assert sd.passages(docs.limit(0)).count() == 0
+
+
+def test_wrapped_near_copies(spark):
+    rng = random.Random(3)
+    own = [f"w{rng.randrange(900)}" for _ in range(120)]
+    other = [w if j % 40 else "new" for j, w in enumerate(own)]
+    wrap = lambda w, n: "\n".join(" ".join(w[j : j + n]) for j in range(0, len(w), n))
+    docs = spark.createDataFrame([(1, "head\n\n" + wrap(own, 12), "", 0), (2, wrap(other, 11), "", 0)], DOCS)
+    got = sorted((r.doc_id, r.paragraph, r.n_words, r.group_doc, r.removed) for r in sd.passages(docs).collect() if r.unit == "block")
+    assert got == [(1, 1, 120, 1, False), (2, 0, 120, 1, True)]
+    assert sd.repeats(docs).count() == 0
