@@ -13,49 +13,36 @@ from tapeloom.operators.quality import keep_last
 from tapeloom.operators.series import number_rows
 
 
-#: the parameters of a setup document and their kinds; blocks nest
-PARAMETERS: dict = {
-    "adx_filter": "number",
-    "dev": "number",
-    "entry": {"fast": "number", "kind": "text", "n": "number", "period": "number", "range_min": "number", "slow": "number", "thr": "number", "tol_bars": "number", "type": "text"},
-    "exec_tf": "text",
-    "exit": {"bars": "number", "kind": "text", "r": "number", "sl": "number", "tp": "number", "trail": "number"},
-    "filter": {"kind": "text", "level": "text", "op": "text", "tf": "text", "thr": "number"},
-    "setup_tf": "text",
-    "sl": "number",
-    "strategy": "text",
-    "strict": "flag",
-    "target": "text",
-    "tol_bars": "number",
-    "tp": "number",
-}
-
-
-def _document_type(kinds: dict) -> str:
-    """All values as text; the builder below gives them their form."""
-    return "struct<" + ",".join(f"`{k}`:{_document_type(v) if isinstance(v, dict) else 'string'}" for k, v in sorted(kinds.items())) + ">"
-
-
-def _document_text(value: Column, kinds: dict) -> Column:
-    """Compact JSON of the parameters that are there, names in alphabetical order."""
-    parts = []
-    for name, kind in sorted(kinds.items()):
-        v = value[name]
-        if isinstance(kind, dict):
-            text = _document_text(v, kind)
-        elif kind == "number":
-            whole = v.cast("double")
-            text = F.when(whole == F.floor(whole), F.floor(whole).cast("string")).otherwise(whole.cast("string"))
-        else:
-            text = v if kind == "flag" else F.concat(F.lit('"'), F.regexp_replace(v, r'(["\\\\])', r"\\$1"), F.lit('"'))
-        parts.append(F.when(v.isNotNull(), F.concat(F.lit(f'"{name}":'), text)))
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+#: strings, numbers and what stands between them in a JSON text
+TOKENS = r'"[^"\\]*(?:\\.[^"\\]*)*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'
+#: keys of a setup document that are no parameters of the setup
+OUTSIDE = ("symbol", "fee")
+
+
+def _plain_number(t: Column) -> Column:
+    """A double of a JSON text as a decimal number, where that loses nothing."""
+    plain = F.coalesce(*(F.when(d.cast("double") == t.cast("double"), d.cast("string")) for d in (t.try_cast("decimal(38,18)"), t.try_cast("decimal(38,0)"))), t)
+    return F.when(t.rlike(r"^-?[0-9]+\.[0-9]*0$|^-?[0-9.]+E"), F.regexp_replace(plain, r"^(-?[0-9]+(?:\.[0-9]*[1-9])?)\.?0*$", "$1")).otherwise(t)
 
 
 def config_signature(params: Column) -> Column:
-    """Strategy and canonical document: known parameters only (so neither symbol nor fee), whole numbers without a fraction."""
-    doc = F.from_json(params, _document_type(PARAMETERS))
-    return F.concat_ws("|", F.coalesce(doc["strategy"], F.lit("None")), _document_text(doc, PARAMETERS))
+    """Strategy and canonical document: all keys but symbol and fee, names sorted, whole numbers without a fraction.
+
+    Values of any kind and depth stay. A text that is no JSON object, or repeats a name, stands for itself.
+    """
+    doc = F.from_json(params, "map<string,variant>")
+
+    def entry(e: Column) -> Column:
+        quoted = F.concat(F.lit('"'), F.regexp_replace(e["key"], r'(["\\])', r"\\$1"), F.lit('":'))
+        text = F.coalesce(F.to_json(e["value"]), F.lit("null"))
+        plain = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(TOKENS), 0), _plain_number), "")
+        return F.struct(e["key"].alias("key"), F.concat(quoted, F.when(text.rlike(r"[0-9]E|\.[0-9]*0"), plain).otherwise(text)).alias("text"))
+
+    entries = F.transform(F.filter(F.map_entries(doc), lambda e: ~e["key"].isin(*OUTSIDE)), entry)
+    whole = F.concat(F.lit("{"), F.array_join(F.array_sort(entries)["text"], ","), F.lit("}"))
+    names = F.map_keys(doc)
+    strategy = F.variant_get(doc["strategy"], "$", "string")
+    return F.concat_ws("|", F.coalesce(strategy, F.lit("None")), F.coalesce(F.when(F.size(names) == F.size(F.array_distinct(names)), whole), params))
 
 
 def run_id(sig: Column, symbol: Column, fee: Column) -> Column:

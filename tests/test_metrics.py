@@ -119,6 +119,31 @@ def test_signature(spark):
     ]
 
 
+def test_signatures_tell_every_key_apart(spark):
+    import json
+
+    base = {
+        "strategy": "vwap", "mode": "revert", "band_k": 2.0, "wait_bars": 3, "vol_mult": 1.5, "tol": 0.1, "wick_k": 2, "confirm_bars": 1,
+        "window": "open", "intraday_only": True, "exit": {"kind": "r", "max_bars": 40, "r": 2}, "filter": {"ind": "rsi", "thr": 55.5},
+        "gates": [{"ind": "adx", "thr": 20}, 1, "a"], "odd \"key\"": None, "list": [1.0, 2], "far": {"x": {"y": [[0.25]]}},
+    }
+    docs = [base]
+    for k, v in base.items():
+        docs.append({n: w for n, w in base.items() if n != k})
+        docs.append(base | {k: "other"})
+        if isinstance(v, dict):
+            docs += [base | {k: v | {n: "other"}} for n in v]
+    docs += [base | {"gates": base["gates"][::-1]}, base | {"list": [1, 2, 2]}, base | {"list": [2, 1]}, base | {"list": "[1,2]"}]
+    docs += [base | {"far": {"x": {"y": [[0.5]]}}}, base | {"wait_bars": "3"}, base | {"intraday_only": "true"}]
+    texts = [json.dumps(d) for d in docs] + ["{bad", "{worse", '{"a": 1, "a": 2}', '{"a": 1, "a": 3}', "[1]"]
+    sig = lambda rows: [r[0] for r in mk(spark, [(d,) for d in rows], "d string").select(R.config_signature(F.col("d"))).collect()]
+    got = sig(texts)
+    assert len(set(got)) == len(texts) and None not in got
+    swapped = {k: (dict(reversed(v.items())) if isinstance(v, dict) else v) for k, v in reversed(base.items())}
+    same = json.dumps(swapped | {"symbol": "X", "fee": 0.1}).replace("55.5", "5.55e1").replace(": 3", ": 3.00").replace(": 40", ": 4e1")
+    assert sig([same, json.dumps({"a": 1e-4, "b": 1000})]) == [got[0], sig(['{"b": 1e3, "a": 0.0001}'])[0]]
+
+
 def test_total_loss_stays(spark):
     df = mk(spark, [("A", 0.1), ("A", -1.0), ("A", 0.2), ("B", 0.1), ("B", 0.2), ("C", -1.5)], "s string, ret double")
     got = {r[0]: r[1] for r in df.groupBy("s").agg(M.compounded_pct(F.col("ret"))).collect()}
