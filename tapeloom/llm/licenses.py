@@ -4,7 +4,9 @@ Terms are those of the templates, weighed by their document frequency over the w
 a text counts as a term of its own with the highest weight, so prose around a notice lowers its cosine. Scored
 are the lines of a text, its blocks (lines between blank lines) and the whole text. A line or block above the
 threshold is a header; a whole text above it is a licence file, and its licence holds for every file below its
-directory that has no header of its own, unless a nearer directory has one.
+directory that has no header of its own, unless a nearer directory has one. A licence's full text is far longer than
+any notice, so it is told by its first and last words instead: a text is also a licence file if the words
+from there to there (``TEXTS``) are the threshold's share of all its words; the share is then its score.
 """
 
 from __future__ import annotations
@@ -55,11 +57,55 @@ TEMPLATES = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
 ]
 
+# fixed values: licence, first words of its full text, words that must follow (or none), last words; by terms
+TEXTS = [
+    ("Apache-2.0", "apache license version 2.0 january 2004", "grant of patent license", "end of terms and conditions"),
+    ("GPL-3.0", "gnu general public license version 3 29 june 2007", "conveying verbatim copies", "end of terms and conditions"),
+    ("GPL-2.0", "gnu general public license version 2 june 1991", "you may copy and distribute verbatim copies", "end of terms and conditions"),
+    ("LGPL-3.0", "gnu lesser general public license version 3 29 june 2007", "combined works", "permanent authorization for you to choose that version for the library"),
+    ("LGPL-2.1", "gnu lesser general public license version 2.1 february 1999", "work that uses the library", "end of terms and conditions"),
+    ("LGPL-2.0", "gnu library general public license version 2 june 1991", "work that uses the library", "end of terms and conditions"),
+    ("AGPL-3.0", "gnu affero general public license version 3 19 november 2007", "remote network interaction", "end of terms and conditions"),
+    ("MPL-2.0", "mozilla public license version 2.0", "covered software", "incompatible with secondary licenses as defined by the mozilla public license v 2.0"),
+    ("CC-BY-4.0", "creative commons attribution 4.0 international public license", "licensed rights", "section 8 interpretation"),
+    ("CC-BY-SA-4.0", "creative commons attribution-sharealike 4.0 international public license", "adapter s license", "section 8 interpretation"),
+    ("CC-BY-NC-4.0", "creative commons attribution-noncommercial 4.0 international public license", "noncommercial means", "section 8 interpretation"),
+    ("CC-BY-ND-4.0", "creative commons attribution-noderivatives 4.0 international public license", "licensed rights", "section 8 interpretation"),
+    ("CC-BY-NC-SA-4.0", "creative commons attribution-noncommercial-sharealike 4.0 international public license", "noncommercial means", "section 8 interpretation"),
+    ("CC-BY-NC-ND-4.0", "creative commons attribution-noncommercial-noderivatives 4.0 international public license", "noncommercial means", "section 8 interpretation"),
+    ("CC0-1.0", "cc0 1.0 universal", "statement of purpose", "duty or obligation with respect to this cc0 or use of the work"),
+    ("MIT", "permission is hereby granted free of charge to any person obtaining a copy of this software", "without warranty of any kind", "or other dealings in the software"),
+    ("BSD-3-Clause", "redistribution and use in source and binary forms", "endorse or promote products", "even if advised of the possibility of such damage"),
+    ("BSD-2-Clause", "redistribution and use in source and binary forms", "in binary form must reproduce", "even if advised of the possibility of such damage"),
+    ("Unlicense", "this is free and unencumbered software released into the public domain", "without warranty of any kind", "for more information please refer to"),
+    ("ISC", "permission to use copy modify and or distribute this software for any purpose", "provided that the above copyright notice", "use or performance of this software"),
+]
+#: words one of which every full text holds
+FULL_TEXT = re.compile("license|terms and|redistribution|permission|unencumbered|cc0", re.IGNORECASE)
+
 
 def terms(text: str) -> list[str]:
     return TERM.findall(text.lower())
 
 
+def full_text(text: str, threshold: float = THRESHOLD) -> tuple[float, str] | None:
+    """(share of the words, licence) of a full licence text that holds that share of ``text`` at least."""
+    if not FULL_TEXT.search(text):
+        return None
+    words = f" {' '.join(terms(text))} "
+    total, hits = words.count(" ") - 1, []
+    for i, (name, first, then, last) in enumerate(TEXTS):
+        start = words.find(f" {first} ")
+        if start < 0:
+            continue
+        middle, end = words.find(f" {then} ", start), words.rfind(f" {last} ")
+        if start < middle < end:
+            share = words.count(" ", start, end + len(last) + 1) / total
+            if share >= threshold:
+                hits.append((share, -i, name))
+    return max(hits)[::2] if hits else None
+
+
 class Matcher:
     """Templates as sparse TF-IDF vectors of unit length."""
 
@@ -90,7 +136,9 @@ class Matcher:
         return (min(1.0, cosine), self.templates[-i][0]) if cosine >= self.threshold else None
 
     def scan(self, text: str | None) -> tuple[str | None, float, bool]:
-        """(licence, cosine, whether the whole text is the licence)."""
+        """(licence, cosine or share, whether the whole text is the licence)."""
+        if text and (hit := full_text(text, self.threshold)):
+            return hit[1], hit[0], True
         found: list[tuple[float, str]] = []
         whole, block = Counter(), Counter()
         whole_others = block_others = block_lines = 0

@@ -1,12 +1,15 @@
 import math
+import os
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.llm import licenses as li
 
 DOCS = "doc_id long, text string, p string, license int"
+SHIPPED = "/usr/share/common-licenses"
 GPL = "This work is licensed under the GNU General Public License, version 3."
 
 
@@ -87,3 +90,33 @@ def test_scan_equals_brute_force(spark):
 def test_directories(spark):
     df = spark.createDataFrame([("a/b/c",), ("x",), ("a/x",)], "p string").select(li.ancestors(li.directory(F.col("p"))).alias("u"))
     assert [r.u for r in df.collect()] == [["", "a", "a/b"], [""], ["", "a"]]
+
+
+#: the complete texts as Debian ships them
+COMPLETE = {
+    "Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0",
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(SHIPPED), reason="no complete licence texts on this machine")
+def test_complete_texts_are_inherited(spark):
+    texts = {name: open(f"{SHIPPED}/{name}", encoding="utf-8").read() for name in COMPLETE}
+    rng = random.Random(4)
+    data = [(i, prose(rng, 50), "other/x", 0) for i in range(200)]
+    for i, (name, text) in enumerate(texts.items()):
+        data += [(1000 + i, text, f"r{i}/LICENSE", 0), (2000 + i, prose(rng, 30), f"r{i}/src/x.py", 0)]
+        # a program that carries the whole text is no licence file
+        assert li.full_text(text)[1] == COMPLETE[name] and li.full_text(text + "code " * len(li.terms(text))) is None
+    got = {r.doc_id: r for r in li.scan(spark.createDataFrame(data, DOCS), F.col("p")).collect()}
+    for i, license in enumerate(COMPLETE.values()):
+        own, below = got[1000 + i], got[2000 + i]
+        assert (own.license, own.origin) == (license, "file") and own.score >= li.THRESHOLD
+        assert (below.license, below.origin, below.license_dir) == (license, "inherited", f"r{i}")
+
+
+def test_full_text_without_files():
+    filler = "words of the terms " * 300
+    agpl = f"GNU AFFERO GENERAL PUBLIC LICENSE\n  Version 3, 19 November 2007\n{filler}13. Remote Network Interaction; {filler}\nEND OF TERMS AND CONDITIONS"
+    by = f'Creative Commons Attribution-ShareAlike 4.0 International Public License\n{filler}Adapter\'s License {filler}\nSection 8 -- Interpretation.'
+    assert li.full_text(agpl)[1] == "AGPL-3.0" and li.full_text(by)[1] == "CC-BY-SA-4.0"
+    assert li.full_text(agpl[:-30]) is None and li.full_text(agpl + "code " * 3000) is None and li.full_text("license") is None
