@@ -5,6 +5,9 @@ headers and footers, sidebars, adverts, notices and reader comments, by element,
 every paragraph earns points for its length and its commas and passes them to its ancestors, less with each
 level; a container's points are discounted by the share of its text that is link text. The best container is
 kept with those of its siblings that also read like article text.
+
+A name counts by whole class tokens, and a form or an element with a layout name stays when it holds most of the
+page's paragraph text (that of article and main elements, if there are any); then only a form's controls go.
 """
 
 from __future__ import annotations
@@ -45,6 +48,17 @@ GOOD_NAME = set("article body content entry main page post story text".split())
 POINTS_AT = {"p", "pre", "td", "blockquote", "li", "dd", "div", "section", "article", "main", "body", "figcaption"}
 LEAST_CHARS = 25
 NAME = re.compile(r"[a-z0-9]+")
+#: parts that say no more than where or how an element is laid out
+NEUTRAL = set("area bar block bottom box container global inner item left link links list outer primary right row secondary section site slot top wrap wrapper".split())
+#: of NEVER_NAME: also carried by elements around a whole page
+LAYOUT = set("banner footer header masthead menu modal nav navbar navigation notice overlay search sidebar skip toolbar widget".split())
+REFERENCE_NAME = set("bibliography citation citations endnotes footnote footnotes literature notes reference references reflist sources".split())
+MENU_NAME = NEVER_NAME | {"toc", "contents"}
+MENU_HEADING = re.compile(r"\b(related|more|also|read|menu|share|navigation|contents|popular|latest)\b")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+
+WHOLE = ("html", "body", "article", "main")
 
 
 class Tree(HTMLParser):
@@ -53,6 +67,7 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.dropped, self.names, self.items = ["html"], [-1], [False], [set()], [[]]
+        self.spared = {}  # elements that go unless they hold the page's text
         self.stack = [0]
 
     def handle_starttag(self, tag, attrs):
@@ -68,7 +83,11 @@ class Tree(HTMLParser):
         self.tag.append(tag)
         self.parent.append(up)
         self.names.append(set(NAME.findall(attrs.get("class", "") + " " + attrs.get("id", ""))))
-        self.dropped.append(self.dropped[up] or self._never(tag, attrs, self.names[at], inside))
+        tokens = (attrs.get("class", "") + " " + attrs.get("id", "")).split()
+        never = {t for t in tokens if self._marked(t)}
+        self.dropped.append(self.dropped[up] or self._never(tag, attrs, never, inside))
+        if not self.dropped[at] and (tag == "form" or attrs.get("role") == "form" or (tag not in WHOLE and never)):
+            self.spared[at] = True
         self.items.append([])
         self.items[up].append(at)
         if tag not in VOID:
@@ -79,11 +98,43 @@ class Tree(HTMLParser):
 
     @staticmethod
     def _never(tag, attrs, names, inside) -> bool:
-        if tag in DROP or (tag == "header" and not inside) or attrs.get("role") in NEVER_ROLE:
+        role = attrs.get("role")
+        if (tag in DROP and tag != "form") or (tag == "header" and not inside) or (role in NEVER_ROLE and role != "form"):
             return True
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
             return True
-        return tag not in ("html", "body", "article", "main") and bool(names & NEVER_NAME)
+        return tag not in WHOLE and any(not LAYOUT & set(NAME.findall(t)) or set(NAME.findall(t)) & NEVER_NAME - LAYOUT for t in names)
+
+    @staticmethod
+    def _marked(token) -> bool:
+        parts = set(NAME.findall(token))
+        return bool(parts & NEVER_NAME) and all(x in NEVER_NAME or x in NEUTRAL or x.isdigit() for x in parts)
+
+    def settle(self) -> None:
+        """Drop forms and elements with layout names that don't hold most of the page's paragraph text."""
+        if not self.spared:
+            return
+        n = len(self.tag)
+        text, inside = [0] * n, [False] * n
+        for at in range(1, n):
+            inside[at] = inside[self.parent[at]] or self.tag[at] in ("article", "main")
+        linked = [False] * n
+        for at in range(1, n):
+            linked[at] = linked[self.parent[at]] or self.tag[at] == "a"
+        for at in range(n):
+            if not self.dropped[at] and not linked[at]:
+                text[at] = sum(len("".join(x.split())) for x in self.items[at] if isinstance(x, str))
+        if any(t for t, i in zip(text, inside, strict=True) if i):
+            text = [t if i else 0 for t, i in zip(text, inside, strict=True)]
+        total = sum(text)
+        for at in range(n - 1, 0, -1):
+            text[self.parent[at]] += text[at]
+        gone = {at for at in self.spared if 2 * text[at] <= total}
+        kept = self.spared.keys() - gone
+        form = [False] * n
+        for at in range(1, n):
+            form[at] = form[self.parent[at]] or at in kept and self.tag[at] == "form"
+            self.dropped[at] = self.dropped[at] or self.dropped[self.parent[at]] or at in gone or (form[at] and self.tag[at] in ("label", "legend"))
 
     def _close_open(self, tags, borders):
         for k in range(len(self.stack) - 1, 0, -1):
@@ -116,6 +167,7 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    tree.settle()
     n = len(tree.tag)
     chars, linked, commas, links, points = [0] * n, [0] * n, [0] * n, [0] * n, [0.0] * n
     own_chars = [0] * n
@@ -173,9 +225,13 @@ def main_text(html: str | None) -> str:
             title = tree.tag[item] in ("h1", "h2") and item < best and density(item) < 0.5
             if item == best or likely or prose or title:
                 kept.append(item)
-    for at in range(n):  # lists of links inside the article
-        if tree.tag[at] in ("ul", "ol", "div", "section", "table", "dl") and links[at] >= 3 and density(at) > 0.6 and at not in kept:
-            tree.dropped[at] = True
+    holds = [False] * n
+    for at in range(n - 1, 0, -1):  # lists of links inside the article: references stay, menus and related links go
+        if not tree.dropped[at]:
+            if tree.tag[at] in ("ul", "ol", "div", "section", "table", "dl") and links[at] >= 3 and density(at) > 0.6 and at not in kept and not holds[at]:
+                tree.dropped[at] = not _references(tree, at, chars[at] / links[at])
+                holds[at] = not tree.dropped[at]
+            holds[tree.parent[at]] = holds[tree.parent[at]] or holds[at]
     blocks: list[str] = []
     part: list[str] = []
 
@@ -205,6 +261,36 @@ def main_text(html: str | None) -> str:
     return " ".join(blocks)
 
 
+def _references(tree: Tree, at: int, chars: float) -> bool:
+    """Whether a list of links is part of the article: by name, by number, by heading, or by entries as long as prose."""
+    if tree.names[at] & MENU_NAME:
+        return False
+    if tree.names[at] & REFERENCE_NAME:
+        return True
+    before = None
+    for item in tree.items[tree.parent[at]]:
+        if item == at:
+            break
+        if not isinstance(item, str) and not tree.dropped[item]:
+            before = item
+    inner = next((i for i in tree.items[at] if not isinstance(i, str)), None)
+    for i in (inner, before):
+        if i is not None and tree.tag[i] in HEADINGS:
+            return not MENU_HEADING.search(_words(tree, i).lower())
+    return tree.tag[at] == "ol" or chars >= LEAST_CHARS
+
+
+def _words(tree: Tree, at: int) -> str:
+    todo, out = [at], []
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            out.append(item)
+        else:
+            todo += reversed(tree.items[item])
+    return "".join(out)
+
+
 def _extract(batches):
     for batch in batches:
         texts = [main_text(h) for h in batch.column(0).to_pylist()]

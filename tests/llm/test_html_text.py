@@ -29,6 +29,29 @@ def test_pages(html, text):
     assert main_text(html) == text
 
 
+LINKS = "".join(f"<li><a href={i}>source {i}</a>" for i in range(4))
+LINK_TEXT = " ".join(f"source {i}" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f"<body><div class='content with-sidebar'><p>{LONG}</p></div>", LONG),
+        (f"<body><div id='page' class='has-header'><p>{LONG}</p><div class='site-header'>no</div></div>", LONG),
+        (f"<body><form action=x><label>no</label><input><p>{LONG}</p><p>{LONG}</p><select><option>no</select></form>", f"{LONG} {LONG}"),
+        (f"<body><form><div class=menu>no</div><article><p>{LONG}</p></article><button>no</button></form>", LONG),
+        (f"<body><div class=sidebar><main><p>{LONG}</p></main></div><div class=sidebar><p>{LONG}</p><p>{LONG}</p></div>", LONG),
+        (f"<article><div class='article-header'><h1>Head</h1></div><p>{LONG}</p></article>", f"Head {LONG}"),
+        (f"<article><p>{LONG}</p><h2>References</h2><ul>{LINKS}</ul></article>", f"{LONG} References {LINK_TEXT}"),
+        (f"<article><p>{LONG}</p><div><ol class=references>{LINKS}</ol></div></article>", f"{LONG} {LINK_TEXT}"),
+        (f"<article><p>{LONG}</p><ul class=related>{LINKS}</ul><div class=toc><ol class=toc>{LINKS}</ol></div></article>", LONG),
+        (f"<body><div><p>{LONG}</p></div><div class=comments><article><p>{LONG}</p><p>{LONG}</p></article></div>", LONG),
+    ],
+)
+def test_names_forms_and_references(html, text):
+    assert main_text(html) == text
+
+
 def test_generated_pages():
     """Pages composed of known blocks come back as exactly the article's blocks."""
     rng = random.Random(6)
