@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeloom.llm import exact_dedup, mixing, ngram_join, packing, quality
@@ -36,36 +34,24 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, TOKENIZER)
 
 
-_left: list[str] = []
-
-
-def _stage(step):
-    """A stage begins when its predecessor's rows are written, so what that one had staged can go."""
-
-    @functools.wraps(step)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _left)
-        before = set(staged())
-        out = step(spark, docs, sf_dir)
-        _left[:] = [path for path in staged() if path not in before]
-        return out
-
-    return run
-
-
 STAGES = [
-    ("quality", _stage(quality_filter)),
-    ("exact_dedup", _stage(exact)),
-    ("near_dedup", _stage(near)),
-    ("mixing", _stage(mix)),
-    ("packing", _stage(pack)),
+    ("quality", quality_filter),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("mixing", mix),
+    ("packing", pack),
 ]
 #: trained scores and a trained tokenizer's ids have no SQL twin
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, step in STAGES[:-1]:
+        before = set(staged())
         docs = stage(step(spark, docs, sf_dir), name)
+        # the stage's rows are written: what it staged on the way goes, and so does its input
+        *own, rows = [path for path in staged() if path not in before]
+        release(spark, [*own, *read])
+        read = [rows]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -51,3 +51,14 @@ def test_pipeline_stages(spark):
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0 and out.count() > 50
+
+
+def test_pipeline_stages_delete_nothing(spark):
+    """A stage's rows can still be read after another stage has been called."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    steps = dict(corpus_pipeline.STAGES)
+    first, second = (steps["exact_dedup"](spark, docs, SF) for _ in range(2))
+    assert first.count() == second.count() > 0
+    out = corpus_pipeline.run(spark, SF)
+    corpus_pipeline.run(spark, SF)
+    assert out.count() > 50
