@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import exact_dedup, html_text, licenses, mixing, ngram_join, packing, quality, secrets, substring_dedup, topk
+from tapeloom.llm import exact_dedup, html_text, licenses, mixing, near_vectors, ngram_join, packing, quality, secrets, substring_dedup, topk
 from tapeloom.llm.common import table
 
 #: where the public vocabulary files are
@@ -128,3 +128,26 @@ def op4(spark, sf_dir):
     folder = F.floor(F.col("doc_id") / 64).cast("string")
     path = F.concat_ws("/", "source", "lang", folder, F.col("doc_id").cast("string"))
     return licenses.scan(table(spark, sf_dir, "documents"), path)
+
+
+@add(
+    "op11_near_vectors",
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS norm
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    ), l AS MATERIALIZED (
+        SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+        ON a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0 AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9
+    ), r AS (SELECT x AS node, y AS other FROM l UNION SELECT r.node, l.y FROM r JOIN l ON r.other = l.x),
+    c AS (
+        SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(m.low, e.vec_id)) AS component_id
+        FROM embeddings e LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) n ON n.x = e.vec_id
+        LEFT JOIN (SELECT node, min(other) AS low FROM r GROUP BY node) m ON m.node = e.vec_id
+    )
+    SELECT *, vec_id = component_id AS kept FROM c
+    """,
+)
+def op11(spark, sf_dir):
+    return near_vectors.link(table(spark, sf_dir, "embeddings"))
