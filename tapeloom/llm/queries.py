@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import exact_dedup, html_text, licenses, mixing, near_vectors, ngram_join, packing, quality, secrets, substring_dedup, topk
+from tapeloom.llm import divergence, exact_dedup, html_text, licenses, mixing, near_vectors, ngram_join, packing, quality, secrets, spelling, substring_dedup, topk
 from tapeloom.llm.common import table
 
 #: where the public vocabulary files are
@@ -151,3 +151,44 @@ def op4(spark, sf_dir):
 )
 def op11(spark, sf_dir):
     return near_vectors.link(table(spark, sf_dir, "embeddings"))
+
+
+@add(
+    "op12_source_divergence",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+        FROM documents
+    ), t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM t GROUP BY ALL),
+    k AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+    v AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS n FROM k GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    s AS (
+        SELECT g.lang, g.source, coalesce(sum(c.n) FILTER (k.term IS NOT NULL), 0)::HUGEINT AS n
+        FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source LEFT JOIN k ON k.lang = c.lang AND k.term = c.term GROUP BY ALL
+    ), p AS (
+        SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+               1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (s.n + 2 * v.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 2)) // (v.n + 2 * v.v) AS q
+        FROM s JOIN v ON v.lang = s.lang JOIN k ON k.lang = s.lang
+        LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+    ), x AS (
+        SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ), u AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q
+    ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+    SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+    """,
+)
+def op12(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@add("op13_spelling_variants")
+def op13(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
