@@ -20,11 +20,12 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import GOLDEN, fresh, mix, prepare, stage
+from tapeloom.llm.common import GOLDEN, mix, prepare, stage
 from tapeloom.llm.components import components
 from tapeloom.llm.grouped import dealt, gathered, runs, stacked
 
@@ -40,12 +41,30 @@ JITTER = 1e-9
 OUT_ROWS = 20_000
 
 
-def unit(x):
-    """A vector column over its length, in double precision; scaled first, so squares neither overflow nor vanish."""
-    most = F.aggregate(x, F.lit(0.0), lambda a, e: F.greatest(a, F.abs(e)))
-    scaled = F.transform(x, lambda e: e / most)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, e: a + e * e))
-    return F.transform(scaled, lambda e: e / norm)
+def _units(batches):
+    """id and the vector over its length in double precision; null for vectors that take no part."""
+    for batch in batches:
+        lists = batch.column(1)
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(float)
+        ends, out = np.cumsum(size), np.full(len(flat), np.nan)
+        good = size > 0
+        for dim in np.unique(size[good]).tolist():
+            at = np.flatnonzero(size == dim)
+            place = (ends[at] - dim)[:, None] + np.arange(dim)
+            x = flat[place]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                most = np.abs(x).max(axis=1, keepdims=True)
+                # scaled first, so squares neither overflow nor vanish
+                x = x / most
+                x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+            good[at] = np.isfinite(most[:, 0]) & (most[:, 0] > 0) & np.isfinite(x).all(axis=1)
+            out[place] = x + 0.0
+        good &= batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        kept = pa.array(out[np.repeat(good, size)])
+        offsets = pa.array(np.r_[0, np.cumsum(np.where(good, size, 0))].astype(np.int32))
+        vectors = pa.ListArray.from_arrays(offsets, kept, mask=pa.array(~good))
+        yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=["id", "v"])
 
 
 def directions(tree: int, dim: int, levels: int) -> np.ndarray:
@@ -273,13 +292,8 @@ def link(
     inside a component every link counts.
     """
     spark = prepare(embeddings.sparkSession)
-    (x_col,) = fresh([id_col], "x")
-    rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias(x_col))
-    finite = F.forall(x_col, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    some = F.exists(x_col, lambda e: e != 0)
-    takes = F.coalesce(F.col("id").isNotNull() & F.col(x_col).isNotNull() & finite & some, F.lit(False))
-    v = F.when(takes, unit(F.col(x_col)))
-    rows = rows.select("id", v.alias("v"))
+    rows = embeddings.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
+    rows = rows.mapInArrow(_units, "id long, v array<double>")
     rows = stage(rows.select("id", "v", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("key"), F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(7), "v")).alias("key2")), "vectors")
     # equal vectors become one row with a weight; two 64-bit hashes stand for the components
     equal = rows.where("v is not null").groupBy("key", "key2").agg(F.min("id").alias("rid"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v"))
