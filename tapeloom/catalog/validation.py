@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.catalog.base import COMPOUND, GROWTH, full, lagged, query, rd, rsi_cte, sql
+from tapeloom.catalog.base import COMPOUND, GROWTH, ewm_cte, full, lagged, ny, query, rd, rsi_cte, sql
 from tapeloom.catalog.metrics import DAYPNL, group_columns, GROUP_COLS, oos_columns, pf_sql
 from tapeloom.catalog.outcomes import ENT, PCT, TIE, next_bar_entries, pct_trades
 from tapeloom.functions.columns import add_tf, div, floor_ts, ntz, r
@@ -17,6 +17,7 @@ from tapeloom.operators.series import DAY
 from tapeloom.plans import grid as GR
 from tapeloom.plans import league as L
 from tapeloom.plans import robustness as RB
+from tapeloom.plans import sweep as SW
 from tapeloom.plans import validate as V
 from tapeloom.session import stage
 from tapeloom.sources.tables import bars, numbered, runs, table, trades
@@ -49,61 +50,88 @@ def grid_expand(spark, sf):
     return g.select("symbol", "strategy", "fee", GR.label(g).alias("label"))
 
 
-MA_WINDOWS = [3, 5, 8, 13, 21]
-MA_EXITS = [(0.3, 0.3), (0.3, 0.6), (0.6, 0.3), (0.6, 0.6)]
+FEES = [0.001, 0.0025]
+MA_MOVES = sorted({m for e in SW.MA_EXITS for m in e})
+COMBOS = SW.ma_combos(SW.MA_WINDOWS)
+
+
+def ladder_sql(source, moves):
+    """First later bar at each distance below (d0, d1, ..) and above (u0, u1, ..) a bar's close."""
+    cells = ", ".join(
+        f"min(b.bar_no) FILTER (b.low <= a.close * {1 - m!r}::DOUBLE) AS d{i}, min(b.bar_no) FILTER (b.high >= a.close * {1 + m!r}::DOUBLE) AS u{i}" for i, m in enumerate(moves)
+    )
+    return f"ld AS MATERIALIZED (SELECT a.symbol, a.bar_no, {cells} FROM {source} a JOIN {source} b ON a.symbol = b.symbol AND b.bar_no > a.bar_no GROUP BY 1, 2)"
+
+
+def session_sql(source):
+    """late, eod and the session's last bar of stocks."""
+    day = f"CAST({ny('ts')} AS DATE)"
+    return (
+        f"ss AS MATERIALIZED (SELECT symbol, bar_no, date_part('hour', {ny('ts')}) * 60 + date_part('minute', {ny('ts')}) >= 945 AS late, "
+        f"ts = max(ts) OVER w AS eod, max(bar_no) OVER w AS eod_no, arg_max(close, ts) OVER w AS eod_close FROM {source} WINDOW w AS (PARTITION BY symbol, {day}))"
+    )
+
+
 MA_SQL = (
-    "m AS MATERIALIZED (SELECT *, [" + ", ".join(full("avg(close)", n) for n in MA_WINDOWS) + "] AS a FROM n1h), "
-    "m2 AS MATERIALIZED (SELECT *, " + lagged("a") + " AS p FROM m), "
-    "pr AS (SELECT * FROM (VALUES " + ", ".join(
-        f"({f}, {s}, {i + 1}, {j + 1})" for i, f in enumerate(MA_WINDOWS) for j, s in enumerate(MA_WINDOWS) if i < j
-    ) + ") v(fast, slow, i, j)), "
-    "x AS (SELECT symbol, ts, fast, slow, a[i] - a[j] AS x, p[i] - p[j] AS y FROM m2, pr), "
-    "z AS (SELECT symbol, ts + INTERVAL 1 HOUR AS seen, fast, slow, CASE WHEN x > 0 THEN 1 ELSE -1 END AS dir FROM x WHERE (x > 0 AND y <= 0) OR (x < 0 AND y >= 0)), "
-    "ent AS MATERIALIZED (SELECT DISTINCT z.symbol, fast, slow, dir, b.bar_no AS entry_no, b.close AS price FROM z ASOF JOIN n1h b ON z.symbol = b.symbol AND z.seen <= b.ts), "
-    "e2 AS (SELECT ent.*, sl, tp, price * (1 - dir * sl) AS sll, price * (1 + dir * tp) AS tpl FROM ent, (VALUES "
-    + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in MA_EXITS) + ") q(sl, tp)), "
-    "wk AS (SELECT e2.*, b.bar_no, open, close, CASE WHEN dir = 1 THEN low <= sll ELSE high >= sll END AS st, CASE WHEN dir = 1 THEN high >= tpl ELSE low <= tpl END AS hi "
-    "FROM e2 JOIN n1h b ON b.symbol = e2.symbol AND b.bar_no BETWEEN entry_no + 1 AND entry_no + 12), "
-    "ex AS (SELECT symbol, fast, slow, sl, tp, entry_no, dir, any_value(price) AS price, arg_min(CASE WHEN st THEN CASE WHEN dir = 1 THEN least(open, sll) ELSE greatest(open, sll) END "
-    "WHEN hi THEN CASE WHEN dir = 1 THEN greatest(open, tpl) ELSE least(open, tpl) END ELSE close END, bar_no) AS px "
-    "FROM wk WHERE st OR hi OR bar_no = entry_no + 12 GROUP BY ALL), "
-    "ms AS MATERIALIZED (SELECT symbol, fast, slow, sl, tp, count(*) AS n_trades, "
-    + pf_sql("dir * (px / price - 1)") + " AS profit_factor, 100 * avg(dir * (px / price - 1)) AS avg_trade_pct, "
-    "100.0 * count(*) FILTER (WHERE dir * (px / price - 1) > 0) / count(*) AS win_rate_pct FROM (SELECT symbol, fast, slow, sl, tp, entry_no, dir, price, px FROM ex) GROUP BY 1, 2, 3, 4, 5)"
-).replace("GROUP BY ALL), ms", "GROUP BY symbol, fast, slow, sl, tp, entry_no, dir), ms")
-MA_OUT = f"symbol, fast, slow, sl, tp, n_trades, {rd('profit_factor')} AS profit_factor, {rd('avg_trade_pct')} AS avg_trade_pct, {rd('win_rate_pct')} AS win_rate_pct"
+    ", ".join(ewm_cte(f"e{n}", "n15m", {f"e{n}": "close"}, f"(2.0::DOUBLE / {n + 1})") for n in SW.MA_WINDOWS)
+    + ", sm AS MATERIALIZED (SELECT symbol, bar_no, close, [" + ", ".join(full("avg(close)", n) for n in SW.MA_WINDOWS)
+    + "] AS b FROM n15m), m AS MATERIALIZED (SELECT sm.symbol, sm.bar_no, sm.close, list_concat(b, [" + ", ".join(f"CASE WHEN sm.bar_no >= {n - 1} THEN e{n}.e{n} END" for n in SW.MA_WINDOWS) + "]) AS a FROM sm "
+    + " ".join(f"JOIN e{n} ON e{n}.symbol = sm.symbol AND e{n}.bar_no = sm.bar_no" for n in SW.MA_WINDOWS)
+    + "), pr AS (SELECT * FROM (VALUES " + ", ".join(
+        f"({c}, '{k}', {f}, {s}, {SW.MA_WINDOWS.index(f) + 1 + 15 * (k == 'ema')}, {SW.MA_WINDOWS.index(s) + 1 + 15 * (k == 'ema')})" for c, (k, f, s) in enumerate(COMBOS)
+    ) + ") v(combo, ma_type, fast, slow, i, j)), "
+    "x AS (SELECT symbol, combo, bar_no, close, CASE WHEN abs(a[i] - a[j]) <= close * 1e-12 THEN 0 ELSE sign(a[i] - a[j]) END AS s FROM m, pr WHERE a[i] - a[j] IS NOT NULL), "
+    "y AS (SELECT *, lag(s) OVER (PARTITION BY symbol, combo ORDER BY bar_no) AS was FROM x WHERE s <> 0), "
+    "ev AS MATERIALIZED (SELECT symbol, combo, bar_no, close, s AS dir, lead(bar_no) OVER w AS next_no, lead(close) OVER w AS next_close FROM y WHERE was = -s WINDOW w AS (PARTITION BY symbol, combo ORDER BY bar_no)), "
+    + ladder_sql("n15m", MA_MOVES) + ", " + session_sql("n15m") + ", "
+    "x2 AS (SELECT ev.*, eod_no, eod_close, sl, tp, CASE WHEN dir = 1 THEN [d0, d1][si] ELSE [u0, u1][si] END AS s_no, CASE WHEN dir = 1 THEN [u0, u1][ti] ELSE [d0, d1][ti] END AS t_no "
+    "FROM ev JOIN ss USING (symbol, bar_no) JOIN ld USING (symbol, bar_no), (VALUES "
+    + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {MA_MOVES.index(a) + 1}, {MA_MOVES.index(b) + 1})" for a, b in SW.MA_EXITS) + ") q(sl, tp, si, ti) WHERE NOT late AND NOT eod), "
+    "x3 AS (SELECT *, least(s_no, t_no, next_no, eod_no) AS exit_no FROM x2), "
+    "tr AS (SELECT x3.*, CASE WHEN s_no = exit_no THEN CASE WHEN dir = 1 THEN least(b.open, x3.close * (1 - sl)) ELSE greatest(b.open, x3.close * (1 + sl)) END "
+    "WHEN t_no = exit_no THEN CASE WHEN dir = 1 THEN greatest(b.open, x3.close * (1 + tp)) ELSE least(b.open, x3.close * (1 - tp)) END "
+    "WHEN next_no = exit_no THEN next_close ELSE eod_close END AS px FROM x3 JOIN n15m b ON b.symbol = x3.symbol AND b.bar_no = exit_no), "
+    "nt AS (SELECT symbol, combo, sl, tp, fee, dir * (px / close - 1) - 2 * (fee + 0.0001) AS ret FROM tr, (SELECT unnest([0.001, 0.0025])::DOUBLE AS fee)), "
+    "ms AS MATERIALIZED (SELECT symbol, ma_type, fast, slow, sl, tp, fee, count(*) AS n_trades, " + pf_sql() + " AS profit_factor, 100 * avg(ret) AS avg_trade_pct, "
+    f"100.0 * count(*) FILTER (WHERE ret > 0) / count(*) AS win_rate_pct, {COMPOUND} AS total_return_pct FROM nt JOIN pr USING (combo) GROUP BY 1, 2, 3, 4, 5, 6, 7)"
+)
+MA_OUT = (
+    f"symbol, ma_type, CAST(fast AS BIGINT) AS fast, CAST(slow AS BIGINT) AS slow, sl, tp, fee, n_trades, {rd('profit_factor')} AS profit_factor, {rd('avg_trade_pct')} AS avg_trade_pct, "
+    f"{rd('win_rate_pct')} AS win_rate_pct, {rd('total_return_pct', 4)} AS total_return_pct"
+)
 
 
 def ma_stats(spark, sf):
-    return GR.ma_sweep(numbered(spark, sf, "1h"), "1h", MA_WINDOWS, MA_EXITS, 12)
+    return SW.ma_sweep(numbered(spark, sf, "15min"), FEES)
 
 
 def ma_shown(s):
     return s.select(
-        "symbol", F.col("fast").cast("long").alias("fast"), F.col("slow").cast("long").alias("slow"), "sl", "tp", "n_trades",
-        *[r(F.col(c)).alias(c) for c in ("profit_factor", "avg_trade_pct", "win_rate_pct")],
+        "symbol", "ma_type", "fast", "slow", "sl", "tp", "fee", "n_trades",
+        *[r(F.col(c)).alias(c) for c in ("profit_factor", "avg_trade_pct", "win_rate_pct")], r(F.col("total_return_pct"), 4).alias("total_return_pct"),
     )
 
 
-@query("ma_sweep", sql("n1h", MA_SQL, f"SELECT {MA_OUT} FROM ms"))
+@query("ma_sweep", sql("n15m", MA_SQL, f"SELECT {MA_OUT} FROM ms"))
 def ma_sweep(spark, sf):
+    """All pairs of 15 windows, simple and exponential, with four exits and both fees."""
     return ma_shown(ma_stats(spark, sf))
 
 
 PLAT = (
-    "wi AS (SELECT * FROM (VALUES " + ", ".join(f"({w}, {i})" for i, w in enumerate(MA_WINDOWS)) + ") v(w, i)), "
+    "wi AS (SELECT * FROM (VALUES " + ", ".join(f"({w}, {i})" for i, w in enumerate(SW.MA_WINDOWS)) + ") v(w, i)), "
     "pl AS MATERIALIZED (SELECT ms.*, f.i AS fi, s.i AS si FROM ms JOIN wi f ON f.w = fast JOIN wi s ON s.w = slow), "
-    "nb AS (SELECT a.symbol, a.sl, a.tp, a.fast, a.slow, count(*) AS checked, count(*) FILTER (WHERE b.profit_factor > 1) AS good FROM pl a JOIN pl b "
-    "ON a.symbol = b.symbol AND a.sl = b.sl AND a.tp = b.tp AND abs(a.fi - b.fi) + abs(a.si - b.si) = 1 AND b.profit_factor IS NOT NULL GROUP BY 1, 2, 3, 4, 5)"
+    "nb AS (SELECT a.symbol, a.ma_type, a.sl, a.tp, a.fee, a.fast, a.slow, count(*) AS checked, count(*) FILTER (WHERE b.profit_factor > 1) AS good FROM pl a JOIN pl b "
+    "ON a.symbol = b.symbol AND a.ma_type = b.ma_type AND a.sl = b.sl AND a.tp = b.tp AND a.fee = b.fee AND abs(a.fi - b.fi) + abs(a.si - b.si) = 1 AND b.profit_factor IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6, 7)"
 )
 
 
-@query("plateau", sql("n1h", MA_SQL, PLAT,
-       f"SELECT {MA_OUT} FROM pl JOIN nb USING (symbol, sl, tp, fast, slow) WHERE n_trades >= 30 AND good >= greatest(1, checked // 2) "
-       "ORDER BY profit_factor DESC, symbol, sl, tp, fast, slow LIMIT 10"))
+@query("plateau", sql("n15m", MA_SQL, PLAT,
+       f"SELECT {MA_OUT} FROM pl JOIN nb USING (symbol, ma_type, sl, tp, fee, fast, slow) WHERE n_trades >= 30 AND good >= greatest(1, checked // 2) "
+       "ORDER BY ms_pf DESC, symbol, ma_type, sl, tp, fee, fast, slow LIMIT 10".replace("ms_pf", "pl.profit_factor")))
 def plateau(spark, sf):
     s = stage(ma_stats(spark, sf), "ma-stats")
-    return ma_shown(GR.plateau(s, ["symbol", "sl", "tp"], MA_WINDOWS))
+    return ma_shown(GR.plateau(s, ["symbol", "ma_type", "sl", "tp", "fee"], SW.MA_WINDOWS))
 
 
 K4 = "symbol, dev, strict"

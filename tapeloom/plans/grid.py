@@ -24,8 +24,6 @@ TF_PAIRS = {
     "15min": ["5min", "1min"],
     "5min": ["1min"],
 }
-# Moving-average windows and (stop, target) exits of the average sweep.
-MA_EXITS = [(0.005, 0.005), (0.005, 0.01), (0.01, 0.005), (0.01, 0.01)]
 
 
 def options(**axes: Iterable) -> Column:
@@ -78,56 +76,6 @@ def label(df: DataFrame) -> Column:
     return F.when(F.col("strategy") == "fffd", fade).otherwise(lines)
 
 
-def ma_crosses(bars: DataFrame, windows: Sequence[int]) -> DataFrame:
-    """Crosses of every pair of averages: each average is computed once, pairs are formed in the row."""
-    names = [f"_w{n}" for n in windows]
-    out = rolling(
-        bars,
-        max(windows) + 1,
-        {f"_w{n}": full_avg("close", n) for n in windows},
-        {"_now": lambda w: F.array(*names)},
-        {"_was": lambda w: F.lag("_now").over(w)},
-    )
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("fast"), F.lit(s).alias("slow"), F.lit(i).alias("i"), F.lit(j).alias("j")
-            )
-            for (i, f), (j, s) in itertools.combinations(enumerate(windows), 2)
-        ]
-    )
-    now, was = F.col("_now"), F.col("_was")
-    each = out.withColumn("_p", F.explode(pairs))
-    x = now[F.col("_p.i")] - now[F.col("_p.j")]
-    p = was[F.col("_p.i")] - was[F.col("_p.j")]
-    side = F.when(known((x > 0) & (p <= 0)), 1).when(known((x < 0) & (p >= 0)), -1)
-    return (
-        each.withColumn("dir", side)
-        .where(F.col("dir").isNotNull())
-        .select("symbol", "ts", "bar_no", "_p.fast", "_p.slow", "dir")
-    )
-
-
-def ma_sweep(bars: DataFrame, tf: str, windows: Sequence[int], exits: Sequence[tuple[float, float]], max_bars: int) -> DataFrame:
-    """Statistics per symbol, pair and exit for average crosses acted on at the next bar's close."""
-    hit = activate(ma_crosses(bars, windows), bars, tf, {"bar_no": "entry_no", "ts": "entry_ts"})
-    events = hit.select("symbol", "fast", "slow", "dir", "entry_no").distinct()
-    priced = O.fill_price(events.withColumn("price", F.lit(None).cast("double")), bars)
-    each = cross_with(priced, F.array(*[F.struct(F.lit(a).alias("sl"), F.lit(b).alias("tp")) for a, b in exits]))
-    done = O.barrier_outcomes(O.with_barriers(each, F.col("sl"), F.col("tp")), bars, max_bars)
-    ret = F.col("ret")
-    return (
-        done.where(ret.isNotNull())
-        .groupBy("symbol", "fast", "slow", "sl", "tp")
-        .agg(
-            F.count(F.lit(1)).alias("n_trades"),
-            M.profit_factor(ret).alias("profit_factor"),
-            (F.avg(ret) * 100).alias("avg_trade_pct"),
-            M.win_rate_pct(ret).alias("win_rate_pct"),
-        )
-    )
-
-
 def plateau(stats: DataFrame, group: Sequence[str], windows: Sequence[int], min_trades: int = 30, top: int = 10) -> DataFrame:
     """Best rows whose neighbours one step away on the window grid are also profitable.
 
