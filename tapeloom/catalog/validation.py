@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tapeloom.catalog.base import COMPOUND, GROWTH, ewm_cte, full, lagged, ny, query, rd, rsi_cte, sql
 from tapeloom.catalog.metrics import DAYPNL, group_columns, GROUP_COLS, oos_columns, pf_sql
+from tapeloom.catalog.signals import ADX_OK, AGU
 from tapeloom.catalog.outcomes import ENT, PCT, TIE, next_bar_entries, pct_trades
-from tapeloom.functions.columns import add_tf, div, floor_ts, ntz, r
+from tapeloom.functions.columns import add_tf, div, floor_ts, ntz, r, tf_seconds
 from tapeloom.operators import gates as G
 from tapeloom.operators import metrics as M
 from tapeloom.operators import outcomes as O
@@ -134,39 +135,97 @@ def plateau(spark, sf):
     return ma_shown(GR.plateau(s, ["symbol", "ma_type", "sl", "tp", "fee"], SW.MA_WINDOWS))
 
 
-K4 = "symbol, dev, strict"
+MTF_EXEC = ["1h", "30min", "15min", "5min", "1min"]
+_N = {"4h": "n4h", "2h": "n2h", "1h": "n1h", "30min": "n30m", "15min": "n15m", "5min": "n5m", "1min": "n1m"}
+
+
+def stack_sql(name, tfs):
+    rows = " UNION ALL ".join(f"SELECT '{tf}|' || symbol AS symbol, ts, bar_no, open, high, low, close, volume FROM {_N[tf]}" for tf in tfs)
+    return f"{name} AS MATERIALIZED ({rows})"
+
+
+K = "symbol, stf, dev, strict, adx"
+
+
+def _hit(name, cond, price):
+    return f"min(b.bar_no) FILTER ({cond}) AS {name}_no, arg_min({price}, b.bar_no) FILTER ({cond}) AS {name}_px"
+
+
+def _level(name, level, gain):
+    """First touch of a level: gains fill at the better of open and level, stops at the worse."""
+    up, down = (("b.high >=", "greatest"), ("b.low <=", "least")) if gain else (("b.low <=", "least"), ("b.high >=", "greatest"))
+    cond = f"CASE WHEN dir = 1 THEN {up[0]} {level} ELSE {down[0]} {level} END"
+    price = f"CASE WHEN b.bar_no = entry_no THEN {level} WHEN dir = 1 THEN {up[1]}(b.open, {level}) ELSE {down[1]}(b.open, {level}) END"
+    return _hit(name, cond, price)
+
+
+def _band(name, dev):
+    at = f"(b.mid + dir * {dev} * b.sd)"
+    return _hit(name, f"CASE WHEN dir = 1 THEN b.high >= {at} ELSE b.low <= {at} END", f"least(greatest({at}, b.low), b.high)")
+
+
+_FILL = [
+    _level("s", "a.stop", False), _level("r1", "(price + dir * abs(price - a.stop))", True), _level("r2", "(price + dir * abs(price - a.stop) * 2)", True),
+    *[_level(f"sl{i}", f"(price * (1 - dir * {m}::DOUBLE))", False) for i, m in enumerate(SW.LEVELS)],
+    *[_level(f"tp{i}", f"(price * (1 + dir * {m}::DOUBLE))", True) for i, m in enumerate(SW.LEVELS)],
+    _band("midband", "0"), _band("opposite", "dev"),
+]
+_TARGETS = " UNION ALL ".join(
+    [f"SELECT id, '{t}' AS target, NULL::DOUBLE AS sl, NULL::DOUBLE AS tp, s_no AS n1, s_px AS p1, {t}_no AS n2, {t}_px AS p2, NULL AS n3, NULL::DOUBLE AS p3 FROM tc WHERE dev IS NOT NULL" for t in SW.TARGETS]
+    + [f"SELECT id, NULL, {a}::DOUBLE, {b}::DOUBLE, sl{i}_no, sl{i}_px, tp{j}_no, tp{j}_px, raw_no, raw_px FROM tc WHERE dev IS NULL" for i, a in enumerate(SW.LEVELS) for j, b in enumerate(SW.LEVELS)]
+)
 MTF = (
-    f"w AS (SELECT *, {full('avg(close)', 20)} AS mid, {full('stddev_pop(close)', 20)} AS sd FROM n1h), "
-    "ab AS (SELECT w.*, dev, coalesce(close > mid + dev * sd, false) AS a, coalesce(close < mid - dev * sd, false) AS b FROM w, (VALUES (1.5::DOUBLE), (2.0::DOUBLE)) q(dev)), "
+    stack_sql("sk", GR.TF_PAIRS) + ", " + stack_sql("xk", MTF_EXEC) + ", "
+    "pr AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {tf_seconds(a)})" for a, bs in GR.TF_PAIRS.items() for b in bs) + ") v(stf, etf, wide)), "
+    f"fw AS MATERIALIZED (SELECT *, {full('avg(close)', 20)} AS mid, {full('stddev_pop(close)', 20)} AS sd FROM sk), "
+    "ab AS (SELECT fw.*, dev, coalesce(close > mid + dev * sd, false) AS a, coalesce(close < mid - dev * sd, false) AS b FROM fw, (VALUES (2.0::DOUBLE), (2.5::DOUBLE)) q(dev)), "
     "e AS MATERIALIZED (SELECT *, " + ", ".join(
         f"coalesce(lag({c}, {k}) OVER (PARTITION BY symbol, dev ORDER BY bar_no), false) AS {c}{k}" for c in "ab" for k in (1, 2)
     ) + ", lag(low) OVER (PARTITION BY symbol, dev ORDER BY bar_no) AS pl, lag(high) OVER (PARTITION BY symbol, dev ORDER BY bar_no) AS ph FROM ab), "
-    "z AS (SELECT symbol, ts, dev, strict, 1 AS dir, high AS trigger, least(pl, low) AS stop FROM e, (VALUES (true), (false)) q(strict) WHERE b1 AND NOT b AND NOT (strict AND b2) UNION ALL "
-    "SELECT symbol, ts, dev, strict, -1, low, greatest(ph, high) FROM e, (VALUES (true), (false)) q(strict) WHERE a1 AND NOT a AND NOT (strict AND a2)), "
-    "a1 AS (SELECT z.*, b.bar_no AS act FROM (SELECT *, ts + INTERVAL 1 HOUR AS seen FROM z) z ASOF JOIN n15m b ON z.symbol = b.symbol AND z.seen <= b.ts), "
-    "a2 AS (SELECT a1.*, b.bar_no AS last_live FROM (SELECT *, ts + INTERVAL 3 HOUR AS exp_ts FROM a1) a1 ASOF LEFT JOIN n15m b ON a1.symbol = b.symbol AND a1.exp_ts > b.ts), "
-    f"one AS MATERIALIZED (SELECT {K4}, dir, act, max(ts) AS ts, arg_max(trigger, ts) AS trigger, arg_max(stop, ts) AS stop, arg_max(last_live, ts) AS last_live FROM a2 GROUP BY ALL), "
-    "sides AS (SELECT n15m.*, dir, dev, strict FROM n15m, (VALUES (1), (-1)) q(dir), (VALUES (1.5::DOUBLE), (2.0::DOUBLE)) d(dev), (VALUES (true), (false)) t(strict)), "
-    "look AS (SELECT s.*, o.ts AS signal_ts, o.trigger, o.stop, o.last_live FROM sides s ASOF JOIN one o ON s.symbol = o.symbol AND s.dir = o.dir AND s.dev = o.dev AND s.strict = o.strict AND s.bar_no >= o.act), "
-    "fire AS (SELECT * FROM look WHERE bar_no <= last_live AND CASE WHEN dir = 1 THEN high > trigger ELSE low < trigger END), "
-    f"ent AS MATERIALIZED (SELECT {K4}, dir, signal_ts, min(bar_no) AS entry_no, arg_min(CASE WHEN dir = 1 THEN greatest(open, trigger) ELSE least(open, trigger) END, bar_no) AS price, any_value(stop) AS sl FROM fire GROUP BY {K4}, dir, signal_ts), "
-    "e2 AS (SELECT ent.*, target, price + dir * abs(price - sl) * k AS tp FROM ent, (VALUES ('r1', 1), ('r2', 2)) q(target, k)), "
-    "wk AS (SELECT e2.*, b.bar_no, b.open, b.close, CASE WHEN dir = 1 THEN b.low <= sl ELSE b.high >= sl END AS st, CASE WHEN dir = 1 THEN b.high >= tp ELSE b.low <= tp END AS hi "
-    "FROM e2 JOIN n15m b ON b.symbol = e2.symbol AND b.bar_no BETWEEN entry_no AND entry_no + 48), "
-    "wo AS (SELECT * REPLACE (CASE WHEN bar_no > entry_no THEN open END AS open) FROM wk), "
-    f"ex AS (SELECT {K4}, target, dir, signal_ts, any_value(price) AS price, arg_min(CASE WHEN st THEN CASE WHEN dir = 1 THEN least(open, sl) ELSE greatest(open, sl) END "
-    f"WHEN hi THEN CASE WHEN dir = 1 THEN greatest(open, tp) ELSE least(open, tp) END ELSE close END, bar_no) AS px FROM wo WHERE st OR hi OR bar_no = entry_no + 48 GROUP BY {K4}, target, dir, signal_ts), "
-    f"f AS (SELECT {K4}, target, dir * (px / price - 1) AS ret FROM ex)"
+    + AGU.replace("n1h", "sk").replace("2 PRECEDING AND CURRENT ROW) AS w", "1 PRECEDING AND CURRENT ROW) AS w") + ", " + ADX_OK.replace("n1h", "sk").replace("adx > 25", "adx > 32") + ", "
+    "lv AS MATERIALIZED (SELECT symbol, bar_no, ts, 1 AS dir, high AS trigger FROM x6 WHERE a UNION ALL SELECT symbol, bar_no, ts, -1, low FROM x6 WHERE b), "
+    "z AS (SELECT symbol, ts, dev, strict, NULL::BOOLEAN AS adx, 1 AS dir, high AS trigger, least(pl, low) AS stop FROM e, (VALUES (true), (false)) q(strict) WHERE b1 AND NOT b AND NOT (strict AND b2) UNION ALL "
+    "SELECT symbol, ts, dev, strict, NULL, -1, low, greatest(ph, high) FROM e, (VALUES (true), (false)) q(strict) WHERE a1 AND NOT a AND NOT (strict AND a2) UNION ALL "
+    "SELECT symbol, ts, NULL, NULL, false, dir, trigger, NULL FROM lv UNION ALL "
+    "SELECT lv.symbol, lv.ts, NULL, NULL, true, dir, trigger, NULL FROM lv JOIN ok USING (symbol, bar_no) WHERE CASE WHEN dir = 1 THEN long_ok ELSE short_ok END), "
+    "zx AS MATERIALIZED (SELECT etf || '|' || split_part(symbol, '|', 2) AS symbol, stf, dev, strict, adx, dir, trigger, stop, ts, ts + to_seconds(wide) AS seen, ts + to_seconds(3 * wide) AS exp_ts FROM z JOIN pr ON stf = split_part(symbol, '|', 1)), "
+    "a1 AS (SELECT zx.*, b.bar_no AS act FROM zx ASOF JOIN xk b ON zx.symbol = b.symbol AND zx.seen <= b.ts), "
+    "a2 AS (SELECT a1.*, b.bar_no AS last_live FROM a1 ASOF LEFT JOIN xk b ON a1.symbol = b.symbol AND a1.exp_ts > b.ts), "
+    f"one AS (SELECT {K}, dir, act, max(ts) AS ts, arg_max(trigger, ts) AS trigger, arg_max(stop, ts) AS stop, arg_max(last_live, ts) AS last_live FROM a2 GROUP BY ALL), "
+    f"lf AS (SELECT *, least(last_live, coalesce(lead(act) OVER (PARTITION BY {K}, dir ORDER BY act) - 1, last_live)) AS fin FROM one), "
+    f"en AS (SELECT lf.symbol, stf, dev, strict, adx, dir, lf.ts AS signal_ts, any_value(stop) AS stop, min(b.bar_no) AS entry_no, min(b.ts) AS entry_ts, arg_min(CASE WHEN dir = 1 THEN greatest(b.open, trigger) ELSE least(b.open, trigger) END, b.bar_no) AS price "
+    "FROM lf JOIN xk b ON b.symbol = lf.symbol AND b.bar_no BETWEEN act AND fin AND CASE WHEN dir = 1 THEN b.high > trigger ELSE b.low < trigger END GROUP BY ALL), "
+    + session_sql("xk") + ", "
+    "et AS MATERIALIZED (SELECT en.*, eod_no, eod_close, row_number() OVER () AS id FROM en JOIN ss ON ss.symbol = en.symbol AND ss.bar_no = entry_no WHERE NOT late AND NOT eod), "
+    "ey AS MATERIALIZED (SELECT *, concat_ws('|', stf, coalesce(dev::VARCHAR, ''), coalesce(strict::VARCHAR, ''), coalesce(adx::VARCHAR, '')) AS k FROM et), "
+    "fl AS (SELECT a.*, o.entry_no AS flip_no, o.price AS flip_px FROM ey a ASOF LEFT JOIN (SELECT symbol, k, -dir AS dir, entry_ts, entry_no, price FROM ey) o "
+    "ON a.symbol = o.symbol AND a.k = o.k AND a.dir = o.dir AND a.entry_ts < o.entry_ts), "
+    "rw AS (SELECT DISTINCT etf || '|' || split_part(lv.symbol, '|', 2) AS symbol, stf, -dir AS dir, lv.ts + to_seconds(wide) AS seen FROM lv JOIN pr ON stf = split_part(lv.symbol, '|', 1)), "
+    "ra AS (SELECT DISTINCT rw.symbol, stf, dir, b.bar_no, b.ts, b.open FROM rw ASOF JOIN xk b ON rw.symbol = b.symbol AND rw.seen <= b.ts), "
+    "fr AS MATERIALIZED (SELECT fl.*, ra.bar_no AS raw_no, ra.open AS raw_px FROM fl ASOF LEFT JOIN ra ON fl.symbol = ra.symbol AND fl.stf = ra.stf AND fl.dir = ra.dir AND fl.entry_ts < ra.ts), "
+    "sw AS (SELECT etf || '|' || split_part(symbol, '|', 2) AS symbol, stf, ts + to_seconds(wide) AS seen, mid, sd FROM fw JOIN pr ON stf = split_part(symbol, '|', 1)), "
+    "xs AS (SELECT xk.*, stf FROM xk JOIN pr ON etf = split_part(symbol, '|', 1)), "
+    "bx AS MATERIALIZED (SELECT xs.*, sw.mid, sw.sd FROM xs ASOF LEFT JOIN sw ON xs.symbol = sw.symbol AND xs.stf = sw.stf AND xs.ts >= sw.seen), "
+    "th AS (SELECT id, " + ", ".join(_FILL) + " FROM fr a JOIN bx b ON b.symbol = a.symbol AND b.stf = a.stf AND b.bar_no BETWEEN entry_no AND eod_no GROUP BY id), "
+    "tc AS MATERIALIZED (SELECT * FROM fr JOIN th USING (id)), "
+    f"ex AS MATERIALIZED (SELECT {K}, dir, entry_ts, entry_no, price, k || coalesce(target, '') || coalesce(sl::VARCHAR || tp::VARCHAR, '') AS kk, target, sl, tp, least(n1, n2, n3, flip_no, eod_no) AS exit_no, "
+    "CASE least(n1, n2, n3, flip_no, eod_no) WHEN n1 THEN p1 WHEN n2 THEN p2 WHEN n3 THEN p3 WHEN flip_no THEN flip_px ELSE eod_close END AS px FROM (" + _TARGETS + ") JOIN tc USING (id)), "
+    "tr AS MATERIALIZED (SELECT ex.*, b.ts AS exit_ts, row_number() OVER (PARTITION BY ex.symbol, kk ORDER BY entry_ts, b.ts, dir) AS no FROM ex JOIN xk b ON b.symbol = ex.symbol AND b.bar_no = exit_no), "
+    "fs AS (SELECT symbol, kk, entry_ts, min(no) AS no FROM tr GROUP BY ALL), "
+    "lk AS MATERIALIZED (SELECT a.symbol, a.kk, a.no, greatest(b.no, a.no + 1) AS nxt FROM tr a ASOF LEFT JOIN fs b ON a.symbol = b.symbol AND a.kk = b.kk AND a.exit_ts <= b.entry_ts), "
+    "ch AS (SELECT symbol, kk, no, nxt FROM lk WHERE no = 1 UNION ALL SELECT lk.symbol, lk.kk, lk.no, lk.nxt FROM ch JOIN lk ON lk.symbol = ch.symbol AND lk.kk = ch.kk AND lk.no = ch.nxt WHERE ch.nxt IS NOT NULL), "
+    "f AS (SELECT split_part(symbol, '|', 2) AS symbol, CASE WHEN dev IS NULL THEN 'didi' ELSE 'fffd' END AS strategy, stf AS setup_tf, split_part(symbol, '|', 1) AS exec_tf, dev, strict, adx AS adx_filter, target, sl, tp, fee, "
+    "dir * (px / price - 1) - 2 * (fee + 0.0001) AS ret FROM tr JOIN ch USING (symbol, kk, no), (SELECT unnest([0.001, 0.0025])::DOUBLE AS fee))"
 )
+MTF_KEYS = "symbol, strategy, setup_tf, exec_tf, dev, strict, adx_filter, target, sl, tp, fee"
 
 
-@query("mtf_sweep", sql("n1h n15m", MTF, f"SELECT {K4}, target, {GROUP_COLS} FROM f GROUP BY {K4}, target"))
+@query("mtf_sweep", sql("n4h n2h n1h n30m n15m n5m n1m", MTF, f"SELECT {MTF_KEYS}, {GROUP_COLS} FROM f GROUP BY {MTF_KEYS}", recursive=True))
 def mtf_sweep(spark, sf):
-    """Band-fade grid on 1h setups and 15min execution."""
-    t = GR.fade_sweep(
-        numbered(spark, sf, "1h"), numbered(spark, sf, "15min"), "1h", [1.5, 2.0], {"r1": 1.0, "r2": 2.0}, 48
-    )
-    return t.where(F.col("ret").isNotNull()).groupBy("symbol", "dev", "strict", "target").agg(*group_columns())
+    """All 19 timeframe pairs, both families, four targets or four exits, both fees."""
+    frames = {tf: numbered(spark, sf, tf) for tf in {*GR.TF_PAIRS, *MTF_EXEC}}
+    t = SW.mtf_sweep({tf: frames[tf] for tf in GR.TF_PAIRS}, {tf: frames[tf] for tf in MTF_EXEC}, FEES)
+    return t.groupBy(*MTF_KEYS.split(", ")).agg(*group_columns())
 
 
 @query(

@@ -29,8 +29,15 @@ def tf_seconds(tf: str) -> int:
     return TIMEFRAMES[tf]
 
 
-def add_tf(ts: Column, tf: str, bars: int = 1) -> Column:
-    return F.timestamp_micros(F.unix_micros(ts) + F.lit(bars * tf_seconds(tf) * US_PER_SECOND))
+def add_tf(ts: Column, tf: str | Column, bars: int = 1) -> Column:
+    """``bars`` intervals later; a column holds the name of each row's timeframe."""
+    width = F.lit(bars * tf_seconds(tf)) if isinstance(tf, str) else width_of(tf) * bars
+    return F.timestamp_micros(F.unix_micros(ts) + width * US_PER_SECOND)
+
+
+def width_of(tf: Column) -> Column:
+    """Seconds of a timeframe column."""
+    return F.coalesce(*[F.when(tf == name, F.lit(seconds)) for name, seconds in TIMEFRAMES.items()]).cast("long")
 
 
 def floor_ts(ts: Column, seconds: int) -> Column:

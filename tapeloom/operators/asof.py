@@ -102,7 +102,7 @@ def asof(
     return asof_many(probe, [(values, value_ts, cols)], keys, probe_ts, direction, allow_equal, width)
 
 
-def visible_at_close(df: DataFrame, tf: str, ts: str = "ts", name: str = "seen_at") -> DataFrame:
+def visible_at_close(df: DataFrame, tf: str | Column, ts: str = "ts", name: str = "seen_at") -> DataFrame:
     """A bar labelled by its left edge is known only when it has closed."""
     return df.withColumn(name, add_tf(F.col(ts), tf))
 
@@ -125,7 +125,7 @@ def align_setups(
 
 
 def activate(
-    events: DataFrame, exec_bars: DataFrame, tf: str, cols: dict[str, str], width: int = SIX_HOURS
+    events: DataFrame, exec_bars: DataFrame, tf: str | Column, cols: dict[str, str], width: int = SIX_HOURS
 ) -> DataFrame:
     """First execution bar at or after the setup bar's close; events past the end drop out."""
     hit = asof(

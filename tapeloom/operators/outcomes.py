@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.columns import MARKET, add_tf, div, known, local_day, tf_seconds
+from tapeloom.functions.columns import MARKET, TIMEFRAMES, add_tf, div, known, local_day, tf_seconds
 from tapeloom.operators.asof import asof, span_join
 from tapeloom.operators.series import number_rows, rolling
 from tapeloom.session import stage
@@ -25,7 +25,7 @@ SLIPPAGE_PAPER = 5e-4
 def breakout_entries(
     events: DataFrame,
     bars: DataFrame,
-    setup_tf: str,
+    setup_tf: str | Column,
     validity: int = 2,
     same_session: bool = False,
     tz: str = MARKET,
@@ -33,6 +33,8 @@ def breakout_entries(
 ) -> DataFrame:
     """Fire an armed level on the first bar that breaks it; ``by`` names configuration columns.
 
+    ``setup_tf`` is one timeframe or a column (made of ``by`` columns) with each signal's own.
+
     A signal lives from its activation bar to its expiry, cut short by the next signal of the same
     side; so lives of one side never overlap and the first break inside each life is the answer.
     """
@@ -42,7 +44,8 @@ def breakout_entries(
         *[F.max_by(c, "ts").alias(c) for c in ("trigger", "stop", "exp")], F.max("ts").alias("ts")
     )
     # a successor beyond the longest possible life cannot cut it short
-    longest = (validity + 1) * tf_seconds(setup_tf) // MIN_BAR_SECONDS
+    widest = tf_seconds(setup_tf) if isinstance(setup_tf, str) else max(TIMEFRAMES.values())
+    longest = (validity + 1) * widest // MIN_BAR_SECONDS
     lives = rolling(
         armed, 0, {"_next": lambda w: F.lead("act").over(w)}, ahead=longest, keys=["symbol", *by, "dir"], seq="act"
     )
@@ -78,7 +81,7 @@ def breakout_entries(
 
 
 def _arm(
-    events: DataFrame, bars: DataFrame, setup_tf: str, validity: int, same_session: bool, by: Sequence[str], tz: str
+    events: DataFrame, bars: DataFrame, setup_tf: str | Column, validity: int, same_session: bool, by: Sequence[str], tz: str
 ) -> DataFrame:
     """First (``act``) and last (``exp``) execution bar of each signal's life.
 

@@ -147,16 +147,3 @@ def fade_events(setup: DataFrame, devs: Sequence[float], window: int = 20) -> Da
         )
     fired = out.withColumn("_e", F.explode(F.array_compact(F.array(*rows))))
     return fired.select("symbol", "ts", "bar_no", "_e.*")
-
-
-def fade_sweep(setup: DataFrame, bars: DataFrame, setup_tf: str, devs: Sequence[float], targets: dict[str, float], max_bars: int) -> DataFrame:
-    """Trades of the band-fade grid: signals once per (dev, strict), outcomes per target multiple."""
-    found = fade_events(setup, devs)
-    entries = O.breakout_entries(found, bars, setup_tf, by=["dev", "strict"])
-    each = cross_with(
-        entries, F.array(*[F.struct(F.lit(t).alias("target"), F.lit(k).alias("k")) for t, k in targets.items()])
-    )
-    each = each.withColumn("sl_level", F.col("stop")).withColumn(
-        "tp_level", F.col("price") + F.col("dir") * F.abs(F.col("price") - F.col("stop")) * F.col("k")
-    )
-    return O.barrier_outcomes(each, bars, max_bars, first_bar=0)
