@@ -12,7 +12,6 @@ then over the tasks' counts) and looks each piece up in the runs.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -33,8 +32,10 @@ CAPACITY = 4096
 GROUPS = 48
 #: lengths of at least this share of the capacity count as large; the plan with the fewest sequences is taken
 LARGE = (1 / 2, 1 / 3, 1 / 4, 1 / 8)
-#: a word and what follows it are tokenized apart, and so are the cases of a plain word
-TAIL = re.compile(r"(.*[^\W\d_])([.,!?;:#$%&*()\"/-]+)", re.S)
+#: a word and the punctuation that follows it are tokenized apart, and so are the cases of a plain word
+PUNCTUATION = b".,!?;:#$%&*()\"/-"
+#: words tokenized at a time
+WORDS = 100
 #: marks the tokens that end a word in the vocabulary
 WORD_END = "</w>"
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
@@ -56,12 +57,15 @@ class WordIds(dict):
     """
 
     #: chunks of one generation; when it is full it becomes the old one, of which used chunks are taken over
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        # lower-case ASCII words pass its normaliser and pre-tokenizer unchanged, so the model alone gives their ids
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -75,23 +79,29 @@ class WordIds(dict):
             held = new.intersection(self.old)
             self.update((c, self.old[c]) for c in held)
             new -= held
+        if not new:
+            return
+        chunks = list(new)
+        heads = [chunk.rstrip(PUNCTUATION) for chunk in chunks]
+        # one decoding for all; a chunk holds no white space
         parts, plain = [], set()
-        for chunk in new:
-            word, tail = self._parts(chunk)
-            parts.append((chunk, word, tail))
-            if word is not None:
+        for chunk, head, text in zip(chunks, heads, b"\n".join(heads).decode().split("\n"), strict=True):
+            if text.isalpha():
+                word = head.lower() if text.isascii() else head
+                parts.append((chunk, word, chunk[len(head) :]))
                 plain.add(word)
-        todo = list(plain.difference(self))
-        for i in range(0, len(todo), 1000):
-            part = todo[i : i + 1000]
-            ids = self._encode(b" ".join(part).decode())
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stops) == len(part):  # else a letter to one is none to the other, and words go one by one
-                body = ids.tobytes()
-                self.update((w, body[a:b]) for w, a, b in zip(part, [0, *stops], stops, strict=False))
+        todo = plain.difference(self)
+        ascii_words = [w for w in todo if w.isascii()]
+        for words, tokenizer in ((ascii_words, self.bare), (list(todo.difference(ascii_words)), self.tokenizer)):
+            for i in range(0, len(words), WORDS):
+                part = words[i : i + WORDS]
+                ids = self._encode(b" ".join(part).decode(), tokenizer)
+                stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(stops) == len(part):  # else a letter to one is none to the other, and words go one by one
+                    body = ids.tobytes()
+                    self.update((w, body[a:b]) for w, a, b in zip(part, [0, *stops], stops, strict=False))
         for chunk, word, tail in parts:
-            if word is not None:
-                self[chunk] = self[word] + self[tail] if tail else self[word]
+            self[chunk] = self[word] + self[tail] if tail else self[word]
 
     def forget(self) -> None:
         """Between batches: start a new generation when this one is full."""
@@ -102,18 +112,14 @@ class WordIds(dict):
     @staticmethod
     def _parts(chunk: bytes) -> tuple[bytes | None, bytes]:
         """(plain word, ASCII punctuation after it); no word where the chunk must stay whole."""
-        text = chunk.decode()
-        word = text
+        head = chunk.rstrip(PUNCTUATION)
+        text = head.decode()
         if not text.isalpha():
-            cut = TAIL.fullmatch(text)
-            if not cut or not cut[1].isalpha():
-                return None, b""
-            word = cut[1]
-        tail = text[len(word) :].encode()
-        return (word.lower() if word.isascii() else word).encode(), tail
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            return None, b""
+        return head.lower() if text.isascii() else head, chunk[len(head) :]
+
+    def _encode(self, text: str, tokenizer=None) -> np.ndarray:
+        return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def __missing__(self, chunk: bytes) -> bytes:
         value = self.old.get(chunk)
