@@ -212,7 +212,7 @@ MTF = (
     "CASE least(n1, n2, n3, flip_no, eod_no) WHEN n1 THEN p1 WHEN n2 THEN p2 WHEN n3 THEN p3 WHEN flip_no THEN flip_px ELSE eod_close END AS px FROM (" + _TARGETS + ") JOIN tc USING (id)), "
     "tr AS MATERIALIZED (SELECT ex.*, b.ts AS exit_ts, row_number() OVER (PARTITION BY ex.symbol, kk ORDER BY entry_ts, b.ts, dir) AS no FROM ex JOIN xk b ON b.symbol = ex.symbol AND b.bar_no = exit_no), "
     "fs AS (SELECT symbol, kk, entry_ts, min(no) AS no FROM tr GROUP BY ALL), "
-    "lk AS MATERIALIZED (SELECT a.symbol, a.kk, a.no, greatest(b.no, a.no + 1) AS nxt FROM tr a ASOF LEFT JOIN fs b ON a.symbol = b.symbol AND a.kk = b.kk AND a.exit_ts <= b.entry_ts), "
+    "lk AS MATERIALIZED (SELECT a.symbol, a.kk, a.no, CASE WHEN b.no IS NOT NULL THEN greatest(b.no, a.no + 1) END AS nxt FROM tr a ASOF LEFT JOIN fs b ON a.symbol = b.symbol AND a.kk = b.kk AND a.exit_ts <= b.entry_ts), "
     "ch AS (SELECT symbol, kk, no, nxt FROM lk WHERE no = 1 UNION ALL SELECT lk.symbol, lk.kk, lk.no, lk.nxt FROM ch JOIN lk ON lk.symbol = ch.symbol AND lk.kk = ch.kk AND lk.no = ch.nxt WHERE ch.nxt IS NOT NULL), "
     "f AS (SELECT split_part(symbol, '|', 2) AS symbol, CASE WHEN dev IS NULL THEN 'didi' ELSE 'fffd' END AS strategy, stf AS setup_tf, split_part(symbol, '|', 1) AS exec_tf, dev, strict, adx AS adx_filter, target, sl, tp, fee, "
     "dir * (px / price - 1) - 2 * (fee + 0.0001) AS ret FROM tr JOIN ch USING (symbol, kk, no), (SELECT unnest([0.001, 0.0025])::DOUBLE AS fee))"
