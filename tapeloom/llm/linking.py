@@ -99,6 +99,17 @@ class SlotFilter:
         at = slots % self.BITS
         return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
+    def keeps(self, column: str):
+        """Condition on a long column; only that column goes to Python."""
+
+        @F.pandas_udf("boolean")
+        def has(values):
+            import pandas as pd
+
+            return pd.Series(self.has(values.fillna(0).to_numpy(np.int64)))
+
+        return has(F.col(column))
+
 
 def star_pairs(stars: DataFrame) -> DataFrame:
     """(id, rep, slots) for each candidate pair of the trees; ``stars`` has the columns of ``STAR``.

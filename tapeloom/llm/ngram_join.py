@@ -181,9 +181,10 @@ def _verify(k: int, percent: int):
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of (id, rep) pairs those whose Jaccard similarity reaches the threshold. ``docs``: columns id, text."""
     pairs = stage(pairs, "pairs")
-    left = docs.select(F.col("id").alias("l"), F.col("text").alias("lt"))
-    reps = docs.join(pairs.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    right = stage(reps.select(F.col("id").alias("r"), F.col("text").alias("rt")), "texts")
+    both = pairs.select(F.col("id").alias("slot")).unionByName(pairs.select(F.col("rep").alias("slot")))
+    # texts of no pair stay where they are; the join drops what the filter lets through
+    texts = stage(docs.where(F.col("id").isNotNull() & SlotFilter.of(both).keeps("id")), "texts")
+    left, right = (texts.select(F.col("id").alias(n), F.col("text").alias(n + "t")) for n in "lr")
     joined = pairs.join(left, F.col("id") == F.col("l")).join(right, F.col("rep") == F.col("r"))
     return joined.select("id", "rep", "lt", "rt").mapInArrow(_verify(k, percent), "id long, rep long").distinct()
 
