@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.catalog.base import full, query, rd, secs, sql
+from tapeloom.catalog.base import full, ny, query, rd, secs, sql
 from tapeloom.catalog.metrics import LONG, OPEN, lasting
 from tapeloom.catalog.outcomes import ENT, next_bar_entries
 from tapeloom.catalog.signals import band_flags, fffd_sql
@@ -15,6 +15,7 @@ from tapeloom.operators import signals as S
 from tapeloom.session import scratch_path
 from tapeloom.sources.tables import numbered, ticks
 from tapeloom.streaming import jobs as J
+from tapeloom.streaming import joins as SJ
 
 
 def replay(df, label):
@@ -154,3 +155,78 @@ def risk_guard(spark, sf):
     opens = P.open_positions(t, ["key"], F.col("qty")).select("key", "ts", "open_count")
     g = J.risk_guard(opens, t.withColumn("pnl", F.col("ret") * 1000), 110, 50.0)
     return g.select("key", ntz(F.col("ts")).alias("ts"), "open_count", r(F.col("day_pnl")).alias("day_pnl"), "blocked")
+
+
+# ---------------------------------------------------------------- streams with streams, kept tables
+
+
+@query(
+    "stream_interval_join",
+    sql("ticks n1h", ARMED,
+        "SELECT t.symbol, t.ts, t.seq, t.price, sg.seen AS signal_ts, CAST(sg.dir AS BIGINT) AS dir, sg.trigger FROM ticks t JOIN sg ON sg.symbol = t.symbol AND t.ts >= sg.seen AND t.ts <= sg.seen + INTERVAL 3 HOUR "
+        "AND CASE WHEN sg.dir = 1 THEN t.price > sg.trigger ELSE t.price < sg.trigger END"),
+)
+def stream_interval_join(spark, sf):
+    """Every tick beyond the trigger of a signal of the last three hours: two streams with a watermark each."""
+    signals = S.fffd(numbered(spark, sf, "1h"), 1.5).select("symbol", add_tf(F.col("ts"), "1h").alias("ts"), "dir", "trigger")
+    beyond = F.when(F.col("r_dir") == 1, F.col("price") > F.col("r_trigger")).otherwise(F.col("price") < F.col("r_trigger"))
+    tape = replay(ticks(spark, sf), "tape").select("symbol", "ts", "seq", "price")
+    out = run(SJ.interval_join(tape, replay(signals, "signals"), ["symbol"], "3 hours", when=beyond), "interval")
+    return out.select(
+        "symbol", ntz(F.col("ts")).alias("ts"), "seq", "price", ntz(F.col("r_ts")).alias("signal_ts"),
+        F.col("r_dir").cast("long").alias("dir"), F.col("r_trigger").alias("trigger"),
+    )
+
+
+@query(
+    "stream_sliding",
+    sql("ticks", "w AS (SELECT symbol, price, seq, unnest([time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 10 MINUTE, time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE, time_bucket(INTERVAL 5 MINUTE, ts)]) AS start FROM ticks)",
+        "SELECT symbol, start, start + INTERVAL 15 MINUTE AS \"end\", arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, count(*) AS n FROM w "
+        f"GROUP BY symbol, start HAVING start + INTERVAL 15 MINUTE <= {CLOSED}"),
+)
+def stream_sliding(spark, sf):
+    """Bars of 15 minutes beginning every five, as they close."""
+    out = run(SJ.sliding_bars(replay(ticks(spark, sf), "tape"), "15 minutes", "5 minutes"), "sliding")
+    return out.withColumn("start", ntz(F.col("start"))).withColumn("end", ntz(F.col("end")))
+
+
+@query("stream_keep_last", sql("ticks", "SELECT symbol, ts, seq, price, size FROM ticks"))
+def stream_keep_last(spark, sf):
+    """A refetch corrects what came first: of the versions of a tick the last one stays, in one table kept by batches."""
+    final = ticks(spark, sf).withColumn("version", F.lit(2))
+    early = final.withColumns({"version": F.lit(1), "price": F.col("price") * 2})
+    path = scratch_path(spark, "kept")
+    stream = replay(final.unionByName(early), "tape")
+    once = lambda b: b.groupBy("symbol", "seq").agg(F.max_by(F.struct("ts", "price", "size", "version"), "version").alias("r")).select("symbol", "seq", "r.*")
+    SJ.upsert(stream, path, prepare=once)
+    kept = SJ.upserted(spark, path, stream.schema, ["symbol", "seq"], newest=["version"])
+    return kept.select("symbol", ntz(F.col("ts")).alias("ts"), "seq", "price", "size")
+
+
+@query(
+    "stream_paper_daily",
+    sql("trades", LONG, f"wl AS (SELECT {ny('xts')} AS wall, ret FROM lt)",
+        f"SELECT CAST(CAST(wall AS DATE) AS VARCHAR) AS day, count(*) AS closed, count(*) FILTER (WHERE ret > 0) AS wins, {rd('sum(ret * 1000)', 4)} AS pnl FROM wl "
+        "GROUP BY CAST(wall AS DATE) HAVING CAST(wall AS DATE) + INTERVAL 1 DAY <= (SELECT max(wall) - INTERVAL 1 DAY FROM wl)"),
+)
+def stream_paper_daily(spark, sf):
+    """The daily summary as a stream: a local day is written once, a day after its end; batches can be delivered again."""
+    t = lasting(spark, sf).select("exit_ts", (F.col("ret") * 1000).alias("pnl"))
+    days, path = SJ.daily_results(replay(t, "ledger")), scratch_path(spark, "daily")
+    SJ.upsert(days, path)
+    out = SJ.upserted(spark, path, days.schema, ["day"])
+    return out.select(F.col("day").cast("string").alias("day"), "closed", "wins", r(F.col("pnl"), 4).alias("pnl"))
+
+
+@query(
+    "stream_guard",
+    sql("trades", LONG, f"dy AS (SELECT cfg AS key, CAST({ny('xts')} AS DATE) AS day, count(*) AS closed, sum(ret * 1000) AS pnl FROM lt GROUP BY 1, 2)",
+        f"SELECT key, CAST(day AS VARCHAR) AS day, closed, {rd('pnl', 4)} AS pnl, round(pnl, 9) <= -50 AS paused FROM dy"),
+)
+def stream_guard(spark, sf):
+    """Daily loss guard as a stream: running sums per key and local day, the newest row per day kept."""
+    t = lasting(spark, sf).select(F.col("cfg").alias("key"), "exit_ts", (F.col("ret") * 1000).alias("pnl"))
+    days, path = SJ.guard_days(replay(t, "ledger"), 50.0), scratch_path(spark, "guard")
+    SJ.upsert(days, path, mode="update")
+    out = SJ.upserted(spark, path, days.schema, ["key", "day"])
+    return out.select("key", F.col("day").cast("string").alias("day"), "closed", r(F.col("pnl"), 4).alias("pnl"), "paused")

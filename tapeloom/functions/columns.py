@@ -31,8 +31,8 @@ def tf_seconds(tf: str) -> int:
 
 def add_tf(ts: Column, tf: str | Column, bars: int = 1) -> Column:
     """``bars`` intervals later; a column holds the name of each row's timeframe."""
-    width = F.lit(bars * tf_seconds(tf)) if isinstance(tf, str) else width_of(tf) * bars
-    return F.timestamp_micros(F.unix_micros(ts) + width * US_PER_SECOND)
+    width = F.lit(bars * tf_seconds(tf) * US_PER_SECOND) if isinstance(tf, str) else width_of(tf) * (bars * US_PER_SECOND)
+    return F.timestamp_micros(F.unix_micros(ts) + width)
 
 
 def width_of(tf: Column) -> Column:

@@ -1,9 +1,11 @@
 import pandas as pd
 from helpers import mk, rows
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.session import scratch_path
 from tapeloom.streaming import jobs as J
+from tapeloom.streaming import joins as SJ
 
 TICK = "symbol string, ts timestamp, seq long, price double, size long"
 
@@ -94,3 +96,65 @@ def test_risk_guard(spark):
     ledger = mk(spark, [("k", t0 + 2 * h, -60.0)], "key string, exit_ts timestamp, pnl double")
     got = [r.blocked for r in J.risk_guard(opens, ledger, 5, 50.0).orderBy("ts").collect()]
     assert got == [None, "max open positions", "daily loss", None]
+
+
+# ------------------------------------------------------------------ streams with streams, kept tables
+
+
+def test_interval_join_over_batches(spark):
+    """A signal meets ticks of later batches within its life, and none after it."""
+    t0 = pd.Timestamp("2024-01-02 15:00")
+    schema = "symbol string, ts timestamp, mark int"
+    left, right, out = (scratch_path(spark, n) for n in ("left", "right", "out"))
+    mk(spark, [("A", t0, 1), ("B", t0, 2)], schema).coalesce(1).write.parquet(right)
+    got = None
+    for part in ([tick(1, 1, 5)], [tick(9, 2, 6), tick(9, 3, 7, "B")], [tick(11, 4, 8), tick(-1, 5, 9)]):
+        mk(spark, part, TICK).coalesce(1).write.mode("append").parquet(left)
+        joined = SJ.interval_join(
+            spark.readStream.schema(TICK).parquet(left), spark.readStream.schema(schema).parquet(right), ["symbol"], "10 minutes"
+        )
+        got = J.run_available(joined, out)
+    assert rows(got, "seq", "r_mark") == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_a_batch_delivered_again_changes_nothing(spark):
+    schema = "key string, n int, version int"
+    path = scratch_path(spark, "kept")
+    write = SJ.batch_writer(path)
+    first = spark.createDataFrame([("a", 1, 1), ("b", 5, 1)], schema)
+    second = spark.createDataFrame([("a", 2, 1), ("a", 3, 2)], schema)
+    kept = lambda: rows(SJ.upserted(spark, path, T._parse_datatype_string(schema), ["key"], newest=["version"]), "key", "n")
+    write(first, 0)
+    write(second, 1)
+    want = [("a", 3), ("b", 5)]
+    assert kept() == want
+    write(first, 0)
+    write(second, 1)
+    assert kept() == want
+
+
+def test_a_day_closes_once(spark):
+    """Days come when the watermark has passed them; the total equals the batch sums."""
+    schema = "exit_ts timestamp, pnl double"
+    src, path = scratch_path(spark, "src"), scratch_path(spark, "daily")
+    t0 = pd.Timestamp("2024-01-02 15:00")
+    for days in ([0, 0, 1], [1, 2, 4], [5, 9]):
+        mk(spark, [(t0 + pd.Timedelta(days=d), 1.0 if d % 2 else -2.0) for d in days], schema).coalesce(1).write.mode("append").parquet(src)
+        stream = SJ.daily_results(spark.readStream.schema(schema).parquet(src))
+        SJ.upsert(stream, path)
+    log = SJ.log_of(spark, path, stream.schema)
+    assert log.count() == log.select("day").distinct().count()
+    assert [(str(d), n, w, p) for d, n, w, p in rows(log, "day", "closed", "wins", "pnl")] == [
+        ("2024-01-02", 2, 0, -4.0), ("2024-01-03", 2, 2, 2.0), ("2024-01-04", 1, 0, -2.0), ("2024-01-06", 1, 0, -2.0), ("2024-01-07", 1, 1, 1.0)
+    ]
+
+
+def test_newest_value_of_a_minute(spark):
+    minutes = mk(spark, [("A", pd.Timestamp("2024-01-02 15:00") + pd.Timedelta(minutes=m), float(m)) for m in (0, 2, 6, 30, 300)], "symbol string, ts timestamp, price double")
+    values = mk(spark, [("A", pd.Timestamp("2024-01-02 15:01"), 7), ("A", pd.Timestamp("2024-01-02 15:05"), 8), ("A", pd.Timestamp("2024-01-02 20:30"), 9)], "symbol string, ts timestamp, level int")
+    paths = [scratch_path(spark, n) for n in ("minutes", "values")]
+    minutes.write.parquet(paths[0])
+    values.write.parquet(paths[1])
+    stream = SJ.newest_value(*[spark.readStream.schema(d.schema).parquet(p) for d, p in zip((minutes, values), paths)], "20 minutes")
+    got = J.run_available(stream, scratch_path(spark, "newest"))
+    assert rows(got.select("price", F.col("value.level").alias("level")).where("price < 300"), "price", "level") == [(0.0, None), (2.0, 7), (6.0, 8), (30.0, None)]
