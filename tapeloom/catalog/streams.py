@@ -30,13 +30,6 @@ def run(stream, label):
     return J.run_available(stream, scratch_path(stream.sparkSession, label))
 
 
-def minute_stream(df_ticks, *events):
-    """Step one writes closed minutes as a table, step two follows that table."""
-    path = scratch_path(df_ticks.sparkSession, "minutes")
-    rows = J.minutes(J.feed(*[replay(e, "events") for e in events], replay(df_ticks, "tape")))
-    return J.follow(J.run_available(rows, path), path)
-
-
 def doubled(spark, sf):
     """The tape delivered twice, as an overlapping refetch does."""
     t = ticks(spark, sf)
@@ -93,10 +86,25 @@ ARMED = (
 )
 def stream_armed(spark, sf):
     """Band re-entry signals, visible at their bar's close and armed for two more bars."""
-    signals = S.fffd(numbered(spark, sf, "1h"), 1.5).select(
-        "symbol", add_tf(F.col("ts"), "1h").alias("ts"), "dir", "trigger", add_tf(F.col("ts"), "1h", 4).alias("expiry")
-    )
-    out = run(J.armed_signals(minute_stream(ticks(spark, sf), signals)), "armed")
+    return fires(spark, sf, True)
+
+
+WEEKDAY = f"date_part('isodow', ts) < 6 AND date_part('hour', {ny('ts')}) * 60 + date_part('minute', {ny('ts')}) BETWEEN 570 AND 929"
+
+
+@query(
+    "stream_armed_hours",
+    sql("ticks n1h", ARMED,
+        f"SELECT symbol, seen AS signal_ts, min(ts) AS fire_ts, any_value(dir) AS dir, any_value(trigger) AS trigger, arg_min(price, ts) AS price FROM fi WHERE {WEEKDAY} GROUP BY 1, 2"),
+)
+def stream_armed_hours(spark, sf):
+    """The same within the entry window, 09:30 to 15:30 in New York on weekdays."""
+    return fires(spark, sf, False)
+
+
+def fires(spark, sf, all_hours):
+    signals = S.fffd(numbered(spark, sf, "1h"), 1.5).select("symbol", add_tf(F.col("ts"), "1h").alias("ts"), "dir", "trigger")
+    out = SJ.first_fires(replay(ticks(spark, sf), "tape"), replay(signals, "signals"), "3 hours", scratch_path(spark, "armed"), all_hours)
     return out.select(
         "symbol", ntz(F.col("signal_ts")).alias("signal_ts"), ntz(F.col("fire_ts")).alias("fire_ts"),
         F.col("dir").cast("long").alias("dir"), "trigger", "price",
@@ -135,7 +143,7 @@ def stream_positions(spark, sf):
     bands = four.select(
         "symbol", add_tf(F.col("ts"), "4h").alias("ts"), F.col("sma_20").alias("band_long"), F.col("sma_20").alias("band_short")
     )
-    out = run(J.monitored_positions(minute_stream(ticks(spark, sf), opens, bands)), "positions")
+    out = SJ.first_exits(replay(ticks(spark, sf), "tape"), replay(opens, "opens"), replay(bands, "bands"), "10 days", scratch_path(spark, "positions"))
     return out.select(
         "symbol", "position_id", ntz(F.col("exit_ts")).alias("exit_ts"), "reason", r(F.col("exit_price")).alias("exit_price")
     )

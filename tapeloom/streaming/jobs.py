@@ -1,15 +1,11 @@
-"""Structured Streaming: bars, armed signals and open positions from a live tape."""
+"""Structured Streaming: bars from a live tape."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tapeloom.functions.columns import local_day, local_minute
+from tapeloom.functions.columns import local_day
 
 # Vendor delay, arming age in setup bars, live entry window in local minutes.
 WATERMARK = "16 minutes"
@@ -45,166 +41,6 @@ def session_activity(ticks: DataFrame, gap: str) -> DataFrame:
     )
 
 
-# ------------------------------------------------------------------ minute feed
-
-FEED_NONE = {
-    "seq": "long",
-    "price": "double",
-    "dir": "int",
-    "trigger": "double",
-    "expiry": "timestamp",
-    "position_id": "long",
-    "sl": "double",
-    "tp": "double",
-    "band_long": "double",
-    "band_short": "double",
-}
-
-
-def feed(*tables: DataFrame) -> DataFrame:
-    """Signals, openings, band levels and ticks as one timeline with a shared watermark column ``ts``.
-
-    A band level enters at the close of the setup bar it belongs to, so a price only meets bands of
-    completed bars.
-    """
-    out = None
-    for t in tables:
-        cols = [F.col(c) if c in t.columns else F.lit(None).cast(kind).alias(c) for c, kind in FEED_NONE.items()]
-        part = t.select("symbol", "ts", *cols)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def minutes(timeline: DataFrame, delay: str = WATERMARK) -> DataFrame:
-    """One row per symbol and closed minute: last price, newest signal, positions opened.
-
-    This is what a scanner polling once a minute sees. It bounds what the stateful steps receive to one
-    row per minute and symbol however busy the tape is, and append mode hands minutes over in order.
-    """
-    is_tick, is_signal = F.col("price").isNotNull(), F.col("trigger").isNotNull()
-    is_open, is_band = F.col("position_id").isNotNull(), F.col("band_long").isNotNull()
-    return (
-        timeline.withWatermark("ts", delay)
-        .groupBy("symbol", F.window("ts", "1 minute").alias("w"))
-        .agg(
-            F.max_by("price", F.when(is_tick, F.col("seq"))).alias("price"),
-            F.max_by(
-                F.struct(F.unix_micros("ts").alias("at"), "dir", "trigger", F.unix_micros("expiry").alias("expiry")),
-                F.when(is_signal, F.col("ts")),
-            ).alias("sig"),
-            F.collect_list(F.when(is_open, F.struct("position_id", "dir", "sl", "tp"))).alias("opened"),
-            F.max_by(F.struct("band_long", "band_short"), F.when(is_band, F.col("ts"))).alias("band"),
-        )
-        .select(
-            "symbol",
-            F.col("w.start").alias("ts"),
-            F.unix_micros("w.start").alias("us"),
-            "price",
-            F.col("sig.at").alias("sig_at"),
-            F.col("sig.dir").alias("sig_dir"),
-            F.col("sig.trigger").alias("sig_trigger"),
-            F.col("sig.expiry").alias("sig_expiry"),
-            "opened",
-            F.col("band.band_long").alias("band_long"),
-            F.col("band.band_short").alias("band_short"),
-        )
-    )
-
-
-FIRE_SCHEMA = "symbol string, signal_us long, fire_us long, dir int, trigger double, price double"
-ARM_STATE = "signal_us long, dir int, trigger double, expiry_us long, fired boolean"
-
-
-def arm_and_fire(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep the newest signal of a symbol and fire it once when a minute's price crosses its trigger."""
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("us")
-    cur = list(state.get) if state.exists else None
-    fired = []
-    for us, price, at, side, trigger, expiry, allowed in rows[
-        ["us", "price", "sig_at", "sig_dir", "sig_trigger", "sig_expiry", "allowed"]
-    ].itertuples(index=False):
-        if pd.notna(at):
-            cur = [int(at), int(side), float(trigger), int(expiry), False]
-        if cur is None or cur[4] or us > cur[3] or not allowed or pd.isna(price):
-            continue
-        if price > cur[2] if cur[1] > 0 else price < cur[2]:
-            cur[4] = True
-            fired.append((key[0], cur[0], int(us), cur[1], cur[2], float(price)))
-    if cur is not None:
-        state.update(tuple(cur))
-    yield pd.DataFrame(fired, columns=["symbol", "signal_us", "fire_us", "dir", "trigger", "price"])
-
-
-def armed_signals(minute_rows: DataFrame, all_hours: bool = True) -> DataFrame:
-    """One fire per signal from a stream of ``minutes`` rows; optionally only in the entry window."""
-    minute = local_minute(F.col("ts"))
-    inside = (F.weekday("ts") < 5) & (minute >= ENTRY_OPEN) & (minute < ENTRY_CUTOFF)
-    return (
-        minute_rows.withColumn("allowed", F.lit(True) if all_hours else inside)
-        .drop("opened", "band_long", "band_short", "ts")
-        .groupBy("symbol")
-        .applyInPandasWithState(arm_and_fire, FIRE_SCHEMA, ARM_STATE, "append", GroupStateTimeout.NoTimeout)
-        .select(
-            "symbol",
-            F.timestamp_micros("signal_us").alias("signal_ts"),
-            F.timestamp_micros("fire_us").alias("fire_ts"),
-            "dir",
-            "trigger",
-            "price",
-        )
-    )
-
-
-CLOSE_SCHEMA = "symbol string, position_id long, exit_us long, exit_price double, reason string"
-BOOK_STATE = "ids array<long>, dirs array<int>, sls array<double>, tps array<double>, band array<double>"
-
-
-def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Close open positions at stop, then target, then band, then session end; fills at the level."""
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("us")
-    book, band = [], []
-    if state.exists:
-        *cols, band = state.get
-        book, band = list(zip(*cols)), list(band)
-    closed = []
-    wanted = ["us", "price", "opened", "flat", "band_long", "band_short"]
-    for us, price, opened, flat, up, down in rows[wanted].itertuples(index=False):
-        book += [(o["position_id"], o["dir"], o["sl"], o["tp"]) for o in opened]
-        if pd.notna(up):
-            band = [float(up), float(down)]
-        if pd.isna(price):
-            continue
-        keep = []
-        for pos in book:
-            pid, side, sl, tp = pos
-            level = band[0 if side > 0 else 1] if band else None
-            if sl is not None and side * (price - sl) <= 0:
-                closed.append((key[0], pid, int(us), sl, "stop"))
-            elif tp is not None and side * (price - tp) >= 0:
-                closed.append((key[0], pid, int(us), tp, "target"))
-            elif level is not None and side * (price - level) >= 0:
-                closed.append((key[0], pid, int(us), level, "band"))
-            elif flat:
-                closed.append((key[0], pid, int(us), float(price), "eod"))
-            else:
-                keep.append(pos)
-        book = keep
-    state.update((*([p[i] for p in book] for i in range(4)), band))
-    yield pd.DataFrame(closed, columns=["symbol", "position_id", "exit_us", "exit_price", "reason"])
-
-
-def monitored_positions(minute_rows: DataFrame, flat_minute: int | None = 955) -> DataFrame:
-    """Closing events of the positions opened in a stream of ``minutes`` rows; state holds the open ones."""
-    flat = F.lit(False) if flat_minute is None else local_minute(F.col("ts")) >= flat_minute
-    return (
-        minute_rows.withColumn("flat", flat)
-        .select("symbol", "us", "price", "opened", "flat", "band_long", "band_short")
-        .groupBy("symbol")
-        .applyInPandasWithState(watch, CLOSE_SCHEMA, BOOK_STATE, "append", GroupStateTimeout.NoTimeout)
-        .select("symbol", "position_id", F.timestamp_micros("exit_us").alias("exit_ts"), "exit_price", "reason")
-    )
-
-
 def run_available(stream: DataFrame, path: str) -> DataFrame:
     """Process everything that has arrived, write it to ``path`` and return the table."""
     spark = stream.sparkSession
@@ -219,11 +55,6 @@ def run_available(stream: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def follow(table: DataFrame, path: str) -> DataFrame:
-    """The output of ``run_available`` as a stream for the next step; files arrive batch by batch."""
-    return table.sparkSession.readStream.schema(table.schema).parquet(f"{path}/out")
-
-
 def risk_guard(opens: DataFrame, ledger: DataFrame, max_open: int, loss_cap: float) -> DataFrame:
     """Block new entries at an instant when too many positions are open or the day lost too much.
 

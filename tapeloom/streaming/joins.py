@@ -1,19 +1,22 @@
 """Streams joined with streams, sliding windows, and tables that a stream keeps up to date.
 
-A table kept by :func:`upsert` is a log: every micro-batch writes its rows to a folder named by the batch, replacing
+Steps that need an earlier result follow the table it was written to. A table kept by :func:`upsert` is a log: every micro-batch writes its rows to a folder named by the batch, replacing
 what an earlier try of that batch wrote, so delivering a batch again changes nothing. :func:`upserted` reads the log
 and leaves one row per key. Ties and repeats are settled by stated columns, never by arrival inside a batch.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tapeloom.functions.columns import local, local_day
-from tapeloom.streaming.jobs import WATERMARK
+from tapeloom.functions.columns import local, local_day, local_minute
+from tapeloom.session import stage
+from tapeloom.streaming.jobs import ENTRY_CUTOFF, ENTRY_OPEN, WATERMARK, run_available
 
 #: files one micro-batch takes, so that no group holds a whole history
 FILES = 16
@@ -87,7 +90,7 @@ def upsert(stream: DataFrame, path: str, mode: str = "append", prepare: Callable
 
 def log_of(spark: SparkSession, path: str, schema) -> DataFrame:
     """All rows of a log with their ``batch``."""
-    return spark.read.schema(schema.add("batch", "long")).option("basePath", f"{path}/log").parquet(f"{path}/log")
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{path}/log").parquet(f"{path}/log")
 
 
 def upserted(spark: SparkSession, path: str, schema, keys: Sequence[str], newest: Sequence[str] = (), least: Sequence[str] = ()) -> DataFrame:
@@ -98,22 +101,81 @@ def upserted(spark: SparkSession, path: str, schema, keys: Sequence[str], newest
     return rows.groupBy(*keys).agg(pick.alias("_row")).select(*keys, "_row.*")
 
 
-def newest_value(minutes: DataFrame, values: DataFrame, life: str, delay: str = WATERMARK) -> DataFrame:
-    """Minute rows (symbol, ts, price) with ``value``, the newest row of ``values`` at most ``life`` old, else NULL.
+def newest_value(minutes: DataFrame, values: DataFrame, life: str, path: str, delay: str = WATERMARK) -> DataFrame:
+    """A table of minute rows (symbol, ts, price) with ``value``, the newest row of ``values`` at most ``life`` old.
 
-    A join gives every live value of a minute and an aggregate per minute keeps the newest; a minute without one
-    comes through the union.
+    ``minutes`` is a table that an earlier step has written. The join hands out every live value of a minute as soon as both
+    have arrived; the log keeps the newest, so nothing waits for a watermark. Minutes without one have NULL.
     """
-    names = [c for c in values.columns if c != "symbol"]
-    cell = F.struct(*[F.col(f"r_{c}").alias(c) for c in names])
-    live = interval_join(minutes, values, ["symbol"], life, delay).select("symbol", "ts", "price", cell.alias("value"))
-    bare = minutes.withWatermark("ts", delay).select("symbol", "ts", "price", F.lit(None).cast(live.schema["value"].dataType).alias("value"))
-    per = live.unionByName(bare).groupBy("symbol", F.window("ts", "1 minute").alias("w"))
-    found = per.agg(F.max("price").alias("price"), F.max_by("value", "value.ts").alias("value"))
-    return found.select("symbol", F.col("w.start").alias("ts"), "price", "value")
+    spark = values.sparkSession
+    cell = F.struct(*[F.col(f"r_{c}").alias(c) for c in values.columns if c != "symbol"])
+    live = interval_join(follow(minutes), values, ["symbol"], life, delay).select("symbol", "ts", cell.alias("value"))
+    upsert(live, path, prepare=lambda b: b.groupBy("symbol", "ts").agg(F.max_by("value", "value.ts").alias("value")))
+    return minutes.join(upserted(spark, path, live.schema, ["symbol", "ts"], newest=["value.ts"]), ["symbol", "ts"], "left")
 
 
 def minute_prices(ticks: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """symbol, ts, price: the last price of every closed minute."""
     per = ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", "1 minute").alias("w"))
     return per.agg(F.max_by("price", "seq").alias("price")).select("symbol", F.col("w.start").alias("ts"), "price")
+
+
+def follow(table: DataFrame) -> DataFrame:
+    """A written table as the stream of the next step, ``FILES`` files a batch."""
+    files = table.inputFiles() or stage(table, "empty").inputFiles()
+    reader = table.sparkSession.readStream.schema(table.schema).option("maxFilesPerTrigger", FILES)
+    return reader.parquet(os.path.dirname(files[0]))
+
+
+def first_fires(ticks: DataFrame, signals: DataFrame, life: str, path: str, all_hours: bool = True) -> DataFrame:
+    """symbol, signal_ts, dir, trigger, fire_ts, price: each signal's first minute whose price crosses its trigger.
+
+    ``signals``: symbol, ts, dir, trigger. A signal lives for ``life`` or until the next one of its symbol; equal to
+    the trigger is no cross. Unless ``all_hours``, it fires in the entry window of weekdays only. First touches are
+    joins: minutes meet the newest live signal, and the least minute per signal is kept.
+    """
+    live = newest_value(run_available(minute_prices(ticks), f"{path}/minutes"), signals, life, f"{path}/live")
+    level, minute = F.col("value.trigger"), local_minute(F.col("ts"))
+    crossed = F.when(F.col("value.dir") > 0, F.col("price") > level).otherwise(F.col("price") < level)
+    hours = (F.weekday("ts") < 5) & (minute >= ENTRY_OPEN) & (minute < ENTRY_CUTOFF)
+    hits = live.where(crossed if all_hours else crossed & hours)
+    hits = hits.select("symbol", F.col("value.ts").alias("signal_ts"), "value.dir", "value.trigger", F.col("ts").alias("fire_ts"), "price")
+    return _least(["symbol", "signal_ts"], ["fire_ts"])(hits)
+
+
+def first_exits(ticks: DataFrame, opens: DataFrame, bands: DataFrame | None, life: str, path: str, flat_minute: int | None = 955) -> DataFrame:
+    """symbol, position_id, exit_ts, exit_price, reason: where each position is closed, within ``life`` of its opening.
+
+    ``opens``: symbol, ts, position_id, dir, sl, tp; ``bands``: symbol, ts (the close of their bar), band_long,
+    band_short. On one minute a stop comes before the target, then the band of the newest completed bar, then the
+    session's end; fills are at the level. Minutes meet open positions in an interval join, and the least closing
+    minute per position is kept, so no state walks a book.
+    """
+    spark = ticks.sparkSession
+    minutes = run_available(minute_prices(ticks), f"{path}/minutes")
+    if bands is None:
+        minutes = follow(minutes).withColumn("value", F.lit(None).cast("struct<band_long:double,band_short:double>"))
+    else:
+        minutes = follow(stage(newest_value(minutes, bands, life, f"{path}/live"), "banded"))
+    both = interval_join(minutes, opens, ["symbol"], life)
+    side, price = F.col("r_dir"), F.col("price")
+    band = F.when(side > 0, F.col("value.band_long")).otherwise(F.col("value.band_short"))
+    flat = F.lit(False) if flat_minute is None else local_minute(F.col("ts")) >= flat_minute
+    rules = [("stop", side * (price - F.col("r_sl")) <= 0, F.col("r_sl")), ("target", side * (price - F.col("r_tp")) >= 0, F.col("r_tp")), ("band", side * (price - band) >= 0, band), ("eod", flat, price)]
+    found = F.coalesce(*[F.when(cond, F.struct(F.lit(name).alias("reason"), at.alias("price"))) for name, cond, at in rules])
+    hits = both.withColumn("_x", found).where("_x is not null").select(
+        "symbol", F.col("r_position_id").alias("position_id"), F.col("ts").alias("exit_ts"), F.col("_x.price").alias("exit_price"), "_x.reason"
+    )
+    upsert(hits, f"{path}/exits", prepare=_least(["symbol", "position_id"], ["exit_ts"]))
+    return upserted(spark, f"{path}/exits", hits.schema, ["symbol", "position_id"], least=["exit_ts"])
+
+
+def _least(keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """Thins a batch to the least row of each key."""
+
+    def thin(batch: DataFrame) -> DataFrame:
+        rest = [c for c in batch.columns if c not in keys]
+        least = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+        return least.select(*keys, "_row.*").select(*batch.columns)
+
+    return thin

@@ -40,29 +40,28 @@ def test_late_rows_and_repeats(spark):
     assert "2024-01-02 14:55:00" not in have
 
 
-def feed_minutes(spark, *tables):
-    path = scratch_path(spark, "minutes")
-    src = []
+def streams(spark, *tables):
+    out = []
     for df in tables:
         p = scratch_path(spark, "feed")
         df.write.parquet(p)
-        src.append(spark.readStream.schema(df.schema).parquet(p))
-    return J.follow(J.run_available(J.minutes(J.feed(*src)), path), path)
+        out.append(spark.readStream.schema(df.schema).parquet(p))
+    return out
 
 
 def test_signal_fires_once_and_the_newer_one_replaces_it(spark):
     t0 = pd.Timestamp("2024-01-02 15:00")
     minute = pd.Timedelta(minutes=1)
     signals = mk(spark, 
-        [("A", t0, 1, 11.0, t0 + 10 * minute), ("A", t0 + 5 * minute, 1, 20.0, t0 + 8 * minute), ("B", t0, -1, 5.0, t0 + 2 * minute)],
-        "symbol string, ts timestamp, dir int, trigger double, expiry timestamp",
+        [("A", t0, 1, 11.0), ("A", t0 + 5 * minute, 1, 20.0), ("B", t0, -1, 5.0)],
+        "symbol string, ts timestamp, dir int, trigger double",
     )
     ticks = mk(spark, 
         [tick(1, 1, 11), tick(2, 2, 12), tick(3, 3, 13), tick(6, 4, 15), tick(9, 5, 25), tick(4, 6, 1, "B"), tick(120, 9, 1), tick(120, 10, 9, "B")],
         TICK,
     )
-    fired = J.run_available(J.armed_signals(feed_minutes(spark, signals, ticks)), scratch_path(spark, "fires"))
-    # equal is no cross; the second signal expires before 25 prints; B's signal expired at minute 2
+    fired = SJ.first_fires(*streams(spark, ticks, signals), "3 minutes", scratch_path(spark, "fires"))
+    # equal is no cross; the second signal expires before 25 prints; B's signal expired before minute 4
     assert rows(fired.select("symbol", "price"), "symbol", "price") == [("A", 12.0)]
 
 
@@ -73,7 +72,7 @@ def test_positions_close_in_order_of_stop_target_session_end(spark):
         "symbol string, ts timestamp, position_id long, dir int, sl double, tp double",
     )
     ticks = mk(spark, [tick(1, 1, 100), tick(2, 2, 115), tick(3, 3, 79), tick(360, 4, 95), tick(500, 5, 95)], TICK)
-    closed = J.run_available(J.monitored_positions(feed_minutes(spark, opens, ticks)), scratch_path(spark, "closes"))
+    closed = SJ.first_exits(*streams(spark, ticks, opens), None, "5 days", scratch_path(spark, "closes"))
     assert rows(closed, "position_id", "exit_price", "reason") == [(1, 110.0, "target"), (2, 80.0, "target"), (3, 95.0, "eod")]
 
 
@@ -82,7 +81,7 @@ def test_band_level_counts_from_its_bar_close(spark):
     opens = mk(spark, [("A", t0, 1, 1, 50.0, 500.0)], "symbol string, ts timestamp, position_id long, dir int, sl double, tp double")
     bands = mk(spark, [("A", t0 + pd.Timedelta(minutes=5), 101.0, 99.0)], "symbol string, ts timestamp, band_long double, band_short double")
     ticks = mk(spark, [tick(2, 1, 105), tick(6, 2, 100), tick(8, 3, 104), tick(200, 4, 104)], TICK)
-    closed = J.run_available(J.monitored_positions(feed_minutes(spark, opens, bands, ticks), None), scratch_path(spark, "closes"))
+    closed = SJ.first_exits(*streams(spark, ticks, opens, bands), "5 days", scratch_path(spark, "closes"), None)
     got = closed.first()
     assert (str(got.exit_ts), got.exit_price, got.reason) == ("2024-01-02 15:08:00", 101.0, "band")
 
@@ -152,9 +151,9 @@ def test_a_day_closes_once(spark):
 def test_newest_value_of_a_minute(spark):
     minutes = mk(spark, [("A", pd.Timestamp("2024-01-02 15:00") + pd.Timedelta(minutes=m), float(m)) for m in (0, 2, 6, 30, 300)], "symbol string, ts timestamp, price double")
     values = mk(spark, [("A", pd.Timestamp("2024-01-02 15:01"), 7), ("A", pd.Timestamp("2024-01-02 15:05"), 8), ("A", pd.Timestamp("2024-01-02 20:30"), 9)], "symbol string, ts timestamp, level int")
-    paths = [scratch_path(spark, n) for n in ("minutes", "values")]
+    paths = [scratch_path(spark, n) for n in ("minutes", "values", "live")]
     minutes.write.parquet(paths[0])
     values.write.parquet(paths[1])
-    stream = SJ.newest_value(*[spark.readStream.schema(d.schema).parquet(p) for d, p in zip((minutes, values), paths)], "20 minutes")
-    got = J.run_available(stream, scratch_path(spark, "newest"))
-    assert rows(got.select("price", F.col("value.level").alias("level")).where("price < 300"), "price", "level") == [(0.0, None), (2.0, 7), (6.0, 8), (30.0, None)]
+    table, stream = spark.read.parquet(paths[0]), spark.readStream.schema(values.schema).parquet(paths[1])
+    got = SJ.newest_value(table, stream, "20 minutes", paths[2])
+    assert rows(got.select("price", F.col("value.level").alias("level")), "price", "level") == [(0.0, None), (2.0, 7), (6.0, 8), (30.0, None), (300.0, None)]
