@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.llm.common import fresh, prepare, stage
+from tapeloom.llm.linking import SlotFilter
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 ODD_SPACE = re.compile(r"[\x09-\x0D]|\x20\x20")
@@ -254,7 +255,8 @@ def _settle(budget: int):
     return run
 
 
-def _resolve(docs: DataFrame, id_col: str, text_col: str, carry: list[str], budget: int) -> tuple[DataFrame, dict]:
+def _resolve(docs: DataFrame, id_col: str, text_col: str, carry: list[str], budget: int) -> tuple[DataFrame, DataFrame, dict]:
+    """(members: one row per input row with its trie terminal, owners of the terminals, internal column names)."""
     prepare(docs.sparkSession)
     extra = [*MEMBER, "id", "text", "key", "low", "row", "total"]
     names = dict(zip(extra, fresh(docs.columns, *("_own_" + m for m in extra)), strict=True))
@@ -283,7 +285,7 @@ def _resolve(docs: DataFrame, id_col: str, text_col: str, carry: list[str], budg
             break
     renamed = zip(("tid", "low_id", "low_row", "copies"), ("key", "low", "row", "total"), strict=True)
     own = settled.select(*(F.col(a).alias(names[b]) for a, b in renamed))
-    return members.join(own, F.col(names["tid"]) == F.col(names["key"])), names
+    return members, own, names
 
 
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = TRIE_BYTES) -> DataFrame:
@@ -296,7 +298,8 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budg
     """
     id_name = fresh(docs.columns, "__doc")[0]
     slim = docs.select(F.col(id_col).cast("long").alias(id_name), F.col(text_col).alias("__body"))
-    found, names = _resolve(slim, id_name, "__body", [id_name], budget)
+    members, own, names = _resolve(slim, id_name, "__body", [id_name], budget)
+    found = members.join(own, F.col(names["tid"]) == F.col(names["key"]))
     return found.select(
         F.col(id_name).alias("doc_id"),
         F.nullif(F.col(names["low"]), F.lit(NO_ID)).alias("keep_id"),
@@ -307,6 +310,15 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budg
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = TRIE_BYTES) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns (see :func:`owners`)."""
-    found, names = _resolve(docs, id_col, text_col, docs.columns, budget)
-    return found.where(F.col(names["rid"]) == F.col(names["row"])).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that stay, with all their columns (see :func:`owners`).
+
+    Only numbers are joined to tell who goes; texts are shuffled for rows that a bitmap of those takes for gone.
+    """
+    members, own, names = _resolve(docs, id_col, text_col, docs.columns, budget)
+    rid = names["rid"]
+    gone = members.select(rid, names["tid"]).join(own, F.col(names["tid"]) == F.col(names["key"])).where(F.col(rid) != F.col(names["row"]))
+    gone = stage(gone.select(F.col(rid).alias(names["key"])), "gone")
+    maybe = SlotFilter.of(gone.select(F.xxhash64(names["key"]).alias("slot"))).keeps(F.xxhash64(rid))
+    asked = members.where(maybe).join(gone, F.col(rid) == F.col(names["key"]), "left_anti")
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return members.where(~maybe).select(*kept).unionByName(asked.select(*kept))

@@ -15,22 +15,55 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import stage, tidy
 from tapeloom.llm.components import components
-
-STAR = "slot long, id long, rep long, slots array<long>"
-STAR_ARROW = pa.schema([("slot", pa.int64()), ("id", pa.int64()), ("rep", pa.int64()), ("slots", pa.list_(pa.int64()))])
+from tapeloom.llm.grouped import dealt, gathered, runs
+
+#: bits of a slot; unlike slots that agree in them are one bucket, whose members are verified as all others
+SLOT_BITS = 48
+SLOT_MASK = (1 << SLOT_BITS) - 1
+#: rows of :class:`LocalStars`: a pair, or the members that a task met first, packed for one part of the slots
+STAR = "part int, id long, rep long, slots array<long>, packed binary"
+STAR_ARROW = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("rep", pa.int64()), ("slots", pa.list_(pa.int64())), ("packed", pa.binary())])
+PAIR_ARROW = pa.schema([("id", pa.int64()), ("rep", pa.int64()), ("slots", pa.list_(pa.int64()))])
 #: slots one task remembers; beyond it the memory starts anew and a bucket gets one more local representative
 REMEMBERED = 300_000
+#: (slot, member) entries that a task holds before it writes them out, and those of one part, about
+HELD, PART_ENTRIES = 200_000, 1 << 20
+
+
+def parts_for(entries: int) -> int:
+    return max(8, -(-entries // PART_ENTRIES))
+
+
+def pack(slots: np.ndarray, ids: np.ndarray) -> bytes:
+    """Entries of equal neighbouring ids together: ids as differences, counts, then six bytes per slot."""
+    new = np.r_[True, ids[1:] != ids[:-1]]
+    starts = np.flatnonzero(new)
+    counts = np.diff(np.r_[starts, len(ids)]).astype("<i4")
+    steps = np.diff(np.r_[np.int64(0), ids[starts]]).astype("<i8")
+    body = np.ascontiguousarray(slots.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : SLOT_BITS // 8])
+    return len(starts).to_bytes(4, "little") + steps.tobytes() + counts.tobytes() + body.tobytes()
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(packed[:4], "little")
+    steps, counts = np.frombuffer(packed, "<i8", n, 4), np.frombuffer(packed, "<i4", n, 4 + 8 * n)
+    body = np.frombuffer(packed, np.uint8, offset=4 + 12 * n).reshape(-1, SLOT_BITS // 8)
+    wide = np.zeros((len(body), 8), np.uint8)
+    wide[:, : SLOT_BITS // 8] = body
+    return wide.view("<i8").ravel(), np.repeat(np.cumsum(steps), counts)
 
 
 class LocalStars:
     """Pairs the members of a bucket with the first one that this task has seen."""
 
-    def __init__(self):
+    def __init__(self, parts: int):
+        self.parts = parts
         self.first: dict[int, int] = {}
         self.slots: list[int] = []
         self.nodes: list[int] = []
@@ -39,7 +72,7 @@ class LocalStars:
 
     def sure(self, node: int, rep: int) -> None:
         """A link that needs no verification."""
-        self.pairs.append((hash((rep, node)), node, rep, []))
+        self.pairs.append((node, rep, []))
 
     def add(self, node: int, slots: list[int]) -> None:
         if len(self.first) > REMEMBERED:
@@ -52,7 +85,7 @@ class LocalStars:
                 if rep is not None and rep != node:
                     known.setdefault(rep, []).append(slot)
             for rep, own in known.items():
-                self.pairs.append((hash((rep, node)), node, rep, own))
+                self.pairs.append((node, rep, own))
             slots = [slot for slot, rep in zip(slots, reps, strict=True) if rep is None]
         if slots:
             self.first.update(zip(slots, repeat(node)))
@@ -60,17 +93,27 @@ class LocalStars:
             self.nodes.append(node)
             self.times.append(len(slots))
 
-    def __len__(self) -> int:
-        return len(self.slots) + len(self.pairs)
+    @property
+    def full(self) -> bool:
+        return len(self.slots) + len(self.pairs) > HELD
 
     def batch(self) -> pa.RecordBatch:
-        alone, pairs = len(self.slots), list(zip(*self.pairs, strict=True)) or [[], [], [], []]
+        """What has been gathered; pairs are dealt by their nodes."""
+        slots = np.array(self.slots, np.int64)
         nodes = np.repeat(np.array(self.nodes, np.int64), self.times)
+        part = slots % self.parts
+        order = np.argsort(part, kind="stable")
+        slots, nodes, part = slots[order], nodes[order], part[order]
+        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, int)
+        packed = [pack(slots[a:b], nodes[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        n, (ids, reps, own) = len(packed), zip(*self.pairs, strict=True) if self.pairs else ((), (), ())
+        at = (np.array(ids, np.int64) ^ np.array(reps, np.int64)) % self.parts
         cols = [
-            pa.array(np.r_[np.array(self.slots, np.int64), np.array(pairs[0], np.int64)]),
-            pa.array(np.r_[nodes, np.array(pairs[1], np.int64)]),
-            pa.concat_arrays([pa.nulls(alone, pa.int64()), pa.array(pairs[2], pa.int64())]),
-            pa.concat_arrays([pa.nulls(alone, STAR_ARROW.field(3).type), pa.array(pairs[3], STAR_ARROW.field(3).type)]),
+            pa.array(np.r_[part[edges[:-1]] if n else part[:0], at].astype(np.int32)),
+            pa.array([None] * n + list(ids), pa.int64()),
+            pa.array([None] * n + list(reps), pa.int64()),
+            pa.array([None] * n + list(own), pa.list_(pa.int64())),
+            pa.array(packed + [None] * len(ids), pa.binary()),
         ]
         self.slots, self.nodes, self.times, self.pairs = [], [], [], []
         return pa.RecordBatch.from_arrays(cols, schema=STAR_ARROW)
@@ -99,8 +142,8 @@ class SlotFilter:
         at = slots % self.BITS
         return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
-    def keeps(self, column: str):
-        """Condition on a long column; only that column goes to Python."""
+    def keeps(self, column):
+        """Condition on a long column; only its values go to Python."""
 
         @F.pandas_udf("boolean")
         def has(values):
@@ -108,22 +151,41 @@ class SlotFilter:
 
             return pd.Series(self.has(values.fillna(0).to_numpy(np.int64)))
 
-        return has(F.col(column))
+        return has(column)
+
+
+def _centred(batches):
+    """Pairs of one part: those of the tasks, and each packed member of a bucket with the bucket's smallest."""
+
+    def pairs(table: pa.Table) -> pa.Table:
+        local = table.filter(pc.is_null(table.column("packed"))).select(["id", "rep", "slots"])
+        found = [unpack(p) for p in table.column("packed").drop_null().to_pylist()]
+        if not found:
+            return local
+        slots, ids = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((ids, slots))
+        slots, ids = slots[order], ids[order]
+        start = np.maximum.accumulate(np.where(np.r_[True, slots[1:] != slots[:-1]], np.arange(len(slots)), 0))
+        low = ids[start]
+        at = np.flatnonzero(low < ids)
+        order = np.lexsort((low[at], ids[at]))
+        at = at[order]
+        # the slots that a pair shares in this part as one row
+        new = np.flatnonzero(np.r_[True, (ids[at][1:] != ids[at][:-1]) | (low[at][1:] != low[at][:-1])]) if len(at) else at
+        shared = pa.ListArray.from_arrays(pa.array(np.r_[new, len(at)].astype(np.int32)), pa.array(slots[at]))
+        own = pa.Table.from_arrays([pa.array(ids[at][new]), pa.array(low[at][new]), shared], schema=PAIR_ARROW)
+        return pa.concat_tables([local, own])
+
+    return gathered((pairs(t) for t in runs(batches, "part")), 20_000, PAIR_ARROW)
 
 
 def star_pairs(stars: DataFrame) -> DataFrame:
     """(id, rep, slots) for each candidate pair of the trees; ``stars`` has the columns of ``STAR``.
 
-    The window of a slot holds one row per input task at most, not one per member.
+    A part holds about ``PART_ENTRIES`` entries: per bucket one member of each input task at most, not all members.
     """
-    low = "min(if(rep is null, id, null)) over (partition by slot)"
-    local = stars.withColumn("low", F.expr(low)).where("rep is not null or low < id")
-    return (
-        local.select("id", F.coalesce("rep", "low").alias("rep"), F.coalesce("slots", F.array("slot")).alias("slots"))
-        .where("id <> rep")
-        .groupBy("id", "rep")
-        .agg(F.flatten(F.collect_list("slots")).alias("slots"))
-    )
+    found = dealt(stars, "part").mapInArrow(_centred, "id long, rep long, slots array<long>")
+    return found.where("id <> rep").groupBy("id", "rep").agg(F.flatten(F.collect_list("slots")).alias("slots"))
 
 
 def link(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import GOLDEN, fresh, mix, prepare, shingles, stage
-from tapeloom.llm.linking import STAR, LocalStars, SlotFilter, link
+from tapeloom.llm.linking import SLOT_MASK, STAR, LocalStars, SlotFilter, link, parts_for
 
 SEGMENT_BITS = 16
 SKETCH_WORDS = 16
@@ -88,7 +88,7 @@ def segments(hashes: np.ndarray, offsets: np.ndarray, bands: Bands) -> list[tupl
             gone = np.setdiff1d(np.arange(need[d], dtype=np.uint64), seg[doc == d])
             content, doc, seg = np.r_[content, np.zeros(len(gone), np.uint64)], np.r_[doc, np.full(len(gone), d)], np.r_[seg, gone]
         keys = mix(content + mix(seg * np.uint64(GOLDEN) + band[doc] * np.uint64(7919) + np.uint64(13)))
-        out.append((keys.view(np.int64), doc))
+        out.append(((keys & np.uint64(SLOT_MASK)).view(np.int64), doc))
     return out
 
 
@@ -105,9 +105,9 @@ def _sets(batch: pa.RecordBatch, k: int) -> tuple[list, np.ndarray, np.ndarray]:
     return batch.column(0).to_pylist(), *shingles(batch.column(1).cast(pa.binary()).to_pylist(), k)
 
 
-def _stars(k: int, percent: int):
+def _stars(k: int, percent: int, parts: int):
     def run(batches):
-        bands, stars, seen = Bands(percent), LocalStars(), {}
+        bands, stars, seen = Bands(percent), LocalStars(parts), {}
         for batch in batches:
             nodes, hashes, offsets = _sets(batch, k)
             marks = mix(hashes)
@@ -130,7 +130,7 @@ def _stars(k: int, percent: int):
                     stars.sure(node, first)
                 else:
                     stars.add(node, [s for keys, cut in split for s in keys[cut[i] : cut[i + 1]]])
-                if len(stars) > 50_000:
+                if stars.full:
                     yield stars.batch()
         yield stars.batch()
 
@@ -183,7 +183,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     pairs = stage(pairs, "pairs")
     both = pairs.select(F.col("id").alias("slot")).unionByName(pairs.select(F.col("rep").alias("slot")))
     # texts of no pair stay where they are; the join drops what the filter lets through
-    texts = stage(docs.where(F.col("id").isNotNull() & SlotFilter.of(both).keeps("id")), "texts")
+    texts = stage(docs.where(F.col("id").isNotNull() & SlotFilter.of(both).keeps(F.col("id"))), "texts")
     left, right = (texts.select(F.col("id").alias(n), F.col("text").alias(n + "t")) for n in "lr")
     joined = pairs.join(left, F.col("id") == F.col("l")).join(right, F.col("rep") == F.col("r"))
     return joined.select("id", "rep", "lt", "rt").mapInArrow(_verify(k, percent), "id long, rep long").distinct()
@@ -198,8 +198,10 @@ def facts(docs: DataFrame, k: int) -> DataFrame:
 def _groups(slim: DataFrame, known: DataFrame, k: int, percent: int) -> DataFrame:
     apart = " + ".join(f"bit_count(l.s{i} ^ r.s{i})" for i in range(SKETCH_WORDS))
     may = f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and {100 + percent} * ({apart}) <= {100 - percent} * (l.n + r.n)"
+    # a set has at most half as many segments as elements
+    entries = (known.agg(F.sum("n")).first()[0] or 0) // 2
     return link(
-        slim.mapInArrow(_stars(k, percent), STAR),
+        slim.mapInArrow(_stars(k, percent, parts_for(entries)), STAR),
         lambda wanted: slim.where("id is not null").mapInArrow(_members(k, percent, wanted), "slot long, id long"),
         known,
         may,

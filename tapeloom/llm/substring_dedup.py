@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import GOLDEN, WORD, fresh, mix, prepare, rolled, shingles, stage, word_hashes
-from tapeloom.llm.linking import STAR, LocalStars, SlotFilter, link
+from tapeloom.llm.linking import SLOT_MASK, STAR, LocalStars, SlotFilter, link, parts_for
 from tapeloom.llm.ngram_join import SKETCH_WORDS, sketches
 
 PARAGRAPH = re.compile(r"[^\r\n]+")
@@ -58,7 +58,7 @@ def band_slots(hashes: np.ndarray, count: int, width: int) -> list[int]:
     out = np.arange(1, count + 1, dtype=np.uint64)
     for j in range(width):
         out = mix(out * np.uint64(GOLDEN) + low.reshape(count, width)[:, j])
-    return out.view(np.int64).tolist()
+    return (out & np.uint64(SLOT_MASK)).view(np.int64).tolist()
 
 
 def _joined_lines(text: str, least: int):
@@ -159,14 +159,14 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def _stars(k: int, count: int, width: int):
+def _stars(k: int, count: int, width: int, parts: int):
     def run(batches):
-        stars = LocalStars()
+        stars = LocalStars(parts)
         for batch in batches:
             hashes, offsets = shingles(batch.column(1).to_pylist(), k)
             for i, node in enumerate(batch.column(0).to_pylist()):
                 stars.add(node, band_slots(hashes[offsets[i] : offsets[i + 1]], count, width))
-            if len(stars) > 20_000:
+            if stars.full:
                 yield stars.batch()
         yield stars.batch()
 
@@ -286,7 +286,7 @@ def _grouped(found: DataFrame, k: int, similarity: float, recall: float, measure
     shape = "id long, n long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
     known = stage(texts.mapInArrow(_facts(k), shape), "facts")
     comp = link(
-        texts.mapInArrow(_stars(k, count, width), STAR),
+        texts.mapInArrow(_stars(k, count, width, parts_for(texts.count() * count)), STAR),
         lambda wanted: texts.mapInArrow(_members(k, count, width, wanted), "slot long, id long"),
         known,
         _may(similarity, measure),
