@@ -148,7 +148,7 @@ def gap_mixed(spark, sf):
 
 
 VIX = (
-    "v AS (SELECT date_trunc('day', ts) AS day, avg(price) AS lvl FROM ticks WHERE symbol = 'error' AND isodow(ts) <> 3 GROUP BY 1), "
+    "v AS (SELECT date_trunc('day', ts) AS day, avg(price) AS lvl FROM ticks GROUP BY 1), "
     f"x AS (SELECT symbol, ts, date_trunc('day', {ny('ts')}) AS day FROM n1h), "
     "j AS (SELECT x.symbol, x.ts, lvl FROM x ASOF LEFT JOIN v ON x.day > v.day)"
 )
@@ -156,13 +156,8 @@ VIX = (
 
 @query("vix_gate", sql("n1h", VIX, ok_sql("j", "lvl < 50", "lvl < 50")))
 def vix_gate(spark, sf):
-    """A daily level with missing days gates every symbol by its last earlier value."""
-    t = ticks(spark, sf)
-    daily = (
-        t.where((F.col("symbol") == "error") & (F.weekday("ts") != 2))
-        .groupBy(F.to_date("ts").alias("date"))
-        .agg(F.avg("price").alias("close"))
-    )
+    """The market's daily level gates every symbol by its last earlier value."""
+    daily = ticks(spark, sf).groupBy(F.to_date("ts").alias("date")).agg(F.avg("price").alias("close"))
     return shown(G.vix(numbered(spark, sf, "1h"), {"vix": daily}, "lt", 50.0))
 
 

@@ -95,18 +95,6 @@ def trade_sharpe(spark, sf):
     return trades(spark, sf).groupBy("symbol", "cfg").agg(r(M.sharpe(F.col("ret")), 3).alias("sharpe"))
 
 
-@query(
-    "oos_aggregate",
-    sql("trades", "SELECT symbol, count(*) AS oos_trades, "
-        f"{rd(pf_sql(), 3)} AS oos_pf, {rd('100.0 * count(*) FILTER (WHERE ret > 0) / count(*)', 1)} AS oos_win_rate_pct, "
-        f"{rd('100 * avg(ret)', 3)} AS oos_avg_trade_pct, {rd(COMPOUND, 2)} AS oos_return_pct "
-        "FROM trades WHERE entry_ts >= TIMESTAMP '2000-01-01' GROUP BY 1"),
-)
-def oos_aggregate(spark, sf):
-    late = trades(spark, sf).where(F.col("entry_ts") >= F.lit("2000-01-01").cast("timestamp"))
-    return late.groupBy("symbol").agg(*oos_columns(F.col("ret")))
-
-
 def oos_columns(ret):
     return [
         F.count(F.lit(1)).alias("oos_trades"),

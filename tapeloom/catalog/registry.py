@@ -97,28 +97,28 @@ def registry_export(spark, sf):
 
 @query(
     "merge_replace",
-    sql("runs", "o AS (SELECT symbol, max(run_id) AS run_id, 'old' AS src FROM runs WHERE created_at < TIMESTAMP '1998-06-01' GROUP BY 1), "
-        "n AS (SELECT symbol, max(run_id) AS run_id, 'new' AS src FROM runs WHERE created_at >= TIMESTAMP '1999-06-01' GROUP BY 1)",
+    sql("runs", "o AS (SELECT symbol, max(run_id) AS run_id, 'old' AS src FROM runs WHERE created_at < TIMESTAMP '1999-01-01' GROUP BY 1), "
+        "n AS (SELECT symbol, max(run_id) AS run_id, 'new' AS src FROM runs WHERE created_at >= TIMESTAMP '1999-01-01' GROUP BY 1)",
         "SELECT * FROM o WHERE symbol NOT IN (SELECT symbol FROM n) UNION ALL SELECT * FROM n"),
 )
 def merge_replace(spark, sf):
     def part(cond, src):
         return runs(spark, sf).where(cond).groupBy("symbol").agg(F.max("run_id").alias("run_id")).withColumn("src", F.lit(src))
 
-    old = part(F.col("created_at") < "1998-06-01", "old")
-    return R.replace_by_key(old, part(F.col("created_at") >= "1999-06-01", "new"), ["symbol"])
+    old = part(F.col("created_at") < "1999-01-01", "old")
+    return R.replace_by_key(old, part(F.col("created_at") >= "1999-01-01", "new"), ["symbol"])
 
 
 @query(
     "roster_upsert",
-    sql("runs", "o AS (SELECT symbol, max(sweep_tag) AS cfg, max(fee) AS size_usd FROM runs WHERE created_at < TIMESTAMP '1996-06-01' GROUP BY 1), "
-        "n AS (SELECT symbol, min(CASE WHEN strategy <> 'P' THEN sweep_tag END) AS cfg, CAST(NULL AS DOUBLE) AS size_usd FROM runs WHERE created_at >= TIMESTAMP '2000-06-01' GROUP BY 1)",
+    sql("runs", "o AS (SELECT symbol, max(sweep_tag) AS cfg, max(fee) AS size_usd FROM runs WHERE created_at < TIMESTAMP '1998-06-01' GROUP BY 1), "
+        "n AS (SELECT symbol, min(CASE WHEN strategy <> 'P' THEN sweep_tag END) AS cfg, CAST(NULL AS DOUBLE) AS size_usd FROM runs WHERE created_at >= TIMESTAMP '1998-06-01' GROUP BY 1)",
         "SELECT coalesce(n.symbol, o.symbol) AS symbol, coalesce(n.cfg, o.cfg) AS cfg, coalesce(n.size_usd, o.size_usd) AS size_usd FROM o FULL JOIN n ON n.symbol = o.symbol"),
 )
 def roster_upsert(spark, sf):
     t = runs(spark, sf)
-    old = t.where("created_at < timestamp '1996-06-01'").groupBy("symbol").agg(F.max("sweep_tag").alias("cfg"), F.max("fee").alias("size_usd"))
-    new = t.where("created_at >= timestamp '2000-06-01'").groupBy("symbol").agg(
+    old = t.where("created_at < timestamp '1998-06-01'").groupBy("symbol").agg(F.max("sweep_tag").alias("cfg"), F.max("fee").alias("size_usd"))
+    new = t.where("created_at >= timestamp '1998-06-01'").groupBy("symbol").agg(
         F.min(F.when(F.col("strategy") != "P", F.col("sweep_tag"))).alias("cfg"), F.lit(None).cast("double").alias("size_usd")
     )
     return R.upsert(old, new, "symbol", ["cfg", "size_usd"])
@@ -241,11 +241,11 @@ def set_ops(spark, sf):
 @query(
     "sector_dim",
     sql("", "SELECT s_suppkey AS symbol, replace(s_name, '#', '-') AS ticker, coalesce(n_name, 'Other') AS sector, coalesce(r_name, 'Other') AS region, "
-        "CASE WHEN s_acctbal >= 5000 THEN 100.0::DOUBLE ELSE 1000.0::DOUBLE END AS size_usd FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey < 20 "
+        "CASE WHEN s_acctbal >= 5000 THEN 100.0::DOUBLE ELSE 1000.0::DOUBLE END AS size_usd FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey "
         "LEFT JOIN region ON r_regionkey = n_regionkey"),
 )
 def sector_dim(spark, sf):
-    n = table(spark, sf, "nation").where("n_nationkey < 20")
+    n = table(spark, sf, "nation")
     g = table(spark, sf, "region")
     s = table(spark, sf, "supplier")
     j = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(g, F.col("n_regionkey") == F.col("r_regionkey"), "left")
@@ -258,9 +258,9 @@ def sector_dim(spark, sf):
     )
 
 
-@query("universe", sql("trades", "SELECT symbol FROM trades UNION SELECT s_suppkey FROM supplier WHERE s_nationkey < 5"))
+@query("universe", sql("trades", "SELECT symbol FROM trades UNION SELECT s_suppkey FROM supplier"))
 def universe(spark, sf):
-    core = table(spark, sf, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("symbol"))
+    core = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("symbol"))
     return trades(spark, sf).select("symbol").distinct().union(core).distinct()
 
 

@@ -106,15 +106,14 @@ def lake_scan(spark, sf):
 
 @query(
     "csv_missing",
-    sql("ticks", "d AS (SELECT date_trunc('day', ts) AS day, round(avg(price), 4) AS close FROM ticks WHERE symbol = 'error' GROUP BY 1)",
-        "SELECT strftime(day, '%Y-%m-%d') AS date, close FROM d WHERE isodow(day) < 6"),
+    sql("ticks", "d AS (SELECT symbol, date_trunc('day', ts) AS day, round(avg(price), 4) AS close FROM ticks GROUP BY 1, 2)",
+        "SELECT symbol, strftime(day, '%Y-%m-%d') AS date, close FROM d WHERE isodow(day) < 6"),
 )
 def csv_missing(spark, sf):
-    """A daily series whose weekend values are the missing marker."""
+    """Daily series, one folder per symbol, whose weekend values are the missing marker."""
     path = scratch_path(spark, "series")
-    t = ticks(spark, sf).where("symbol = 'error'")
-    day = t.groupBy(F.to_date("ts").alias("date")).agg(F.round(F.avg("price"), 4).alias("close"))
+    day = ticks(spark, sf).groupBy("symbol", F.to_date("ts").alias("date")).agg(F.round(F.avg("price"), 4).alias("close"))
     text = F.when(F.weekday("date") < 5, F.col("close").cast("string")).otherwise(".")
-    day.select("date", text.alias("close")).write.option("header", True).csv(path)
-    back = L.read_daily_series(spark, path)
-    return back.select(F.col("date").cast("string").alias("date"), "close")
+    day.select("symbol", "date", text.alias("close")).write.partitionBy("symbol").option("header", True).csv(path)
+    back = L.read_daily_series(spark, path, by="symbol")
+    return back.select("symbol", F.col("date").cast("string").alias("date"), "close")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tapeloom.catalog.base import COMPOUND, GROWTH, ewm_cte, full, lagged, ny, query, rd, rsi_cte, sql
-from tapeloom.catalog.metrics import DAYPNL, group_columns, GROUP_COLS, oos_columns, pf_sql
+from tapeloom.catalog.metrics import DAYPNL, DD, group_columns, GROUP_COLS, oos_columns, pf_sql
 from tapeloom.catalog.signals import ADX_OK, AGU
 from tapeloom.catalog.outcomes import ENT, PCT, TIE, next_bar_entries, pct_trades
 from tapeloom.functions.columns import add_tf, div, floor_ts, ntz, r, tf_seconds
@@ -365,6 +367,13 @@ def wf_variants(spark, sf):
     return adaptive.unionByName(fixed)
 
 
+@query("oos_aggregate", sql("trades", *WF, OOS, f"SELECT symbol, {OOS_COLS} FROM oo GROUP BY symbol"))
+def oos_aggregate(spark, sf):
+    """Out-of-sample record of each symbol: the trades of its folds' winners in their test windows."""
+    t, w = wf_parts(spark, sf)
+    return V.stitched(t, w, KEY, "cfg").groupBy("symbol").agg(*oos_columns(F.col("ret")))
+
+
 @query("oos_verdict", sql("trades", *WF, OOS, f"SELECT symbol, {rd('max(pf)')} AS best_oos_pf, max(round(pf, 9)) > 1 AS enabled FROM "
        f"(SELECT symbol, fee > 0.04 AS high_fee, {pf_sql()} AS pf FROM oo GROUP BY 1, 2) WHERE NOT high_fee GROUP BY 1"))
 def oos_verdict(spark, sf):
@@ -514,8 +523,8 @@ def post_discovery(spark, sf):
 
 
 OLD = (
-    "od AS (SELECT sig, min(entry_ts) AS first_seen, CAST(2 AS BIGINT) AS rounds_tested, CAST(0.5 AS DOUBLE) AS hold_pf FROM lg WHERE entry_ts < TIMESTAMP '1995-03-01' GROUP BY 1), "
-    "nw AS (SELECT sig, " + pf_sql("usd", "inf_or_null") + " AS hold_pf FROM lg WHERE entry_ts >= TIMESTAMP '2001-09-01' GROUP BY 1)"
+    "od AS (SELECT sig, min(entry_ts) AS first_seen, CAST(2 AS BIGINT) AS rounds_tested, CAST(0.5 AS DOUBLE) AS hold_pf FROM lg WHERE entry_ts < TIMESTAMP '1998-06-01' GROUP BY 1), "
+    "nw AS (SELECT sig, " + pf_sql("usd", "inf_or_null") + " AS hold_pf FROM lg WHERE entry_ts >= TIMESTAMP '1998-06-01' GROUP BY 1)"
 )
 
 
@@ -524,10 +533,10 @@ OLD = (
        f"{rd('CASE WHEN nw.sig IS NOT NULL THEN nw.hold_pf ELSE od.hold_pf END')} AS hold_pf FROM od FULL JOIN nw ON od.sig = nw.sig"))
 def league_merge(spark, sf):
     t = league_trades(spark, sf, fine=True)
-    old = t.where("entry_ts < timestamp '1995-03-01'").groupBy("sig").agg(
+    old = t.where("entry_ts < timestamp '1998-06-01'").groupBy("sig").agg(
         F.min("entry_ts").alias("first_seen"), F.lit(2).cast("long").alias("rounds_tested"), F.lit(0.5).alias("hold_pf")
     )
-    new = t.where("entry_ts >= timestamp '2001-09-01'").groupBy("sig").agg(M.profit_factor(F.col("usd"), "inf_or_null").alias("hold_pf"))
+    new = t.where("entry_ts >= timestamp '1998-06-01'").groupBy("sig").agg(M.profit_factor(F.col("usd"), "inf_or_null").alias("hold_pf"))
     m = L.merge_store(old, new, F.lit("2024-01-01").cast("timestamp"))
     return m.select("sig", ntz(F.col("first_seen")).alias("first_seen"), "rounds_tested", r(F.col("hold_pf")).alias("hold_pf"))
 
@@ -608,7 +617,8 @@ def explore_sample(spark, sf):
     return cand.join(tried, "sig", "left_anti").groupBy("sig").agg(F.count(F.lit(1)).alias("draws"))
 
 
-SIMS = 2000
+#: simulated paths, and the multiple of a trade's own fee that the stressed result pays
+SIMS, STRESS = 2000, 2.5
 BOOT = (
     DAYPNL
     + ", dn AS MATERIALIZED (SELECT cfg, pnl, row_number() OVER (PARTITION BY cfg ORDER BY day) - 1 AS d, count(*) OVER (PARTITION BY cfg) AS n FROM dp), "
@@ -626,32 +636,39 @@ QS = [("total", "p05_total", 0.05), ("total", "p50_total", 0.5), ("total", "p95_
 
 
 @query("block_bootstrap", sql("trades", BOOT, "SELECT cfg, " + ", ".join(
-    rd(f"list_sort(list({c}))[{int(p * (SIMS - 1)) + 1}]", 4) + f" AS {n}" for c, n, p in QS) + ", avg(CASE WHEN round(total, 6) < 0 THEN 1 ELSE 0 END) AS p_loss FROM pt GROUP BY 1"))
+    rd(f"list_sort(list({c}))[{int(p * (SIMS - 1)) + 1}]", 4) + f" AS {n}" for c, n, p in QS) + ", avg(CASE WHEN total IS NULL THEN NULL WHEN round(total, 6) < 0 THEN 1 ELSE 0 END) AS p_loss "
+    "FROM (SELECT DISTINCT cfg FROM dp) LEFT JOIN pt USING (cfg) GROUP BY 1"))
 def block_bootstrap(spark, sf):
     daily = M.daily_sums(trades(spark, sf), ["cfg"], F.col("ret") * 1000)
     s = RB.bootstrap_summary(RB.block_paths(daily, "cfg", SIMS), "cfg")
+    s = daily.select("cfg").distinct().join(s, "cfg", "left")
     return s.select("cfg", *[r(F.col(n), 4).alias(n) for _, n, _ in QS], "p_loss")
 
 
 READY = (
-    "pn AS MATERIALIZED (SELECT *, ret * qty AS pnl FROM trades), cu AS (SELECT max(entry_ts) - INTERVAL 360 DAY AS cut FROM trades), "
-    f"bs AS (SELECT cfg, {pf_sql('CASE WHEN entry_ts < cut THEN pnl END')} AS train_pf, {pf_sql('CASE WHEN entry_ts >= cut THEN pnl END')} AS hold_pf, {pf_sql('CASE WHEN entry_ts >= cut THEN pnl - 0.05 END')} AS stress_pf FROM pn, cu GROUP BY 1), "
-    "mo AS (SELECT cfg, avg(CASE WHEN p > 0 THEN 1 ELSE 0 END) AS positive_months FROM (SELECT cfg, date_trunc('month', entry_ts) AS m, sum(pnl) AS p FROM pn GROUP BY 1, 2) GROUP BY 1), "
+    "pn AS MATERIALIZED (SELECT *, ret * qty AS pnl, (ret - 3 * fee / 100) * qty AS stressed FROM tb), cu AS (SELECT max(entry_ts) - INTERVAL 360 DAY AS cut FROM trades), "
+    f"bs AS (SELECT cfg, {pf_sql('CASE WHEN entry_ts < cut THEN pnl END')} AS train_pf, {pf_sql('CASE WHEN entry_ts >= cut THEN pnl END')} AS hold_pf, {pf_sql('CASE WHEN entry_ts >= cut THEN stressed END')} AS stress_pf FROM pn, cu GROUP BY 1), "
+    "mo AS (SELECT cfg, avg(CASE WHEN p > 0 THEN 1 ELSE 0 END) AS positive_months, count(*) FILTER (WHERE p > 0) AS good_months, count(*) AS months, min(p) AS worst_month FROM (SELECT cfg, date_trunc('month', entry_ts) AS m, sum(pnl) AS p FROM pn GROUP BY 1, 2) GROUP BY 1), "
     "ls AS (SELECT cfg, avg(CASE WHEN round(total, 6) < 0 THEN 1 ELSE 0 END) AS p_loss FROM pt GROUP BY 1), "
     "tp AS (SELECT cfg, sum(CASE WHEN rn <= 10 THEN pnl END) / sum(pnl) AS top_share FROM (SELECT *, row_number() OVER (PARTITION BY cfg ORDER BY pnl DESC) AS rn FROM pn WHERE pnl > 0) GROUP BY 1), "
     "al AS (SELECT *, [train_pf >= 1, hold_pf >= 1.1, stress_pf >= 1, positive_months >= 0.6, p_loss <= 0.25, top_share <= 0.35] AS ck FROM bs JOIN mo USING (cfg) LEFT JOIN ls USING (cfg) LEFT JOIN tp USING (cfg)), "
     "a2 AS (SELECT *, len(list_filter(ck, lambda x: NOT coalesce(x, false))) AS miss FROM al)"
 )
-READY_COLS = ["train_pf", "hold_pf", "stress_pf", "positive_months", "p_loss", "top_share"]
+READY_COLS = ["train_pf", "hold_pf", "stress_pf", "positive_months", "worst_month", "p_loss", "top_share", "max_drawdown"]
+BOOK = "tb AS MATERIALIZED (SELECT * FROM trades UNION ALL SELECT * REPLACE ('ALL' AS cfg) FROM trades)"
+BOOK_DD = re.sub(r"\b(cm|pk)\b", r"d\1", DD.format(k="cfg", src="dp"))
+READY_BOOT = BOOT.replace("sum(ret * 1000) AS pnl", "sum(ret * qty) AS pnl").replace("FROM trades", "FROM tb")
 
 
-@query("readiness_verdict", sql("trades", BOOT.replace("sum(ret * 1000) AS pnl", "sum(ret * qty) AS pnl"), READY,
-       "SELECT cfg, " + ", ".join(f"{rd(c)} AS {c}" for c in READY_COLS) + ", CASE WHEN miss = 0 THEN 'READY' WHEN miss >= 2 THEN 'NOT READY' ELSE 'BORDERLINE' END AS verdict FROM a2"))
+@query("readiness_verdict", sql("trades", BOOK, READY_BOOT, READY, BOOK_DD,
+       "SELECT cfg, good_months, months, " + ", ".join(f"{rd(c)} AS {c}" for c in READY_COLS) + ", CASE WHEN miss = 0 THEN 'READY' WHEN miss >= 2 THEN 'NOT READY' ELSE 'BORDERLINE' END AS verdict FROM a2 JOIN dd USING (cfg)"))
 def readiness_verdict(spark, sf):
-    t = trades(spark, sf).withColumn("pnl", F.col("ret") * F.col("qty"))
-    paths = RB.block_paths(M.daily_sums(t, ["cfg"], F.col("pnl")), "cfg", SIMS)
-    v = RB.readiness_report(t, "cfg", L.cutoff(t, 360), paths, 0.05)
-    return v.select("cfg", *[r(F.col(c)).alias(c) for c in READY_COLS], "verdict")
+    """Every setup and the whole book (``ALL``): the book's paths draw one set of days for all setups."""
+    t = trades(spark, sf).withColumn("cfg", F.explode(F.array("cfg", F.lit("ALL"))))
+    net = F.col("ret") - 2 * (STRESS - 1) * F.col("fee") / 100
+    t = t.withColumns({"pnl": F.col("ret") * F.col("qty"), "stressed": net * F.col("qty")})
+    v = RB.readiness_report(t, "cfg", L.cutoff(t, 360), SIMS)
+    return v.select("cfg", "good_months", "months", *[r(F.col(c)).alias(c) for c in READY_COLS], "verdict")
 
 
 MUT_EXITS = ["r1", "r2", "time24", "trail"]

@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.operators.metrics import profit_factor, readiness
+from tapeloom.operators.metrics import daily_sums, max_drawdown, profit_factor, readiness
 from tapeloom.operators.portfolio import top_share
 
 # The linear congruential generator that draws block starts.
 LCG_A, LCG_C, LCG_M = 1103515245, 12345, 2147483648
 
 
-def block_paths(daily: DataFrame, key: str, n_sims: int, block: int = 5, batch: int = 50) -> DataFrame:
+def block_paths(daily: DataFrame, key: str, n_sims: int, block: int = 5, batch: int = 200) -> DataFrame:
     """Total and worst drawdown of each resampled path of a setup's daily P&L.
 
     A setup's series has one number per day, so it travels as one array; the simulations are spread over
@@ -33,24 +33,32 @@ def block_paths(daily: DataFrame, key: str, n_sims: int, block: int = 5, batch:
     ).repartition(key, "sim0")
     key_type = daily.schema[key].dataType.simpleString()
 
-    def walk(x: np.ndarray, sim: int) -> tuple[float, float]:
-        # a block cut off by the end of the series is shorter; the next one follows at once
-        n, path, size, slot = len(x), [], 0, 0
-        while size < n:
-            start = (LCG_A * (sim * 1000003 + slot * 7919 + 12345) + LCG_C) % LCG_M % n
-            path.append(x[start : start + block])
-            size, slot = size + len(path[-1]), slot + 1
-        seq = np.concatenate(path)[:n]
-        cum = np.cumsum(seq)
-        peak = np.maximum(np.maximum.accumulate(cum), 0.0)
-        return float(seq.sum()), float(min((cum - peak).min(), 0.0))
+    def paths(x: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Totals and worst drawdowns of the paths ``sims``, all at once."""
+        n, slots = len(x), len(x) // block + 40
+        while True:
+            seed = (sims[:, None] * 1000003 + np.arange(slots) * 7919 + 12345) % LCG_M
+            starts = (LCG_A * seed + LCG_C) % LCG_M % n
+            # a block cut off by the end of the series is shorter; the next one follows at once
+            sizes = np.minimum(block, n - starts)
+            ends = sizes.cumsum(axis=1)
+            if (ends[:, -1] >= n).all():
+                break
+            slots *= 2
+        place = np.repeat((starts - ends + sizes).ravel(), sizes.ravel())
+        row, all_of = np.repeat(np.arange(len(sims)), ends[:, -1]), ends[:, -1]
+        at = np.arange(len(row)) - np.repeat(all_of.cumsum() - all_of, all_of)
+        seq = x[(place + at)[at < n].reshape(len(sims), n)]
+        cum = seq.cumsum(axis=1)
+        fall = cum - np.maximum(np.maximum.accumulate(cum, axis=1), 0.0)
+        return seq.sum(axis=1), np.minimum(fall.min(axis=1), 0.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k, vals, sim0 in zip(b[key], b["v"], b["sim0"]):
-                x = np.asarray(vals, dtype=float)
-                rows = [(k, sim, *walk(x, sim)) for sim in range(sim0, min(sim0 + batch, n_sims))]
-                yield pd.DataFrame(rows, columns=[key, "sim", "total", "dd"])
+                sims = np.arange(sim0, min(sim0 + batch, n_sims), dtype=np.int64)
+                total, dd = paths(np.asarray(vals, dtype=float), sims)
+                yield pd.DataFrame({key: [k] * len(sims), "sim": sims, "total": total, "dd": dd})
 
     return chunks.mapInPandas(run, f"{key} {key_type}, sim long, total double, dd double")
 
@@ -74,19 +82,29 @@ def bootstrap_summary(paths: DataFrame, key: str) -> DataFrame:
     )
 
 
-def readiness_report(trades: DataFrame, key: str, cut, paths: DataFrame, stress_cost: float) -> DataFrame:
-    """Six checks per setup on trades with ``pnl``, and the verdict."""
+def readiness_report(trades: DataFrame, key: str, cut, n_sims: int) -> DataFrame:
+    """Six checks per setup on trades with ``pnl`` and ``stressed`` (the same at a multiple of their fees), and the verdict.
+
+    Setups with too few days for a bootstrap are listed with NULL; an unknown check counts as failed.
+    """
     hold = F.col("entry_ts") >= cut
     pnl = F.col("pnl")
+    daily = daily_sums(trades, [key], pnl)
     base = trades.groupBy(key).agg(
         profit_factor(F.when(~hold, pnl)).alias("train_pf"),
         profit_factor(F.when(hold, pnl)).alias("hold_pf"),
-        profit_factor(F.when(hold, pnl - stress_cost)).alias("stress_pf"),
+        profit_factor(F.when(hold, F.col("stressed"))).alias("stress_pf"),
     )
     months = trades.groupBy(key, F.date_trunc("month", "entry_ts").alias("m")).agg(F.sum("pnl").alias("p"))
-    share = months.groupBy(key).agg(F.avg(F.when(F.col("p") > 0, 1.0).otherwise(0.0)).alias("positive_months"))
+    share = months.groupBy(key).agg(
+        F.avg(F.when(F.col("p") > 0, 1.0).otherwise(0.0)).alias("positive_months"),
+        F.count_if(F.col("p") > 0).alias("good_months"),
+        F.count(F.lit(1)).alias("months"),
+        F.min("p").alias("worst_month"),
+    )
+    paths = block_paths(daily, key, n_sims)
     loss = paths.groupBy(key).agg(F.avg(F.when(F.round("total", 6) < 0, 1.0).otherwise(0.0)).alias("p_loss"))
-    out = base.join(share, key).join(loss, key, "left").join(top_share(trades, [key], "pnl"), key, "left")
+    out = base.join(share, key).join(loss, key, "left").join(top_share(trades, [key], "pnl"), key, "left").join(max_drawdown(daily, [key]), key)
     return out.withColumn(
         "verdict",
         readiness(

@@ -122,10 +122,10 @@ def lake_symbols(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("symbol").distinct()
 
 
-def read_daily_series(spark: SparkSession, path: str, missing: str = ".") -> DataFrame:
-    """Date and close, with a marker for days without a value."""
+def read_daily_series(spark: SparkSession, path: str, missing: str = ".", by: str | None = None) -> DataFrame:
+    """Date and close, with a marker for days without a value; ``by`` names the folders of several series."""
     return (
-        spark.read.schema("date date, close double")
+        spark.read.schema("date date, close double" + (f", {by} string" if by else ""))
         .option("header", True)
         .option("nullValue", missing)
         .csv(path)
