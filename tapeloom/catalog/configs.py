@@ -6,12 +6,13 @@ import re
 
 from pyspark.sql import functions as F
 
-from tapeloom.catalog.base import lagged, ny, query, rsi_cte, sql
+from tapeloom.catalog.base import lagged, ny, query, rd, rsi_cte, sql
 from tapeloom.catalog.gates import TREND
 from tapeloom.catalog.indicators import MACD, vwap_cte
 from tapeloom.catalog.metrics import GROUP_COLS, group_columns
 from tapeloom.catalog.signals import DON, MA, ORB, VW, band_flags, event_sql
 from tapeloom.catalog.validation import FEES, session_sql
+from tapeloom.functions.columns import r, tf_seconds
 from tapeloom.plans import configs as C
 from tapeloom.sources.tables import numbered
 
@@ -50,7 +51,7 @@ def entry_sql(i: int, config: dict) -> tuple[str, str]:
             text = VW.replace("(vwap - band)", "vwap").replace("(vwap + band)", "vwap")
         cond = event_sql(f"c2_{i}", "session_bars >= 15 AND dl > 0 AND dlp <= 0", "session_bars >= 15 AND dh < 0 AND dhp >= 0")
         return own(text, i), f"SELECT z.symbol, b.bar_no AS entry_no, z.dir, b.close AS price FROM ({cond}) z JOIN n15m b ON b.symbol = z.symbol AND b.ts = z.ts"
-    wide = {"15min": 15, "30min": 30, "1h": 60}[tf]
+    wide = tf_seconds(tf) // 60
     if kind == "rsi_cross":
         source = {"30min": "n30m", "1h": "n1h"}[tf]
         parts = f"c_{i} AS (SELECT *, rsi AS x, {lagged('rsi')} AS p FROM w_{source})"
@@ -72,8 +73,8 @@ def entry_sql(i: int, config: dict) -> tuple[str, str]:
     return parts, rows
 
 
-def report_sql() -> str:
-    configs = table_of_configs()
+def report_sql(configs: list[dict], bars: str = "n15m") -> str:
+    """One SQL text for a table of configurations on the bars ``bars``."""
     sigs = {(C.name(c["entry"]), c["setup_tf"]): c for c in configs}
     parts, rows = [vwap_cte("n15m"), rsi_cte("w_n30m", "n30m", 14), rsi_cte("w_n1h", "n1h", 14)], []
     for i, c in enumerate(sigs.values()):
@@ -111,12 +112,32 @@ def report_sql() -> str:
         "ch AS (SELECT symbol, label, no, nxt FROM lk WHERE no = 1 UNION ALL SELECT lk.symbol, lk.label, lk.no, lk.nxt FROM ch JOIN lk ON lk.symbol = ch.symbol AND lk.label = ch.label AND lk.no = ch.nxt)",
         "nt AS (SELECT symbol, label, fee, dir * (px / price - 1) - 2 * (fee + 0.0001) AS ret FROM tr JOIN ch USING (symbol, label, no), (SELECT unnest([0.001, 0.0025])::DOUBLE AS fee))",
     ]
-    return sql("n15m n30m n1h n4h", *parts, *run, f"SELECT symbol, label, fee, {GROUP_COLS} FROM nt GROUP BY symbol, label, fee", recursive=True)
+    end = f"SELECT symbol, label, fee, {GROUP_COLS} FROM nt GROUP BY symbol, label, fee"
+    return sql(f"{bars} n30m n1h n4h", *[re.sub(r"\bn15m\b", bars, t) for t in (*parts, *run)], end, recursive=True)
 
 
-@query("config_report", report_sql())
+@query("config_report", report_sql(table_of_configs()))
 def config_report(spark, sf):
     """The lab grid and five more families behind four gates: 76 settings with two fees each, one plan."""
     frames = {tf: numbered(spark, sf, tf) for tf in (EXEC, "30min", "1h", "4h")}
     trades = C.run_table(table_of_configs(), frames, EXEC)
     return trades.groupBy("symbol", "label", "fee").agg(*group_columns())
+
+
+FINE = "5min"
+LAB, LAB_FINE = C.lab_grid(EXEC, FEES), C.lab_grid(FINE, FEES)
+NAMES = ", ".join(f"('{C.label(a)}', '{C.label(b)}')" for a, b in zip(LAB, LAB_FINE) if a["fee"] == FEES[0])
+FUNNEL = (
+    f"co AS MATERIALIZED ({report_sql(LAB)}), fi AS MATERIALIZED ({report_sql(LAB_FINE, 'n5m')}), "
+    f"vi AS (SELECT symbol, label, pf FROM co WHERE fee = {min(FEES)} AND n >= {C.VIABLE_TRADES} AND pf >= {C.VIABLE_FACTOR}), "
+    f"fa AS (SELECT label, count(*) AS n_viable, median(pf) AS median_pf FROM vi GROUP BY 1 ORDER BY n_viable DESC, median_pf DESC, label LIMIT {C.FAMILIES}), "
+    f"na AS (SELECT * FROM (VALUES {NAMES}) v(label, fine))"
+)
+
+
+@query("lab_funnel", sql("", FUNNEL, f"SELECT fi.* EXCLUDE (label), na.label, n_viable, {rd('median_pf')} AS median_pf FROM fi JOIN na ON na.fine = fi.label JOIN fa ON fa.label = na.label JOIN vi ON vi.label = na.label AND vi.symbol = fi.symbol"))
+def lab_funnel(spark, sf):
+    """The lab grid on 15-minute bars, its families' scores, and the best ten again on 5-minute bars where they were viable."""
+    frames = {tf: numbered(spark, sf, tf) for tf in (EXEC, FINE, "30min", "1h")}
+    out = C.funnel(frames, EXEC, FINE, FEES, lambda t: t.groupBy("symbol", "label", "fee").agg(*group_columns()))
+    return out.withColumn("median_pf", r(F.col("median_pf")))

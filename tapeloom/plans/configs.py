@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,8 @@ EXITS = [(0.005, 0.005), (0.005, 0.01), (0.01, 0.005), (0.01, 0.01)]
 RANGES, TIMED_RANGES, TIMES = [15, 30, 60], [30, 60], [24, 48]
 MODES, BANDS = ["revert", "cross"], [1.0, 1.5, 2.0]
 RSI_FRAMES, RSI_LEVELS = ["30min", "1h"], [(30, 70), (20, 80)]
+# What makes a setting viable on a symbol, and the families that are refined.
+VIABLE_TRADES, VIABLE_FACTOR, FAMILIES = 30, 1.1, 10
 
 
 def lab_grid(exec_tf: str, fees: Sequence[float]) -> list[dict]:
@@ -138,3 +140,28 @@ def run_table(configs: Sequence[dict], frames: dict[str, DataFrame], exec_tf: st
     done = done.select("symbol", "label", "entry_ts", "entry_no", "dir", "price", "exit_ts", "exit_no", "_x.exit_price", "_x.exit_reason", gross.alias("gross"))
     one = O.non_overlapping(done, ["symbol", "label"], tie=["exit_ts", "dir"])
     return one.join(fees, "label").withColumn("ret", O.net_return(F.col("gross"), F.col("fee"))).drop("gross")
+
+
+def funnel(frames: dict[str, DataFrame], coarse_tf: str, refine_tf: str, fees: Sequence[float], report: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Coarse grid, score, and the second grid that the scores call for.
+
+    ``report`` turns trades into rows of symbol, label, fee, n, pf. The coarse grid runs everywhere; a family counts the
+    symbols on which it is viable at the lowest fee, and the best families run again on the finer bars, only where they
+    were viable. Rows: symbol, label (of the coarse setting), n_viable, median_pf and the report's columns of the finer run.
+    """
+    grid = lab_grid(coarse_tf, fees)
+    coarse = stage(report(run_table(grid, frames, coarse_tf)), "coarse")
+    viable = coarse.where((F.col("fee") == min(fees)) & (F.col("n") >= VIABLE_TRADES) & (F.col("pf") >= VIABLE_FACTOR)).select("symbol", "label", "pf")
+    families = viable.groupBy("label").agg(F.count(F.lit(1)).alias("n_viable"), F.expr("percentile(pf, 0.5)").alias("median_pf"))
+    best = families.orderBy(F.desc("n_viable"), F.desc("median_pf"), "label").limit(FAMILIES)
+    kept = {r.label: (r.n_viable, r.median_pf) for r in best.collect()}  # FAMILIES rows at most
+    finer = [{**c, "setup_tf": refine_tf if c["setup_tf"] == coarse_tf else c["setup_tf"]} for c in grid if label(c) in kept]
+    names = sorted({(label({**c, "setup_tf": coarse_tf if c["setup_tf"] == refine_tf else c["setup_tf"]}), label(c)) for c in finer})
+    spark = coarse.sparkSession
+    scored = spark.createDataFrame([(fine, was, *map(float, kept[was])) for was, fine in names], "label string, was string, n_viable double, median_pf double")
+    if not finer:
+        return coarse.limit(0).withColumns({"n_viable": F.lit(0).cast("long"), "median_pf": F.lit(0.0)})
+    found = report(run_table(finer, frames, refine_tf)).join(scored, "label")
+    wanted = viable.select("symbol", F.col("label").alias("was"))
+    found = found.join(wanted, ["symbol", "was"], "left_semi").drop("label").withColumnRenamed("was", "label")
+    return found.withColumn("n_viable", F.col("n_viable").cast("long"))
