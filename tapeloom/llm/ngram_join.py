@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import GOLDEN, fresh, mix, prepare, shingles, stage
 from tapeloom.llm.linking import SLOT_MASK, STAR, LocalStars, SlotFilter, link, parts_for
 
-SEGMENT_BITS = 16
+#: bits of a segment: few elements fall into one, so with few bits unlike sets would often agree in it by chance
+SEGMENT_BITS = 28
+#: bits of a segment's number and its bits; above them stands the row of the batch
+PLACE_BITS = 52
 SKETCH_WORDS = 16
 
 
@@ -50,7 +53,8 @@ class Bands:
         """(segments of the band, leading ones that a set of this size needs, matches beyond the first)."""
         top = self.top(band)
         most = self.differing(2 * top)
-        slack = most // 24 + 1 if most else 0
+        # a set at the lower end of the next band leaves about one segment in thirteen empty; more than that are left out
+        slack = most // 8 + 1 if most else 0
         own = self.differing(size + min(100 * size // self.percent, top))
         return most + 1 + slack, min(own, most) + 1 + slack, slack
 
@@ -72,17 +76,17 @@ def segments(hashes: np.ndarray, offsets: np.ndarray, bands: Bands) -> list[tupl
         part = ((h >> np.uint64(32)) * parts.astype(np.uint64)[owner]) >> np.uint64(32)
         inside = part < need.astype(np.uint64)[owner]
         bit = h & np.uint64((1 << SEGMENT_BITS) - 1)
-        bits = (owner.astype(np.uint64) << np.uint64(44)) | (part << np.uint64(SEGMENT_BITS)) | bit
+        bits = (owner.astype(np.uint64) << np.uint64(PLACE_BITS)) | (part << np.uint64(SEGMENT_BITS)) | bit
         bits = np.sort(bits[inside])
         # a bit that was flipped an even number of times is off
         edge = np.flatnonzero(np.r_[True, bits[1:] != bits[:-1], True]) if len(bits) else np.zeros(1, int)
         bits = bits[edge[:-1][np.diff(edge) % 2 == 1]] if len(bits) else bits
         place = bits >> np.uint64(SEGMENT_BITS)
         starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(bits) else np.zeros(0, int)
-        low = np.uint64((1 << 44) - 1)
+        low = np.uint64((1 << PLACE_BITS) - 1)
         content = np.add.reduceat(mix((bits & low) * np.uint64(GOLDEN) + np.uint64(1)), starts) if len(bits) else np.zeros(0, np.uint64)
         place = place[starts]
-        doc, seg = (place >> np.uint64(44 - SEGMENT_BITS)).astype(np.int64), place & np.uint64((1 << (44 - SEGMENT_BITS)) - 1)
+        doc, seg = (place >> np.uint64(PLACE_BITS - SEGMENT_BITS)).astype(np.int64), place & np.uint64((1 << (PLACE_BITS - SEGMENT_BITS)) - 1)
         empty = need - np.bincount(doc, minlength=len(sizes))
         for d in np.flatnonzero(empty > slack).tolist():
             gone = np.setdiff1d(np.arange(need[d], dtype=np.uint64), seg[doc == d])
