@@ -125,11 +125,13 @@ def config_report(spark, sf):
 
 
 FINE = "5min"
+#: the given tape is no market: at the usual 30 trades and factor 1.1 no setting is viable on it
+LEAST, FACTOR = 2, 0.05
 LAB, LAB_FINE = C.lab_grid(EXEC, FEES), C.lab_grid(FINE, FEES)
 NAMES = ", ".join(f"('{C.label(a)}', '{C.label(b)}')" for a, b in zip(LAB, LAB_FINE) if a["fee"] == FEES[0])
 FUNNEL = (
     f"co AS MATERIALIZED ({report_sql(LAB)}), fi AS MATERIALIZED ({report_sql(LAB_FINE, 'n5m')}), "
-    f"vi AS (SELECT symbol, label, pf FROM co WHERE fee = {min(FEES)} AND n >= {C.VIABLE_TRADES} AND pf >= {C.VIABLE_FACTOR}), "
+    f"vi AS (SELECT symbol, label, pf FROM co WHERE fee = {min(FEES)} AND n >= {LEAST} AND pf >= {FACTOR}), "
     f"fa AS (SELECT label, count(*) AS n_viable, median(pf) AS median_pf FROM vi GROUP BY 1 ORDER BY n_viable DESC, median_pf DESC, label LIMIT {C.FAMILIES}), "
     f"na AS (SELECT * FROM (VALUES {NAMES}) v(label, fine))"
 )
@@ -139,5 +141,5 @@ FUNNEL = (
 def lab_funnel(spark, sf):
     """The lab grid on 15-minute bars, its families' scores, and the best ten again on 5-minute bars where they were viable."""
     frames = {tf: numbered(spark, sf, tf) for tf in (EXEC, FINE, "30min", "1h")}
-    out = C.funnel(frames, EXEC, FINE, FEES, lambda t: t.groupBy("symbol", "label", "fee").agg(*group_columns()))
+    out = C.funnel(frames, EXEC, FINE, FEES, lambda t: t.groupBy("symbol", "label", "fee").agg(*group_columns()), LEAST, FACTOR)
     return out.withColumn("median_pf", r(F.col("median_pf")))

@@ -142,7 +142,8 @@ def run_table(configs: Sequence[dict], frames: dict[str, DataFrame], exec_tf: st
     return one.join(fees, "label").withColumn("ret", O.net_return(F.col("gross"), F.col("fee"))).drop("gross")
 
 
-def funnel(frames: dict[str, DataFrame], coarse_tf: str, refine_tf: str, fees: Sequence[float], report: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def funnel(frames: dict[str, DataFrame], coarse_tf: str, refine_tf: str, fees: Sequence[float], report: Callable[[DataFrame], DataFrame],
+    min_trades: int = VIABLE_TRADES, min_factor: float = VIABLE_FACTOR) -> DataFrame:
     """Coarse grid, score, and the second grid that the scores call for.
 
     ``report`` turns trades into rows of symbol, label, fee, n, pf. The coarse grid runs everywhere; a family counts the
@@ -151,7 +152,7 @@ def funnel(frames: dict[str, DataFrame], coarse_tf: str, refine_tf: str, fees: S
     """
     grid = lab_grid(coarse_tf, fees)
     coarse = stage(report(run_table(grid, frames, coarse_tf)), "coarse")
-    viable = coarse.where((F.col("fee") == min(fees)) & (F.col("n") >= VIABLE_TRADES) & (F.col("pf") >= VIABLE_FACTOR)).select("symbol", "label", "pf")
+    viable = coarse.where((F.col("fee") == min(fees)) & (F.col("n") >= min_trades) & (F.col("pf") >= min_factor)).select("symbol", "label", "pf")
     families = viable.groupBy("label").agg(F.count(F.lit(1)).alias("n_viable"), F.expr("percentile(pf, 0.5)").alias("median_pf"))
     best = families.orderBy(F.desc("n_viable"), F.desc("median_pf"), "label").limit(FAMILIES)
     kept = {r.label: (r.n_viable, r.median_pf) for r in best.collect()}  # FAMILIES rows at most
