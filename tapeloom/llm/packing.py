@@ -57,7 +57,7 @@ class WordIds(dict):
     """
 
     #: chunks of one generation; when it is full it becomes the old one, of which used chunks are taken over
-    LIMIT = 400_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
