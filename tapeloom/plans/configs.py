@@ -142,8 +142,15 @@ def run_table(configs: Sequence[dict], frames: dict[str, DataFrame], exec_tf: st
     return one.join(fees, "label").withColumn("ret", O.net_return(F.col("gross"), F.col("fee"))).drop("gross")
 
 
-def funnel(frames: dict[str, DataFrame], coarse_tf: str, refine_tf: str, fees: Sequence[float], report: Callable[[DataFrame], DataFrame],
-    min_trades: int = VIABLE_TRADES, min_factor: float = VIABLE_FACTOR) -> DataFrame:
+def funnel(
+    frames: dict[str, DataFrame],
+    coarse_tf: str,
+    refine_tf: str,
+    fees: Sequence[float],
+    report: Callable[[DataFrame], DataFrame],
+    min_trades: int = VIABLE_TRADES,
+    min_factor: float = VIABLE_FACTOR,
+) -> DataFrame:
     """Coarse grid, score, and the second grid that the scores call for.
 
     ``report`` turns trades into rows of symbol, label, fee, n, pf. The coarse grid runs everywhere; a family counts the
